@@ -1,7 +1,8 @@
 """Language identification by compression: a text belongs to the language whose dictionary lets zstandard encode it smallest.
 
-Each language's raw-content dictionary is a bounded sample of its labelled texts. A text is cut into blocks of a few kilobytes, all
-of which are encoded, so that the text's own history cannot replace the dictionary. The score is a logistic function of the
+Each language's raw-content dictionary is a bounded sample of its labelled texts. A text is reduced to its lower-cased letters (runs
+of anything else become one space) and cut into blocks of two kilobytes, all of which are encoded, so that the text's own history cannot
+replace the dictionary. Equal sizes go to the language with more labelled documents. The score is a logistic function of the
 relative margin between the smallest and the second smallest size; narrow margins are rejected.
 """
 
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 from .common import whole
 
 _LETTER = re.compile("[A-Za-z]")
+_OTHER = re.compile(r"[\W\d_]+")
 BLOCK = 2048
-MARGIN = 0.01
+MARGIN = 0.005
 STEEP = 0.04
 RESULT = "__lf_row long, lang_pred string, score double, margin double, accepted boolean"
 
@@ -27,46 +29,54 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_LETTER.search(text) is not None or not text.isascii() and any(c.isalpha() for c in text))
 
 
+def letters(text: str) -> bytes:
+    return _OTHER.sub(" ", text.lower()).encode()
+
+
 def sample_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, dictionary_bytes: int = 65_536) -> dict[str, bytes]:
     """Raw-content dictionaries: per language, texts of the `per_language` labelled rows with the smallest id hashes, an equal share of
-    each, `dictionary_bytes` in all. The bounds are these two parameters and 256 languages; rows without label or text are left out."""
+    each, `dictionary_bytes` in all. The bounds are these two parameters and the 256 most frequent languages; rows without label or text are left out.
+    The languages come in the order of their numbers of labelled rows, which are counted over all."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0))
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col), F.xxhash64(text_col)))
     share = max(64, dictionary_bytes // max(1, per_language) * 4)
     picked = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, share).alias("t"), rank.alias("r")).filter(F.col("r") <= per_language)
-    found: dict[str, list[bytes]] = {}
+    many = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(256).collect()
+    found: dict[str, list[bytes]] = {row["lang"]: [] for row in many}
     for row in picked.orderBy("lang", "r").limit(256 * per_language).collect():
-        found.setdefault(row["lang"], []).append(row["t"].encode())
-    return {k: b"\n".join(reversed(v))[-dictionary_bytes:] for k, v in found.items()}
+        if row["lang"] in found:
+            found[row["lang"]].append(letters(row["t"]))
+    return {k: b" ".join(reversed(v))[-dictionary_bytes:] for k, v in found.items()}
 
 
 class CompressionClassifier:
     """Sizes of texts under each dictionary. The state is the dictionaries, so it travels to tasks."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 1):
-        self.dictionaries, self.level, self._made = dict(sorted(dictionaries.items())), level, None
+    def __init__(self, dictionaries: dict[str, bytes]):
+        self.dictionaries, self._made = dictionaries, None
 
     def __getstate__(self):
-        return {"dictionaries": self.dictionaries, "level": self.level, "_made": None}
+        return {"dictionaries": self.dictionaries, "_made": None}
 
     def _compressors(self):
         import zstandard
 
         if self._made is None:
+            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=17, hash_log=15, chain_log=15, search_log=4, write_content_size=False, write_checksum=False, write_dict_id=False)
             self._made = []
             for name, data in self.dictionaries.items():
                 known = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                known.precompute_compress(level=self.level)
-                self._made.append((name, zstandard.ZstdCompressor(level=self.level, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False)))
+                known.precompute_compress(compression_params=how)
+                self._made.append((name, zstandard.ZstdCompressor(compression_params=how, dict_data=known)))
         return self._made
 
     def judge(self, text: str | None) -> tuple[str, float, float, bool]:
         """(language, score, margin, accepted); `und` without a letter or without any learned language, never accepted."""
         if not self.dictionaries or not has_letter(text):
             return "und", 0.0, 0.0, False
-        data = text.lower().encode()
+        data = letters(text)
         blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), name) for name, c in self._compressors())
+        sizes = sorted(((sum(len(c.compress(b)) for b in blocks), name) for name, c in self._compressors()), key=lambda x: x[0])
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0, True
         margin = (sizes[1][0] - sizes[0][0]) / max(1, sizes[1][0])
