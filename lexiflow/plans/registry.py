@@ -1,4 +1,393 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables, and the SQL that gives the same rows.
+
+Vocabulary and bigrams come from all documents; probes come from all conversations. Contractions do not occur in generated text, so
+those queries also run over inline rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import constants as C
+from ..functions import text as X
+from ..operators import complete, confuse, correct, learn, ngram, predict, rules, similarity, vocab_build
+from ..streaming import tracker
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.count_words(table(spark, sf_dir, "documents"))
+
+
+def bigrams_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.count_bigrams(table(spark, sf_dir, "documents"))
+
+
+def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, sentence, pos, word, previous_word, next_word) of all conversations."""
+    return X.tokens(table(spark, sf_dir, "conversations").withColumn("doc_id", F.concat_ws("-", "conv_id", "turn")))
+
+
+ASCII = "^[a-z']+$"
+
+
+def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct ASCII words of conversations that the documents' vocabulary of words seen twice or more lacks."""
+    return correct.misspelled(talk(spark, sf_dir).select("word").distinct().filter(F.col("word").rlike(ASCII)), common(spark, sf_dir))
+
+
+def common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_of(spark, sf_dir).filter((F.col("freq") >= 2) & F.col("word").rlike(ASCII))
+
+
+_W = r"'([\p{L}'']+)'"
+CTE = rf"""
+WITH sent AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS sentence, unnest(l) AS s FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.?!]') AS l FROM documents)),
+arr AS (SELECT doc_id, sentence, regexp_extract_all(lower(s), {_W}) AS a FROM sent),
+tok AS (SELECT doc_id, sentence, unnest(a) AS word FROM arr),
+words AS (SELECT word, count(*) AS freq FROM tok GROUP BY 1),
+bigrams AS (SELECT a[i] AS first, a[i + 1] AS second, count(*) AS cnt FROM (SELECT a, unnest(range(1, len(a))) AS i FROM arr) GROUP BY 1, 2),
+totals AS (SELECT first, sum(cnt) AS total FROM bigrams GROUP BY 1),
+stats AS (SELECT sum(freq) AS total_freq, max(freq) AS max_freq, count(*) AS word_count FROM words),
+csent AS (SELECT conv_id || '-' || turn AS id, generate_subscripts(l, 1) - 1 AS sentence, unnest(l) AS s FROM (SELECT conv_id, turn, string_split_regex(coalesce(text, ''), '[.?!]') AS l FROM conversations)),
+carr AS (SELECT id, sentence, regexp_extract_all(lower(s), {_W}) AS a FROM csent),
+talk AS (SELECT id, sentence, i - 1 AS pos, a[i] AS word, CASE WHEN i > 1 THEN a[i - 1] END AS previous_word, CASE WHEN i < len(a) THEN a[i + 1] END AS next_word FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM carr)),
+common AS (SELECT * FROM words WHERE freq >= 2 AND regexp_matches(word, '^[a-z'']+$')),
+unknown AS (SELECT DISTINCT word AS typed FROM talk WHERE regexp_matches(word, '^[a-z'']+$') AND word NOT IN (SELECT word FROM common))
+"""
+
+
+@query(CTE + "SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct, count(DISTINCT sentence) AS n_sentences FROM tok GROUP BY 1")
+def tokens_per_doc(spark, sf_dir):
+    return X.tokens(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.countDistinct("word").alias("n_distinct"), F.countDistinct("sentence").alias("n_sentences"))
+
+
+@query(CTE + "SELECT word, freq FROM words ORDER BY freq DESC, word LIMIT 100")
+def word_freq_topk(spark, sf_dir):
+    return ngram.most_frequent(words_of(spark, sf_dir), 100)
+
+
+@query(CTE + "SELECT word_count, CAST(total_freq AS BIGINT) AS total_freq, CAST(max_freq AS BIGINT) AS max_freq FROM stats")
+def vocab_stats(spark, sf_dir):
+    return ngram.vocab_stats(words_of(spark, sf_dir))
+
+
+@query(CTE + "SELECT * FROM bigrams")
+def bigram_counts(spark, sf_dir):
+    return bigrams_of(spark, sf_dir)
+
+
+@query(CTE + "SELECT first, second, cnt, CAST(total AS BIGINT) AS total, round(cnt / total::DOUBLE, 9) AS probability FROM bigrams JOIN totals USING (first)")
+def bigram_probability(spark, sf_dir):
+    return ngram.bigram_probabilities(bigrams_of(spark, sf_dir)).withColumn("probability", F.round("probability", 9))
+
+
+_TOP = "SELECT *, row_number() OVER (PARTITION BY first ORDER BY cnt DESC, second) AS rank FROM bigrams QUALIFY rank <= 5"
+
+
+@query(CTE + f"SELECT first, second, cnt, rank FROM ({_TOP})")
+def predict_next(spark, sf_dir):
+    return predict.top_followers(bigrams_of(spark, sf_dir))
+
+
+@query(CTE + f""", ask AS (SELECT DISTINCT word AS previous FROM talk), top AS ({_TOP}), best AS (SELECT word, freq, row_number() OVER (ORDER BY freq DESC, word) AS rank FROM words QUALIFY rank <= 5)
+SELECT previous, second AS word, cnt, rank, false AS is_fallback FROM ask JOIN top ON first = previous
+UNION ALL SELECT previous, word, freq, rank, true FROM ask CROSS JOIN best WHERE previous NOT IN (SELECT first FROM bigrams)""")
+def predict_next_fallback(spark, sf_dir):
+    return predict.predict_next(talk(spark, sf_dir).select(F.col("word").alias("previous")), words_of(spark, sf_dir), bigrams_of(spark, sf_dir))
+
+
+_COMPLETE = """, p AS (SELECT DISTINCT left(word, 3) AS prefix{prev} FROM talk WHERE length(word) >= 3),
+m AS (SELECT p.*, w.word, w.freq FROM p JOIN words w ON left(w.word, 3) = p.prefix LEFT JOIN words own ON own.word = p.prefix WHERE w.freq >= coalesce(own.freq // 5, 0))"""
+
+
+@query(CTE + _COMPLETE.format(prev="") + "SELECT prefix, word, freq, row_number() OVER (PARTITION BY prefix ORDER BY freq DESC, word) AS rank FROM m QUALIFY rank <= 5")
+def prefix_completions(spark, sf_dir):
+    probes = talk(spark, sf_dir).filter(F.length("word") >= 3).select(F.left("word", F.lit(3)).alias("prefix"))
+    return complete.complete(probes, words_of(spark, sf_dir)).select("prefix", "word", "freq", "rank")
+
+
+@query(CTE + _COMPLETE.format(prev=", coalesce(previous_word, '') AS previous") + """, s AS (SELECT m.*, CASE WHEN coalesce(t.total, 0) > 0 THEN 0.7::DOUBLE * (coalesce(b.cnt, 0) / t.total::DOUBLE) + 0.3::DOUBLE * (freq / total_freq::DOUBLE) ELSE freq / total_freq::DOUBLE END AS score
+FROM m CROSS JOIN stats LEFT JOIN totals t ON t.first = m.previous LEFT JOIN bigrams b ON b.first = m.previous AND b.second = m.word)
+SELECT prefix, previous, word, round(score, 9) AS score, row_number() OVER (PARTITION BY prefix, previous ORDER BY score DESC, word) AS rank FROM s QUALIFY rank <= 5""")
+def prefix_completions_context(spark, sf_dir):
+    probes = talk(spark, sf_dir).filter(F.length("word") >= 3).select(F.left("word", F.lit(3)).alias("prefix"), F.col("previous_word").alias("previous"))
+    return complete.complete(probes, words_of(spark, sf_dir), bigrams_of(spark, sf_dir)).select("prefix", "previous", "word", F.round("score", 9).alias("score"), "rank")
+
+
+@query(CTE + "SELECT word, freq // 5 AS floor FROM words")
+def completion_floor(spark, sf_dir):
+    return complete.completion_floor(words_of(spark, sf_dir))
+
+
+_SHORT = [("can't", 208), ("canterbury", 90), ("canton", 60), ("cantor", 20), ("couldn't", 88), ("could", 900)]
+
+
+@query("""WITH w(word, freq) AS (VALUES ('can''t', 208), ('canterbury', 90), ('canton', 60), ('cantor', 20), ('couldn''t', 88), ('could', 900)), p(prefix) AS (VALUES ('cant'), ('couldn'), ('ca')),
+a AS (SELECT DISTINCT prefix, word, freq, 0 AS src FROM (SELECT prefix, left(prefix, i) || '''' || substr(prefix, i + 1) AS t FROM (SELECT prefix, unnest(range(1, length(prefix))) AS i FROM p)) JOIN w ON starts_with(word, t)
+UNION ALL SELECT prefix, w.word, w.freq, 1 FROM p JOIN w ON starts_with(w.word, prefix))
+SELECT prefix, word, CAST(freq AS BIGINT) AS freq, src = 0 AS is_contraction, row_number() OVER (PARTITION BY prefix ORDER BY src, freq DESC, word) AS rank FROM a QUALIFY rank <= 5""")
+def contraction_completions(spark, sf_dir):
+    words = spark.createDataFrame(_SHORT, "word string, freq long")
+    return complete.complete(spark.createDataFrame([("cant",), ("couldn",), ("ca",)], "prefix string"), words).select("prefix", "word", "freq", "is_contraction", "rank")
+
+
+@query(CTE + "SELECT word, count(*) AS n FROM talk WHERE word NOT IN (SELECT word FROM words) GROUP BY 1")
+def misspelled_words(spark, sf_dir):
+    return correct.misspelled(talk(spark, sf_dir), words_of(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(CTE + "SELECT id, sentence, pos, t.word, coalesce(freq, 0) AS freq, freq IS NOT NULL AS known FROM talk t LEFT JOIN words w ON w.word = t.word")
+def word_lookup(spark, sf_dir):
+    return ngram.lookup(talk(spark, sf_dir), words_of(spark, sf_dir)).select(F.col("doc_id").alias("id"), F.col("sentence").cast("long"), F.col("pos").cast("long"), "word", "freq", "known")
+
+
+@query(CTE + "SELECT typed, word, CAST(levenshtein(typed, word) AS INTEGER) AS distance FROM unknown JOIN common ON abs(length(typed) - length(word)) <= 2 WHERE levenshtein(typed, word) <= 2")
+def edit_distance_pairs(spark, sf_dir):
+    return similarity.similarity_join(unknown(spark, sf_dir).select(F.col("word").alias("typed")), common(spark, sf_dir), 2)
+
+
+@query(CTE + ", u AS (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown) SELECT typed, word, freq FROM (SELECT DISTINCT typed, substr(typed, 1, i - 1) || typed[i + 1] || typed[i] || substr(typed, i + 2) AS word FROM u WHERE typed[i] <> typed[i + 1]) JOIN common USING (word)")
+def letter_swaps(spark, sf_dir):
+    return _edits(spark, sf_dir, X.letter_swaps)
+
+
+@query(CTE + """, u AS (SELECT typed, unnest(range(1, length(typed) + 1)) AS i FROM unknown WHERE length(typed) >= 4)
+SELECT typed, word, freq FROM (SELECT typed, substr(typed, 1, i) || substr(typed, i) AS word FROM u UNION SELECT typed, substr(typed, 1, i) || substr(typed, i + 2) FROM u WHERE i < length(typed) AND typed[i] = typed[i + 1]) JOIN common USING (word)""")
+def double_letter_fixes(spark, sf_dir):
+    return _edits(spark, sf_dir, X.double_letter_edits)
+
+
+@query("""WITH w(word) AS (VALUES ('can''t'), ('don''t'), ('cant''s'), ('it''s')), t(typed) AS (VALUES ('cant'), ('dont'), ('its'), ('can''t'), ('a'))
+SELECT typed, word FROM (SELECT typed, left(typed, i) || '''' || substr(typed, i + 1) AS word FROM (SELECT typed, unnest(range(1, length(typed))) AS i FROM t WHERE NOT contains(typed, ''''))) JOIN w USING (word)""")
+def apostrophe_fixes(spark, sf_dir):
+    typed = spark.createDataFrame([("cant",), ("dont",), ("its",), ("can't",), ("a",)], "typed string")
+    words = spark.createDataFrame([("can't",), ("don't",), ("cant's",), ("it's",)], "word string")
+    return typed.select("typed", F.explode(X.apostrophe_insertions(F.col("typed"))).alias("word")).join(words, "word").select("typed", "word")
+
+
+def _edits(spark, sf_dir, make):
+    made = unknown(spark, sf_dir).select(F.col("word").alias("typed")).select("typed", F.explode(F.array_distinct(make(F.col("typed")))).alias("word"))
+    return made.join(common(spark, sf_dir), "word").select("typed", "word", "freq")
+
+
+_CANDS = r""", sw AS (SELECT DISTINCT typed, substr(typed, 1, i - 1) || typed[i + 1] || typed[i] || substr(typed, i + 2) AS word FROM (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown) WHERE typed[i] <> typed[i + 1]),
+ap AS (SELECT typed, left(typed, i) || '''' || substr(typed, i + 1) AS word FROM (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown WHERE NOT contains(typed, ''''))),
+d4 AS (SELECT typed, unnest(range(1, length(typed) + 1)) AS i FROM unknown WHERE length(typed) >= 4),
+db AS (SELECT typed, substr(typed, 1, i) || substr(typed, i) AS word FROM d4 UNION SELECT typed, substr(typed, 1, i) || substr(typed, i + 2) FROM d4 WHERE i < length(typed) AND typed[i] = typed[i + 1]),
+near AS (SELECT typed, word, levenshtein(typed, word) AS distance FROM unknown JOIN common ON abs(length(typed) - length(word)) <= 2 WHERE levenshtein(typed, word) <= CASE WHEN length(typed) <= 4 THEN 1 ELSE 2 END),
+least_ AS (SELECT typed, word, min(distance) AS distance FROM (SELECT * FROM near UNION ALL SELECT typed, word, 1 FROM sw JOIN common USING (word) UNION ALL SELECT typed, word, 1 FROM ap JOIN common USING (word)) GROUP BY 1, 2),
+flagged AS (SELECT l.typed, l.word, l.distance, c.freq, (l.typed, l.word) IN (SELECT (typed, word) FROM ap) AS is_ap, CASE WHEN (l.typed, l.word) IN (SELECT (typed, word) FROM ap) THEN 0 WHEN (l.typed, l.word) IN (SELECT (typed, word) FROM db) THEN 1 WHEN (l.typed, l.word) IN (SELECT (typed, word) FROM sw) THEN 2
+  WHEN length(l.typed) >= 3 AND length(l.word) > length(l.typed) AND starts_with(l.word, l.typed) THEN 3 ELSE 4 END AS slip_rank FROM least_ l JOIN common c USING (word)),
+cands AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY distance, slip_rank, freq DESC, word) AS rank FROM flagged QUALIFY rank <= 20)"""
+
+
+@query(CTE + _CANDS + "SELECT typed, word, CAST(distance AS INTEGER) AS distance, freq, CAST(slip_rank AS INTEGER) AS slip_rank, rank FROM cands WHERE rank <= 5")
+def fuzzy_corrections(spark, sf_dir):
+    found = correct.find_corrections(talk(spark, sf_dir).select(F.col("word").alias("typed")).distinct().filter(F.col("typed").rlike(ASCII)), common(spark, sf_dir))
+    return found.select("typed", "word", "distance", "freq", "slip_rank", "rank")
+
+
+_REASON = """CASE WHEN a.typed IN (SELECT word FROM common) THEN 'already a real word' WHEN b.word IS NULL THEN 'no close word found' WHEN b.distance = 2 AND length(a.typed) < 6 THEN 'too short to guess at two mistakes'
+  WHEN r.word IS NOT NULL AND r.distance <= b.distance AND NOT ({clear}) THEN 'two words are too close to call' ELSE 'corrected' END"""
+_PLAIN = "b.slip_rank < r.slip_rank OR r.freq <= 0 OR b.freq >= CASE WHEN b.distance = 1 THEN 2 ELSE 4 END * r.freq"
+
+
+@query(CTE + _CANDS + f""", a AS (SELECT DISTINCT word AS typed FROM talk WHERE regexp_matches(word, '^[a-z'']+$')),
+j AS (SELECT a.typed, b.word, {_REASON.format(clear=_PLAIN)} AS reason FROM a LEFT JOIN cands b ON b.typed = a.typed AND b.rank = 1 LEFT JOIN cands r ON r.typed = a.typed AND r.rank = 2)
+SELECT typed, reason = 'corrected' AS changed, CASE WHEN reason = 'corrected' THEN word ELSE typed END AS corrected, reason FROM j""")
+def autocorrect_decisions(spark, sf_dir):
+    probes = talk(spark, sf_dir).select(F.col("word").alias("typed")).distinct().filter(F.col("typed").rlike(ASCII))
+    return correct.autocorrect(probes, common(spark, sf_dir)).select("typed", "changed", "corrected", "reason")
+
+
+@query(CTE + _CANDS + f""", a AS (SELECT DISTINCT word AS typed, coalesce(previous_word, '') AS prev FROM talk WHERE regexp_matches(word, '^[a-z'']+$')),
+f1 AS (SELECT typed, is_ap FROM cands WHERE rank = 1), tf AS (SELECT sum(freq)::DOUBLE AS t FROM common),
+sc AS (SELECT a.typed, a.prev, c.word, c.distance, c.slip_rank, c.freq, c.rank, coalesce(t.total, 0) > 0 AND a.prev <> '' AND NOT f1.is_ap AS ctx,
+  (CASE WHEN coalesce(t.total, 0) > 0 THEN 0.7::DOUBLE * (coalesce(g.cnt, 0) / t.total::DOUBLE) + 0.3::DOUBLE * (c.freq / tf.t) ELSE c.freq / tf.t END) * [50.0::DOUBLE, 20, 20, 10, 1][c.slip_rank + 1] AS score
+  FROM a JOIN cands c USING (typed) JOIN f1 USING (typed) CROSS JOIN tf LEFT JOIN totals t ON t.first = a.prev LEFT JOIN bigrams g ON g.first = a.prev AND g.second = c.word),
+o AS (SELECT *, row_number() OVER (PARTITION BY typed, prev ORDER BY CASE WHEN ctx THEN distance ELSE rank END, CASE WHEN ctx THEN -score ELSE 0 END, word) AS n FROM sc),
+j AS (SELECT a.typed, a.prev, b.word, {_REASON.format(clear="CASE WHEN b.ctx THEN r.score <= 0 OR b.score >= CASE WHEN b.distance = 1 THEN 2 ELSE 4 END * r.score ELSE " + _PLAIN + " END")} AS reason
+  FROM a LEFT JOIN o b ON b.typed = a.typed AND b.prev = a.prev AND b.n = 1 LEFT JOIN o r ON r.typed = a.typed AND r.prev = a.prev AND r.n = 2)
+SELECT typed, prev AS previous, reason = 'corrected' AS changed, CASE WHEN reason = 'corrected' THEN word ELSE typed END AS corrected, reason FROM j""")
+def autocorrect_in_context(spark, sf_dir):
+    probes = talk(spark, sf_dir).filter(F.col("word").rlike(ASCII)).select(F.col("word").alias("typed"), F.coalesce("previous_word", F.lit("")).alias("previous")).distinct()
+    return correct.autocorrect(probes, common(spark, sf_dir), bigrams_of(spark, sf_dir)).select("typed", "previous", "changed", "corrected", "reason")
+
+
+@query(CTE + """, conf(low, alternative) AS (SELECT unnest(['from','form','than','then','of','off','to','too','lose','loose','quite','quiet','whether','weather','buy','by','there','their','accept','except','affect','effect','advice','advise','breath','breathe','past','passed','here','hear','know','now','were','where']), unnest(['form','from','then','than','off','of','too','to','loose','lose','quiet','quite','weather','whether','by','buy','their','there','except','accept','effect','affect','advise','advice','breathe','breath','passed','past','hear','here','now','know','where','were'])),
+ask AS (SELECT DISTINCT coalesce(previous_word, '') AS b, word AS w, coalesce(next_word, '') AS a FROM talk),
+v AS (SELECT ask.*, alternative, total_freq::DOUBLE AS n, coalesce(g1.cnt, 0) AS bt, coalesce(g2.cnt, 0) AS ba, coalesce(g3.cnt, 0) AS ta, coalesce(g4.cnt, 0) AS aa, coalesce(t1.total, 0)::DOUBLE AS tb, coalesce(t2.total, 0)::DOUBLE AS tl, coalesce(t3.total, 0)::DOUBLE AS tal,
+  coalesce(w1.freq, 0) / total_freq::DOUBLE AS pl, coalesce(w2.freq, 0) / total_freq::DOUBLE AS pa, coalesce(w3.freq, 0) / total_freq::DOUBLE AS pn FROM ask LEFT JOIN conf ON low = w CROSS JOIN stats
+  LEFT JOIN bigrams g1 ON g1.first = b AND g1.second = w LEFT JOIN bigrams g2 ON g2.first = b AND g2.second = alternative LEFT JOIN bigrams g3 ON g3.first = w AND g3.second = a LEFT JOIN bigrams g4 ON g4.first = alternative AND g4.second = a
+  LEFT JOIN totals t1 ON t1.first = b LEFT JOIN totals t2 ON t2.first = w LEFT JOIN totals t3 ON t3.first = alternative LEFT JOIN words w1 ON w1.word = w LEFT JOIN words w2 ON w2.word = alternative LEFT JOIN words w3 ON w3.word = a),
+ch AS (SELECT *, CASE WHEN tb > 0 THEN 0.9::DOUBLE * (bt / tb) + (1 - 0.9::DOUBLE) * pl ELSE pl END AS lt, CASE WHEN tb > 0 THEN 0.9::DOUBLE * (ba / tb) + (1 - 0.9::DOUBLE) * pa ELSE pa END AS la, CASE WHEN tl > 0 THEN 0.9::DOUBLE * (ta / tl) + (1 - 0.9::DOUBLE) * pn ELSE pn END AS rt, CASE WHEN tal > 0 THEN 0.9::DOUBLE * (aa / tal) + (1 - 0.9::DOUBLE) * pn ELSE pn END AS ra FROM v),
+ad AS (SELECT *, (CASE WHEN lt <= 0 THEN CASE WHEN la <= 0 THEN 1 ELSE 50 END ELSE greatest(1 / 50::DOUBLE, least(50, la / lt)) END) * (CASE WHEN a = '' THEN 1 WHEN rt <= 0 THEN CASE WHEN ra <= 0 THEN 1 ELSE 50 END ELSE greatest(1 / 50::DOUBLE, least(50, ra / rt)) END) AS advantage FROM ch),
+r AS (SELECT *, CASE WHEN alternative IS NULL THEN 'not a word people mix up' WHEN b = '' AND a = '' THEN 'nothing around it to go on' WHEN ba <= 0 AND aa <= 0 THEN 'no alternative fits better' WHEN advantage < 8 THEN 'what was typed fits well enough' ELSE 'corrected' END AS reason FROM ad)
+SELECT b AS before, w AS word, a AS after, reason = 'corrected' AS changed, CASE WHEN reason = 'corrected' THEN alternative ELSE w END AS corrected, round(CASE WHEN alternative IS NOT NULL AND (ba > 0 OR aa > 0) THEN advantage END, 6) AS advantage, reason FROM r""")
+def realword_check(spark, sf_dir):
+    probes = talk(spark, sf_dir).select(F.coalesce("previous_word", F.lit("")).alias("before"), "word", F.coalesce("next_word", F.lit("")).alias("after"))
+    return confuse.check_real_words(probes, words_of(spark, sf_dir), bigrams_of(spark, sf_dir)).withColumn("advantage", F.round("advantage", 6))
+
+
+_USERS = ", users(word) AS (VALUES ('zzqx'), ('qwvz')), wt AS (SELECT greatest(25, max_freq // 1000) AS weight FROM stats), ok AS (SELECT word FROM words UNION SELECT word FROM users), good AS (SELECT * FROM talk WHERE word IN (SELECT word FROM ok))"
+
+
+def _users(spark):
+    return spark.createDataFrame([("zzqx",), ("QWVZ ",)], "word string")
+
+
+def _uses(spark, sf_dir):
+    return talk(spark, sf_dir).select("word", F.col("previous_word").alias("previous"))
+
+
+@query(CTE + _USERS + "SELECT previous_word AS first, word AS second, CAST(count(*) * any_value(weight) AS BIGINT) AS cnt FROM good CROSS JOIN wt WHERE previous_word IN (SELECT word FROM ok) GROUP BY 1, 2")
+def learn_deltas(spark, sf_dir):
+    return learn.learn_deltas(_uses(spark, sf_dir), words_of(spark, sf_dir), _users(spark))[1]
+
+
+@query(CTE + _USERS + "SELECT word, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT word, freq FROM words UNION ALL SELECT word, count(*) * any_value(weight) FROM good CROSS JOIN wt GROUP BY 1) GROUP BY 1")
+def learn_apply(spark, sf_dir):
+    words = words_of(spark, sf_dir)
+    return learn.apply_learned(words, learn.learn_deltas(_uses(spark, sf_dir), words, _users(spark))[0])
+
+
+@query(CTE + "SELECT word, freq FROM words UNION ALL SELECT word, 100 FROM (VALUES ('zzqx'), ('qwvz')) u(word) WHERE word NOT IN (SELECT word FROM words)")
+def user_words_merge(spark, sf_dir):
+    return learn.merge_user_words(words_of(spark, sf_dir), _users(spark))
+
+
+# Raw counts are the documents' words; words of conversations stand for the list of valid ones.
+_IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+_BUILD = f""", web AS (SELECT word, freq * 10 AS raw FROM words), valid AS (SELECT DISTINCT word FROM talk), mx AS (SELECT max(raw) AS biggest FROM web),
+sc AS (SELECT word, greatest(1, CAST(round_even(raw * (200000 / biggest::DOUBLE), 0) AS BIGINT)) AS freq FROM web CROSS JOIN mx WHERE (word IN (SELECT word FROM valid) OR word IN {_IN(C.MODERN + list(C.INFORMAL))}) AND word NOT IN {_IN(C.UNWANTED)}),
+kept AS (SELECT * FROM sc WHERE regexp_full_match(word, '[a-z]+(''[a-z]+)*') AND length(word) <= 20 AND CASE WHEN length(word) = 1 THEN word IN ('a', 'i') WHEN length(word) = 2 THEN word IN {_IN(C.TWO_LETTER)}
+  ELSE NOT regexp_full_match(word, '[ivx]{{2,}}') AND word NOT IN {_IN(C.BROKEN_CONTRACTIONS + C.DIALECT)} AND (length(word) <> 3 OR freq >= 10 OR word IN {_IN(C.MODERN + list(C.INFORMAL) + C.EVERYDAY_SHORT)}) END)"""
+
+
+def _kept(spark, sf_dir):
+    web = words_of(spark, sf_dir).select("word", (F.col("freq") * 10).alias("raw"))
+    return vocab_build.filter_vocabulary(web, talk(spark, sf_dir).select("word").distinct())
+
+
+@query(CTE + _BUILD + "SELECT * FROM kept")
+def vocab_filter(spark, sf_dir):
+    return _kept(spark, sf_dir)
+
+
+@query(CTE + _BUILD + """SELECT * FROM kept r WHERE NOT (freq <= 25 AND length(word) >= 5 AND EXISTS (SELECT 1 FROM kept o WHERE o.word <> r.word AND o.freq >= 50 * r.freq AND abs(length(o.word) - length(r.word)) <= 1
+  AND (levenshtein(o.word, r.word) = 1 OR (length(o.word) = length(r.word) AND levenshtein(o.word, r.word) = 2 AND damerau_levenshtein(o.word, r.word) = 1))))""")
+def drop_misspellings(spark, sf_dir):
+    return vocab_build.drop_misspellings(_kept(spark, sf_dir))
+
+
+@query(CTE + _BUILD + """, listed(bad, good) AS (SELECT a.word, b.word FROM kept a JOIN kept b ON b.word = left(a.word, length(a.word) - 2))
+SELECT * FROM kept WHERE word NOT IN (SELECT bad FROM listed JOIN kept k ON k.word = bad JOIN kept g ON g.word = good WHERE k.freq <= 25 AND g.freq >= 50 * k.freq)""")
+def drop_known_misspellings(spark, sf_dir):
+    words = _kept(spark, sf_dir)
+    listed = words.select(F.col("word").alias("bad"), F.left("word", F.length("word") - 2).alias("good")).join(words.select(F.col("word").alias("good")), "good").select("bad", "good")
+    return vocab_build.drop_known_misspellings(words, listed)
+
+
+@query(CTE + _BUILD + """, free AS (SELECT *, row_number() OVER (ORDER BY freq, word) AS r FROM kept WHERE left(word, 1) <> 't'), ex AS (SELECT greatest(0, count(*) - 500) AS n FROM kept)
+SELECT word, freq FROM kept WHERE word NOT IN (SELECT word FROM free CROSS JOIN ex WHERE r <= n)""")
+def trim_vocab(spark, sf_dir):
+    words = _kept(spark, sf_dir)
+    return vocab_build.trim(words, words.filter("left(word, 1) = 't'"), 500)
+
+
+@query(CTE + _BUILD + """, pr AS (SELECT first, second, cnt FROM bigrams WHERE first IN (SELECT word FROM kept) AND second IN (SELECT word FROM kept)), mp AS (SELECT max(cnt) AS biggest FROM pr)
+SELECT first, second, greatest(1, CAST(round_even(cnt * (200000 / biggest::DOUBLE), 0) AS BIGINT)) AS cnt FROM pr CROSS JOIN mp""")
+def pairs_semijoin_scaled(spark, sf_dir):
+    return vocab_build.scale_pairs(bigrams_of(spark, sf_dir).withColumnRenamed("cnt", "raw"), _kept(spark, sf_dir))
+
+
+def _inline(spark, schema, rows):
+    return spark.createDataFrame(rows, schema)
+
+
+@query("SELECT * FROM (VALUES ('teh', 'the', 'the'), ('Teh', 'the', 'The'), ('TEH', 'the', 'THE'), ('tEh', 'the', 'the'), ('T', 'the', 'The')) v(original, replacement, cased)")
+def match_capitalization(spark, sf_dir):
+    rows = _inline(spark, "original string, replacement string", [("teh", "the"), ("Teh", "the"), ("TEH", "the"), ("tEh", "the"), ("T", "the")])
+    return rows.withColumn("cased", X.match_capitalization(F.col("original"), F.col("replacement")))
+
+
+@query(CTE + """, p AS (SELECT DISTINCT previous_word AS typed, word AS wanted FROM talk WHERE previous_word IS NOT NULL),
+l AS (SELECT *, len(list_filter(range(1, least(length(typed), length(wanted)) + 1), lambda i: left(typed, i) = left(wanted, i))) AS n FROM p)
+SELECT typed, wanted, CAST(length(typed) - n AS INTEGER) AS backspaces, substr(wanted, n + 1) AS to_type FROM l""")
+def replacement_plan(spark, sf_dir):
+    rows = talk(spark, sf_dir).filter("previous_word is not null").select(F.col("previous_word").alias("typed"), F.col("word").alias("wanted")).distinct()
+    return rows.select("typed", "wanted", X.replacement_plan(F.col("typed"), F.col("wanted")).alias("p")).select("typed", "wanted", "p.*")
+
+
+@query(r"""WITH v(text, caret) AS (SELECT text, unnest([3, 40, 100]) FROM conversations), h AS (SELECT *, left(text, caret) AS head FROM v),
+w AS (SELECT *, regexp_extract(head, '[\p{L}'']*$') AS prefix FROM h), b AS (SELECT *, left(head, length(head) - length(prefix)) AS lead FROM w)
+SELECT text, caret, prefix, nullif(lower(regexp_extract(lead, '([\p{L}'']+)[^\p{L}''.?!]*$', 1)), '') AS previous, regexp_matches(lead, '(^|[.?!])\s*$') AS sentence_start FROM b""")
+def sentence_start(spark, sf_dir):
+    v = table(spark, sf_dir, "conversations").select("text", F.explode(F.array(F.lit(3), F.lit(40), F.lit(100))).alias("caret"))
+    t, c = F.col("text"), F.col("caret")
+    return v.select(t, c, X.current_prefix(t, c).alias("prefix"), X.previous_word(t, c).alias("previous"), X.is_sentence_start(t, X.current_word_start(t, c)).alias("sentence_start"))
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_matches(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), 'password|passcode|passphrase|sign in|signin|sign-in|log in|login|log-in|credential|authentication|authenticator|two factor|2fa|bitlocker|keychain|bitwarden|lastpass|keepass|dashlane|private browsing|incognito|seed phrase|recovery phrase') AS sensitive FROM pages")
+def sensitive_titles(spark, sf_dir):
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title")).withColumn("sensitive", rules.looks_sensitive(F.col("title")))
+
+
+@query("SELECT * FROM (VALUES ('Code.exe', true), (' DEVENV ', true), ('notepad', false), ('code.exe.exe', false), ('', false), ('cmd', true)) v(process, is_code)")
+def code_windows(spark, sf_dir):
+    return _inline(spark, "process string", [("Code.exe",), (" DEVENV ",), ("notepad",), ("code.exe.exe",), ("",), ("cmd",)]).withColumn("is_code", rules.is_code_window(F.col("process")))
+
+
+@query("SELECT * FROM (VALUES (true, false, 'Button', true), (false, false, 'Edit', false), (false, true, '', true), (false, true, 'SysListView32', false), (false, true, 'WindowsForms10.EDIT.app', true), (false, true, 'Strange', true)) v(has_caret, has_focus, control, takes_text)")
+def text_target(spark, sf_dir):
+    rows = _inline(spark, "has_caret boolean, has_focus boolean, control string", [(True, False, "Button"), (False, False, "Edit"), (False, True, ""), (False, True, "SysListView32"), (False, True, "WindowsForms10.EDIT.app"), (False, True, "Strange")])
+    return rows.withColumn("takes_text", rules.takes_text(*(F.col(c) for c in rows.columns)))
+
+
+@query("SELECT * FROM (VALUES ('wo', true, true, 'None'), ('w', true, true, 'TooFewLetters'), ('wo', true, false, 'WordStartUnknown'), ('wo', false, false, 'NotATextTarget')) v(prefix, target, start_known, refusal)")
+def suggestion_policy(spark, sf_dir):
+    rows = _inline(spark, "prefix string, target boolean, start_known boolean", [("wo", True, True), ("w", True, True), ("wo", True, False), ("wo", False, False)])
+    return rows.withColumn("refusal", rules.check_completions(*(F.col(c) for c in rows.columns)))
+
+
+@query("SELECT * FROM (VALUES ('say helo', 'helo', 10, true), ('helo', 'helo', 4, false), ('helo', 'helo', 5, true), ('xhelo', 'helo', 9, false), ('4helo', 'helo', 9, false), ('hel', 'helo', 9, false)) v(before, expected, requested, ok)")
+def caret_text(spark, sf_dir):
+    rows = _inline(spark, "before string, expected string, requested int", [("say helo", "helo", 10), ("helo", "helo", 4), ("helo", "helo", 5), ("xhelo", "helo", 9), ("4helo", "helo", 9), ("hel", "helo", 9)])
+    return rows.withColumn("ok", rules.confirms_word(*(F.col(c) for c in rows.columns)))
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, count(*) AS n_events, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY user_id, n""")
+def typing_sessions(spark, sf_dir):
+    return tracker.typing_sessions(table(spark, sf_dir, "events"), gap=3600.0)
+
+
+def key_events(spark, sf_dir):
+    """Conversations typed out: one user per message, one key per character."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("user_id"), F.posexplode(F.split("text", "")).alias("seq", "ch"))
+    return c.select("user_id", F.col("seq").cast("long"), F.timestamp_millis(F.col("seq") * 200).alias("ts"), F.lit("key").alias("kind"), "ch").filter("ch != ''")
+
+
+@query()
+def tracker_words(spark, sf_dir):
+    return tracker.track_batch(key_events(spark, sf_dir))
