@@ -5,10 +5,11 @@ element e puts j + r into the j-th place of its own permutation, so one step fil
 most documents stop after one or two steps. Bands of four slots are grouped; the number of bands follows from the similarity
 so that a pair at the threshold misses all of them with a probability below 1e-7.
 
-In a band group every member is compared with the smallest id (the hub). A group whose members are then not yet all in
-one component goes on with further hubs, four times as many each round and never twice the same, until nothing is left to
-compare, so no link is lost to a hub that does not resemble both of its members; groups that are whole stop at once.
-Comparisons are made on full shingle sets.
+In a band group every member is compared with the smallest id (the hub). Groups whose members are then all in one component are
+done. The others are joined to families; in a family, each member outside the largest component is compared with all members, as no
+other pair can still matter. That is done in blocks of bounded bytes with an index from shingles to members, and only links that
+join two components of a block leave it. So no link is lost to a hub that does not resemble both of its ends, and no pairs of a
+group are written out. Comparisons are made on full shingle sets.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks_by_bytes, stored, whole
@@ -124,6 +125,64 @@ def _verify(percent: int):
     return run
 
 
+FAMILY_MB, REST_MB = 24, 6
+
+
+def _links_in_block(percent: int):
+    """Links between the block's rest (members outside the family's largest component) and all its members, one a pair of components."""
+
+    def run(key, table):
+        ids, labels, rest = (table.column(c).to_numpy() for c in ("node", "label", "rest"))
+        sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in table.column("shingles")]
+        every = np.flatnonzero(~rest)
+        sizes = np.array([len(sets[i]) for i in every], np.int64)
+        flat, owner = (np.concatenate([sets[i] for i in every]) if len(every) else np.zeros(0, np.uint64)), np.repeat(np.arange(len(every)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner, out = flat[order], owner[order], []
+        root = {x: x for x in labels.tolist()}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for r in np.flatnonzero(rest).tolist():
+            lo, hi = np.searchsorted(flat, sets[r]), np.searchsorted(flat, sets[r], "right")
+            many = hi - lo
+            at = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            both = np.bincount(owner[at], minlength=len(every))
+            for m in every[100 * both >= percent * (len(sets[r]) + sizes - both)].tolist():
+                a, b = find(int(labels[r])), find(int(labels[m]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(ids[r]), int(ids[m])))
+        return pa.table({"node": pa.array([max(x) for x in out], pa.int64()), "other": pa.array([min(x) for x in out], pa.int64())})
+
+    return run
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
+def _rest_of_families(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that hubs have not shown, from the band groups (key, node) that are not yet in one component."""
+    open_ = _labelled(members, labels).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("node").alias("hub"))
+    open_ = open_.filter("lo < hi and n > 2").select("key", "hub")  # the one pair of a group of two has been compared
+    families = connected_components(members.join(open_, "key").select("node", F.col("hub").alias("other")))
+    named = stored(_labelled(families.withColumnRenamed("component", "family"), labels), "families")
+    largest = named.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
+    rows = named.join(largest, "family").join(sets, "node").withColumn("rest", F.col("label") != F.col("main"))
+    mb = F.octet_length("shingles") / 1e6
+    blocks = rows.groupBy("family").agg(F.ceil(F.sum(mb) / FAMILY_MB).cast("int").alias("n_all"), F.ceil(F.sum(F.when(F.col("rest"), mb)) / REST_MB).cast("int").alias("n_rest"))
+    rows = rows.join(blocks.filter("n_rest > 0"), "family")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = rows.select("family", "node", "label", "shingles", F.lit(False).alias("rest"), mine("n_all").alias("a"), every("n_rest").alias("b"))
+    rest = rows.filter("rest").select("family", "node", "label", "shingles", "rest", every("n_all").alias("a"), mine("n_rest").alias("b"))
+    return side.unionByName(rest).groupBy("family", "a", "b").applyInArrow(_links_in_block(percent), "node long, other long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links) and kept (it is that smallest id).
 
@@ -131,7 +190,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     words is one shingle; without words or null it has none and links with nothing. Ids are unique; rows that repeat an id share
     one result each; a null id gets a null component and is kept. An empty table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
     part = docs.select(F.col(id_col).cast("long").alias("__lf_id"), F.col(text_col).alias("__lf_text"))
     bands = bands_for(percent)
     feats = stored(part.mapInArrow(_features("__lf_id", "__lf_text", shingle, bands), FEATURES), "features")
@@ -140,35 +198,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     nodes = usable.join(reps.select(F.col("rep").alias("__lf_id")).distinct(), "__lf_id", "left_semi").dropDuplicates(["__lf_id"])
     keyed = nodes.select(F.explode("bands").alias("key"), F.col("__lf_id").alias("node"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    pending = stored(keyed.join(shared, "key").select("key", "node", F.col("node").alias("label")), "bands")
-    chosen = part.join(pending.select(F.col("node").alias("__lf_id")).distinct(), "__lf_id", "left_semi")
+    members = stored(keyed.join(shared, "key").select("key", "node"), "bands")
+    chosen = part.join(members.select(F.col("node").alias("__lf_id")).distinct(), "__lf_id", "left_semi")
     sets = stored(chosen.mapInArrow(_sets("__lf_id", "__lf_text", shingle), "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
-    links = spark.createDataFrame([], "node long, other long")
-    labels, hubs = None, 1
-    while True:
-        state = pending.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("hub")).filter("lo < hi")
-        if hubs == 1:
-            chosen_hubs = state.select("key", "hub").join(pending.select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label")), ["key", "hub"])
-            live = pending.join(state.select("key"), "key", "left_semi")
-        else:  # hubs of the components that are not the group's first, as these are the fewer
-            live = stored(pending.join(state.select("key", "lo"), "key"), "live")
-            rank = Window.partitionBy("key").orderBy("node")
-            chosen_hubs = live.filter("label != lo").withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= hubs).select("key", F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-            live = live.drop("lo")
-        pairs = live.join(chosen_hubs, "key").filter("label != hub_label").select(F.greatest("node", "hub").alias("node"), F.least("node", "hub").alias("other")).distinct()
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        full = pairs.join(sets.select("node", F.col("shingles").alias("a_set")), "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("b_set")), "other")
-        new = stored(full.mapInArrow(_verify(percent), "node long, other long"), "verified")
-        links = links.union(new)
-        labels = connected_components(links if labels is None else labels.select("node", F.col("component").alias("other")).union(new))
-        left = live.join(chosen_hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti").drop("label")
-        left = left.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        pending, hubs = stored(left, "bands"), hubs * 4
-    of_rep = reps if labels is None else reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    of_rep = of_rep.select("set_print", F.coalesce(F.lit(None).cast("long") if labels is None else F.col("component"), "rep").alias("component"))
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    pairs = members.join(hubs, "key").filter("node != hub").select("node", F.col("hub").alias("other")).distinct()
+    full = pairs.join(sets.select("node", F.col("shingles").alias("a_set")), "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("b_set")), "other")
+    shown = stored(full.mapInArrow(_verify(percent), "node long, other long"), "verified")
+    labels = stored(connected_components(shown), "labels")
+    more = _rest_of_families(members, labels, sets, percent)
+    labels = connected_components(labels.select("node", F.col("component").alias("other")).union(more))
+    of_rep = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_print", F.coalesce("component", "rep").alias("component"))
     linked = usable.join(of_rep, "set_print").select("__lf_id", "n_shingles", F.col("component").alias("component_id"))
     alone = feats.filter("n_shingles = 0 or __lf_id is null").select("__lf_id", "n_shingles", F.col("__lf_id").alias("component_id"))
     kept = F.coalesce(F.col("__lf_id") == F.col("component_id"), F.lit(True))
