@@ -89,6 +89,7 @@ def autocorrect(probes: DataFrame, words: DataFrame, bigrams: DataFrame | None =
 
 def score_cases(cases: DataFrame, decisions: DataFrame) -> DataFrame:
     """Counts of a golden set (typed, previous, expected): right, wrong, missed fixes and kept words."""
-    joined = cases.join(decisions.select("typed", F.col("previous").alias("__p"), "corrected"), (cases["typed"] == decisions["typed"]) & cases["previous"].eqNullSafe(F.col("__p"))).select(cases["typed"], "expected", "corrected")
+    made = decisions.select(F.col("typed").alias("__t"), F.col("previous").alias("__p"), "corrected")
+    joined = cases.join(made, (F.col("typed") == F.col("__t")) & F.col("previous").eqNullSafe(F.col("__p")))
     typo, changed, right = F.col("typed") != F.col("expected"), F.col("corrected") != F.col("typed"), F.col("corrected") == F.col("expected")
     return joined.agg(F.count_if(typo & right).alias("right"), F.count_if(changed & ~right).alias("wrong"), F.count_if(typo & ~changed).alias("missed"), F.count_if(~typo & ~changed).alias("kept"))

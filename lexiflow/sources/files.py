@@ -82,10 +82,23 @@ def write_bigrams(bigrams: DataFrame, path: str) -> None:
     bigrams.orderBy(F.desc("cnt"), "first", "second").select(F.concat_ws(" ", "first", "second", "cnt").alias("value")).write.mode("overwrite").text(path)
 
 
+def _decode(raw: bytes) -> str:
+    for name in ("utf-8", "cp1252"):
+        try:
+            return raw.decode(name)
+        except UnicodeDecodeError:
+            pass
+    return raw.decode("latin-1")
+
+
 def read_decoded(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole files: UTF-8 where that is valid, else Windows-1252."""
-    raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", F.lit("UTF-8"))).otherwise(F.decode("content", F.lit("windows-1252"))).alias("text"))
+    """(path, text) of whole files: UTF-8 where that is valid, else Windows-1252, else Latin-1."""
+
+    def run(frames):
+        for frame in frames:
+            yield frame[["path"]].assign(text=[_decode(c) for c in frame["content"]])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
 
 
 def read_valid_words(spark: SparkSession, path: str) -> DataFrame:
