@@ -5,19 +5,37 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import regex
 
 #: Byte-level BPE: an optional single space and a run without ASCII white space; white space runs leave their last character to what follows.
 _BYTE_PIECES = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 #: White space outside ASCII, which the byte-level pattern may join with ASCII white space.
 _WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
-MOST_PIECES = 300_000
+#: The tokenizers' own splits inside a piece, for characters below U+0130 (whose classes and cases are settled).
+_INSIDE = {
+    "word": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
+    "byte": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
+}
+_SETTLED = re.compile("[\x00-\u012f]*")
+MOST_PIECES = 500_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models use for each byte: printable ones stand for themselves, the others follow from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class PieceEncoder:
     """Encodes texts to ids exactly as Tokenizer.encode(text, add_special_tokens=False) does.
 
-    kind "word" is for tokenizers that drop white space, "byte" for byte-level ones. Texts that hold an added token's string, or for
-    "byte" white space outside ASCII, are encoded whole by the library. The table of pieces is emptied when it reaches MOST_PIECES.
+    kind "word" is for the word tokenizer (lower case, white space dropped), "byte" for the byte-level one. A piece is split as the tokenizer
+    does and each part goes to its merge model once; pieces with characters from U+0130 on go through the whole library. Texts that hold an added token's string, or for
+    "byte" white space outside ASCII, are encoded whole by the library. The tables of pieces and parts are emptied when they reach MOST_PIECES.
     """
 
     def __init__(self, path: str, kind: str):
@@ -25,11 +43,12 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = kind
+        self.kind, self.model = kind, self.tokenizer.model
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(MOST_PIECES * 2, np.int64)
@@ -38,20 +57,43 @@ class PieceEncoder:
     def _learn(self, pieces: list[bytes]) -> None:
         if len(self.index) + len(pieces) > len(self.starts):
             self.starts, self.lengths = (np.concatenate((x, np.zeros(len(x) + len(pieces), np.int64))) for x in (self.starts, self.lengths))
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
-            for piece, code in zip(part, self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False), strict=True):
-                got, at = code.ids, len(self.index)
-                if self.used + len(got) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(got), np.uint32)))
-                self.ids[self.used : self.used + len(got)] = got
-                self.starts[at], self.lengths[at] = self.used, len(got)
-                self.index[piece] = at
-                self.used += len(got)
+        flat: list[int] = []
+        ends, parts, model, word = [], self.parts, self.model.tokenize, self.kind == "word"
+        for piece in pieces:
+            if piece.isalpha() if word else piece[1:].isalpha() and piece[0] == 0x20:  # ASCII letters: one part
+                part = piece.decode().lower() if word else "\u0120" + piece[1:].decode()
+                got = parts.get(part)
+                if got is None:
+                    got = parts[part] = [t.id for t in model(part)]
+                flat += got
+            else:
+                flat += self._ids(piece)
+            ends.append(len(flat))
+        at, n = len(self.index), len(pieces)
+        cuts = np.array([0, *ends], np.int64)
+        self.starts[at : at + n], self.lengths[at : at + n] = cuts[:-1] + self.used, np.diff(cuts)
+        if self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(flat), np.uint32)))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        self.index.update(zip(pieces, range(at, at + n), strict=True))
+
+    def _ids(self, piece: bytes) -> list[int]:
+        text = piece.decode()
+        if not _SETTLED.fullmatch(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        out: list[int] = []
+        for part in _INSIDE[self.kind].findall(text.lower() if self.kind == "word" else text):
+            mapped = part.encode().decode("latin-1").translate(_LETTERS)
+            got = self.parts.get(mapped)
+            if got is None:
+                got = self.parts[mapped] = [t.id for t in self.model.tokenize(mapped)]
+            out += got
+        return out
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, each followed by `end`, and where each begins (one more entry at the end)."""
-        if len(self.index) > MOST_PIECES:
+        if max(len(self.index), len(self.parts)) > MOST_PIECES:
             self._clear()
         pieces: list[bytes] = []
         counts, special = [], {}
@@ -65,7 +107,7 @@ class PieceEncoder:
             pieces += got
             counts.append(len(got))
         if new := set(pieces).difference(self.index):
-            self._learn(sorted(new))
+            self._learn(list(new))
         which = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)
