@@ -17,7 +17,9 @@ _INSIDE = {
     "byte": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
 }
 _SETTLED = re.compile("[\x00-\u012f]*")
-MOST_PIECES = 500_000
+#: An ASCII word with marks behind it, which every tokenizer here splits in two.
+_MARKED = re.compile(rb"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+MOST_PIECES = 700_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -66,6 +68,14 @@ class PieceEncoder:
                 if got is None:
                     got = parts[part] = [t.id for t in model(part)]
                 flat += got
+            elif found := _MARKED.fullmatch(piece):
+                head, tail = found[1].decode(), found[2].decode()
+                head = head.lower() if word else head.replace(" ", "\u0120")
+                for part in (head, tail):
+                    got = parts.get(part)
+                    if got is None:
+                        got = parts[part] = [t.id for t in model(part)]
+                    flat += got
             else:
                 flat += self._ids(piece)
             ends.append(len(flat))
