@@ -202,7 +202,7 @@ def _remove(plan: _Plan, id_col: str, text: str, carry: list[str], schema: pa.Sc
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), bucket_mb: float = 8.0) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), bucket_mb: float = 4.0) -> DataFrame:
     """Removes words covered by a window of `window` words that also starts in a document with a smaller id.
 
     Words are runs without ASCII white space, unchanged; windows are judged on the input. One row per input row: id, the carried

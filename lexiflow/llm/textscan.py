@@ -21,7 +21,7 @@ SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_SEGMENT = 1 << 20
+_SEGMENT = 1 << 18
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -78,7 +78,7 @@ class Hasher:
         return (total + U(len(data) * _ODD % 2**64))[0]
 
     def runs(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
-        """Hashes of the runs words[start : start + length]; no run may be longer than 2**19 words."""
+        """Hashes of the runs words[start : start + length]; no run may be longer than 2**17 words."""
         out = np.empty(len(starts), np.uint64)
         lengths = np.broadcast_to(np.asarray(lengths, np.int64), starts.shape)
         at, half = 0, _SEGMENT // 2
