@@ -2,12 +2,57 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def bounded_batches(spark: SparkSession, limit: str = "8m") -> None:
+    """Arrow batches of at most about `limit`, unless the session says otherwise: 10,000 rows of long texts are too much to hold in a task."""
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, limit)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker serves many tasks, and must not hold what an earlier one needed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def frugal(run):
+    """A function for mapInArrow that gives memory back at the end of its task."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def frugal_group(run):
+    """The same for a function of applyInArrow, which counts its arguments: after each group."""
+
+    def after(*args):
+        try:
+            return run(*args)
+        finally:
+            give_back()
+
+    if run.__code__.co_argcount == 3:
+        return lambda key, left, right: after(key, left, right)
+    return lambda key, table: after(key, table)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one made here if it is unset (tests)."""

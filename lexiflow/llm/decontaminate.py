@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_bytes
+from .common import bounded_batches, chunks_by_bytes, frugal
 from .textscan import ALNUM, U, covered, hasher, scan
 
 MATCH = "array<struct<item_id:long,item_start:long,doc_start:long,length:long>>"
@@ -198,6 +198,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     window; one without words or with a null id or text matches nothing. Null and empty documents have no words. An empty benchmark hits nothing.
     Items up to `block_mb` of text are held by every task; more are searched in several passes of that size each.
     """
+    bounded_batches(docs.sparkSession)
     part = docs.select(F.col(id_col).cast("long").alias("__lf_id"), F.col(text_col).alias("__lf_text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("t")).filter("id is not null and t is not null")
     total = (tests.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0) / 1e6
@@ -206,7 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
     for b in range(blocks):
         rows = tests.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
         items = docs.sparkSession.sparkContext.broadcast(Items.of([r["id"] for r in rows], [r["t"] for r in rows]))
-        passes.append(part.mapInArrow(_search("__lf_id", "__lf_text", items, window), FOUND))
+        passes.append(part.mapInArrow(frugal(_search("__lf_id", "__lf_text", items, window)), FOUND))
     found = passes[0]
     if blocks > 1:
         for p in passes[1:]:

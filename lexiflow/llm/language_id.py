@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import bounded_batches, frugal, whole
 
 _LETTER = re.compile("[A-Za-z]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -104,6 +104,7 @@ def identify_language(docs: DataFrame, model: CompressionClassifier, text_col: s
 
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
     names = {f.name for f in made}
+    bounded_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name not in names]
     shape = T.StructType(kept + made)
-    return docs.mapInArrow(_judge(model, text_col, [f.name for f in kept], to_arrow_schema(shape)), shape)
+    return docs.mapInArrow(frugal(_judge(model, text_col, [f.name for f in kept], to_arrow_schema(shape))), shape)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks_by_bytes, stored, whole
+from .common import bounded_batches, chunks_by_bytes, frugal, stored, whole
 from .components import connected_components
 from .textscan import SPACED, U, hasher, mix, scan
 
@@ -190,9 +190,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     words is one shingle; without words or null it has none and links with nothing. Ids are unique; rows that repeat an id share
     one result each; a null id gets a null component and is kept. An empty table gives no rows. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     part = docs.select(F.col(id_col).cast("long").alias("__lf_id"), F.col(text_col).alias("__lf_text"))
     bands = bands_for(percent)
-    feats = stored(part.mapInArrow(_features("__lf_id", "__lf_text", shingle, bands), FEATURES), "features")
+    feats = stored(part.mapInArrow(frugal(_features("__lf_id", "__lf_text", shingle, bands)), FEATURES), "features")
     usable = feats.filter("n_shingles > 0 and __lf_id is not null")
     reps = usable.groupBy("set_print").agg(F.min("__lf_id").alias("rep"))
     nodes = usable.join(reps.select(F.col("rep").alias("__lf_id")).distinct(), "__lf_id", "left_semi").dropDuplicates(["__lf_id"])
@@ -200,12 +201,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = stored(keyed.join(shared, "key").select("key", "node"), "bands")
     chosen = part.join(members.select(F.col("node").alias("__lf_id")).distinct(), "__lf_id", "left_semi")
-    sets = stored(chosen.mapInArrow(_sets("__lf_id", "__lf_text", shingle), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = stored(chosen.mapInArrow(frugal(_sets("__lf_id", "__lf_text", shingle)), "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     pairs = members.join(hubs, "key").filter("node != hub").select("node", F.col("hub").alias("other")).distinct()
     full = pairs.join(sets.select("node", F.col("shingles").alias("a_set")), "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("b_set")), "other")
-    shown = stored(full.mapInArrow(_verify(percent), "node long, other long"), "verified")
+    shown = stored(full.mapInArrow(frugal(_verify(percent)), "node long, other long"), "verified")
     labels = stored(connected_components(shown), "labels")
     more = _rest_of_families(members, labels, sets, percent)
     labels = connected_components(labels.select("node", F.col("component").alias("other")).union(more))

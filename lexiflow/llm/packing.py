@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_by_bytes, stored
+from .common import bounded_batches, chunks_by_bytes, frugal, stored
 from .tokens import encoder
 
 STORED = "doc_id long, part long, place long, doc_tokens long, ids binary"
@@ -25,7 +25,7 @@ def _tokenise(path: str, kind: str, end: int):
         part, place = TaskContext.get().partitionId(), 0
         code = encoder(path, kind)
         small = "<u2" if code.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
-        for batch in chunks_by_bytes(batches, "text"):
+        for batch in chunks_by_bytes(batches, "text", 1 << 20):
             ids, first = code.encode(batch.column("text").to_pylist(), end)
             blob = ids.astype(small)
             offsets = pa.array(first * blob.itemsize, pa.int32()).buffers()[1]
@@ -70,10 +70,11 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 1, leng
     """
     if length < 1:
         raise ValueError("length must be positive")
+    bounded_batches(docs.sparkSession)
     part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = stored(part.mapInArrow(_tokenise(tokenizer, kind, end), STORED), "tokens")
+    kept = stored(part.mapInArrow(frugal(_tokenise(tokenizer, kind, end)), STORED), "tokens")
     totals = kept.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))  # as many rows as partitions
     line = kept.join(F.broadcast(bases), "part").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("place")).alias("line"))
-    return line.mapInArrow(_cut(length), PIECES)
+    return line.mapInArrow(frugal(_cut(length)), PIECES)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_megabytes, whole
+from .common import bounded_batches, frugal_group, text_megabytes, whole
 from .textscan import SPACED, U, covered, hasher, scan, window_starts
 
 BUCKET, SHARD, KIND, BLOB = "__lf_bucket", "__lf_shard", "__lf_kind", "__lf_blob"
@@ -214,15 +214,16 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     taken = {f.name for f in results}
     extra = [c for c in dict.fromkeys(carry) if c not in taken | {id_col}]
     fields = [c for c in dict.fromkeys([id_col, text_col, *extra])]
+    bounded_batches(docs.sparkSession)
     plan = _Plan(window, text_megabytes(docs, text_col), bucket_mb)
     dealt = docs.select(*fields).withColumn(BUCKET, F.pmod(F.xxhash64(F.col(id_col)), F.lit(plan.buckets))).repartition(plan.buckets, BUCKET)
     shape = T.StructType([f for f in docs.select(id_col, *extra).schema] + results)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     of_bucket = dealt.groupBy(BUCKET)
-    sketches = of_bucket.applyInArrow(_sketch(plan, text_col), MESSAGE)
-    flags = sketches.groupBy(SHARD).applyInArrow(_merge(plan), MESSAGE)
-    asked = of_bucket.cogroup(flags.groupBy(BUCKET)).applyInArrow(_ask(plan, id_col, text_col), MESSAGE)
-    known = asked.groupBy(SHARD).applyInArrow(_group, MESSAGE)
+    sketches = of_bucket.applyInArrow(frugal_group(_sketch(plan, text_col)), MESSAGE)
+    flags = sketches.groupBy(SHARD).applyInArrow(frugal_group(_merge(plan)), MESSAGE)
+    asked = of_bucket.cogroup(flags.groupBy(BUCKET)).applyInArrow(frugal_group(_ask(plan, id_col, text_col)), MESSAGE)
+    known = asked.groupBy(SHARD).applyInArrow(frugal_group(_group), MESSAGE)
     answers = flags.unionByName(known)
-    return of_bucket.cogroup(answers.groupBy(BUCKET)).applyInArrow(_remove(plan, id_col, text_col, extra, to_arrow_schema(shape)), shape)
+    return of_bucket.cogroup(answers.groupBy(BUCKET)).applyInArrow(frugal_group(_remove(plan, id_col, text_col, extra, to_arrow_schema(shape))), shape)

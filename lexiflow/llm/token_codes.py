@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_by_bytes, stored, text_megabytes
+from .common import bounded_batches, chunks_by_bytes, frugal, stored, text_megabytes
 from .tokens import encoder
 
 MAGIC = b"LXDAC\x01\x00\x00"
@@ -98,7 +98,7 @@ def _write(path: str, kind: str, end: int, file_tokens: int):
             docs, ids, starts, n, piece = [], [], [], 0, piece + 1
             return pa.record_batch([pa.array(x, t) for x, t in zip(row, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], names=["part", "piece", "n_docs", "n_tokens", "data"])
 
-        for batch in chunks_by_bytes(batches, "text"):
+        for batch in chunks_by_bytes(batches, "text", 1 << 20):
             got, first = code.encode(batch.column("text").to_pylist(), end)
             docs.append(batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
             starts.append(first[:-1] + n)
@@ -119,10 +119,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end:
     A null or empty text gives just the end id; repeated ids follow each other; an empty table gives no file. A file closes at
     the first batch of documents that reaches `file_tokens`. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = max(2, int(-(-text_megabytes(docs, text_col) // partition_mb)))
     ordered = part.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return stored(ordered.mapInArrow(_write(tokenizer, kind, end, file_tokens), FILES), "token-files")
+    return stored(ordered.mapInArrow(frugal(_write(tokenizer, kind, end, file_tokens)), FILES), "token-files")
 
 
 def _read(batches):
@@ -142,7 +143,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
     """Per document, decoded from the files: doc_id, place (ids of all documents before it), n_tokens, ids (little-endian 32-bit)."""
     before = F.sum("n_tokens").over(Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1))
     bases = files.select("part", "piece", F.coalesce(before, F.lit(0)).alias("base"))  # one row a file
-    return files.join(F.broadcast(bases), ["part", "piece"]).select("base", "data").mapInArrow(_read, READ)
+    return files.join(F.broadcast(bases), ["part", "piece"]).select("base", "data").mapInArrow(frugal(_read), READ)
 
 
 def export(file_row, path: str) -> None:
