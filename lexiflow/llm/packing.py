@@ -36,6 +36,14 @@ def _tokenise(path: str, kind: str, end: int):
     return run
 
 
+def tokenised(docs: DataFrame, tokenizer: str, kind: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Stores the ids of each document, followed by `end`: doc_id, part and place (ids before it in its part), doc_tokens, ids (little-endian,
+    16 bits each if all fit, else 32)."""
+    bounded_batches(docs.sparkSession)
+    part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return stored(part.mapInArrow(frugal(_tokenise(tokenizer, kind, end)), STORED), "tokens")
+
+
 def _cut(length: int):
     def run(batches):
         for batch in batches:
@@ -70,9 +78,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 1, leng
     """
     if length < 1:
         raise ValueError("length must be positive")
-    bounded_batches(docs.sparkSession)
-    part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = stored(part.mapInArrow(frugal(_tokenise(tokenizer, kind, end)), STORED), "tokens")
+    kept = tokenised(docs, tokenizer, kind, end, id_col, text_col)
     totals = kept.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))  # as many rows as partitions

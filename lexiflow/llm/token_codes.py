@@ -11,7 +11,6 @@ a Parquet table in the shared folder, in ascending doc_id order over all files;
 from __future__ import annotations
 
 import struct
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks_by_bytes, frugal, stored, text_megabytes
-from .tokens import encoder
+from .common import chunks_by_bytes, frugal, stored
+from .packing import tokenised
 
 MAGIC = b"LXDAC\x01\x00\x00"
 BLOCK = 512
@@ -30,16 +29,16 @@ READ = "doc_id long, place long, n_tokens long, ids binary"
 
 def encode_file(ids: np.ndarray, doc_ids: np.ndarray, first: np.ndarray) -> bytes:
     """One file's bytes. first: where each document begins, and the end; doc_ids may hold the smallest 64-bit number for null."""
-    levels, rest = [], ids.astype(np.uint64)
+    levels, rest = [], ids.astype(np.uint32)
     while True:
-        low, more = (rest & np.uint64(0xFF)).astype(np.uint8), rest > 0xFF
+        low, more = (rest & np.uint32(0xFF)).astype(np.uint8), rest > 0xFF
         bitmap = np.packbits(more, bitorder="little")
         counts = np.add.reduceat(more, np.arange(0, len(more), BLOCK)).astype(np.uint32) if len(more) else np.zeros(0, np.uint32)
         ranks = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.uint32) if len(counts) else counts
         levels.append((low.tobytes(), bitmap.tobytes(), ranks.astype("<u4").tobytes()))
         if not more.any():
             break
-        rest = rest[more] >> np.uint64(8)
+        rest = rest[more] >> np.uint32(8)
     head = MAGIC + struct.pack("<QQQ", len(doc_ids), len(ids), len(levels))
     body = b"".join(struct.pack("<QQQ", *map(len, parts)) + b"".join(parts) for parts in levels)
     return head + body + doc_ids.astype("<i8").tobytes() + first.astype("<i8").tobytes()
@@ -86,9 +85,9 @@ class TokenFile:
         return out if out is not None else np.zeros(0, np.uint32)
 
 
-def _write(path: str, kind: str, end: int, file_tokens: int):
+def _write(file_tokens: int):
     def run(batches):
-        part, piece, code = TaskContext.get().partitionId(), 0, encoder(path, kind)
+        part, piece = TaskContext.get().partitionId(), 0
         docs, ids, starts, n = [], [], [], 0
 
         def flush():
@@ -98,12 +97,13 @@ def _write(path: str, kind: str, end: int, file_tokens: int):
             docs, ids, starts, n, piece = [], [], [], 0, piece + 1
             return pa.record_batch([pa.array(x, t) for x, t in zip(row, (pa.int64(),) * 4 + (pa.binary(),), strict=True)], names=["part", "piece", "n_docs", "n_tokens", "data"])
 
-        for batch in chunks_by_bytes(batches, "text", 1 << 20):
-            got, first = code.encode(batch.column("text").to_pylist(), end)
+        for batch in chunks_by_bytes(batches, "ids", 1 << 20):
+            sizes = batch.column("doc_tokens").to_numpy()
+            data, total = b"".join(batch.column("ids").to_pylist()), int(sizes.sum())
             docs.append(batch.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False))
-            starts.append(first[:-1] + n)
-            ids.append(got)
-            n += len(got)
+            starts.append(np.cumsum(sizes) - sizes + n)
+            ids.append(np.frombuffer(data, "<u2" if len(data) == 2 * total else "<u4"))
+            n += total
             if n >= file_tokens:
                 yield flush()
         if docs:
@@ -112,18 +112,17 @@ def _write(path: str, kind: str, end: int, file_tokens: int):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 4_000_000, partition_mb: float = 16.0) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, kind: str = "byte", end: int = 2, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 4_000_000, partition_tokens: int = 16_000_000) -> DataFrame:
     """Writes the ids of all documents, each followed by `end`, in ascending id order (nulls first) and returns the table of files:
     part and piece (ascending with the ids), n_docs, n_tokens, data.
 
     A null or empty text gives just the end id; repeated ids follow each other; an empty table gives no file. A file closes at
-    the first batch of documents that reaches `file_tokens`. Other columns are ignored.
+    the first batch of documents that reaches `file_tokens`. Other columns are ignored. Texts are encoded where they lie; only ids are shuffled.
     """
-    bounded_batches(docs.sparkSession)
-    part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = max(2, int(-(-text_megabytes(docs, text_col) // partition_mb)))
-    ordered = part.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    return stored(ordered.mapInArrow(frugal(_write(tokenizer, kind, end, file_tokens)), FILES), "token-files")
+    kept = tokenised(docs, tokenizer, kind, end, id_col, text_col).select("doc_id", "doc_tokens", "ids")
+    total = kept.agg(F.sum("doc_tokens").alias("n")).first()["n"] or 0
+    ordered = kept.repartitionByRange(max(2, -(-total // partition_tokens)), "doc_id").sortWithinPartitions("doc_id")
+    return stored(ordered.mapInArrow(frugal(_write(file_tokens)), FILES), "token-files")
 
 
 def _read(batches):
@@ -135,7 +134,8 @@ def _read(batches):
                 b = min(a + 4096, file.n_docs)
                 cut = first[a : b + 1]
                 names = file.doc_ids[a:b]
-                blobs = pa.array([ids[x:y].tobytes() for x, y in pairwise(cut.tolist())], pa.binary())
+                ends = pa.array((cut - cut[0]) * 4, pa.int32()).buffers()[1]
+                blobs = pa.BinaryArray.from_buffers(pa.binary(), b - a, [None, ends, pa.py_buffer(ids[cut[0] : cut[-1]])])
                 yield pa.record_batch([pa.array(names, pa.int64(), mask=names == np.iinfo(np.int64).min), pa.array(cut[:-1] + base), pa.array(np.diff(cut)), blobs], names=["doc_id", "place", "n_tokens", "ids"])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from codecs import charmap_decode
 
 import numpy as np
 import regex
@@ -16,9 +17,9 @@ _INSIDE = {
     "word": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
     "byte": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
 }
-_SETTLED = re.compile("[\x00-\u012f]*")
-#: An ASCII word with marks behind it, which every tokenizer here splits in two.
-_MARKED = re.compile(rb"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]+)")
+#: ASCII marks which, behind a word, every tokenizer here splits off as one part.
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'")
+_FIRST_UNSETTLED = "\u0130"
 MOST_PIECES = 300_000
 
 
@@ -29,15 +30,46 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-_LETTERS = _byte_letters()
+_LETTERS = "".join(letter for _, letter in sorted(_byte_letters().items()))
+
+
+def _mapped(data: bytes) -> str:
+    return charmap_decode(data, "strict", _LETTERS)[0]
+
+
+class _Parts(dict):
+    """The ids of each part, from the merge model when first asked for."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, part: str) -> list[int]:
+        got = self[part] = [t.id for t in self.model.tokenize(part)]
+        return got
+
+
+class _Numbers(dict):
+    """Numbers keys in the order they are first asked for; `fresh` holds those whose ids are still to be learned."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        got = self[key] = len(self)
+        self.fresh.append(key)
+        return got
 
 
 class PieceEncoder:
     """Encodes texts to ids exactly as Tokenizer.encode(text, add_special_tokens=False) does.
 
-    kind "word" is for the word tokenizer (lower case, white space dropped), "byte" for the byte-level one. A piece is split as the tokenizer
-    does and each part goes to its merge model once; pieces with characters from U+0130 on go through the whole library. Texts that hold an added token's string, or for
-    "byte" white space outside ASCII, are encoded whole by the library. The tables of pieces and parts are emptied when they reach MOST_PIECES.
+    kind "word" is for the word tokenizer (lower case, white space dropped), "byte" for the byte-level one. A text is cut into keys, each
+    key is split as the tokenizer does, and each part goes to its merge model once; keys with characters from U+0130 on go through the whole
+    library. A key of "byte" is a piece without its leading space, or a space and a piece that has none, or a line break and the piece
+    behind it. Texts that hold an added token's string, or for "byte" white space outside ASCII, are encoded whole by the library. The
+    tables of keys and parts are emptied when they reach MOST_PIECES.
     """
 
     def __init__(self, path: str, kind: str):
@@ -49,63 +81,71 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.index = _Numbers()
+        self.parts = _Parts(self.model)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.zeros(MOST_PIECES * 2, np.int64)
         self.lengths = np.zeros(MOST_PIECES * 2, np.int64)
 
-    def _learn(self, pieces: list[bytes]) -> None:
-        if len(self.index) + len(pieces) > len(self.starts):
-            self.starts, self.lengths = (np.concatenate((x, np.zeros(len(x) + len(pieces), np.int64))) for x in (self.starts, self.lengths))
+    def _learn(self, keys: list[bytes]) -> None:
+        n, word, parts = len(keys), self.kind == "word", self.parts
+        at = len(self.index) - n
+        if at + n > len(self.starts):
+            self.starts, self.lengths = (np.concatenate((x, np.zeros(len(x) + n, np.int64))) for x in (self.starts, self.lengths))
         flat: list[int] = []
-        ends, parts, model, word = [], self.parts, self.model.tokenize, self.kind == "word"
-        for piece in pieces:
-            if piece.isalpha() if word else piece[1:].isalpha() and piece[0] == 0x20:  # ASCII letters: one part
-                part = piece.decode().lower() if word else "\u0120" + piece[1:].decode()
-                got = parts.get(part)
-                if got is None:
-                    got = parts[part] = [t.id for t in model(part)]
-                flat += got
-            elif found := _MARKED.fullmatch(piece):
-                head, tail = found[1].decode(), found[2].decode()
-                head = head.lower() if word else head.replace(" ", "\u0120")
-                for part in (head, tail):
-                    got = parts.get(part)
-                    if got is None:
-                        got = parts[part] = [t.id for t in model(part)]
-                    flat += got
+        ends = []
+        for key in keys:
+            head = key.rstrip(_MARKS)
+            if head.isalpha():  # ASCII letters
+                flat += parts[head.decode().lower() if word else "\u0120" + head.decode()]
+                if len(head) < len(key):
+                    flat += parts[key[len(head) :].decode()]
+            elif word:
+                flat += self._ids(key)
+            elif key[0] == 0x20:
+                flat += self._ids(key[1:])
+            elif key[0] == 0x0A:
+                flat += parts["\u010a"] + self._ids(key[1:])
             else:
-                flat += self._ids(piece)
+                flat += self._ids(b" " + key)
             ends.append(len(flat))
-        at, n = len(self.index), len(pieces)
         cuts = np.array([0, *ends], np.int64)
         self.starts[at : at + n], self.lengths[at : at + n] = cuts[:-1] + self.used, np.diff(cuts)
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(flat), np.uint32)))
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        self.index.update(zip(pieces, range(at, at + n), strict=True))
 
     def _ids(self, piece: bytes) -> list[int]:
         text = piece.decode()
-        if not _SETTLED.fullmatch(text):
+        if text and max(text) >= _FIRST_UNSETTLED:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in _INSIDE[self.kind].findall(text.lower() if self.kind == "word" else text):
-            mapped = part.encode().decode("latin-1").translate(_LETTERS)
-            got = self.parts.get(mapped)
-            if got is None:
-                got = self.parts[mapped] = [t.id for t in self.model.tokenize(mapped)]
-            out += got
-        return out
+        if self.kind == "word":
+            text = text.lower()
+            piece = text.encode()
+        head = piece.rstrip(_MARKS)
+        letters = head.decode()
+        if (letters[1:] if letters[:1] == " " else letters).isalpha():
+            return self.parts[_mapped(head)] + (self.parts[piece[len(head) :].decode()] if len(head) < len(piece) else [])
+        return [i for part in _INSIDE[self.kind].findall(text) for i in self.parts[_mapped(part.encode())]]
+
+    def _keys(self, text: str) -> list[bytes]:
+        data = text.encode()
+        if self.kind == "word":
+            return data.split()
+        rare = any(c in data for c in (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")) or data[0] in b" \n" or data[-1] in b" \n"
+        if rare or b"\n" in data and any(c in data for c in (b"\n\n", b"\n ", b" \n")):
+            return [p[1:] if p[0] == 0x20 and p.strip() else b" " + p for p in _BYTE_PIECES.findall(data)]
+        keys = data.replace(b"\n", b" \n").split(b" ")
+        keys[0] = b" " + keys[0]
+        return keys
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, each followed by `end`, and where each begins (one more entry at the end)."""
         if max(len(self.index), len(self.parts)) > MOST_PIECES:
             self._clear()
-        pieces: list[bytes] = []
+        keys: list[bytes] = []
         counts, special = [], {}
         for i, text in enumerate(texts):
             got: list[bytes] = []
@@ -113,12 +153,13 @@ class PieceEncoder:
                 if any(a in text for a in self.added) or self.kind == "byte" and not text.isascii() and _WIDE_SPACE.search(text):
                     special[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
                 else:
-                    got = text.encode().split() if self.kind == "word" else _BYTE_PIECES.findall(text.encode())
-            pieces += got
+                    got = self._keys(text)
+            keys += got
             counts.append(len(got))
-        if new := set(pieces).difference(self.index):
-            self._learn(list(new))
-        which = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        which = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        if self.index.fresh:
+            self._learn(self.index.fresh)
+            self.index.fresh = []
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)
         flat = self.ids[np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]

@@ -182,6 +182,7 @@ def test_piece_encoder_is_exact():
     from tokenizers import Tokenizer
 
     odd = ["a\xa0 b  c \n\n d\u3000e", "x  y\n\nZ \t q'ss don't I'LL  ", "<|endoftext|> hi", " lead", "trail \n", "\n\nA", "é́ ", None, "", " ", "a \n\xa0b", "ﬀ ΑΣ Σ İ", " \x1c x\x1cy"]
+    odd += ["a\nb c\nd.\nÉté!", "\na b", "a b\n", "a\n\nb", "a\n b \nc", "***", " *** x*** é***y", "É, naïve... 5é ñ's ªº µ 12. don't. x'", "a\rb", "\n", "ä" * 3000, "b\x0bc d\x0c"]
     for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
         code, plain = PieceEncoder(Q.tokenizer_path(name), kind), Tokenizer.from_file(Q.tokenizer_path(name))
         ids, first = code.encode(odd, 1)
