@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from codecs import charmap_decode
 
 import numpy as np
@@ -20,7 +21,8 @@ _INSIDE = {
 #: ASCII marks which, behind a word, every tokenizer here splits off as one part.
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'")
 _FIRST_UNSETTLED = "\u0130"
-MOST_PIECES = 300_000
+#: A table of keys is emptied beyond MOST_KEYS; of parts, the last two tables of about MOST_PARTS are held.
+MOST_KEYS, MOST_PARTS = 500_000, 200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -38,16 +40,25 @@ def _mapped(data: bytes) -> str:
 
 
 class _Parts(dict):
-    """The ids of each part, from the merge model when first asked for."""
+    """The ids of each part as 32-bit numbers, from the merge model when first asked for. A part is in the model's letters, or as bytes an
+    ASCII word behind `lead`. Parts of the older table are taken from there."""
 
-    def __init__(self, model):
+    def __init__(self, model, lead: str, older: dict):
         super().__init__()
-        self.model = model
+        self.model, self.lead, self.older = model, lead, older
 
-    def __missing__(self, part: str) -> list[int]:
-        got = self[part] = [t.id for t in self.model.tokenize(part)]
+    def __missing__(self, part: str | bytes) -> bytes:
+        got = self.older.get(part)
+        if got is None:
+            got = array("I", [t.id for t in self.model.tokenize(part if type(part) is str else self.lead + part.decode())]).tobytes()
+        self[part] = got
         return got
 
+    def renewed(self) -> _Parts:
+        """An empty table that has this one as its older."""
+        self.older = {}
+        return _Parts(self.model, self.lead, self)
+
 
 class _Numbers(dict):
     """Numbers keys in the order they are first asked for; `fresh` holds those whose ids are still to be learned."""
@@ -68,8 +79,7 @@ class PieceEncoder:
     kind "word" is for the word tokenizer (lower case, white space dropped), "byte" for the byte-level one. A text is cut into keys, each
     key is split as the tokenizer does, and each part goes to its merge model once; keys with characters from U+0130 on go through the whole
     library. A key of "byte" is a piece without its leading space, or a space and a piece that has none, or a line break and the piece
-    behind it. Texts that hold an added token's string, or for "byte" white space outside ASCII, are encoded whole by the library. The
-    tables of keys and parts are emptied when they reach MOST_PIECES.
+    behind it. Texts that hold an added token's string, or for "byte" white space outside ASCII, are encoded whole by the library.
     """
 
     def __init__(self, path: str, kind: str):
@@ -77,58 +87,58 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind, self.model = kind, self.tokenizer.model
+        self.kind = kind
+        self.parts = _Parts(self.tokenizer.model, "" if kind == "word" else "\u0120", {})
         self._clear()
 
     def _clear(self) -> None:
         self.index = _Numbers()
-        self.parts = _Parts(self.model)
         self.ids = np.zeros(1 << 16, np.uint32)
         self.used = 0
-        self.starts = np.zeros(MOST_PIECES * 2, np.int64)
-        self.lengths = np.zeros(MOST_PIECES * 2, np.int64)
+        self.starts = np.zeros(MOST_KEYS * 2, np.int64)
+        self.lengths = np.zeros(MOST_KEYS * 2, np.int64)
 
     def _learn(self, keys: list[bytes]) -> None:
         n, word, parts = len(keys), self.kind == "word", self.parts
         at = len(self.index) - n
         if at + n > len(self.starts):
             self.starts, self.lengths = (np.concatenate((x, np.zeros(len(x) + n, np.int64))) for x in (self.starts, self.lengths))
-        flat: list[int] = []
-        ends = []
+        learned: list[bytes] = []
         for key in keys:
             head = key.rstrip(_MARKS)
             if head.isalpha():  # ASCII letters
-                flat += parts[head.decode().lower() if word else "\u0120" + head.decode()]
+                ids = parts[head.lower() if word else head]
                 if len(head) < len(key):
-                    flat += parts[key[len(head) :].decode()]
+                    ids += parts[key[len(head) :].decode()]
             elif word:
-                flat += self._ids(key)
+                ids = self._ids(key)
             elif key[0] == 0x20:
-                flat += self._ids(key[1:])
+                ids = self._ids(key[1:])
             elif key[0] == 0x0A:
-                flat += parts["\u010a"] + self._ids(key[1:])
+                ids = parts["\u010a"] + self._ids(key[1:])
             else:
-                flat += self._ids(b" " + key)
-            ends.append(len(flat))
-        cuts = np.array([0, *ends], np.int64)
-        self.starts[at : at + n], self.lengths[at : at + n] = cuts[:-1] + self.used, np.diff(cuts)
+                ids = self._ids(b" " + key)
+            learned.append(ids)
+        flat = np.frombuffer(b"".join(learned), np.uint32)
+        lengths = np.fromiter(map(len, learned), np.int64, n) // 4
+        self.starts[at : at + n], self.lengths[at : at + n] = np.cumsum(lengths) - lengths + self.used, lengths
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(len(self.ids) + len(flat), np.uint32)))
         self.ids[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
 
-    def _ids(self, piece: bytes) -> list[int]:
+    def _ids(self, piece: bytes) -> bytes:
         text = piece.decode()
         if text and max(text) >= _FIRST_UNSETTLED:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if self.kind == "word":
             text = text.lower()
             piece = text.encode()
         head = piece.rstrip(_MARKS)
         letters = head.decode()
         if (letters[1:] if letters[:1] == " " else letters).isalpha():
-            return self.parts[_mapped(head)] + (self.parts[piece[len(head) :].decode()] if len(head) < len(piece) else [])
-        return [i for part in _INSIDE[self.kind].findall(text) for i in self.parts[_mapped(part.encode())]]
+            return self.parts[_mapped(head)] + (self.parts[piece[len(head) :].decode()] if len(head) < len(piece) else b"")
+        return b"".join(self.parts[_mapped(part.encode())] for part in _INSIDE[self.kind].findall(text))
 
     def _keys(self, text: str) -> list[bytes]:
         data = text.encode()
@@ -143,8 +153,10 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in order, each followed by `end`, and where each begins (one more entry at the end)."""
-        if max(len(self.index), len(self.parts)) > MOST_PIECES:
+        if len(self.index) > MOST_KEYS:
             self._clear()
+        if len(self.parts) > MOST_PARTS:
+            self.parts = self.parts.renewed()
         keys: list[bytes] = []
         counts, special = [], {}
         for i, text in enumerate(texts):
