@@ -26,7 +26,7 @@ def _tokenise(path: str, kind: str, end: int):
         code = encoder(path, kind)
         small = "<u2" if code.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
         for batch in chunks_by_bytes(batches, "text", 1 << 20):
-            ids, first = code.encode(batch.column("text").to_pylist(), end)
+            ids, first = code.encode(batch.column("text").cast(pa.binary()).to_pylist(), end)
             blob = ids.astype(small)
             offsets = pa.array(first * blob.itemsize, pa.int32()).buffers()[1]
             n = batch.num_rows

@@ -11,8 +11,8 @@ import regex
 
 #: Byte-level BPE: an optional single space and a run without ASCII white space; white space runs leave their last character to what follows.
 _BYTE_PIECES = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
-#: White space outside ASCII, which the byte-level pattern may join with ASCII white space.
-_WIDE_SPACE = re.compile("[\x85\xa0  -     　]")
+#: White space outside ASCII (in UTF-8), which the byte-level pattern may join with ASCII white space.
+_WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: The tokenizers' own splits inside a piece, for characters below U+0130 (whose classes and cases are settled).
 _INSIDE = {
     "word": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"),
@@ -86,8 +86,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = kind
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind, self.end = kind, b""
         self.parts = _Parts(self.tokenizer.model, "" if kind == "word" else "\u0120", {})
         self._clear()
 
@@ -110,6 +110,8 @@ class PieceEncoder:
                 ids = parts[head.lower() if word else head]
                 if len(head) < len(key):
                     ids += parts[key[len(head) :].decode()]
+            elif not key:
+                ids = self.end
             elif word:
                 ids = self._ids(key)
             elif key[0] == 0x20:
@@ -140,8 +142,7 @@ class PieceEncoder:
             return self.parts[_mapped(head)] + (self.parts[piece[len(head) :].decode()] if len(head) < len(piece) else b"")
         return b"".join(self.parts[_mapped(part.encode())] for part in _INSIDE[self.kind].findall(text))
 
-    def _keys(self, text: str) -> list[bytes]:
-        data = text.encode()
+    def _keys(self, data: bytes) -> list[bytes]:
         if self.kind == "word":
             return data.split()
         rare = any(c in data for c in (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")) or data[0] in b" \n" or data[-1] in b" \n"
@@ -151,42 +152,41 @@ class PieceEncoder:
         keys[0] = b" " + keys[0]
         return keys
 
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in order, each followed by `end`, and where each begins (one more entry at the end)."""
-        if len(self.index) > MOST_KEYS:
+    def encode(self, texts: list[str | bytes | None], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (bytes are UTF-8) in order, each followed by `end`, and where each begins (one more entry at the end)."""
+        last = array("I", [end]).tobytes()
+        if len(self.index) > MOST_KEYS or self.end != last:
+            self.end = last
             self._clear()
         if len(self.parts) > MOST_PARTS:
             self.parts = self.parts.renewed()
         keys: list[bytes] = []
-        counts, special = [], {}
+        closes, special = [], {}
         for i, text in enumerate(texts):
-            got: list[bytes] = []
             if text:
-                if any(a in text for a in self.added) or self.kind == "byte" and not text.isascii() and _WIDE_SPACE.search(text):
-                    special[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                data = text.encode() if type(text) is str else text
+                if any(a in data for a in self.added) or self.kind == "byte" and not data.isascii() and _WIDE_SPACE.search(data):
+                    special[i] = np.array(self.tokenizer.encode(data.decode(), add_special_tokens=False).ids, np.uint32)
                 else:
-                    got = self._keys(text)
-            keys += got
-            counts.append(len(got))
+                    keys += self._keys(data)
+            keys.append(b"")  # the end id
+            closes.append(len(keys))
         which = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
         if self.index.fresh:
             self._learn(self.index.fresh)
             self.index.fresh = []
         lengths = self.lengths[which]
         ends = np.cumsum(lengths)
-        flat = self.ids[np.repeat(self.starts[which] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        cut = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))]
-        sizes = np.diff(cut) + 1
-        for i, ids in special.items():
-            sizes[i] = len(ids) + 1
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        out = np.full(int(first[-1]), end, np.uint32)
-        inside = np.ones(len(out), bool)
-        inside[first[1:] - 1] = False
-        for i, ids in special.items():
-            out[first[i] : first[i] + len(ids)] = ids
-            inside[first[i] : first[i + 1]] = False
-        out[inside] = flat
+        at = np.repeat(self.starts[which] - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        out = self.ids[at]
+        first = np.concatenate(([0], ends))[np.array([0, *closes], np.int64)]
+        if special:
+            longer = np.zeros(len(first), np.int64)
+            for i, ids in special.items():
+                longer[i + 1] = len(ids)
+            out = np.insert(out, np.repeat(first[list(special)], [len(x) for x in special.values()]), np.concatenate(list(special.values())))
+            first = first + np.cumsum(longer)
         return out, first
 
 
