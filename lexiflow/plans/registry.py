@@ -54,9 +54,20 @@ def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary that DuckDB can compare with: its levenshtein counts bytes. The queries named ..._whole take all words instead."""
     return words_of(spark, sf_dir).filter((F.col("freq") >= 2) & F.col("word").rlike(ASCII))
 
 
+def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(typed) distinct words of conversations, of any letters."""
+    return talk(spark, sf_dir).select(F.col("word").alias("typed")).distinct()
+
+
+def strange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(typed) distinct words of conversations that the whole vocabulary lacks."""
+    return correct.misspelled(typed_words(spark, sf_dir), words_of(spark, sf_dir), "typed")
+
+
 _W = r"'([\p{L}'']+)'"
 CTE = rf"""
 WITH sent AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS sentence, unnest(l) AS s FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.?!]') AS l FROM documents)),
@@ -166,13 +177,13 @@ def edit_distance_pairs(spark, sf_dir):
 
 @query(CTE + ", u AS (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown) SELECT typed, word, freq FROM (SELECT DISTINCT typed, substr(typed, 1, i - 1) || typed[i + 1] || typed[i] || substr(typed, i + 2) AS word FROM u WHERE typed[i] <> typed[i + 1]) JOIN common USING (word)")
 def letter_swaps(spark, sf_dir):
-    return _edits(spark, sf_dir, X.letter_swaps)
+    return _edits(unknown(spark, sf_dir).select(F.col("word").alias("typed")), common(spark, sf_dir), X.letter_swaps)
 
 
 @query(CTE + """, u AS (SELECT typed, unnest(range(1, length(typed) + 1)) AS i FROM unknown WHERE length(typed) >= 4)
 SELECT typed, word, freq FROM (SELECT typed, substr(typed, 1, i) || substr(typed, i) AS word FROM u UNION SELECT typed, substr(typed, 1, i) || substr(typed, i + 2) FROM u WHERE i < length(typed) AND typed[i] = typed[i + 1]) JOIN common USING (word)""")
 def double_letter_fixes(spark, sf_dir):
-    return _edits(spark, sf_dir, X.double_letter_edits)
+    return _edits(unknown(spark, sf_dir).select(F.col("word").alias("typed")), common(spark, sf_dir), X.double_letter_edits)
 
 
 @query("""WITH w(word) AS (VALUES ('can''t'), ('don''t'), ('cant''s'), ('it''s')), t(typed) AS (VALUES ('cant'), ('dont'), ('its'), ('can''t'), ('a'))
@@ -183,9 +194,9 @@ def apostrophe_fixes(spark, sf_dir):
     return typed.select("typed", F.explode(X.apostrophe_insertions(F.col("typed"))).alias("word")).join(words, "word").select("typed", "word")
 
 
-def _edits(spark, sf_dir, make):
-    made = unknown(spark, sf_dir).select(F.col("word").alias("typed")).select("typed", F.explode(F.array_distinct(make(F.col("typed")))).alias("word"))
-    return made.join(common(spark, sf_dir), "word").select("typed", "word", "freq")
+def _edits(asked, words, make):
+    made = asked.select("typed", F.explode(F.array_distinct(make(F.col("typed")))).alias("word"))
+    return made.join(words, "word").select("typed", "word", "freq")
 
 
 _CANDS = r""", sw AS (SELECT DISTINCT typed, substr(typed, 1, i - 1) || typed[i + 1] || typed[i] || substr(typed, i + 2) AS word FROM (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown) WHERE typed[i] <> typed[i + 1]),
@@ -232,6 +243,41 @@ def autocorrect_in_context(spark, sf_dir):
     return correct.autocorrect(probes, common(spark, sf_dir), bigrams_of(spark, sf_dir)).select("typed", "previous", "changed", "corrected", "reason")
 
 
+# The six queries above over all words of conversations and the whole vocabulary. They have no SQL, as DuckDB's levenshtein counts bytes.
+
+
+@query()
+def edit_distance_pairs_whole(spark, sf_dir):
+    return similarity.similarity_join(strange(spark, sf_dir), words_of(spark, sf_dir), 2)
+
+
+@query()
+def letter_swaps_whole(spark, sf_dir):
+    return _edits(strange(spark, sf_dir), words_of(spark, sf_dir), X.letter_swaps)
+
+
+@query()
+def double_letter_fixes_whole(spark, sf_dir):
+    return _edits(strange(spark, sf_dir), words_of(spark, sf_dir), X.double_letter_edits)
+
+
+@query()
+def fuzzy_corrections_whole(spark, sf_dir):
+    found = correct.find_corrections(typed_words(spark, sf_dir), words_of(spark, sf_dir))
+    return found.select("typed", "word", "distance", "freq", "slip_rank", "rank")
+
+
+@query()
+def autocorrect_decisions_whole(spark, sf_dir):
+    return correct.autocorrect(typed_words(spark, sf_dir), words_of(spark, sf_dir)).select("typed", "changed", "corrected", "reason")
+
+
+@query()
+def autocorrect_in_context_whole(spark, sf_dir):
+    probes = talk(spark, sf_dir).select(F.col("word").alias("typed"), F.coalesce("previous_word", F.lit("")).alias("previous")).distinct()
+    return correct.autocorrect(probes, words_of(spark, sf_dir), bigrams_of(spark, sf_dir)).select("typed", "previous", "changed", "corrected", "reason")
+
+
 @query(CTE + """, conf(low, alternative) AS (SELECT unnest(['from','form','than','then','of','off','to','too','lose','loose','quite','quiet','whether','weather','buy','by','there','their','accept','except','affect','effect','advice','advise','breath','breathe','past','passed','here','hear','know','now','were','where']), unnest(['form','from','then','than','off','of','too','to','loose','lose','quiet','quite','weather','whether','by','buy','their','there','except','accept','effect','affect','advise','advice','breathe','breath','passed','past','hear','here','now','know','where','were'])),
 ask AS (SELECT DISTINCT coalesce(previous_word, '') AS b, word AS w, coalesce(next_word, '') AS a FROM talk),
 v AS (SELECT ask.*, alternative, total_freq::DOUBLE AS n, coalesce(g1.cnt, 0) AS bt, coalesce(g2.cnt, 0) AS ba, coalesce(g3.cnt, 0) AS ta, coalesce(g4.cnt, 0) AS aa, coalesce(t1.total, 0)::DOUBLE AS tb, coalesce(t2.total, 0)::DOUBLE AS tl, coalesce(t3.total, 0)::DOUBLE AS tal,
