@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks_by_bytes, frugal
+from .common import bounded_batches, chunks_by_bytes, frugal, stored
 from .textscan import ALNUM, U, covered, hasher, scan
 
 MATCH = "array<struct<item_id:long,item_start:long,doc_start:long,length:long>>"
-FOUND = f"__lf_id long, n_words long, n_hit long, longest long, matches {MATCH}"
+FOUND = f"__lf_row long, __lf_id long, n_words long, n_hit long, longest long, matches {MATCH}"
 
 
 def word_hashes(column: pa.Array):
@@ -142,7 +142,7 @@ class SuffixArray:
         return lo, np.where(whole, hi, lo), depth
 
 
-def _search(id_col: str, text: str, items, window: int):
+def _search(row: str, id_col: str, text: str, items, window: int):
     def run(batches):
         tests: Items = items.value
         longest_item = int((tests.left + tests.inner).max(initial=1))
@@ -173,7 +173,7 @@ def _search(id_col: str, text: str, items, window: int):
             made = [tests.ids[item[begin]], inner[begin], at[begin] - found.first[:-1][doc[begin]], run_length]
             struct = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in made], ["item_id", "item_start", "doc_start", "length"])
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), struct)
-            yield pa.record_batch([batch.column(id_col).cast(pa.int64()), pa.array(found.counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(longest), lists], names=["__lf_id", "n_words", "n_hit", "longest", "matches"])
+            yield pa.record_batch([batch.column(row).cast(pa.int64()), batch.column(id_col).cast(pa.int64()), pa.array(found.counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(longest), lists], names=["__lf_row", "__lf_id", "n_words", "n_hit", "longest", "matches"])
 
     return run
 
@@ -181,10 +181,11 @@ def _search(id_col: str, text: str, items, window: int):
 def _union_of_matches(window: int):
     def run(key, table):
         matches = [m for row in table.column("matches").to_pylist() for m in row]
+        matches.sort(key=lambda m: (m["item_id"], m["doc_start"] - m["item_start"], m["item_start"]))  # the order of a single pass
         n = table.column("n_words")[0].as_py()
         spans = np.array([(m["doc_start"], m["length"]) for m in matches], np.int64).reshape(-1, 2)
         hit = int(covered(n, spans[:, 0], spans[:, 1]).sum())
-        return pa.table([[key[0].as_py()], [n], [hit], [max((m["length"] for m in matches), default=0)], [matches]], schema=table.schema)
+        return pa.table([[key[0].as_py()], table.column("__lf_id")[:1], [n], [hit], [max((m["length"] for m in matches), default=0)], [matches]], schema=table.schema)
 
     return run
 
@@ -196,23 +197,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_co
 
     Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. An item of fewer words than a window is one
     window; one without words or with a null id or text matches nothing. Null and empty documents have no words. An empty benchmark hits nothing.
-    Items up to `block_mb` of text are held by every task; more are searched in several passes of that size each.
+    Items up to `block_mb` of text are held by every task; more are searched in several passes of that size each. For these the
+    documents are stored once with a number for each row, by which the passes are merged, as ids may be null or repeated.
     """
     bounded_batches(docs.sparkSession)
     part = docs.select(F.col(id_col).cast("long").alias("__lf_id"), F.col(text_col).alias("__lf_text"))
     tests = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("t")).filter("id is not null and t is not null")
     total = (tests.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0) / 1e6
     blocks = max(1, int(-(-total // block_mb)))
+    part = part.withColumn("__lf_row", F.monotonically_increasing_id())
+    if blocks > 1:
+        part = stored(part, "contamination")  # all passes see the same numbers
     passes = []
     for b in range(blocks):
         rows = tests.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
         items = docs.sparkSession.sparkContext.broadcast(Items.of([r["id"] for r in rows], [r["t"] for r in rows]))
-        passes.append(part.mapInArrow(frugal(_search("__lf_id", "__lf_text", items, window)), FOUND))
+        passes.append(part.mapInArrow(frugal(_search("__lf_row", "__lf_id", "__lf_text", items, window)), FOUND))
     found = passes[0]
     if blocks > 1:
         for p in passes[1:]:
             found = found.union(p)
-        found = found.groupBy("__lf_id").applyInArrow(_union_of_matches(window), FOUND)
+        found = found.groupBy("__lf_row").applyInArrow(_union_of_matches(window), FOUND)
     bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
     return found.select(F.col("__lf_id").alias(id_col), "n_words", "n_hit", "longest", "matches", bad.alias("contaminated"))
 

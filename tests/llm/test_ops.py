@@ -234,6 +234,18 @@ def test_contamination_in_blocks(spark, data):
     assert view(contamination(docs, bench)) == view(contamination(docs, bench, block_mb=0.0001))
 
 
+def test_contamination_in_blocks_keeps_rows(spark, data):
+    from lexiflow.llm.decontaminate import contamination
+
+    item = data[2][0][1]
+    rows = [(None, item), (None, "one two"), (None, None), (5, "short"), (5, "word " * 40 + item), (5, item + " end"), (5, item + " end")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(2), spark.read.parquet(f"{data[0]}/benchmark.parquet")
+    view = lambda df: Counter((r.doc_id, r.n_words, r.n_hit, r.longest, r.contaminated, str(r.matches)) for r in df.collect())
+    got = view(contamination(docs, bench, block_mb=0.0001))
+    assert got == view(contamination(docs, bench)) and got.total() == len(rows)
+    assert sorted((k[0] or 0, *k[1:3]) for k in got.elements()) == sorted((d or 0, len(ALNUM.findall(low(t))), 30 if t and item in t else 0) for d, t in rows)
+
+
 def test_op10(spark, data):
     phrases = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
     got = {r.doc_id: r for r in Q.op10_license_scan(spark, data[0]).collect()}
