@@ -48,26 +48,33 @@ class Items:
 class SuffixArray:
     """Word suffixes of one shard in sorted order, as far as `depth` words; no suffix matches past the end of a document."""
 
-    BITS = 21
+    #: Distinct words up to which three words make a key of 63 bits; with more, two words do, of 31 bits each.
+    NARROW = (1 << 21) - 3
 
     def __init__(self, words: np.ndarray, first: np.ndarray, depth: int):
         lengths = np.diff(first)
         self.start = first[:-1] + np.arange(len(lengths))  # one separator after each document
         at = np.arange(len(words)) + np.repeat(np.arange(len(lengths)), lengths)
         self.vocabulary, rank = np.unique(words, return_inverse=True)
-        if len(self.vocabulary) >= (1 << self.BITS) - 2:
-            raise ValueError("a shard holds too many distinct words")
+        self.width, self.bits = (3, 21) if len(self.vocabulary) <= self.NARROW else (2, 31)
         n = len(words) + len(lengths)
         symbols = np.zeros(n + 3, np.int64)  # 0 is the separator
         symbols[at] = rank + 1
-        self.size, self.key = n, (symbols[:-2] << 2 * self.BITS) | (symbols[1:-1] << self.BITS) | symbols[2:]
+        self.size, self.key = n, self._pack([symbols[i : n + 1 + i] for i in range(self.width)])
         self.order = np.argsort(self.key[:n])
         self.sorted_keys = self.key[self.order]
         self.key = np.concatenate((self.key, np.zeros(4 * depth + 8, np.int64)))
         self._refine(depth)
 
+    def _pack(self, parts: list[np.ndarray]) -> np.ndarray:
+        """Keys of up to `width` words; missing ones count as 0."""
+        out = np.zeros(len(parts[0]), np.int64)
+        for i, part in enumerate(parts):
+            out |= part << (self.width - 1 - i) * self.bits
+        return out
+
     def _refine(self, depth: int) -> None:
-        n, done = self.size, 3
+        n, done = self.size, self.width
         new = np.ones(n, bool)
         new[1:] = self.sorted_keys[1:] != self.sorted_keys[:-1]
         group = np.maximum.accumulate(np.where(new, np.arange(n), 0))  # a group's first place
@@ -107,18 +114,18 @@ class SuffixArray:
         lo, hi, depth = np.zeros(n, np.int64), np.full(n, self.size, np.int64), np.zeros(n, np.int64)
         live = np.arange(n)
         while len(live):
-            want = np.minimum(3, limit[live] - depth[live])
+            want = np.minimum(self.width, limit[live] - depth[live])
             live, want = live[want > 0], want[want > 0]
             failed = live
-            for width in (3, 2, 1):  # what fails with more words is tried with fewer, for the longest match
+            for width in range(self.width, 0, -1):  # what fails with more words is tried with fewer, for the longest match
                 pick = np.isin(failed, live[want >= width], assume_unique=True)
                 some = failed[pick]
                 at = some + depth[some]
                 parts = [symbols[at + i] for i in range(width)]
                 ok = np.logical_and.reduce([p > 0 for p in parts]) if len(some) else np.zeros(0, bool)
                 some, parts = some[ok], [p[ok] for p in parts]
-                low = sum((p << (2 - i) * self.BITS for i, p in enumerate(parts)), np.zeros(len(some), np.int64))
-                high = low | ((1 << (3 - width) * self.BITS) - 1)
+                low = self._pack(parts)
+                high = low | ((1 << (self.width - width) * self.bits) - 1)
                 a, b, d = lo[some], hi[some], depth[some]
                 top = d == 0
                 l2, h2 = np.empty_like(a), np.empty_like(b)
@@ -131,7 +138,7 @@ class SuffixArray:
                 lo[got], hi[got] = l2[hit], h2[hit]
                 depth[got] += width
                 failed = np.setdiff1d(failed, got, assume_unique=True)
-                if width == 3:
+                if width == self.width:
                     going = got
                 elif len(got):
                     depth_full = depth[got] == limit[got]

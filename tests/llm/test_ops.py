@@ -246,6 +246,37 @@ def test_contamination_in_blocks_keeps_rows(spark, data):
     assert sorted((k[0] or 0, *k[1:3]) for k in got.elements()) == sorted((d or 0, len(ALNUM.findall(low(t))), 30 if t and item in t else 0) for d, t in rows)
 
 
+def test_suffix_array_of_many_distinct_words():
+    from lexiflow.llm.decontaminate import SuffixArray
+
+    n = (1 << 21) + 5
+    words = np.arange(1, n + 1, dtype=np.uint64)
+    item = words[n - 40 : n - 10]
+    shard = SuffixArray(words, np.array([0, 1000, n]), 30)
+    lo, hi, depth = shard.search(_items(item), np.full(30, 13) * (np.arange(30) <= 17))
+    assert shard.order[lo[:18]].tolist() == list(range(n - 39, n - 21)) and (hi - lo)[:18].tolist() == [1] * 18 and depth[:18].tolist() == [13] * 18
+
+
+def _items(words):
+    from lexiflow.llm.decontaminate import Items
+
+    n = len(words)
+    return Items(np.array([1], np.int64), words, np.zeros(n, np.int64), np.arange(n), n - np.arange(n))
+
+
+def test_two_words_a_key_give_the_same(data, monkeypatch):
+    import pyarrow as pa
+
+    from lexiflow.llm.decontaminate import Items, SuffixArray, _search
+
+    items = type("Held", (), {"value": Items.of([i for i, t in data[2] if t], [t for _, t in data[2] if t])})
+    batch = pa.record_batch([pa.array(range(len(data[1]))), pa.array([d[0] for d in data[1]]), pa.array([d[1] for d in data[1]])], names=["row", "id", "text"])
+    found = lambda: [b.to_pydict() for b in _search("row", "id", "text", items, 13)([batch])]
+    want = found()
+    monkeypatch.setattr(SuffixArray, "NARROW", 0)
+    assert found() == want and any(n for b in want for n in b["n_hit"])
+
+
 def test_op10(spark, data):
     phrases = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
     got = {r.doc_id: r for r in Q.op10_license_scan(spark, data[0]).collect()}
