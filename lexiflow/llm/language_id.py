@@ -35,17 +35,16 @@ def letters(text: str) -> bytes:
 
 def sample_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, dictionary_bytes: int = 65_536) -> dict[str, bytes]:
     """Raw-content dictionaries: per language, texts of the `per_language` labelled rows with the smallest id hashes, an equal share of
-    each, `dictionary_bytes` in all. The bounds are these two parameters and the 256 most frequent languages; rows without label or text are left out.
+    each, `dictionary_bytes` in all. The bounds are these two parameters, for each language; all languages are learned. Rows without label or text are left out.
     The languages come in the order of their numbers of labelled rows, which are counted over all."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0))
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col), F.xxhash64(text_col)))
     share = max(64, dictionary_bytes // max(1, per_language) * 4)
     picked = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, share).alias("t"), rank.alias("r")).filter(F.col("r") <= per_language)
-    many = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(256).collect()
+    many = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
     found: dict[str, list[bytes]] = {row["lang"]: [] for row in many}
-    for row in picked.orderBy("lang", "r").limit(256 * per_language).collect():
-        if row["lang"] in found:
-            found[row["lang"]].append(letters(row["t"]))
+    for row in picked.orderBy("lang", "r").collect():
+        found[row["lang"]].append(letters(row["t"]))
     return {k: b" ".join(reversed(v))[-dictionary_bytes:] for k, v in found.items()}
 
 

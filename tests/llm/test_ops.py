@@ -122,6 +122,12 @@ def test_op3(spark, data):
     assert sum(r.lang_pred == docs[r.doc_id][2] for r in judged) / len(judged) > 0.95
 
 
+def test_dictionaries_of_many_languages(spark):
+    rows = [(i, f"text {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", f"l{i % 300:03}") for i in range(900)]
+    made = sample_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=2)
+    assert len(made) == 300 and all(v.count(b"text") == 2 for v in made.values())
+
+
 def test_op4(spark, data):
     rules, got = Q.RULES, {r.page_id: r for r in Q.op4_url_filter(spark, data[0]).collect()}
     for i, url in enumerate(data[3]):
