@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, frugal, whole
+from .common import bounded_batches, frugal, frugal_group, whole
 
 _LETTER = re.compile("[A-Za-z]")
 _OTHER = re.compile(r"[\W\d_]+")
@@ -33,19 +33,36 @@ def letters(text: str) -> bytes:
     return _OTHER.sub(" ", text.lower()).encode()
 
 
+def equal_share(sizes: list[int], room: int) -> int:
+    """The largest share with which the sizes, each cut to it, fit into the room."""
+    for i, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - i) > room:
+            return max(0, room) // (len(sizes) - i)
+        room -= size
+    return max(sizes, default=0)
+
+
+def _dictionary(size: int):
+    def run(key, table):
+        texts = [letters(t) for t in table.sort_by("r").column("t").to_pylist()]
+        share = equal_share([len(t) for t in texts], size - len(texts) + 1)
+        data = b" ".join(t[:share] for t in reversed(texts))[-size:]
+        return pa.table([table.column("lang")[:1], pa.array([data], pa.binary())], names=["lang", "data"])
+
+    return run
+
+
 def sample_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, dictionary_bytes: int = 65_536) -> dict[str, bytes]:
     """Raw-content dictionaries: per language, texts of the `per_language` labelled rows with the smallest id hashes, an equal share of
-    each, `dictionary_bytes` in all. The bounds are these two parameters, for each language; all languages are learned. Rows without label or text are left out.
+    each (what short ones leave goes to the others), `dictionary_bytes` in all, from the first `dictionary_bytes` characters of each. The bounds are these two parameters, for each language; all languages are learned. Rows without label or text are left out.
     The languages come in the order of their numbers of labelled rows, which are counted over all."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0))
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col), F.xxhash64(text_col)))
-    share = max(64, dictionary_bytes // max(1, per_language) * 4)
-    picked = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, share).alias("t"), rank.alias("r")).filter(F.col("r") <= per_language)
+    picked = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, dictionary_bytes).alias("t"), rank.alias("r")).filter(F.col("r") <= per_language)
     many = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
-    found: dict[str, list[bytes]] = {row["lang"]: [] for row in many}
-    for row in picked.orderBy("lang", "r").collect():
-        found[row["lang"]].append(letters(row["t"]))
-    return {k: b" ".join(reversed(v))[-dictionary_bytes:] for k, v in found.items()}
+    made = picked.groupBy("lang").applyInArrow(frugal_group(_dictionary(dictionary_bytes)), f"lang {picked.schema['lang'].dataType.simpleString()}, data binary")
+    found = {row["lang"]: bytes(row["data"]) for row in made.collect()}
+    return {row["lang"]: found[row["lang"]] for row in many}
 
 
 class CompressionClassifier:

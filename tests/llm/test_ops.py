@@ -128,6 +128,15 @@ def test_dictionaries_of_many_languages(spark):
     assert len(made) == 300 and all(v.count(b"text") == 2 for v in made.values())
 
 
+def test_dictionaries_hold_a_share_of_each_text(spark):
+    mark = lambda i: f"q{chr(97 + i // 26)}{chr(97 + i % 26)}q"
+    rows = [(i, f"{mark(i)} " + "long text " * 400, "en") for i in range(200)]
+    rows += [(300 + i, mark(i), "fr") for i in range(9)] + [(310, "plus long " * 9000, "fr")]
+    made = sample_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert all(mark(i).encode() in made["en"] for i in range(200)) and 65_000 < len(made["en"]) <= 65_536
+    assert all(mark(i).encode() in made["fr"] for i in range(9)) and 65_000 < len(made["fr"]) <= 65_536
+
+
 def test_op4(spark, data):
     rules, got = Q.RULES, {r.page_id: r for r in Q.op4_url_filter(spark, data[0]).collect()}
     for i, url in enumerate(data[3]):
@@ -141,6 +150,15 @@ def test_op4(spark, data):
     assert viterbi("theandof", {"the": 50, "and": 40, "of": 30, "a": 5}, 200.0) == ["the", "and", "of"]
 
 
+def test_url_words_of_any_length(spark):
+    from lexiflow.llm.url_filter import filter_urls
+
+    word = "donaudampfschifffahrtsgesellschaft"
+    rows = [(1, f"http://{word}.com/", f"<p>{word} gesellschaft</p>"), (2, f"http://the{word}the.com/", "<p>the the</p>"), (3, "http://x.com/", None)]
+    got = {r.page_id: r.host_words for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), Q.RULES).collect()}
+    assert got[1][0] == word and got[2][:3] == ["the", word, "the"]
+
+
 def test_op5(spark, data):
     from tokenizers import Tokenizer
 
