@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-MAX_PIECE = 20
 FEATURES = 1 << 18
 
 
@@ -49,7 +48,7 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 def visible_words(html: Column) -> Column:
     """Lower-cased ASCII letter runs of a page's text without scripts, styles and tags."""
     bare = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"(?s)<[^>]*>", " ")
-    return F.filter(F.split(F.lower(bare), "[^a-z]+"), lambda w: (F.length(w) > 0) & (F.length(w) <= MAX_PIECE))
+    return F.filter(F.split(F.lower(bare), "[^a-z]+"), lambda w: F.length(w) > 0)
 
 
 def _viterbi(total: float):
@@ -63,15 +62,20 @@ def _viterbi(total: float):
 
 def viterbi(label: str, counts: dict[str, int], total: float) -> list[str]:
     """The most probable split of a label under unigram counts; an unknown piece of n letters weighs 10 / (total * 10^n), and ties
-    go to the longer last piece."""
-    best, back = [0.0] + [-math.inf] * len(label), [0] * (len(label) + 1)
+    go to the longer last piece. Pieces may be of any length."""
+    best, back, ten = [0.0] + [-math.inf] * len(label), [0] * (len(label) + 1), math.log(10)
+    lengths = sorted({len(piece) for piece in counts}, reverse=True)
+    free, begin = -math.inf, 0  # the best start of an unknown piece does not depend on its end
     for end in range(1, len(label) + 1):
-        for start in range(max(0, end - MAX_PIECE), end):
-            piece = label[start:end]
-            count = counts.get(piece, 0)
-            score = best[start] + (math.log(count / total) if count else math.log(10 / total) - len(piece) * math.log(10))
-            if score > best[end] + 1e-12:
-                best[end], back[end] = score, start
+        if (value := best[end - 1] + (end - 1) * ten) > free + 1e-12:
+            free, begin = value, end - 1
+        best[end], back[end] = free + math.log(10 / total) - end * ten, begin
+        for n in lengths:
+            count = counts.get(label[end - n : end], 0) if n <= end else 0
+            if count:
+                score = best[end - n] + math.log(count / total)
+                if score > best[end] + 1e-12 or (score > best[end] - 1e-12 and end - n < back[end]):
+                    best[end], back[end] = score, end - n
     out, end = [], len(label)
     while end:
         out.append(label[back[end] : end])
@@ -81,9 +85,10 @@ def viterbi(label: str, counts: dict[str, int], total: float) -> list[str]:
 
 def segment_labels(labels: DataFrame, unigrams: DataFrame) -> DataFrame:
     """(label, words) for distinct labels; unigrams is (word, n). Labels that are empty or null are left out."""
-    total = float(unigrams.agg(F.sum("n").alias("n")).first()["n"] or 1)
+    of = unigrams.agg(F.sum("n").alias("n"), F.collect_set(F.length("word")).alias("lengths")).first()
+    total, lengths = float(of["n"] or 1), F.array(*map(F.lit, sorted(of["lengths"]))).cast("array<int>")  # only pieces of these lengths can be known
     own = labels.select("label").filter(F.length("label") > 0).distinct()
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_PIECE), F.length("label") - i + 1)), lambda n: F.col("label").substr(i, n))))
+    spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.transform(F.filter(lengths, lambda n: n <= F.length("label") - i + 1), lambda n: F.col("label").substr(i, n))))
     pieces = own.select("label", F.explode(F.array_distinct(spans)).alias("word"))
     known = pieces.join(unigrams, "word").groupBy("label").agg(F.collect_list("word").alias("pieces"), F.collect_list("n").alias("counts"))
     ready = own.join(known, "label", "left").select("label", F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces"), F.coalesce("counts", F.array().cast("array<long>")).alias("counts"))
