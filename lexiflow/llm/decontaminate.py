@@ -1,9 +1,11 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 Each task cuts its documents into shards of a few megabytes and sorts the word suffixes of a shard: three-word keys first, then
-prefix doubling over what is still tied. Every suffix of every test item is then binary-searched in the shard's array, three words
-at a time and all suffixes together, which gives its longest verbatim match and all its places. Training text is never
-shuffled. Test items are held by the tasks up to a measured size; a larger set is searched block by block and merged.
+prefix doubling over what is still tied. Every window of every test item (a shorter item is one window) is then binary-searched in the
+shard's array, three words at a time and all windows together, which gives all its places. Suffixes with fewer words left than a
+window are not searched, and no search goes past a window: neighbouring hits are chained to longer matches, which gives each document's
+own longest one. Matches of fewer words than a window do not count (longest is 0). Training text is shuffled only where test items
+exceed a measured size: these are searched block by block, and the passes are merged.
 """
 
 from __future__ import annotations
