@@ -45,11 +45,11 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     cuts = np.concatenate(([0], np.cumsum(many)))
     doc = np.repeat(np.arange(len(n)), many)
     at = found.first[:-1][doc] + np.arange(cuts[-1]) - cuts[:-1][doc]
-    runs = np.empty(len(at), np.uint64)
-    short = n[doc] < size
-    runs[~short] = one.runs(words, at[~short], size)
-    if short.any():
-        runs[short] = one.runs(words, at[short], n[doc][short])
+    runs, length = np.empty(len(at), np.uint64), np.minimum(n[doc], size)
+    for some in range(1, size + 1):  # a text of fewer words is one run
+        here = length == some
+        if here.any():
+            runs[here] = one.runs(words, at[here], some)
     return [np.unique(runs[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 

@@ -1,11 +1,12 @@
 """Exact substring deduplication behind a count-min prefilter.
 
-Documents are dealt to buckets by a hash of their id, once; every pass works on a bucket. A bucket's count-min sketch (one row
+Documents are dealt to buckets by a hash of their id and text, so that null or repeated ids spread, once; every pass works on a bucket. A bucket's count-min sketch (one row
 of counters, sparse: the counters it touched and whether once or more) is cut into ranges of counters. Each range is merged by
 one task, which adds the sketches of all buckets and answers each bucket with one bit a counter: estimated to be repeated or
 not. Estimates are never too low, so a window whose counter is not flagged is unique. In the second pass only windows that are
-estimated to be repeated are grouped, by 96-bit fingerprints of their words: a bucket sends each distinct one once, with its
-smallest document id, and gets back whether a smaller id has it elsewhere. The last pass removes the words.
+estimated to be repeated are grouped, by 128-bit fingerprints of their words (two keyed non-linear hashes; over 10^13 windows, some two
+different ones share a fingerprint with a probability below 10^-12): a bucket sends each distinct one once, with its smallest document
+id, and gets back whether a smaller id has it elsewhere. The last pass removes the words.
 
 Nothing is broadcast; the sketch grows with the input (32 counters for about every six bytes of text) but a task only ever
 holds its own range. Hot passages and groups of copies are reduced to one entry a bucket before they are sent.
@@ -44,7 +45,7 @@ class _Plan:
         one = hasher(11)
         words = one.words(found.data, found.starts, found.ends)
         at, doc = window_starts(found.first, self.window)
-        return found, at, doc, one.runs(words, at, self.window)
+        return found, words, at, doc, one.runs(words, at, self.window)
 
     def counters(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> U(64 - self.bits)).astype(np.int64)
@@ -94,16 +95,14 @@ class _Repeats:
     """Windows of a bucket that are estimated to be repeated, as sorted distinct fingerprints with their smallest document."""
 
     def __init__(self, plan: _Plan, table: pa.Table, flags: np.ndarray, id_col: str, text: str):
-        self.scan, at, doc, hashes = plan.windows(table, text)
+        self.scan, words, at, doc, hashes = plan.windows(table, text)
         counters = plan.counters(hashes)
         distinct = np.unique(counters)
         flagged = distinct[flags]
         place = np.searchsorted(flagged, counters)
         hit = np.flatnonzero(flagged[np.minimum(place, len(flagged) - 1)] == counters) if len(flagged) else np.zeros(0, np.int64)
-        two = hasher(12)
-        second = two.words(self.scan.data, self.scan.starts, self.scan.ends)
         self.at, self.doc = at[hit], _ids(table, id_col)[doc[hit]]
-        first, extra = hashes[hit], (two.runs(second, self.at, plan.window) >> U(32)).astype(np.uint32)
+        first, extra = hashes[hit], hasher(12).runs(words, self.at, plan.window)
         order = np.lexsort((self.doc, extra, first))
         f, e = first[order], extra[order]
         new = np.ones(len(order), bool)
@@ -115,7 +114,7 @@ class _Repeats:
 
 def _sketch(plan: _Plan, text: str):
     def run(key, table):
-        _, _, _, hashes = plan.windows(table, text)
+        *_, hashes = plan.windows(table, text)
         counters, count = np.unique(plan.counters(hashes), return_counts=True)
         cuts, bucket = plan.cuts(counters), key[0].as_py()
         return _messages([(s, bucket, 0, _pack(counters[a:b] - s * plan.width, count[a:b] > 1)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
@@ -152,9 +151,8 @@ def _ask(plan: _Plan, id_col: str, text: str):
 
 def _requests(blob: bytes):
     n, m = np.frombuffer(blob, np.int64, 2)
-    first, extra = np.frombuffer(blob, np.uint64, n, 16), np.frombuffer(blob, np.uint32, n, 16 + 8 * n)
-    docs = np.frombuffer(blob[16 + 12 * n :], np.int64, m)
-    index = np.frombuffer(blob[16 + 12 * n + 8 * m :], np.uint16 if m <= 1 << 16 else np.uint32, n)
+    first, extra, docs = np.frombuffer(blob, np.uint64, n, 16), np.frombuffer(blob, np.uint64, n, 16 + 8 * n), np.frombuffer(blob, np.int64, m, 16 + 16 * n)
+    index = np.frombuffer(blob, np.uint16 if m <= 1 << 16 else np.uint32, n, 16 + 16 * n + 8 * m)
     return first, extra, docs[index]
 
 
@@ -208,7 +206,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     Words are runs without ASCII white space, unchanged; windows are judged on the input. One row per input row: id, the carried
     columns, n_words, n_removed, kept_text (kept words joined by one space) and removed_spans (word start and length). A null or
     empty text has no words; a null id counts as larger than any other; rows with the same id never remove each other's words;
-    texts of fewer than `window` words lose nothing; an empty table gives no rows. Carried columns that are named as a result are left out.
+    texts of fewer than `window` words lose nothing; texts and words may be of any length, as a text is worked on whole in its bucket; an
+    empty table gives no rows. Carried columns that are named as a result are left out.
     """
     results = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])))]
     taken = {f.name for f in results}
@@ -216,7 +215,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     fields = [c for c in dict.fromkeys([id_col, text_col, *extra])]
     bounded_batches(docs.sparkSession)
     plan = _Plan(window, text_megabytes(docs, text_col), bucket_mb)
-    dealt = docs.select(*fields).withColumn(BUCKET, F.pmod(F.xxhash64(F.col(id_col)), F.lit(plan.buckets))).repartition(plan.buckets, BUCKET)
+    dealt = docs.select(*fields).withColumn(BUCKET, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(plan.buckets))).repartition(plan.buckets, BUCKET)
     shape = T.StructType([f for f in docs.select(id_col, *extra).schema] + results)
     from pyspark.sql.pandas.types import to_arrow_schema
 

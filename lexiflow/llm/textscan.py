@@ -1,12 +1,13 @@
 """Vectorised word scanning and hashing over Arrow text columns.
 
 Words are maximal runs of bytes of a class. The classes used here only ever exclude ASCII characters, so scanning UTF-8 bytes
-gives the same words as scanning characters. Hashes are 64-bit polynomials over randomly mapped bytes, finished by a mixer;
-they depend only on a word's bytes, so they agree between tasks and runs.
+gives the same words as scanning characters. Hashes are 64 bits, non-linear and keyed by a seed; they depend only on a word's
+bytes, so they agree between tasks and runs.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,77 +22,82 @@ SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_SEGMENT = 1 << 18
-_ODD = 0x9E3779B97F4A7C15
+_ODD = U(0x9E3779B97F4A7C15)
+#: Bytes up to which words are hashed in lanes of eight; longer ones go through a keyed BLAKE2.
+_LANES = 4
+_BLOCK = 1 << 19
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[0x41:0x5B] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift and multiply)."""
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
+    x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
     x *= U(0x94D049BB133111EB)
     x ^= x >> U(31)
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U(base))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 class Hasher:
-    """Word and word-run hashes under one seed; fold lower-cases A-Z."""
+    """Word and word-run hashes under one seed; fold lower-cases A-Z.
+
+    Every lane of a word and every level of a run passes through a bijective mixer, so nothing adds up over places: two words of
+    the same length up to eight bytes never share a hash, and all else collides as random numbers do.
+    """
 
     def __init__(self, seed: int, fold: bool):
         rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 2**64, 256, dtype=np.uint64)
-        if fold:
-            self.table[0x41:0x5B] = self.table[0x61:0x7B]
-        base = int(rng.integers(2**60, 2**63)) | 5
-        run = int(rng.integers(2**60, 2**63)) | 5
-        self.up, self.down = _powers(base, _SEGMENT + 1), _powers(pow(base, -1, 2**64), _SEGMENT + 1)
-        self.run_up, self.run_down = _powers(run, _SEGMENT + 1), _powers(pow(run, -1, 2**64), _SEGMENT + 1)
+        self.fold, self.start = fold, U(rng.integers(2**63))
+        self.keys = rng.integers(1, 2**64, 64, dtype=np.uint64) | U(1)
+        self.secret = rng.bytes(32)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        data = np.concatenate((_FOLD[data] if self.fold else data, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place
         out = np.empty(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):
-            base = starts[at]
-            to = max(at + 1, int(np.searchsorted(ends, base + _SEGMENT, "right")))
-            if ends[to - 1] - base > _SEGMENT:  # one word longer than a segment
-                out[at] = self._long(data[base : ends[at]])
-            else:
-                sums = np.zeros(int(ends[to - 1] - base) + 1, np.uint64)
-                np.cumsum(self.table[data[base : ends[to - 1]]] * self.up[: len(sums) - 1], out=sums[1:])
-                s, e = starts[at:to] - base, ends[at:to] - base
-                out[at:to] = (sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64) * U(_ODD)
-            at = to
-        return mix(out)
-
-    def _long(self, data: np.ndarray) -> np.uint64:
-        total = np.zeros(1, np.uint64)
-        for i in range(0, len(data), _SEGMENT):
-            part = self.table[data[i : i + _SEGMENT]] * self.up[: len(data[i : i + _SEGMENT])]
-            total += part.sum(dtype=np.uint64) * U(pow(int(self.up[1]), i, 2**64))
-        return (total + U(len(data) * _ODD % 2**64))[0]
-
-    def runs(self, words: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
-        """Hashes of the runs words[start : start + length]; no run may be longer than 2**17 words."""
+        for a in range(0, len(starts), _BLOCK):
+            s, n = starts[a : a + _BLOCK], (ends - starts)[a : a + _BLOCK]
+            out[a : a + _BLOCK] = self._lanes(data, eight, s, n)
+        return out
+
+    def _lanes(self, data: np.ndarray, eight: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = mix(n.astype(np.uint64) * _ODD + self.start)
+        out = mix(out ^ (eight[s] & _KEEP[np.minimum(n, 8)]))
+        for lane in range(1, _LANES):
+            more = np.flatnonzero(n > 8 * lane)
+            if not len(more):
+                return out
+            out[more] = mix(out[more] ^ (eight[s[more] + 8 * lane] & _KEEP[np.minimum(n[more] - 8 * lane, 8)]))
+        long_ = np.flatnonzero(n > 8 * _LANES)
+        if len(long_):
+            made = (hashlib.blake2b(data[b : b + m], digest_size=8, key=self.secret).digest() for b, m in zip(s[long_].tolist(), n[long_].tolist(), strict=True))
+            out[long_] = np.frombuffer(b"".join(made), np.uint64)
+        return out
+
+    def runs(self, words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of the runs words[start : start + length], start ascending: those of 1, 2, 4, ... words are joined to the length."""
         out = np.empty(len(starts), np.uint64)
-        lengths = np.broadcast_to(np.asarray(lengths, np.int64), starts.shape)
-        at, half = 0, _SEGMENT // 2
-        while at < len(starts):
-            base = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(starts, base + half, "left")))
-            s, n = starts[at:to] - base, lengths[at:to]
-            part = words[base : base + int((s + n).max())]
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(part * self.run_up[: len(part)], out=sums[1:])
-            out[at:to] = (sums[s + n] - sums[s]) * self.run_down[s] + n.astype(np.uint64) * U(_ODD)
-            at = to
-        return mix(out)
+        for a in range(0, len(starts), _BLOCK):
+            some = starts[a : a + _BLOCK]
+            base = int(some[0])
+            out[a : a + _BLOCK] = self._runs(words[base : int(some[-1]) + length], length)[some - base]
+        return out
+
+    def _runs(self, level: np.ndarray, length: int) -> np.ndarray:
+        done, size, found = 0, 1, None
+        places = len(level) - length + 1
+        while True:
+            if length & size:
+                part = level[done : done + places]
+                found = mix(part ^ self.start) if found is None else mix(found * self.keys[size.bit_length()] + part)
+                done += size
+            if done == length:
+                return found
+            level = mix(level[:-size] * self.keys[32 + size.bit_length()] + level[size:])
+            size *= 2
 
 
 _HASHERS: dict[tuple[int, bool], Hasher] = {}
