@@ -1,11 +1,13 @@
 """Benchmark decontamination with suffix arrays of the training text.
 
 Each task cuts its documents into shards of a few megabytes and sorts the word suffixes of a shard: three-word keys first, then
-prefix doubling over what is still tied. Every window of every test item (a shorter item is one window) is then binary-searched in the
-shard's array, three words at a time and all windows together, which gives all its places. Suffixes with fewer words left than a
-window are not searched, and no search goes past a window: neighbouring hits are chained to longer matches, which gives each document's
-own longest one. Matches of fewer words than a window do not count (longest is 0). Training text is shuffled only where test items
-exceed a measured size: these are searched block by block, and the passes are merged.
+prefix doubling over what is still tied. Every suffix of every test item is then binary-searched in the shard's array, all of them
+together: three words at a time up to a window, word by word beyond it, until its longest verbatim match is found. The suffixes that match
+alike share one interval of the array, and only distinct intervals are looked into, so repeated words do not multiply.
+
+What begins with a window of an item (an item of fewer words is one window) is a hit; a document's hits, the items they belong to and the
+longest match with its places come from the intervals. Test items are held in blocks of bounded size, all searched in one pass over
+the documents, whose rows are judged where they lie: training text is never shuffled.
 """
 
 from __future__ import annotations
@@ -16,22 +18,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, chunks_by_bytes, frugal, stored
-from .textscan import ALNUM, U, covered, hasher, scan
+from .common import bounded_batches, chunks_by_bytes, frugal, whole
+from .textscan import ALNUM, covered, hasher, scan
 
-MATCH = "array<struct<item_id:long,item_start:long,doc_start:long,length:long>>"
-FOUND = f"__lf_row long, __lf_id long, n_words long, n_hit long, longest long, matches {MATCH}"
+MATCH = T.StructType([T.StructField(c, T.LongType()) for c in ("item_id", "item_start", "doc_start", "length")])
+SPAN = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length")])
+RESULTS = [T.StructField(c, T.LongType()) for c in ("n_words", "n_hit", "longest")] + [T.StructField("matches", T.ArrayType(MATCH)), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("contaminated", T.BooleanType())]
+#: Pairs of documents and items that are written out at once.
+SLICE = 1 << 20
 
 
 def word_hashes(column: pa.Array):
     found = scan(column, ALNUM)
-    return found, hasher(31, fold=True).words(found.data, found.starts, found.ends) | U(1)
+    return found, hasher(31, fold=True).words(found.data, found.starts, found.ends)
 
 
 @dataclass
 class Items:
-    """Words of the test items, joined, and for each suffix: where it starts, its item and how many words remain."""
+    """Words of the test items, joined, and for each suffix: its item, where it starts in it and how many words remain."""
 
     ids: np.ndarray
     words: np.ndarray
@@ -47,6 +53,11 @@ class Items:
         return cls(np.array(ids, np.int64), words, item, inner, found.counts[item] - inner)
 
 
+def _spread(lo: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """All places of the intervals lo .. lo + many, one after the other."""
+    return np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+
+
 class SuffixArray:
     """Word suffixes of one shard in sorted order, as far as `depth` words; no suffix matches past the end of a document."""
 
@@ -65,7 +76,8 @@ class SuffixArray:
         self.size, self.key = n, self._pack([symbols[i : n + 1 + i] for i in range(self.width)])
         self.order = np.argsort(self.key[:n])
         self.sorted_keys = self.key[self.order]
-        self.key = np.concatenate((self.key, np.zeros(4 * depth + 8, np.int64)))
+        self.key = np.concatenate((self.key, np.zeros(depth + 8, np.int64)))
+        self.depth = depth
         self._refine(depth)
 
     def _pack(self, parts: list[np.ndarray]) -> np.ndarray:
@@ -98,7 +110,7 @@ class SuffixArray:
             rank[self.order[places]] = group[places]
             done *= 2
 
-    def _bound(self, lo, hi, depth, key, right: bool):
+    def _bound(self, lo, hi, depth: int, key, right: bool):
         lo, hi = lo.copy(), hi.copy()
         while len(lo) and (lo < hi).any():
             mid = (lo + hi) >> 1
@@ -107,133 +119,209 @@ class SuffixArray:
             lo, hi = np.where(up, mid + 1, lo), np.where(up | (lo >= hi), hi, mid)
         return lo
 
-    def search(self, items: Items, limit: np.ndarray):
-        """Interval of the suffixes that begin with the first `limit` words of each test suffix, and the length of the longest match up to there."""
+    def _narrowed(self, symbols, suffix, lo, hi, depth: int, width: int):
+        """The intervals of those that go on with the next `width` words of each test suffix; empty where a word does not occur."""
+        parts = [symbols[suffix + depth + i] for i in range(width)]
+        known = np.logical_and.reduce([p > 0 for p in parts])
+        low = self._pack([np.maximum(p, 0) for p in parts])
+        high = low | ((1 << (self.width - width) * self.bits) - 1)
+        if depth:
+            low, high = self._bound(lo, hi, depth, low, False), high
+            high = self._bound(low, hi, depth, high, True)
+        else:
+            low, high = np.searchsorted(self.sorted_keys, low), np.searchsorted(self.sorted_keys, high, "right")
+        return low, np.where(known, high, low)
+
+    def search(self, items: Items, window: int):
+        """Yields (depth, suffixes, lo, hi) for depth `window` and every one beyond: the test suffixes that match so many words, and where;
+        returns for each test suffix the words of its longest match and the interval of the places where that stands."""
+        n = len(items.words)
         place = np.searchsorted(self.vocabulary, items.words)
         known = self.vocabulary[np.minimum(place, len(self.vocabulary) - 1)] == items.words
         symbols = np.concatenate((np.where(known, place + 1, -1), np.full(3, -1)))
-        n = len(items.words)
-        lo, hi, depth = np.zeros(n, np.int64), np.full(n, self.size, np.int64), np.zeros(n, np.int64)
-        live = np.arange(n)
+        lo, hi, length = np.zeros(n, np.int64), np.full(n, self.size, np.int64), np.zeros(n, np.int64)
+        live, depth = np.arange(n), 0
         while len(live):
-            want = np.minimum(self.width, limit[live] - depth[live])
-            live, want = live[want > 0], want[want > 0]
-            failed = live
-            for width in range(self.width, 0, -1):  # what fails with more words is tried with fewer, for the longest match
-                pick = np.isin(failed, live[want >= width], assume_unique=True)
-                some = failed[pick]
-                at = some + depth[some]
-                parts = [symbols[at + i] for i in range(width)]
-                ok = np.logical_and.reduce([p > 0 for p in parts]) if len(some) else np.zeros(0, bool)
-                some, parts = some[ok], [p[ok] for p in parts]
-                low = self._pack(parts)
-                high = low | ((1 << (self.width - width) * self.bits) - 1)
-                a, b, d = lo[some], hi[some], depth[some]
-                top = d == 0
-                l2, h2 = np.empty_like(a), np.empty_like(b)
-                l2[top], h2[top] = np.searchsorted(self.sorted_keys, low[top]), np.searchsorted(self.sorted_keys, high[top], "right")
-                if (~top).any():
-                    l2[~top] = self._bound(a[~top], b[~top], d[~top], low[~top], False)
-                    h2[~top] = self._bound(l2[~top], b[~top], d[~top], high[~top], True)
-                hit = h2 > l2
-                got = some[hit]
-                lo[got], hi[got] = l2[hit], h2[hit]
-                depth[got] += width
-                failed = np.setdiff1d(failed, got, assume_unique=True)
-                if width == self.width:
-                    going = got
-                elif len(got):
-                    depth_full = depth[got] == limit[got]
-                    hi[got[~depth_full]] = lo[got[~depth_full]]
-            hi[failed] = np.where(depth[failed] < limit[failed], lo[failed], hi[failed])
-            live = np.sort(going)
-        whole = depth == limit
-        return lo, np.where(whole, hi, lo), depth
-
-
-def _search(row: str, id_col: str, text: str, items, window: int):
+            step = min(self.width, window - depth) if depth < window else 1
+            added = np.zeros(len(live), np.int64)
+            for width in range(step, 0, -1):  # what fails with more words is tried with fewer
+                ask = np.flatnonzero((added == 0) & (items.left[live] >= depth + width))
+                some = live[ask]
+                low, high = self._narrowed(symbols, some, lo[some], hi[some], depth, width)
+                got = high > low
+                lo[some[got]], hi[some[got]], added[ask[got]] = low[got], high[got], width
+            length[live] += added
+            depth += step
+            live = live[added == step]
+            if depth >= window and len(live):
+                yield depth, live, lo[live], hi[live]
+        return length, lo, hi
+
+
+class _Found:
+    """What one block of items gives for the documents of a shard."""
+
+    def __init__(self, shard: SuffixArray, tests: Items, window: int):
+        self.shard, self.tests = shard, tests
+        self.places, self.lengths = [], []  # suffixes of the shard that begin with a window
+        self.pairs, self.at, self.inner, self.length = (np.zeros(0, np.int64) for _ in range(4))  # pairs: document * items + item, sorted
+        levels = shard.search(tests, window)
+        while True:
+            try:
+                depth, suffix, lo, hi = next(levels)
+            except StopIteration as end:
+                length, lo, hi = end.value
+                break
+            lo, hi, of = self._distinct(lo, hi)
+            if depth == window:
+                self._window(suffix, lo, hi, of, window)
+            else:
+                for pairs, at, inner in self._joined(suffix, lo, hi, of):
+                    self._keep(pairs, at, inner, depth)
+        short = np.flatnonzero((tests.inner == 0) & (tests.left < window) & (length == tests.left))
+        for size in np.unique(tests.left[short]).tolist():
+            some = short[tests.left[short] == size]
+            self._window(some, *self._distinct(lo[some], hi[some]), size)
+
+    @staticmethod
+    def _distinct(lo, hi):
+        """Intervals of one depth are equal or apart: the distinct ones, and which each suffix has."""
+        lo, first, of = np.unique(lo, return_index=True, return_inverse=True)
+        return lo, hi[first], of
+
+    def _window(self, suffix, lo, hi, of, size: int) -> None:
+        places = self.shard.order[_spread(lo, hi - lo)]
+        self.places.append(places)
+        self.lengths.append(np.full(len(places), size))
+        for pairs, at, inner in self._joined(suffix, lo, hi, of):
+            old = np.isin(pairs, self.pairs, assume_unique=True)
+            self._keep(pairs[old], at[old], inner[old], size)
+            fresh = ~old
+            keys = np.concatenate((self.pairs, pairs[fresh]))
+            by = np.argsort(keys, kind="stable")
+            more = ((self.at, at[fresh]), (self.inner, inner[fresh]), (self.length, np.full(int(fresh.sum()), size)))
+            self.pairs, (self.at, self.inner, self.length) = keys[by], (np.concatenate(x)[by] for x in more)
+
+    def _keep(self, pairs, at, inner, size: int) -> None:
+        """A longer match of a pair replaces the shorter; of equally long ones the first in the document stays, then in the item."""
+        where = np.searchsorted(self.pairs, pairs)
+        better = (size > self.length[where]) | ((size == self.length[where]) & ((at < self.at[where]) | ((at == self.at[where]) & (inner < self.inner[where]))))
+        where, self_at = where[better], at[better]
+        self.length[where], self.at[where], self.inner[where] = size, self_at, inner[better]
+
+    def _joined(self, suffix, lo, hi, of):
+        """Slices of distinct (document, item) pairs that share an interval, each with its first place in both."""
+        tests, many = self.tests, hi - lo
+        place, u = self.shard.order[_spread(lo, many)], np.repeat(np.arange(len(lo)), many)
+        doc = np.searchsorted(self.shard.start, place, "right") - 1
+        by = np.lexsort((place, doc, u))
+        first = np.ones(len(by), bool)
+        first[1:] = (u[by][1:] != u[by][:-1]) | (doc[by][1:] != doc[by][:-1])
+        place, u, doc = place[by][first], u[by][first], doc[by][first]
+        by = np.lexsort((tests.inner[suffix], tests.item[suffix], of))
+        first = np.ones(len(by), bool)
+        first[1:] = (of[by][1:] != of[by][:-1]) | (tests.item[suffix[by]][1:] != tests.item[suffix[by]][:-1])
+        suffix, of = suffix[by][first], of[by][first]
+        begin = np.searchsorted(of, np.arange(len(lo) + 1))
+        each = np.diff(begin)[u]
+        total, a = np.cumsum(each), 0
+        while a < len(u):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SLICE, "right")))
+            pair = suffix[_spread(begin[u[a:b]], each[a:b])]
+            d, at = np.repeat(doc[a:b], each[a:b]), np.repeat(place[a:b], each[a:b])
+            pairs, at, inner = d * len(tests.ids) + tests.item[pair], at - d, tests.inner[pair]
+            by = np.lexsort((inner, at, pairs))
+            one = np.ones(len(by), bool)
+            one[1:] = pairs[by][1:] != pairs[by][:-1]
+            by = by[one]
+            yield pairs[by], at[by], inner[by]
+            a = b
+
+
+def _spans(drop: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """The covered stretches of each document, as word start and length."""
+    inside = np.flatnonzero(drop)
+    doc = np.searchsorted(first, inside, "right") - 1
+    new = np.ones(len(inside), bool)
+    new[1:] = (np.diff(inside) > 1) | (np.diff(doc) > 0)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(inside)))
+    struct = pa.StructArray.from_arrays([pa.array(inside[begin] - first[doc[begin]]), pa.array(size)], ["start", "length"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[begin], np.arange(len(first))), pa.int32()), struct)
+
+
+def _judged(found, words: np.ndarray, blocks, window: int) -> dict:
+    """n_words, n_hit, longest, matches, spans and contaminated of each document of a shard."""
+    first, shard, drop = found.first, None, np.zeros(len(words), bool)
+    doc, made = np.zeros(0, np.int64), [np.zeros(0, np.int64) for _ in MATCH]
+    for block in blocks if len(words) else ():
+        tests: Items = block.value
+        depth = max(window, int((tests.left + tests.inner).max(initial=1)))
+        if shard is None or shard.depth < depth:
+            shard = SuffixArray(words, first, depth)
+        got = _Found(shard, tests, window) if len(tests.words) else None
+        if got is not None and len(got.pairs):
+            d, item = got.pairs // len(tests.ids), got.pairs % len(tests.ids)
+            doc = np.concatenate((doc, d))
+            made = [np.concatenate(x) for x in zip(made, (tests.ids[item], got.inner, got.at - first[:-1][d], got.length), strict=True)]
+            places, lengths = np.concatenate(got.places), np.concatenate(got.lengths)
+            drop |= covered(len(words), places - (np.searchsorted(shard.start, places, "right") - 1), lengths)
+        if len(blocks) > 1:
+            vars(block).pop("_value", None)  # one block at a time
+    by = np.lexsort((made[1], made[2], made[0], doc))
+    doc, made = doc[by], [x[by] for x in made]
+    longest = np.zeros(len(found), np.int64)
+    np.maximum.at(longest, doc, made[3])
+    hit = np.diff(np.concatenate(([0], np.cumsum(drop)))[first])
+    struct = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in made], [f.name for f in MATCH])
+    matches = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(found) + 1)), pa.int32()), struct)
+    plain = {"n_words": found.counts, "n_hit": hit, "longest": longest, "contaminated": (hit > 0) & (20 * hit >= found.counts)}
+    return {k: pa.array(v) for k, v in plain.items()} | {"matches": matches, "spans": _spans(drop, first)}
+
+
+def _search(blocks, window: int, text: str, schema: pa.Schema):
+    results = {f.name for f in RESULTS}
+
     def run(batches):
-        tests: Items = items.value
-        longest_item = int((tests.left + tests.inner).max(initial=1))
-        limit = np.where(tests.left >= window, window, np.where(tests.inner == 0, tests.left, 0))
         for batch in chunks_by_bytes(batches, text):
-            found, words = word_hashes(batch.column(text))
-            shard = SuffixArray(words, found.first, max(window, longest_item))
-            places, suffix = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if len(tests.words) and len(words):
-                lo, hi, _ = shard.search(tests, limit)
-                many = np.where(limit > 0, hi - lo, 0)
-                suffix = np.repeat(np.arange(len(many)), many)
-                places = shard.order[np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))]
-            doc = np.searchsorted(shard.start, places, "right") - 1
-            at = places - doc  # word index without separators
-            item, inner = tests.item[suffix], tests.inner[suffix]
-            by = np.lexsort((inner, at - inner, item, doc))
-            doc, at, item, inner, length = doc[by], at[by], item[by], inner[by], limit[suffix][by]
-            hit = np.diff(np.concatenate(([0], np.cumsum(covered(len(words), at, length))))[found.first])
-            new = np.ones(len(by), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (at[1:] - inner[1:] != at[:-1] - inner[:-1]) | (inner[1:] != inner[:-1] + 1)
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(by))[: len(begin)] - 1
-            run_length = at[end] + length[end] - at[begin] if len(begin) else np.zeros(0, np.int64)
-            cuts = np.searchsorted(doc[begin], np.arange(len(found) + 1))
-            longest = np.zeros(len(found), np.int64)
-            np.maximum.at(longest, doc[begin], run_length)
-            made = [tests.ids[item[begin]], inner[begin], at[begin] - found.first[:-1][doc[begin]], run_length]
-            struct = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in made], ["item_id", "item_start", "doc_start", "length"])
-            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), struct)
-            yield pa.record_batch([batch.column(row).cast(pa.int64()), batch.column(id_col).cast(pa.int64()), pa.array(found.counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(longest), lists], names=["__lf_row", "__lf_id", "n_words", "n_hit", "longest", "matches"])
+            made = _judged(*word_hashes(batch.column(text)), blocks, window)
+            yield pa.record_batch([whole(made[f.name] if f.name in results else batch.column(f.name)).cast(f.type) for f in schema], schema=schema)
 
     return run
 
 
-def _union_of_matches(window: int):
-    def run(key, table):
-        matches = [m for row in table.column("matches").to_pylist() for m in row]
-        matches.sort(key=lambda m: (m["item_id"], m["doc_start"] - m["item_start"], m["item_start"]))  # the order of a single pass
-        n = table.column("n_words")[0].as_py()
-        spans = np.array([(m["doc_start"], m["length"]) for m in matches], np.int64).reshape(-1, 2)
-        hit = int(covered(n, spans[:, 0], spans[:, 1]).sum())
-        return pa.table([[key[0].as_py()], table.column("__lf_id")[:1], [n], [hit], [max((m["length"] for m in matches), default=0)], [matches]], schema=table.schema)
-
-    return run
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_mb: float = 8.0) -> DataFrame:
-    """One row per document: id, n_words, n_hit (words inside an occurrence of a test window), longest (words of the longest
-    verbatim match of at least a window), matches (item, start in the item, start in the document, length; all of them) and contaminated
-    (n_hit > 0 and at least a twentieth of the words).
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_mb: float = 8.0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, the carried columns, n_words, n_hit (words inside an occurrence of a test window), longest (words of the
+    longest verbatim match of at least a window), matches (the longest one of each item that has a window in the document: item, start in
+    the item, start in the document, length; the first of equally long ones), spans (hit words: start, length) and contaminated (n_hit > 0 and at least a
+    twentieth of the words).
 
     Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. An item of fewer words than a window is one
-    window; one without words or with a null id or text matches nothing. Null and empty documents have no words. An empty benchmark hits nothing.
-    Items up to `block_mb` of text are held by every task; more are searched in several passes of that size each. For these the
-    documents are stored once with a number for each row, by which the passes are merged, as ids may be null or repeated.
+    window; one without words or with a null id or text matches nothing. Null and empty documents have no words; null and repeated ids
+    and repeated rows are judged row by row; texts may be of any length, a document is searched whole. An empty benchmark hits nothing and an
+    empty table gives no rows. Items that repeat an id are matched one by one. Items are held in blocks of `block_mb` of text, of which a
+    task loads one at a time; all are searched in a single pass. Carried columns that are named as a result are left out.
     """
-    bounded_batches(docs.sparkSession)
-    part = docs.select(F.col(id_col).cast("long").alias("__lf_id"), F.col(text_col).alias("__lf_text"))
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = docs.sparkSession
+    bounded_batches(spark)
     tests = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text).alias("t")).filter("id is not null and t is not null")
     total = (tests.agg(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0) / 1e6
-    blocks = max(1, int(-(-total // block_mb)))
-    part = part.withColumn("__lf_row", F.monotonically_increasing_id())
-    if blocks > 1:
-        part = stored(part, "contamination")  # all passes see the same numbers
-    passes = []
-    for b in range(blocks):
-        rows = tests.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        items = docs.sparkSession.sparkContext.broadcast(Items.of([r["id"] for r in rows], [r["t"] for r in rows]))
-        passes.append(part.mapInArrow(frugal(_search("__lf_row", "__lf_id", "__lf_text", items, window)), FOUND))
-    found = passes[0]
-    if blocks > 1:
-        for p in passes[1:]:
-            found = found.union(p)
-        found = found.groupBy("__lf_row").applyInArrow(_union_of_matches(window), FOUND)
-    bad = (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-    return found.select(F.col("__lf_id").alias(id_col), "n_words", "n_hit", "longest", "matches", bad.alias("contaminated"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", **more) -> DataFrame:
-    """The rows of docs without the contaminated ones (all columns; a document with a null id stays)."""
-    bad = contamination(docs, benchmark, window, id_col, **more).filter("contaminated").select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
-
-
+    many, blocks = max(1, int(-(-total // block_mb))), []
+    for b in range(many):
+        rows = tests.filter(F.pmod(F.xxhash64("id"), F.lit(many)) == b).orderBy("id", "t").collect()  # block_mb of text
+        blocks.append(spark.sparkContext.broadcast(Items.of([r["id"] for r in rows], [r["t"] for r in rows])))
+    names = {f.name for f in RESULTS}
+    kept = [c for c in dict.fromkeys([id_col, *carry]) if c not in names]
+    part = docs.select(*dict.fromkeys([*kept, text_col]))
+    shape = T.StructType([*part.select(*kept).schema, *RESULTS])
+    return part.mapInArrow(frugal(_search(blocks, window, text_col, to_arrow_schema(shape))), shape)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, text_col: str = "text", **more) -> DataFrame:
+    """The rows of docs without the contaminated ones, each judged by its own text (all columns, whatever their names)."""
+    inner = [f"__lf_{i}" for i in range(len(docs.columns))]
+    named = docs.toDF(*inner)
+    judged = contamination(named, benchmark, window, inner[0], inner[docs.columns.index(text_col)], carry=tuple(inner), **more)
+    return judged.filter("not contaminated").select(*inner).toDF(*docs.columns)

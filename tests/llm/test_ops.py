@@ -277,8 +277,111 @@ def test_suffix_array_of_many_distinct_words():
     words = np.arange(1, n + 1, dtype=np.uint64)
     item = words[n - 40 : n - 10]
     shard = SuffixArray(words, np.array([0, 1000, n]), 30)
-    lo, hi, depth = shard.search(_items(item), np.full(30, 13) * (np.arange(30) <= 17))
-    assert shard.order[lo[:18]].tolist() == list(range(n - 39, n - 21)) and (hi - lo)[:18].tolist() == [1] * 18 and depth[:18].tolist() == [13] * 18
+    length, lo, hi = search(shard, _items(item), 13)
+    assert shard.order[lo].tolist() == list(range(n - 39, n - 9)) and (hi - lo).tolist() == [1] * 30 and length.tolist() == list(range(30, 0, -1))
+
+
+def search(shard, items, window):
+    levels = shard.search(items, window)
+    while True:
+        try:
+            next(levels)
+        except StopIteration as end:
+            return end.value
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
+def test_suffixes_are_searched_to_their_longest_match(letters):
+    from lexiflow.llm.decontaminate import SuffixArray
+
+    rng = np.random.default_rng(len(letters))
+    words, item = rng.integers(1, len(letters) + 1, 900).astype(np.uint64), rng.integers(1, len(letters) + 2, 60).astype(np.uint64)
+    item[10:40] = words[500:530]
+    first = np.array([0, 0, 300, 530, 900])
+    shard = SuffixArray(words, first, 60)
+    length, lo, hi = search(shard, _items(item), 13)
+    docs = [bytes(words[a:b].astype(np.uint8)) for a, b in zip(first[:-1], first[1:], strict=True)]
+    flat = bytes(item.astype(np.uint8))
+    for j in range(60):
+        want = max(n for n in range(61 - j) if any(flat[j : j + n] in d for d in docs))
+        places = {int(shard.start[d]) + i for d, text in enumerate(docs) for i in range(len(text)) if text[i : i + want] == flat[j : j + want]}
+        assert length[j] == want and (want == 0 or set(shard.order[lo[j] : hi[j]].tolist()) == places)
+
+
+def test_contamination_of_a_single_repeated_word(spark):
+    from lexiflow.llm.decontaminate import contamination
+
+    docs = spark.createDataFrame([(1, "word " * 20_000), (2, "word " * 12), (3, "x " + "word " * 13)], "doc_id long, text string")
+    got = {r.doc_id: r for r in contamination(docs, spark.createDataFrame([(1, "word " * 400), (2, "word " * 30)], "item_id long, text string")).collect()}
+    assert (got[1].n_hit, got[1].longest, [tuple(m) for m in got[1].matches]) == (20_000, 400, [(1, 0, 0, 400), (2, 0, 0, 30)])
+    assert (got[2].n_hit, got[2].matches, got[3].n_hit, got[3].longest, got[3].spans[0]) == (0, [], 13, 13, (1, 13))
+
+
+def test_contamination_places_equal_brute_force(spark):
+    from lexiflow.llm.decontaminate import contamination
+
+    rng = random.Random(8)
+    vocabulary = ["a", "b", "c"]
+    docs = [(i % 40 or None, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(60)))) for i in range(120)]
+    bench = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 40)))) for i in range(30)] + [(31, docs[5][1] + " b a"), (32, "c " + docs[50][1])]
+    frame, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    for block in (8.0, 0.0002):
+        rows = Counter()
+        for r in contamination(frame, tests, window=4, carry=("text",), block_mb=block).collect():
+            rows[r.doc_id, r.text, r.n_hit, tuple(map(tuple, r.matches)), tuple(map(tuple, r.spans))] += 1
+        want = Counter()
+        for d, text in docs:
+            w, hit, matches = text.split(), set(), []
+            for i, t in bench:
+                v, best = t.split(), None
+                for n in range(len(v), min(4, len(v)) - 1, -1):
+                    found = [(j, a) for a in range(len(v) - n + 1) for j in range(len(w) - n + 1) if w[j : j + n] == v[a : a + n]]
+                    if found and best is None:
+                        best = (i, min(found)[1], min(found)[0], n)
+                    hit |= {j + x for j, _ in found for x in range(n)}
+                if best:
+                    matches.append(best)
+            edge = [j for j in sorted(hit) if j - 1 not in hit]
+            spans = tuple((j, next(n for n in range(1, 99) if j + n not in hit)) for j in edge)
+            want[d, text, len(hit), tuple(matches), spans] += 1
+        assert rows == want
+
+
+def thue_morse(n):
+    """Two different words of 2 ** n letters whose polynomials modulo a power of two are the same for every odd base."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+def test_words_of_equal_polynomials_are_told_apart(spark):
+    from lexiflow.llm.decontaminate import contamination
+    from lexiflow.llm.minhash import near_duplicates
+
+    one, two = thue_morse(11)
+    rows = [(1, " ".join([one] * 13)), (2, " ".join([two] * 13)), (3, " ".join([one] * 13))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs, 13).collect()} == {1: 0, 2: 0, 3: 13}
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, 3, 85).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.n_hit for r in contamination(docs, spark.createDataFrame([(1, rows[0][1])], "item_id long, text string")).collect()} == {1: 13, 2: 0, 3: 13}
+    a, b = (" ".join(w) for w in thue_morse(11))  # the same of words
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    assert {r.component_id for r in near_duplicates(docs, 2048, 85).collect()} == {1, 2}
+
+
+def test_word_hashes_are_of_the_bytes():
+    import pyarrow as pa
+
+    from lexiflow.llm.textscan import SPACED, hasher, scan
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abAB\x00é語") for _ in range(n)) for n in (*range(1, 80), 5000)] * 2
+    text = scan(pa.array([" ".join(words), words[3] + "\n" + words[70]]), SPACED)
+    for fold in (False, True):
+        got = hasher(5, fold).words(text.data, text.starts, text.ends)
+        key = lambda w: low(w) if fold else w.encode()
+        assert len({(key(w), int(h)) for w, h in zip([*words, words[3], words[70]], got, strict=True)}) == len({key(w) for w in words}) == len(set(got.tolist()))
 
 
 def _items(words):
@@ -290,12 +393,15 @@ def _items(words):
 
 def test_two_words_a_key_give_the_same(data, monkeypatch):
     import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    from lexiflow.llm.decontaminate import Items, SuffixArray, _search
+    from lexiflow.llm.decontaminate import RESULTS, Items, SuffixArray, _search
 
     items = type("Held", (), {"value": Items.of([i for i, t in data[2] if t], [t for _, t in data[2] if t])})
-    batch = pa.record_batch([pa.array(range(len(data[1]))), pa.array([d[0] for d in data[1]]), pa.array([d[1] for d in data[1]])], names=["row", "id", "text"])
-    found = lambda: [b.to_pydict() for b in _search("row", "id", "text", items, 13)([batch])]
+    batch = pa.record_batch([pa.array([d[0] for d in data[1]]), pa.array([d[1] for d in data[1]])], names=["doc_id", "text"])
+    schema = to_arrow_schema(T.StructType([T.StructField("doc_id", T.LongType()), *RESULTS]))
+    found = lambda: [b.to_pydict() for b in _search([items], 13, "text", schema)([batch])]
     want = found()
     monkeypatch.setattr(SuffixArray, "NARROW", 0)
     assert found() == want and any(n for b in want for n in b["n_hit"])
