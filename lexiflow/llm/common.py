@@ -27,11 +27,23 @@ def give_back() -> None:
         _TRIM(0)
 
 
-def frugal(run):
-    """A function for mapInArrow that gives memory back at the end of its task."""
+#: What a Python worker holds from task to task, by name: each is a table that an operator fills and may find empty.
+HELD: dict[str, dict] = {}
+
+
+def let_go(keep: str | None) -> None:
+    """Drops what other operators have left in this worker, as workers outlive stages."""
+    for name, table in HELD.items():
+        if name != keep:
+            table.clear()
+
+
+def frugal(run, keep: str | None = None):
+    """A function for mapInArrow that drops what other operators hold but `keep`, and gives memory back at the end of its task."""
 
     @wraps(run)
     def wrapped(batches):
+        let_go(keep)
         try:
             yield from run(batches)
         finally:
@@ -44,6 +56,7 @@ def frugal_group(run):
     """The same for a function of applyInArrow, which counts its arguments: after each group."""
 
     def after(*args):
+        let_go(None)
         try:
             return run(*args)
         finally:

@@ -41,7 +41,7 @@ def tokenised(docs: DataFrame, tokenizer: str, kind: str, end: int, id_col: str
     16 bits each if all fit, else 32)."""
     bounded_batches(docs.sparkSession)
     part = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stored(part.mapInArrow(frugal(_tokenise(tokenizer, kind, end)), STORED), "tokens")
+    return stored(part.mapInArrow(frugal(_tokenise(tokenizer, kind, end), keep="encoders"), STORED), "tokens")
 
 
 def _cut(length: int):

@@ -9,6 +9,8 @@ from codecs import charmap_decode
 import numpy as np
 import regex
 
+from .common import HELD
+
 #: Byte-level BPE: an optional single space and a run without ASCII white space; white space runs leave their last character to what follows.
 _BYTE_PIECES = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
 #: White space outside ASCII (in UTF-8), which the byte-level pattern may join with ASCII white space.
@@ -190,7 +192,7 @@ class PieceEncoder:
         return out, first
 
 
-_ENCODERS: dict[tuple[str, str], PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, str], PieceEncoder] = HELD.setdefault("encoders", {})
 
 
 def encoder(path: str, kind: str) -> PieceEncoder:
