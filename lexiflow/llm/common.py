@@ -84,6 +84,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files that tasks write themselves."""
+    folder = f"{shared_dir(spark)}/lexiflow-{name}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    return str(files.makeQualified(path).toString()).replace("file:/", "file:///", 1) if folder.startswith("file:") else folder
+
+
+#: Rows of running totals that may be broadcast (of two or three numbers each).
+BROADCAST_ROWS = 200_000
+RUN = 4096
+
+
+def running_totals(df: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """(keys, base): the sum of n over all rows before, in the order of the keys, of which the first is a partition's number. Sums are made
+    in two levels, over runs of RUN partitions and within them, so that a task orders at most so many partitions' rows."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    rows = df.select(*keys, n).withColumn("run", F.floor(F.col(keys[0]) / RUN))
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = rows.groupBy("run").agg(F.sum(n).alias("total")).select("run", F.coalesce(F.sum("total").over(upto(Window.orderBy("run"))), F.lit(0)).alias("before"))
+    inner = F.coalesce(F.sum(n).over(upto(Window.partitionBy("run").orderBy(*keys))), F.lit(0))
+    return rows.withColumn("inner", inner).join(runs, "run").select(*keys, (F.col("before") + F.col("inner")).alias("base"))
+
+
+def with_base(df: DataFrame, bases: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the base of its keys: broadcast while that is at most BROADCAST_ROWS rows, else joined."""
+    from pyspark.sql import functions as F
+
+    bases = stored(bases, "bases")
+    return df.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, keys)
+
+
 def text_megabytes(df: DataFrame, column: str) -> float:
     """Total UTF-8 megabytes of a text column, over all rows."""
     from pyspark.sql import functions as F

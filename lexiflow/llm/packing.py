@@ -1,7 +1,7 @@
 """Concatenate and cut: documents' tokens form one long line that is cut into sequences of a fixed length.
 
 First pass: tokenise and store the ids with each document's place in its partition, and total each partition. Prefix sums over the
-partition totals (one row a partition) give global offsets. Second pass: cut each document where the line passes a multiple of
+partition totals (one row a partition, in two levels) give global offsets. Second pass: cut each document where the line passes a multiple of
 the length; the pieces are the boundary records. Only the last sequence can need padding.
 """
 
@@ -10,10 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks_by_bytes, frugal, stored
+from .common import bounded_batches, chunks_by_bytes, frugal, running_totals, stored, with_base
 from .tokens import encoder
 
 STORED = "doc_id long, part long, place long, doc_tokens long, ids binary"
@@ -25,8 +25,8 @@ def _tokenise(path: str, kind: str, end: int):
         part, place = TaskContext.get().partitionId(), 0
         code = encoder(path, kind)
         small = "<u2" if code.tokenizer.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
-        for batch in chunks_by_bytes(batches, "text", 1 << 20):
-            ids, first = code.encode(batch.column("text").cast(pa.binary()).to_pylist(), end)
+        for batch in chunks_by_bytes(batches, "text", 2 << 20):
+            ids, first = code.encode(batch.column("text"), end)
             blob = ids.astype(small)
             offsets = pa.array(first * blob.itemsize, pa.int32()).buffers()[1]
             n = batch.num_rows
@@ -80,7 +80,5 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 1, leng
         raise ValueError("length must be positive")
     kept = tokenised(docs, tokenizer, kind, end, id_col, text_col)
     totals = kept.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))  # as many rows as partitions
-    line = kept.join(F.broadcast(bases), "part").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("place")).alias("line"))
+    line = with_base(kept, running_totals(totals, ["part"], "n"), ["part"]).select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("place")).alias("line"))
     return line.mapInArrow(frugal(_cut(length)), PIECES)
