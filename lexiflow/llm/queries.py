@@ -68,8 +68,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "byte", end=2)
-    return read_token_files(files).select("doc_id", F.col("place").alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    files, folder = write_token_files(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "byte", end=2)
+    return read_token_files(files, folder).select("doc_id", F.col("place").alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from lexiflow.llm import queries as Q
 from lexiflow.llm.language_id import CompressionClassifier, has_letter, sample_dictionaries
 from lexiflow.llm.license_scan import evaluate, parse_expression
 from lexiflow.llm.substring_dedup import substring_dedup
-from lexiflow.llm.token_codes import TokenFile, encode_file, export, write_token_files
+from lexiflow.llm.token_codes import TokenFile, encode_file, read_token_files, write_token_files
 from lexiflow.llm.tokens import PieceEncoder
 from lexiflow.llm.url_filter import viterbi
 
@@ -179,7 +179,7 @@ def test_op5(spark, data):
     assert sorted(sum(n for _, n in s) for s in fill.values())[1:] == [2048] * (len(fill) - 1)
 
 
-def test_op7(spark, data, tmp_path):
+def test_op7(spark, data):
     from tokenizers import Tokenizer
 
     tokenizer, got, at = Tokenizer.from_file(Q.tokenizer_path("byte_bpe_50k.json")), {r.doc_id: tuple(r)[1:] for r in Q.op7_token_files(spark, data[0]).collect()}, 0
@@ -187,9 +187,20 @@ def test_op7(spark, data, tmp_path):
         ids = np.array([*tokenizer.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert got[d] == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    files = write_token_files(spark.createDataFrame([(5, "b c"), (None, None), (5, "d" * 9)], "doc_id long, text string"), Q.tokenizer_path("byte_bpe_50k.json"), file_tokens=1).orderBy("part", "piece").collect()
-    export(files[0], str(tmp_path / "f.dac"))
-    assert TokenFile((tmp_path / "f.dac").read_bytes()).doc_ids[0] == np.iinfo(np.int64).min
+
+
+def test_token_files_in_order_with_null_and_repeated_ids(spark):
+    rows = [(5, "b c"), (None, None), (5, "d" * 9), (-3, ""), (None, "x y"), (5, "b c")]
+    files, folder = write_token_files(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), Q.tokenizer_path("byte_bpe_50k.json"), file_tokens=1, partition_mb=1e-6)
+    made = [TokenFile(open(r.path, "rb").read()) for r in files.orderBy("part", "piece").collect()]
+    names = [i for f in made for i in f.doc_ids(0, f.n_docs).tolist()]
+    assert names == [np.iinfo(np.int64).min] * 2 + [-3, 5, 5, 5]
+    plain = PieceEncoder(Q.tokenizer_path("byte_bpe_50k.json"), "byte")
+    texts = [None, "x y", "", "b c", "d" * 9, "b c"]
+    docs = [f.document(k).tolist() for f in made for k in range(f.n_docs)]
+    assert docs == [plain.encode([t], 2)[0].tolist() for t in texts]
+    read = sorted((r.place, r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in read_token_files(files, folder, docs_at_once=1).collect())
+    assert [x[2] for x in read] == docs and [x[1] for x in read] == [None, None, -3, 5, 5, 5] and [x[0] for x in read] == np.cumsum([0, *map(len, docs)])[:-1].tolist()
 
 
 def test_token_file_random_access():
@@ -197,7 +208,13 @@ def test_token_file_random_access():
     ids = np.concatenate((rng.integers(0, 200, 3000), rng.integers(0, 2**31, 3000), [0, 255, 256, 65535, 65536])).astype(np.uint32)
     rng.shuffle(ids)
     file = TokenFile(encode_file(ids, np.array([1, 2]), np.array([0, 10, len(ids)])))
-    assert (file.tokens() == ids).all() and all(file.token(i) == ids[i] for i in range(0, len(ids), 37)) and len(file.levels) == 4
+    n = len(ids)
+    assert (file.tokens(0, n) == ids).all() and all(file.token(i) == ids[i] for i in range(0, n, 37)) and len(file.levels) == 4
+    for a, b in [(0, 0), (n, n), (511, 513), (512, 1024), (1, 8), (5997, n), *rng.integers(0, n, (50, 2)).tolist()]:
+        assert (file.tokens(min(a, b), max(a, b)) == ids[min(a, b) : max(a, b)]).all()
+    whole = np.arange(256, 256 + 1024)  # as many ids as two blocks, all of which go on
+    assert (TokenFile(encode_file(whole, np.array([1]), np.array([0, 1024]))).tokens(1000, 1024) == whole[1000:]).all()
+    assert TokenFile(encode_file(np.zeros(0, np.uint32), np.zeros(0), np.zeros(1))).tokens(0, 0).tolist() == []
     with pytest.raises(IndexError):
         file.token(len(ids))
 
@@ -207,6 +224,9 @@ def test_piece_encoder_is_exact():
 
     odd = ["a\xa0 b  c \n\n d\u3000e", "x  y\n\nZ \t q'ss don't I'LL  ", "<|endoftext|> hi", " lead", "trail \n", "\n\nA", "é́ ", None, "", " ", "a \n\xa0b", "ﬀ ΑΣ Σ İ", " \x1c x\x1cy"]
     odd += ["a\nb c\nd.\nÉté!", "\na b", "a b\n", "a\n\nb", "a\n b \nc", "***", " *** x*** é***y", "É, naïve... 5é ñ's ªº µ 12. don't. x'", "a\rb", "\n", "ä" * 3000, "b\x0bc d\x0c"]
+    odd += ["a\x00b \x00 c\x00", "x" * 15 + " " + "x" * 16 + " é" + "y" * 13 + " aaaaaaaaaaaaaaa aaaa", "×a a÷b ß ẞ", "a .b ,, c.. ¡Hola!"]
+    rng, signs = random.Random(1), [*"abcdeABCÉéßàñ×÷ \n\t  ''.,!?\"0129-", "'s", "'ll", " \n", "\xa0", "ł", "中", "\x00", "e\u0301"]
+    odd += ["".join(rng.choice(signs[: 30 if i % 2 else None]) for _ in range(rng.randrange(80))) for i in range(600)]
     for name, kind in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")):
         code, plain = PieceEncoder(Q.tokenizer_path(name), kind), Tokenizer.from_file(Q.tokenizer_path(name))
         ids, first = code.encode(odd, 1)
