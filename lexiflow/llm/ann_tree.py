@@ -1,246 +1,309 @@
 """Approximate nearest neighbours by a hierarchical k-means tree with best-bin-first search.
 
-The tree is fitted on a bounded sample; every vector is indexed. Equal vectors are indexed once, with their smallest ids, as many
-as any query can need. A query walks the tree with a priority queue ordered by the inner product with the centroids and
-visits leaves until it has seen enough vectors. How many that is comes from a calibration: the number is widened until the recall
-against brute force, over a bounded sample of queries and all vectors, reaches the target.
+The tree is fitted in two steps, so that it grows with the table: its upper part on a bounded sample of all vectors, the part below
+each of its leaves by a task, on a bounded sample of that leaf's vectors. Every vector is indexed. Equal vectors are indexed once, with
+their smallest ids, as many as any query can need. A query walks the tree with a priority queue ordered by the inner product with
+the centroids and visits leaves until it has seen enough vectors. How many that is comes from a calibration: for a bounded sample of
+queries, all vectors are searched by brute force, and the number is widened until the leaves visited hold the aimed share of them.
 
-Leaves and the queries that visit them are cut into blocks of bounded size, which are joined by leaf and scored as matrices.
+Leaves are cut into blocks of bounded size; queries travel as matrices, one a leaf and batch, and both are joined by leaf.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, frugal, frugal_group, stored, whole
 
-SAMPLE = 20_000
+SAMPLE, LEAF_SAMPLE = 20_000, 4_096
 CALIBRATION = 64
 BRANCH = 8
-LEAF = 64
+#: Vectors of a leaf that is small enough. UPPER and LOWER bound the leaves of the upper part and of what is grown below each of them.
+LEAF, UPPER, LOWER = 64, 512, 128
 BLOCK_ROWS = 1024
+QUERY_ROWS = 512
 
 
-class KMeansTree:
-    """Nodes as arrays; children[i] lists the children of an inner node, a leaf has a number in leaf_of."""
+def _nearest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return np.argmin((centers**2).sum(axis=1) - 2 * (rows @ centers.T), axis=1)
 
-    def __init__(self, sample: np.ndarray, seed: int = 7):
-        self.centroids, self.children, self.leaf_of, self.leaves = [np.zeros(sample.shape[1])], [[]], [-1], 0
-        rng, todo = np.random.default_rng(seed), [(0, sample)]
-        while todo:
-            node, rows = todo.pop()
-            groups = self._split(rows, rng) if len(rows) > LEAF else []
-            if len(groups) < 2:
-                self.leaf_of[node], self.leaves = self.leaves, self.leaves + 1
-                continue
-            for center, part in groups:
-                self.children[node].append(len(self.centroids))
-                todo.append((len(self.centroids), part))
-                self.centroids.append(center)
-                self.children.append([])
-                self.leaf_of.append(-1)
-        self.matrix = np.array(self.centroids)
-        self.centroids = None
+
+class KMeansTree:
+    """Nodes as arrays: the children of node i are first[i] .. first[i] + many[i]; a leaf has none and a number in leaf_of."""
+
+    def __init__(self, sample: np.ndarray, leaf_rows: int, seed: int = 7):
+        rng, centers, self.first, self.many, at = np.random.default_rng(seed), [np.zeros(sample.shape[1])], [0], [0], 0
+        rows = [sample]
+        while at < len(rows):  # breadth first, so that children stand together
+            groups = self._split(rows[at], rng) if len(rows[at]) > leaf_rows else []
+            if len(groups) > 1:
+                self.first[at], self.many[at] = len(rows), len(groups)
+                for center, part in groups:
+                    centers.append(center)
+                    rows.append(part)
+                    self.first.append(0)
+                    self.many.append(0)
+            rows[at], at = rows[at][:0], at + 1
+        self.matrix, self.first, self.many = np.array(centers), np.array(self.first), np.array(self.many)
+        self._number()
+
+    def _number(self) -> None:
+        self.leaf_of = np.where(self.many == 0, np.cumsum(self.many == 0) - 1, -1)
+        self.leaves = int((self.many == 0).sum())
 
     @staticmethod
     def _split(rows: np.ndarray, rng) -> list[tuple[np.ndarray, np.ndarray]]:
         centers = rows[rng.choice(len(rows), min(BRANCH, len(rows)), replace=False)]
-        near = np.zeros(len(rows), np.int64)
         for _ in range(8):
-            near = KMeansTree._nearest(rows, centers)
+            near = _nearest(rows, centers)
             centers = np.array([rows[near == k].mean(axis=0) if (near == k).any() else centers[k] for k in range(len(centers))])
-        near = KMeansTree._nearest(rows, centers)
+        near = _nearest(rows, centers)
         return [(centers[k], rows[near == k]) for k in range(len(centers)) if (near == k).any()]
 
-    @staticmethod
-    def _nearest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
-        return np.argmin((centers**2).sum(axis=1) - 2 * (rows @ centers.T), axis=1)
+    def grafted(self, below: dict[int, KMeansTree]) -> KMeansTree:
+        """This tree with others in the place of its leaves (by number); their roots' centroids are those of the leaves."""
+        out = object.__new__(KMeansTree)
+        matrix, first, many, n = [self.matrix], [self.first.copy()], [self.many.copy()], len(self.many)
+        node_of = np.flatnonzero(self.many == 0)
+        for leaf, tree in sorted(below.items()):
+            if tree.many[0]:
+                first[0][node_of[leaf]], many[0][node_of[leaf]] = n, tree.many[0]
+                matrix.append(tree.matrix[1:])
+                first.append(tree.first[1:] - 1 + n)
+                many.append(tree.many[1:])
+                n += len(tree.many) - 1
+        out.matrix, out.first, out.many = np.concatenate(matrix), np.concatenate(first), np.concatenate(many)
+        out._number()
+        return out
+
+    def dump(self) -> bytes:
+        held = io.BytesIO()
+        np.savez(held, matrix=self.matrix, first=self.first, many=self.many)
+        return held.getvalue()
+
+    @classmethod
+    def load(cls, data: bytes) -> KMeansTree:
+        out, held = object.__new__(cls), np.load(io.BytesIO(data))
+        out.matrix, out.first, out.many = held["matrix"], held["first"], held["many"]
+        out._number()
+        return out
 
     def assign(self, rows: np.ndarray) -> np.ndarray:
         """Leaf of each row, by descent to the nearest centroid."""
         out, todo = np.zeros(len(rows), np.int64), [(0, np.arange(len(rows)))]
         while todo:
             node, at = todo.pop()
-            if not len(at):
-                continue
-            kids = self.children[node]
-            if not kids:
+            if not self.many[node]:
                 out[at] = self.leaf_of[node]
                 continue
-            near = self._nearest(rows[at], self.matrix[kids])
-            todo += [(kid, at[near == k]) for k, kid in enumerate(kids)]
+            kids = np.arange(self.first[node], self.first[node] + self.many[node])
+            near = _nearest(rows[at], self.matrix[kids])
+            todo += [(kid, at[near == k]) for k, kid in enumerate(kids.tolist()) if (near == k).any()]
         return out
 
-    def visit(self, query: np.ndarray, sizes: np.ndarray, enough: float):
+    def visit(self, query: np.ndarray, sizes: np.ndarray, enough: float) -> list[int]:
         """Leaves in best-bin-first order until `enough` indexed vectors have been seen."""
-        dots, queue, seen = self.matrix @ query, [(0.0, 0)], 0
+        dots, queue, seen, out = (self.matrix @ query).tolist(), [(0.0, 0)], 0, []
+        first, many, leaf_of = self.first.tolist(), self.many.tolist(), self.leaf_of.tolist()
         while queue and seen < enough:
-            _, node = heapq.heappop(queue)
-            while self.children[node]:
-                kids = self.children[node]
-                best = max(kids, key=lambda k: dots[k])
+            node = heapq.heappop(queue)[1]
+            while many[node]:
+                kids = range(first[node], first[node] + many[node])
+                best = max(kids, key=dots.__getitem__)
                 for kid in kids:
                     if kid != best:
                         heapq.heappush(queue, (-dots[kid], kid))
                 node = best
-            seen += sizes[self.leaf_of[node]]
-            yield self.leaf_of[node]
+            out.append(leaf_of[node])
+            seen += sizes[leaf_of[node]]
+        return out
 
 
 def exact_scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products of row pairs in double precision, the same for equal rows wherever they stand."""
-    return (queries * rows).sum(axis=1)
+    return (queries.astype(np.float64) * rows).sum(axis=1)
 
 
 def _matrix(column) -> np.ndarray:
-    return np.array([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
+    """Vectors of equal length without nulls, one a row, in their own precision."""
+    column = whole(column)
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
+
+
+def _vectors(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1)))
 
 
 def _assign(tree):
-    def run(frames):
-        for frame in frames:
-            frame["leaf"] = tree.value.assign(_matrix(frame["vector"]))
-            yield frame
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                leaf = tree.value.assign(_matrix(batch.column("vector")))
+                yield pa.record_batch([batch.column("group_id"), batch.column("vector"), pa.array(leaf)], names=["group_id", "vector", "leaf"])
 
     return run
 
 
-def _route(tree, sizes, enough):
-    def run(frames):
-        for frame in frames:
-            rows = [(leaf, q, v) for q, v in zip(frame["query_id"], frame["vector"], strict=True) for leaf in tree.value.visit(np.asarray(v, np.float64), sizes.value, enough)]
-            yield pd.DataFrame(rows, columns=["leaf", "query_id", "vector"])
+def _fit_below(key, table):
+    """What is grown below one leaf: leaves of about LEAF vectors, LOWER at most in number, by the share of the sample."""
+    rows, size = _matrix(table.column("vector")), table.column("size")[0].as_py()
+    tree = KMeansTree(rows, max(LEAF * len(rows) / size, 2 * len(rows) / LOWER, 1))
+    return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([tree.dump()], pa.binary())})
+
+
+def _route(tree, sizes, enough: float):
+    """Queries as one matrix a leaf they visit, for each batch."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, QUERY_ROWS):
+                part = batch.slice(a, QUERY_ROWS)
+                ids, rows, at = part.column("query_id").to_numpy(), _matrix(part.column("vector")), {}
+                for i, row in enumerate(rows):
+                    for leaf in tree.value.visit(row, sizes.value, enough):
+                        at.setdefault(leaf, []).append(i)
+                leaves = list(at)
+                for b in range(0, len(leaves), 64):
+                    some = leaves[b : b + 64]
+                    yield pa.record_batch([pa.array(some, pa.int64()), pa.array([ids[at[x]].tobytes() for x in some], pa.binary()), pa.array([rows[at[x]].tobytes() for x in some], pa.binary())], names=["leaf", "q_ids", "q_matrix"])
 
     return run
 
 
-def _pack_blocks(id_name: str):
-    """Rows of one block (a leaf and a slice of it) as one row: ids and a matrix."""
+def _pack_block(key, table):
+    """Vectors of one block (a leaf and a slice of it) as one row: ids and a matrix."""
+    return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([table.column("group_id").to_numpy().tobytes()], pa.binary()), "matrix": pa.array([_matrix(table.column("vector")).tobytes()], pa.binary())})
 
-    def run(key, frame):
-        return pd.DataFrame({"leaf": [key[0]], "ids": [frame[id_name].to_numpy(np.int64).tobytes()], "matrix": [_matrix(frame["vector"]).tobytes()]})
 
-    return run
+def _best(k: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k largest of each row, with a few ulps of slack, so that the exact measure decides."""
+    if score.shape[1] <= k:
+        return np.nonzero(np.ones_like(score, bool))
+    floor = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+    return np.nonzero(score >= (floor - 1e-12 * (1 + np.abs(floor)))[:, None])
 
 
-def _score(k: int):
-    def run(frames):
-        for frame in frames:
-            parts = []
-            for q_ids, q_rows, ids, rows in zip(frame["q_ids"], frame["q_matrix"], frame["ids"], frame["matrix"], strict=True):
-                qi, vi = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q, v = np.frombuffer(q_rows).reshape(len(qi), -1), np.frombuffer(rows).reshape(len(vi), -1)
-                rough = q @ v.T
-                if v.shape[0] > k + 1:  # a few ulps of slack, so that the exact measure below decides
-                    floor = np.partition(rough, v.shape[0] - k - 1, axis=1)[:, v.shape[0] - k - 1]
-                    a, b = np.nonzero(rough >= (floor - 1e-12 * (1 + np.abs(floor)))[:, None])
-                else:
-                    a, b = np.nonzero(np.ones_like(rough, bool))
-                parts.append(pd.DataFrame({"query_id": qi[a], "group_id": vi[b], "score": exact_scores(q[a], v[b])}))
-            yield pd.concat(parts) if parts else pd.DataFrame({"query_id": np.zeros(0, np.int64), "group_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+def _score(k: int, kind: str):
+    def run(batches):
+        for batch in batches:
+            for one in batch.to_pylist():
+                qi, vi = np.frombuffer(one["q_ids"], np.int64), np.frombuffer(one["ids"], np.int64)
+                q, v = np.frombuffer(one["q_matrix"], kind).reshape(len(qi), -1).astype(np.float64), np.frombuffer(one["matrix"], kind).reshape(len(vi), -1).astype(np.float64)
+                a, b = _best(k + 1, q @ v.T)
+                yield pa.record_batch([pa.array(qi[a]), pa.array(vi[b]), pa.array(exact_scores(q[a], v[b]))], names=["query_id", "group_id", "score"])
 
     return run
 
 
-def _brute(queries):
-    """Per task: the k best scores of each calibration query among its vectors (a running merge, so memory is bounded)."""
+def _brute(queries, k: int):
+    """Per task: for each calibration query the leaves of its k best among the task's vectors (a running merge, so memory is bounded)."""
 
-    def run(frames):
-        q_ids, q, k = queries.value
-        best = np.full((len(q), 0), 0.0)
-        for frame in frames:
-            rough = q @ _matrix(frame["vector"]).T
-            rough[np.equal.outer(q_ids, frame["group_id"].to_numpy())] = -np.inf
-            best = -np.sort(-np.concatenate((best, rough), axis=1), axis=1)[:, :k]
-        rows = [(int(i), s) for i, line in zip(q_ids, best, strict=True) for s in line if s > -np.inf]
-        yield pd.DataFrame(rows, columns=["query_id", "score"])
+    def run(batches):
+        q_ids, q = queries.value
+        best, leaves = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+        for batch in batches:
+            score = q @ _matrix(batch.column("vector")).astype(np.float64).T
+            score[np.equal.outer(q_ids, batch.column("group_id").to_numpy())] = -np.inf
+            score, here = np.concatenate((best, score), axis=1), np.concatenate((leaves, np.broadcast_to(batch.column("leaf").to_numpy(), score.shape)), axis=1)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            best, leaves = np.take_along_axis(score, top, 1), np.take_along_axis(here, top, 1)
+        a, b = np.nonzero(best > -np.inf)
+        yield pa.record_batch([pa.array(q_ids[a]), pa.array(best[a, b]), pa.array(leaves[a, b])], names=["query_id", "score", "leaf"])
 
     return run
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def grow_tree(groups: DataFrame, kind: str) -> KMeansTree:
+    """A tree over all vectors of groups (group_id, vector): the upper part here, from a sample of at most SAMPLE, what stands below its leaves by
+    tasks, from at most LEAF_SAMPLE vectors of each. It has UPPER * LOWER leaves at most, so its size is bounded."""
+    spark = groups.sparkSession
+    sample = groups.orderBy(F.xxhash64("group_id"), "group_id").limit(SAMPLE).select("vector").toArrow()  # at most SAMPLE rows
+    rows = _matrix(sample.column("vector"))
+    upper = KMeansTree(rows, max(LEAF, 2 * len(rows) / UPPER))
+    placed = stored(groups.mapInArrow(frugal(_assign(spark.sparkContext.broadcast(upper))), f"group_id long, vector array<{kind}>, leaf long"), "upper")
+    large = placed.groupBy("leaf").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * LEAF)
+    order = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("group_id"), "group_id"))
+    taken = placed.withColumn("r", order).filter(F.col("r") <= LEAF_SAMPLE).join(large, "leaf").select("leaf", "size", "vector")
+    below = taken.groupBy("leaf").applyInArrow(frugal_group(_fit_below), "leaf long, data binary").collect()  # UPPER trees of LOWER leaves at most
+    return upper.grafted({r["leaf"]: KMeansTree.load(r["data"]) for r in below})
+
+
+def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """For every vector whose id is divisible by `every`: its k nearest others found (query_id, rank from 1, vec_id, score), by the largest
     inner product, ties to the smaller id.
 
     Vectors that are null, zero, of another length than most (the longest of equally frequent lengths), or hold null or
-    non-finite components take no part, nor do null ids; repeated rows of one id count once. Bounds: the tree is fitted on at most SAMPLE
-    vectors and calibrated on at most CALIBRATION queries; every vector is indexed. An empty table gives no rows.
+    non-finite components take no part, nor do null ids; an id that is repeated counts once, with its smallest vector. Bounds: the tree is fitted on at
+    most SAMPLE vectors and LEAF_SAMPLE of each upper leaf, and calibrated on at most CALIBRATION queries; every vector is indexed. An
+    empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     vec = F.col(vector_col)
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
     sound = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists(vec, lambda x: x != 0)
-    usable = vectors.filter(F.col(id_col).isNotNull() & vec.isNotNull()).filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), vec.cast("array<double>").alias("vector"))
+    usable = vectors.filter(F.col(id_col).isNotNull() & vec.isNotNull()).filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), vec.cast(f"array<{kind}>").alias("vector"))
     lengths = usable.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    empty = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
-        return spark.createDataFrame([], empty)
-    usable = stored(usable.filter(F.size("vector") == lengths["n"]).dropDuplicates(["vec_id"]).withColumn("print", F.xxhash64("vector")), "vectors")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    usable = usable.filter(F.size("vector") == lengths["n"]).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    usable = stored(usable.withColumn("print", F.xxhash64("vector")), "vectors")
     # Of equal vectors, a query can return k, or k + 1 when one of them is the query itself.
     alike = Window.partitionBy("print", "vector").orderBy("vec_id")
     members = usable.withColumn("r", F.row_number().over(alike)).filter(F.col("r") <= k + 1)
     members = stored(members.withColumn("group_id", F.first("vec_id").over(alike)).select("vec_id", "group_id", "r", "vector"), "members")
     groups = members.filter("r = 1").select("group_id", "vector")
-    sample = groups.orderBy(F.xxhash64("group_id"), "group_id").limit(SAMPLE).collect()  # at most SAMPLE rows
-    tree = KMeansTree(_matrix([r["vector"] for r in sample]))
+    tree = grow_tree(groups, kind)
     sent = spark.sparkContext.broadcast(tree)
-    indexed = stored(groups.mapInPandas(_assign(sent), "group_id long, vector array<double>, leaf long"), "leaves")
+    indexed = stored(groups.mapInArrow(frugal(_assign(sent)), f"group_id long, vector array<{kind}>, leaf long"), "leaves")
     sizes = np.zeros(tree.leaves)
     for row in indexed.groupBy("leaf").count().collect():  # one row a leaf
         sizes[row["leaf"]] = row["count"]
     queries = usable.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "vector")
-    trial = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION)
-    truth = _truth(spark, indexed, trial, k)
-    sent_sizes = spark.sparkContext.broadcast(sizes)
-    total, enough = float(sizes.sum()), max(4.0 * k, float(sizes.sum()) / 64)
-    while True:
-        found = _candidates(indexed, trial, sent, sent_sizes, enough, k)
-        if enough >= total or _recall(truth, found, k) >= recall:
-            break
-        enough *= 1.5
-    near = _candidates(indexed, queries, sent, sent_sizes, enough, k)
-    whole = near.join(members.select("group_id", "vec_id"), "group_id").filter("vec_id != query_id")
+    enough = _calibrated(tree, sizes, indexed, queries, k, recall)
+    near = _candidates(indexed, queries, sent, spark.sparkContext.broadcast(sizes), enough, k, "f4" if kind == "float" else "f8")
+    found = near.join(members.select("group_id", "vec_id"), "group_id").filter("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return whole.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _blocks(df: DataFrame, id_name: str) -> DataFrame:
-    """Blocks of about BLOCK_ROWS rows: every leaf's rows are dealt by a hash of the id to as many slices as its size asks for."""
-    many = df.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("slices"))
-    dealt = df.join(many, "leaf").withColumn("slice", F.pmod(F.xxhash64(id_name), F.col("slices")))
-    return dealt.groupBy("leaf", "slice").applyInPandas(_pack_blocks(id_name), "leaf long, ids binary, matrix binary")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _candidates(indexed: DataFrame, queries: DataFrame, tree, sizes, enough: float, k: int) -> DataFrame:
+def _candidates(indexed: DataFrame, queries: DataFrame, tree, sizes, enough: float, k: int, kind: str) -> DataFrame:
     """(query_id, group_id, score): each query's k + 1 best distinct vectors (one may be its own) among those it visits."""
-    routed = queries.mapInPandas(_route(tree, sizes, enough), "leaf long, query_id long, vector array<double>")
-    asked = _blocks(routed, "query_id").withColumnsRenamed({"ids": "q_ids", "matrix": "q_matrix"})
-    scored = asked.join(_blocks(indexed, "group_id"), "leaf").select("q_ids", "q_matrix", "ids", "matrix").mapInPandas(_score(k), "query_id long, group_id long, score double")
+    asked = queries.mapInArrow(frugal(_route(tree, sizes, enough)), "leaf long, q_ids binary, q_matrix binary")
+    many = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("slices"))
+    dealt = indexed.join(many, "leaf").withColumn("slice", F.pmod(F.xxhash64("group_id"), F.col("slices")))
+    blocks = dealt.groupBy("leaf", "slice").applyInArrow(frugal_group(_pack_block), "leaf long, ids binary, matrix binary")
+    scored = asked.join(blocks, "leaf").select("q_ids", "q_matrix", "ids", "matrix").mapInArrow(frugal(_score(k, kind)), "query_id long, group_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "group_id"))
     return scored.withColumn("r", rank).filter(F.col("r") <= k + 1).drop("r")
 
 
-def _truth(spark, indexed: DataFrame, trial: DataFrame, k: int) -> dict[int, list[float]]:
-    rows = trial.collect()  # at most CALIBRATION rows
-    queries = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows], np.int64), _matrix([r["vector"] for r in rows]) if rows else np.zeros((0, 1)), k))
-    if not rows:
-        return {}
-    best = indexed.mapInPandas(_brute(queries), "query_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-    top = best.withColumn("r", rank).filter(F.col("r") <= k).collect()  # at most CALIBRATION * k rows
-    out: dict[int, list[float]] = {}
-    for r in top:
-        out.setdefault(r["query_id"], []).append(r["score"])
-    return out
-
-
-def _recall(truth: dict[int, list[float]], found: DataFrame, k: int) -> float:
-    got: dict[int, list[float]] = {}
-    for r in found.filter("query_id != group_id").collect():  # at most CALIBRATION * (k + 1) rows
-        got.setdefault(r["query_id"], []).append(r["score"])
-    shares = [sum(s >= min(want) - 1e-9 for s in sorted(got.get(q, []), reverse=True)[:k]) / len(want) for q, want in truth.items() if want]
-    return float(np.mean(shares)) if shares else 1.0
+def _calibrated(tree: KMeansTree, sizes: np.ndarray, indexed: DataFrame, queries: DataFrame, k: int, recall: float) -> float:
+    """How many vectors a query must see so that a sample of queries finds the share `recall` of its true neighbours: widened leaf by leaf."""
+    trial = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(CALIBRATION).toArrow()  # at most CALIBRATION rows
+    total, enough = float(sizes.sum()), 4.0 * k
+    if not trial.num_rows:
+        return enough
+    ids, rows = trial.column("query_id").to_numpy(), _matrix(trial.column("vector")).astype(np.float64)
+    sent = queries.sparkSession.sparkContext.broadcast((ids, rows))
+    best = indexed.mapInArrow(frugal(_brute(sent, k)), "query_id long, score double, leaf long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "leaf"))
+    truth: dict[int, list[int]] = {}
+    for r in best.withColumn("r", rank).filter(F.col("r") <= k).collect():  # at most CALIBRATION * k rows
+        truth.setdefault(r["query_id"], []).append(r["leaf"])
+    need, shares = [], []  # vectors seen before a true neighbour's leaf, and its share of its query's result
+    for q, row in zip(ids.tolist(), rows, strict=True):
+        order = tree.visit(row, sizes, total)
+        seen = dict(zip(order, (np.cumsum(sizes[order]) - sizes[order]).tolist(), strict=True))
+        need += [seen[leaf] for leaf in truth.get(q, [])]
+        shares += [1 / len(truth[q])] * len(truth.get(q, []))
+    while enough < total and sum(s for n, s in zip(need, shares, strict=True) if n < enough) < recall * len(truth):
+        enough = min(total, enough * 1.05)
+    return enough
