@@ -125,16 +125,11 @@ def is_completion_of(typed: Column, word: Column) -> Column:
     return (F.length(typed) >= C.MIN_COMPLETION) & (F.length(word) > F.length(typed)) & word.startswith(typed)
 
 
-def one_edit_away(word: Column) -> Column:
-    """Distinct deletes, neighbour swaps, replaces and inserts over a-z (the word itself may be among them)."""
-    n, letters = F.length(word), F.split(F.lit("abcdefghijklmnopqrstuvwxyz"), "")
-    letters = F.filter(letters, lambda x: x != "")
-    cut = lambda i: F.concat(F.left(word, i - 1), word.substr(i + 1, n))
-    deletes = F.transform(numbers(1, n), cut)
-    swaps = F.transform(numbers(1, n - 1), lambda i: F.concat(F.left(word, i - 1), word.substr(i + 1, F.lit(1)), word.substr(i, F.lit(1)), word.substr(i + 2, n)))
-    replaces = F.flatten(F.transform(numbers(1, n), lambda i: F.transform(letters, lambda x: F.concat(F.left(word, i - 1), x, word.substr(i + 1, n)))))
-    inserts = F.flatten(F.transform(numbers(0, n), lambda i: F.transform(letters, lambda x: F.concat(F.left(word, i), x, word.substr(i + 1, n)))))
-    return F.array_distinct(F.concat(deletes, swaps, replaces, inserts))
+def is_one_edit_away(word: Column, other: Column) -> Column:
+    """Whether a deletion, a swap of neighbours, or a letter a-z put in or in the place of another turns word into other."""
+    marks = lambda w: F.length(w) - F.length(F.translate(w, "'", ""))
+    near = F.levenshtein(word, other, 2)
+    return (near == 1) & (marks(other) <= marks(word)) | (near == 2) & F.array_contains(letter_swaps(word), other)
 
 
 def deletions(word: Column, k: int) -> Column:

@@ -31,7 +31,8 @@ def check_real_words(probes: DataFrame, words: DataFrame, bigrams: DataFrame, le
     options = F.broadcast(confusions(spark).withColumnRenamed("word", "low"))  # a fixed table
     learned = learned_pairs if learned_pairs is not None else spark.createDataFrame([], "first string, second string, cnt long")
     net = bigrams.join(learned.select("first", "second", F.col("cnt").alias("l")), ["first", "second"], "left").select("first", "second", F.greatest(F.lit(0), F.col("cnt") - F.coalesce("l", F.lit(0))).alias("n"))
-    rows = ask.join(options, "low", "left").crossJoin(F.broadcast(words.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("all"))))
+    plain = ask.join(options.select("low").distinct(), "low", "left_anti")  # what nobody mixes up needs no lookups
+    rows = ask.join(options, "low").crossJoin(F.broadcast(words.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("all"))))
 
     def pair(df: DataFrame, first: str, second: str, name: str) -> DataFrame:
         return df.join(net.select(F.col("first").alias(first), F.col("second").alias(second), F.col("n").alias(name)), [first, second], "left").fillna(0, [name])
@@ -57,12 +58,14 @@ def check_real_words(probes: DataFrame, words: DataFrame, bigrams: DataFrame, le
     rows = rows.withColumns({"evidence": (c("n_ba") > 0) | (c("n_aa") > 0), "advantage": left * F.when(c("a") != "", right).otherwise(F.lit(1.0))})
     order = Window.partitionBy("before", "word", "after").orderBy(F.desc("evidence"), F.desc("advantage"), "alternative")
     best = rows.withColumn("r", F.row_number().over(order)).filter("r = 1")
-    reason = F.lit("real word fixing is off") if not enabled else (
-        F.when(c("alternative").isNull(), "not a word people mix up")
-        .when((c("b") == "") & (c("a") == ""), "nothing around it to go on")
+    off = F.lit("real word fixing is off")
+    reason = off if not enabled else (
+        F.when((c("b") == "") & (c("a") == ""), "nothing around it to go on")
         .when(~c("evidence"), "no alternative fits better")
         .when(c("advantage") < C.REQUIRED_RATIO, "what was typed fits well enough")
         .otherwise("corrected")
     )
     changed = c("reason") == "corrected"
-    return best.withColumn("reason", reason).select("before", "word", "after", changed.alias("changed"), F.when(changed, c("alternative")).otherwise(c("word")).alias("corrected"), F.when(c("alternative").isNotNull() & c("evidence"), c("advantage")).alias("advantage"), "reason")
+    judged = best.withColumn("reason", reason).select("before", "word", "after", changed.alias("changed"), F.when(changed, c("alternative")).otherwise(c("word")).alias("corrected"), F.when(c("evidence"), c("advantage")).alias("advantage"), "reason")
+    kept = plain.select("before", "word", "after", F.lit(False).alias("changed"), F.col("word").alias("corrected"), F.lit(None).cast("double").alias("advantage"), (off if not enabled else F.lit("not a word people mix up")).alias("reason"))
+    return judged.unionByName(kept)

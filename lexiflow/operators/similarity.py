@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import deletions, numbers
 
 
+#: Letters beyond which a word is met by its pieces instead of what deletions leave, whose number grows with the length.
+LONG = 24
+
+
+def _pieces(word: Column, length: Column, k: int, shifts: range) -> Column:
+    """(length, number, piece) for the k + 1 pieces of a word of this length, cut from `word` at shifted places."""
+
+    def one(i: int, shift: int) -> Column:
+        start, stop = F.floor(length * i / (k + 1)).cast("int") + shift, F.floor(length * (i + 1) / (k + 1)).cast("int") + shift
+        piece = F.struct(length.alias("length"), F.lit(i).alias("number"), word.substr(start + 1, stop - start).alias("piece"))
+        return F.when((start >= 0) & (stop <= F.length(word)), piece)
+
+    return F.array_compact(F.array(*(one(i, s) for i in range(k + 1) for s in shifts)))
+
+
+def _long_pairs(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """Pairs of long words: of k + 1 pieces of one, k edits leave at least one whole, moved by at most k places."""
+    a = left.filter(F.length("typed") > LONG).select("typed", F.explode(_pieces(F.col("typed"), F.length("typed"), k, range(1))).alias("rest"))
+    near = right.filter(F.length("word") > LONG - k).select("word", F.explode(F.sequence(F.length("word") - k, F.length("word") + k)).alias("n")).filter(F.col("n") > LONG)
+    b = near.select("word", F.explode(_pieces(F.col("word"), F.col("n"), k, range(-k, k + 1))).alias("rest"))
+    return a.join(b, "rest").select("typed", "word")
+
+
 def similarity_join(probes: DataFrame, words: DataFrame, k: int, strategy: str = "deletes") -> DataFrame:
     """(typed, word, distance) with distance <= k, for distinct probes (typed) and words (word).
 
     "scan" compares every pair, a yardstick for small sides. "length" joins on word length and compares. "deletes" joins on what is
-    left after up to k deletions, which any two strings within k share, and compares only those.
+    left after up to k deletions, which any two strings within k share, and compares only those; for words beyond LONG letters, on one of
+    k + 1 pieces.
     """
     left, right = probes.select("typed").distinct(), words.select("word").distinct()
     if k < 0:
@@ -24,9 +48,10 @@ def similarity_join(probes: DataFrame, words: DataFrame, k: int, strategy: str =
         near = left.select("typed", lengths).filter(F.col("n") >= F.length("typed") - k)
         pairs = near.join(right.withColumn("n", F.length("word")), "n")
     elif strategy == "deletes":
-        a = left.select("typed", F.explode(deletions(F.col("typed"), k)).alias("rest"))
-        b = right.select("word", F.explode(deletions(F.col("word"), k)).alias("rest"))
-        pairs = a.join(b, "rest").filter(F.abs(F.length("typed") - F.length("word")) <= k).select("typed", "word").distinct()
+        a = left.filter(F.length("typed") <= LONG).select("typed", F.explode(deletions(F.col("typed"), k)).alias("rest"))
+        b = right.filter(F.length("word") <= LONG + k).select("word", F.explode(deletions(F.col("word"), k)).alias("rest"))
+        short = a.join(b, "rest").filter(F.abs(F.length("typed") - F.length("word")) <= k).select("typed", "word")
+        pairs = short.union(_long_pairs(left, right, k)).distinct()
     else:
         raise ValueError(f"unknown strategy {strategy}")
     return pairs.select("typed", "word", F.levenshtein("typed", "word", k).alias("distance")).filter("distance >= 0")

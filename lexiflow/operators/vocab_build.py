@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import clean, one_edit_away, strip_wrapper
+from ..functions.text import clean, deletions, is_one_edit_away, strip_wrapper
 
 WORD = r"[a-z]+(?:'[a-z]+)*"
 
@@ -39,12 +39,18 @@ def filter_vocabulary(web: DataFrame, valid: DataFrame, expanded: DataFrame | No
 
 
 def drop_misspellings(words: DataFrame, exempt: DataFrame | None = None) -> DataFrame:
-    """Rare words of five letters or more go if one edit away from a word at least 50 times as frequent; exempt ones stay."""
+    """Rare words of five letters or more go if one edit away from a word at least 50 times as frequent; exempt ones stay.
+
+    Words that are one edit apart share one of the words that a deletion leaves of them, so they meet there, n + 1 strings a word.
+    """
     rare = words.filter((F.col("freq") <= C.MISSPELLING_MAX_COUNT) & (F.length("word") >= C.MISSPELLING_MIN_LENGTH))
     if exempt is not None:
         rare = rare.join(exempt.select("word"), "word", "left_anti")
-    near = rare.select(F.col("word").alias("bad"), F.col("freq").alias("n"), F.explode(one_edit_away(F.col("word"))).alias("word")).filter("word != bad")
-    gone = near.join(words, "word").filter(F.col("freq") >= C.MISSPELLING_RATIO * F.col("n")).select(F.col("bad").alias("word")).distinct()
+    bad = rare.select(F.col("word").alias("bad"), F.col("freq").alias("n"), F.explode(deletions(F.col("word"), 1)).alias("rest"))
+    often = words.filter(F.col("freq") >= C.MISSPELLING_RATIO)
+    good = often.select("word", "freq", F.explode(deletions(F.col("word"), 1)).alias("rest"))
+    met = bad.join(good, "rest").filter(F.col("freq") >= C.MISSPELLING_RATIO * F.col("n"))
+    gone = met.filter(is_one_edit_away(F.col("bad"), F.col("word"))).select(F.col("bad").alias("word")).distinct()
     return words.join(gone, "word", "left_anti")
 
 

@@ -45,26 +45,13 @@ def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.tokens(table(spark, sf_dir, "conversations").withColumn("doc_id", F.concat_ws("-", "conv_id", "turn")))
 
 
-ASCII = "^[a-z']+$"
-
-
-def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct ASCII words of conversations that the documents' vocabulary of words seen twice or more lacks."""
-    return correct.misspelled(talk(spark, sf_dir).select("word").distinct().filter(F.col("word").rlike(ASCII)), common(spark, sf_dir))
-
-
-def common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary that DuckDB can compare with: its levenshtein counts bytes. The queries named ..._whole take all words instead."""
-    return words_of(spark, sf_dir).filter((F.col("freq") >= 2) & F.col("word").rlike(ASCII))
-
-
 def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(typed) distinct words of conversations, of any letters."""
+    """(typed) distinct words of conversations."""
     return talk(spark, sf_dir).select(F.col("word").alias("typed")).distinct()
 
 
-def strange(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(typed) distinct words of conversations that the whole vocabulary lacks."""
+def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(typed) distinct words of conversations that the documents' vocabulary lacks."""
     return correct.misspelled(typed_words(spark, sf_dir), words_of(spark, sf_dir), "typed")
 
 
@@ -73,16 +60,31 @@ CTE = rf"""
 WITH sent AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS sentence, unnest(l) AS s FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.?!]') AS l FROM documents)),
 arr AS (SELECT doc_id, sentence, regexp_extract_all(lower(s), {_W}) AS a FROM sent),
 tok AS (SELECT doc_id, sentence, unnest(a) AS word FROM arr),
-words AS (SELECT word, count(*) AS freq FROM tok GROUP BY 1),
-bigrams AS (SELECT a[i] AS first, a[i + 1] AS second, count(*) AS cnt FROM (SELECT a, unnest(range(1, len(a))) AS i FROM arr) GROUP BY 1, 2),
+words AS MATERIALIZED (SELECT word, count(*) AS freq FROM tok GROUP BY 1),
+bigrams AS MATERIALIZED (SELECT a[i] AS first, a[i + 1] AS second, count(*) AS cnt FROM (SELECT a, unnest(range(1, len(a))) AS i FROM arr) GROUP BY 1, 2),
 totals AS (SELECT first, sum(cnt) AS total FROM bigrams GROUP BY 1),
 stats AS (SELECT sum(freq) AS total_freq, max(freq) AS max_freq, count(*) AS word_count FROM words),
 csent AS (SELECT conv_id || '-' || turn AS id, generate_subscripts(l, 1) - 1 AS sentence, unnest(l) AS s FROM (SELECT conv_id, turn, string_split_regex(coalesce(text, ''), '[.?!]') AS l FROM conversations)),
 carr AS (SELECT id, sentence, regexp_extract_all(lower(s), {_W}) AS a FROM csent),
 talk AS (SELECT id, sentence, i - 1 AS pos, a[i] AS word, CASE WHEN i > 1 THEN a[i - 1] END AS previous_word, CASE WHEN i < len(a) THEN a[i + 1] END AS next_word FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM carr)),
-common AS (SELECT * FROM words WHERE freq >= 2 AND regexp_matches(word, '^[a-z'']+$')),
-unknown AS (SELECT DISTINCT word AS typed FROM talk WHERE regexp_matches(word, '^[a-z'']+$') AND word NOT IN (SELECT word FROM common))
+asked AS (SELECT DISTINCT word AS typed FROM talk),
+unknown AS (SELECT typed FROM asked WHERE typed NOT IN (SELECT word FROM words))
 """
+#: DuckDB's levenshtein counts bytes, so words are compared with one ASCII sign for each Latin letter. Pairs meet on what up to two deletions leave.
+_SIGNS = "translate({}, 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456')"
+
+
+def _rests(name: str, source: str, column: str, k: int = 2) -> str:
+    """CTEs that end in name(column, signs, rest)."""
+    cut = "SELECT DISTINCT {c}, signs, left(rest, i - 1) || substr(rest, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(rest) + 1)) AS i FROM {f})"
+    steps = [f"{name}0 AS MATERIALIZED (SELECT {column}, {_SIGNS.format(column)} AS signs, {_SIGNS.format(column)} AS rest FROM {source})"]
+    steps += [f"{name}{i + 1} AS MATERIALIZED ({cut.format(c=column, f=f'{name}{i}')})" for i in range(k)]
+    return ", ".join([*steps, f"{name} AS (" + " UNION ALL ".join(f"SELECT * FROM {name}{i}" for i in range(k + 1)) + ")"])
+
+
+_NEAR = f""", {_rests("trest", "unknown", "typed")}, {_rests("wrest", "words", "word")},
+met AS (SELECT DISTINCT typed, word, trest.signs AS a, wrest.signs AS b FROM trest JOIN wrest USING (rest)),
+near2 AS MATERIALIZED (SELECT typed, word, levenshtein(a, b) AS distance FROM met WHERE abs(length(a) - length(b)) <= 2 AND levenshtein(a, b) <= 2)"""
 
 
 @query(CTE + "SELECT doc_id, count(*) AS n_words, count(DISTINCT word) AS n_distinct, count(DISTINCT sentence) AS n_sentences FROM tok GROUP BY 1")
@@ -170,20 +172,20 @@ def word_lookup(spark, sf_dir):
     return ngram.lookup(talk(spark, sf_dir), words_of(spark, sf_dir)).select(F.col("doc_id").alias("id"), F.col("sentence").cast("long"), F.col("pos").cast("long"), "word", "freq", "known")
 
 
-@query(CTE + "SELECT typed, word, CAST(levenshtein(typed, word) AS INTEGER) AS distance FROM unknown JOIN common ON abs(length(typed) - length(word)) <= 2 WHERE levenshtein(typed, word) <= 2")
+@query(CTE + _NEAR + "SELECT typed, word, CAST(distance AS INTEGER) AS distance FROM near2")
 def edit_distance_pairs(spark, sf_dir):
-    return similarity.similarity_join(unknown(spark, sf_dir).select(F.col("word").alias("typed")), common(spark, sf_dir), 2)
+    return similarity.similarity_join(unknown(spark, sf_dir), words_of(spark, sf_dir), 2)
 
 
-@query(CTE + ", u AS (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown) SELECT typed, word, freq FROM (SELECT DISTINCT typed, substr(typed, 1, i - 1) || typed[i + 1] || typed[i] || substr(typed, i + 2) AS word FROM u WHERE typed[i] <> typed[i + 1]) JOIN common USING (word)")
+@query(CTE + ", u AS (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown) SELECT typed, word, freq FROM (SELECT DISTINCT typed, substr(typed, 1, i - 1) || typed[i + 1] || typed[i] || substr(typed, i + 2) AS word FROM u WHERE typed[i] <> typed[i + 1]) JOIN words USING (word)")
 def letter_swaps(spark, sf_dir):
-    return _edits(unknown(spark, sf_dir).select(F.col("word").alias("typed")), common(spark, sf_dir), X.letter_swaps)
+    return _edits(unknown(spark, sf_dir), words_of(spark, sf_dir), X.letter_swaps)
 
 
 @query(CTE + """, u AS (SELECT typed, unnest(range(1, length(typed) + 1)) AS i FROM unknown WHERE length(typed) >= 4)
-SELECT typed, word, freq FROM (SELECT typed, substr(typed, 1, i) || substr(typed, i) AS word FROM u UNION SELECT typed, substr(typed, 1, i) || substr(typed, i + 2) FROM u WHERE i < length(typed) AND typed[i] = typed[i + 1]) JOIN common USING (word)""")
+SELECT typed, word, freq FROM (SELECT typed, substr(typed, 1, i) || substr(typed, i) AS word FROM u UNION SELECT typed, substr(typed, 1, i) || substr(typed, i + 2) FROM u WHERE i < length(typed) AND typed[i] = typed[i + 1]) JOIN words USING (word)""")
 def double_letter_fixes(spark, sf_dir):
-    return _edits(unknown(spark, sf_dir).select(F.col("word").alias("typed")), common(spark, sf_dir), X.double_letter_edits)
+    return _edits(unknown(spark, sf_dir), words_of(spark, sf_dir), X.double_letter_edits)
 
 
 @query("""WITH w(word) AS (VALUES ('can''t'), ('don''t'), ('cant''s'), ('it''s')), t(typed) AS (VALUES ('cant'), ('dont'), ('its'), ('can''t'), ('a'))
@@ -199,38 +201,36 @@ def _edits(asked, words, make):
     return made.join(words, "word").select("typed", "word", "freq")
 
 
-_CANDS = r""", sw AS (SELECT DISTINCT typed, substr(typed, 1, i - 1) || typed[i + 1] || typed[i] || substr(typed, i + 2) AS word FROM (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown) WHERE typed[i] <> typed[i + 1]),
+_CANDS = _NEAR + r""", sw AS (SELECT DISTINCT typed, substr(typed, 1, i - 1) || typed[i + 1] || typed[i] || substr(typed, i + 2) AS word FROM (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown) WHERE typed[i] <> typed[i + 1]),
 ap AS (SELECT typed, left(typed, i) || '''' || substr(typed, i + 1) AS word FROM (SELECT typed, unnest(range(1, length(typed))) AS i FROM unknown WHERE NOT contains(typed, ''''))),
 d4 AS (SELECT typed, unnest(range(1, length(typed) + 1)) AS i FROM unknown WHERE length(typed) >= 4),
 db AS (SELECT typed, substr(typed, 1, i) || substr(typed, i) AS word FROM d4 UNION SELECT typed, substr(typed, 1, i) || substr(typed, i + 2) FROM d4 WHERE i < length(typed) AND typed[i] = typed[i + 1]),
-near AS (SELECT typed, word, levenshtein(typed, word) AS distance FROM unknown JOIN common ON abs(length(typed) - length(word)) <= 2 WHERE levenshtein(typed, word) <= CASE WHEN length(typed) <= 4 THEN 1 ELSE 2 END),
-least_ AS (SELECT typed, word, min(distance) AS distance FROM (SELECT * FROM near UNION ALL SELECT typed, word, 1 FROM sw JOIN common USING (word) UNION ALL SELECT typed, word, 1 FROM ap JOIN common USING (word)) GROUP BY 1, 2),
+near AS (SELECT * FROM near2 WHERE distance <= CASE WHEN length(typed) <= 4 THEN 1 ELSE 2 END),
+least_ AS (SELECT typed, word, min(distance) AS distance FROM (SELECT * FROM near UNION ALL SELECT typed, word, 1 FROM sw JOIN words USING (word) UNION ALL SELECT typed, word, 1 FROM ap JOIN words USING (word)) GROUP BY 1, 2),
 flagged AS (SELECT l.typed, l.word, l.distance, c.freq, (l.typed, l.word) IN (SELECT (typed, word) FROM ap) AS is_ap, CASE WHEN (l.typed, l.word) IN (SELECT (typed, word) FROM ap) THEN 0 WHEN (l.typed, l.word) IN (SELECT (typed, word) FROM db) THEN 1 WHEN (l.typed, l.word) IN (SELECT (typed, word) FROM sw) THEN 2
-  WHEN length(l.typed) >= 3 AND length(l.word) > length(l.typed) AND starts_with(l.word, l.typed) THEN 3 ELSE 4 END AS slip_rank FROM least_ l JOIN common c USING (word)),
-cands AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY distance, slip_rank, freq DESC, word) AS rank FROM flagged QUALIFY rank <= 20)"""
+  WHEN length(l.typed) >= 3 AND length(l.word) > length(l.typed) AND starts_with(l.word, l.typed) THEN 3 ELSE 4 END AS slip_rank FROM least_ l JOIN words c USING (word)),
+cands AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY distance, slip_rank, freq DESC, word) AS rank FROM flagged QUALIFY rank <= 20)"""
 
 
 @query(CTE + _CANDS + "SELECT typed, word, CAST(distance AS INTEGER) AS distance, freq, CAST(slip_rank AS INTEGER) AS slip_rank, rank FROM cands WHERE rank <= 5")
 def fuzzy_corrections(spark, sf_dir):
-    found = correct.find_corrections(talk(spark, sf_dir).select(F.col("word").alias("typed")).distinct().filter(F.col("typed").rlike(ASCII)), common(spark, sf_dir))
-    return found.select("typed", "word", "distance", "freq", "slip_rank", "rank")
+    return correct.find_corrections(typed_words(spark, sf_dir), words_of(spark, sf_dir)).select("typed", "word", "distance", "freq", "slip_rank", "rank")
 
 
-_REASON = """CASE WHEN a.typed IN (SELECT word FROM common) THEN 'already a real word' WHEN b.word IS NULL THEN 'no close word found' WHEN b.distance = 2 AND length(a.typed) < 6 THEN 'too short to guess at two mistakes'
+_REASON = """CASE WHEN a.typed IN (SELECT word FROM words) THEN 'already a real word' WHEN b.word IS NULL THEN 'no close word found' WHEN b.distance = 2 AND length(a.typed) < 6 THEN 'too short to guess at two mistakes'
   WHEN r.word IS NOT NULL AND r.distance <= b.distance AND NOT ({clear}) THEN 'two words are too close to call' ELSE 'corrected' END"""
 _PLAIN = "b.slip_rank < r.slip_rank OR r.freq <= 0 OR b.freq >= CASE WHEN b.distance = 1 THEN 2 ELSE 4 END * r.freq"
 
 
-@query(CTE + _CANDS + f""", a AS (SELECT DISTINCT word AS typed FROM talk WHERE regexp_matches(word, '^[a-z'']+$')),
+@query(CTE + _CANDS + f""", a AS (SELECT typed FROM asked),
 j AS (SELECT a.typed, b.word, {_REASON.format(clear=_PLAIN)} AS reason FROM a LEFT JOIN cands b ON b.typed = a.typed AND b.rank = 1 LEFT JOIN cands r ON r.typed = a.typed AND r.rank = 2)
 SELECT typed, reason = 'corrected' AS changed, CASE WHEN reason = 'corrected' THEN word ELSE typed END AS corrected, reason FROM j""")
 def autocorrect_decisions(spark, sf_dir):
-    probes = talk(spark, sf_dir).select(F.col("word").alias("typed")).distinct().filter(F.col("typed").rlike(ASCII))
-    return correct.autocorrect(probes, common(spark, sf_dir)).select("typed", "changed", "corrected", "reason")
+    return correct.autocorrect(typed_words(spark, sf_dir), words_of(spark, sf_dir)).select("typed", "changed", "corrected", "reason")
 
 
-@query(CTE + _CANDS + f""", a AS (SELECT DISTINCT word AS typed, coalesce(previous_word, '') AS prev FROM talk WHERE regexp_matches(word, '^[a-z'']+$')),
-f1 AS (SELECT typed, is_ap FROM cands WHERE rank = 1), tf AS (SELECT sum(freq)::DOUBLE AS t FROM common),
+@query(CTE + _CANDS + f""", a AS (SELECT DISTINCT word AS typed, coalesce(previous_word, '') AS prev FROM talk),
+f1 AS (SELECT typed, is_ap FROM cands WHERE rank = 1), tf AS (SELECT sum(freq)::DOUBLE AS t FROM words),
 sc AS (SELECT a.typed, a.prev, c.word, c.distance, c.slip_rank, c.freq, c.rank, coalesce(t.total, 0) > 0 AND a.prev <> '' AND NOT f1.is_ap AS ctx,
   (CASE WHEN coalesce(t.total, 0) > 0 THEN 0.7::DOUBLE * (coalesce(g.cnt, 0) / t.total::DOUBLE) + 0.3::DOUBLE * (c.freq / tf.t) ELSE c.freq / tf.t END) * [50.0::DOUBLE, 20, 20, 10, 1][c.slip_rank + 1] AS score
   FROM a JOIN cands c USING (typed) JOIN f1 USING (typed) CROSS JOIN tf LEFT JOIN totals t ON t.first = a.prev LEFT JOIN bigrams g ON g.first = a.prev AND g.second = c.word),
@@ -239,41 +239,6 @@ j AS (SELECT a.typed, a.prev, b.word, {_REASON.format(clear="CASE WHEN b.ctx THE
   FROM a LEFT JOIN o b ON b.typed = a.typed AND b.prev = a.prev AND b.n = 1 LEFT JOIN o r ON r.typed = a.typed AND r.prev = a.prev AND r.n = 2)
 SELECT typed, prev AS previous, reason = 'corrected' AS changed, CASE WHEN reason = 'corrected' THEN word ELSE typed END AS corrected, reason FROM j""")
 def autocorrect_in_context(spark, sf_dir):
-    probes = talk(spark, sf_dir).filter(F.col("word").rlike(ASCII)).select(F.col("word").alias("typed"), F.coalesce("previous_word", F.lit("")).alias("previous")).distinct()
-    return correct.autocorrect(probes, common(spark, sf_dir), bigrams_of(spark, sf_dir)).select("typed", "previous", "changed", "corrected", "reason")
-
-
-# The six queries above over all words of conversations and the whole vocabulary. They have no SQL, as DuckDB's levenshtein counts bytes.
-
-
-@query()
-def edit_distance_pairs_whole(spark, sf_dir):
-    return similarity.similarity_join(strange(spark, sf_dir), words_of(spark, sf_dir), 2)
-
-
-@query()
-def letter_swaps_whole(spark, sf_dir):
-    return _edits(strange(spark, sf_dir), words_of(spark, sf_dir), X.letter_swaps)
-
-
-@query()
-def double_letter_fixes_whole(spark, sf_dir):
-    return _edits(strange(spark, sf_dir), words_of(spark, sf_dir), X.double_letter_edits)
-
-
-@query()
-def fuzzy_corrections_whole(spark, sf_dir):
-    found = correct.find_corrections(typed_words(spark, sf_dir), words_of(spark, sf_dir))
-    return found.select("typed", "word", "distance", "freq", "slip_rank", "rank")
-
-
-@query()
-def autocorrect_decisions_whole(spark, sf_dir):
-    return correct.autocorrect(typed_words(spark, sf_dir), words_of(spark, sf_dir)).select("typed", "changed", "corrected", "reason")
-
-
-@query()
-def autocorrect_in_context_whole(spark, sf_dir):
     probes = talk(spark, sf_dir).select(F.col("word").alias("typed"), F.coalesce("previous_word", F.lit("")).alias("previous")).distinct()
     return correct.autocorrect(probes, words_of(spark, sf_dir), bigrams_of(spark, sf_dir)).select("typed", "previous", "changed", "corrected", "reason")
 
@@ -324,7 +289,7 @@ def user_words_merge(spark, sf_dir):
 _IN = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 _BUILD = f""", web AS (SELECT word, freq * 10 AS raw FROM words), valid AS (SELECT DISTINCT word FROM talk), mx AS (SELECT max(raw) AS biggest FROM web),
 sc AS (SELECT word, greatest(1, CAST(round_even(raw * (200000 / biggest::DOUBLE), 0) AS BIGINT)) AS freq FROM web CROSS JOIN mx WHERE (word IN (SELECT word FROM valid) OR word IN {_IN(C.MODERN + list(C.INFORMAL))}) AND word NOT IN {_IN(C.UNWANTED)}),
-kept AS (SELECT * FROM sc WHERE regexp_full_match(word, '[a-z]+(''[a-z]+)*') AND length(word) <= 20 AND CASE WHEN length(word) = 1 THEN word IN ('a', 'i') WHEN length(word) = 2 THEN word IN {_IN(C.TWO_LETTER)}
+kept AS MATERIALIZED (SELECT * FROM sc WHERE regexp_full_match(word, '[a-z]+(''[a-z]+)*') AND length(word) <= 20 AND CASE WHEN length(word) = 1 THEN word IN ('a', 'i') WHEN length(word) = 2 THEN word IN {_IN(C.TWO_LETTER)}
   ELSE NOT regexp_full_match(word, '[ivx]{{2,}}') AND word NOT IN {_IN(C.BROKEN_CONTRACTIONS + C.DIALECT)} AND (length(word) <> 3 OR freq >= 10 OR word IN {_IN(C.MODERN + list(C.INFORMAL) + C.EVERYDAY_SHORT)}) END)"""
 
 
@@ -338,8 +303,9 @@ def vocab_filter(spark, sf_dir):
     return _kept(spark, sf_dir)
 
 
-@query(CTE + _BUILD + """SELECT * FROM kept r WHERE NOT (freq <= 25 AND length(word) >= 5 AND EXISTS (SELECT 1 FROM kept o WHERE o.word <> r.word AND o.freq >= 50 * r.freq AND abs(length(o.word) - length(r.word)) <= 1
-  AND (levenshtein(o.word, r.word) = 1 OR (length(o.word) = length(r.word) AND levenshtein(o.word, r.word) = 2 AND damerau_levenshtein(o.word, r.word) = 1))))""")
+@query(CTE + _BUILD + f""", rare AS (SELECT word AS bad, freq FROM kept WHERE freq <= 25 AND length(word) >= 5), often AS (SELECT word AS good, freq FROM kept WHERE freq >= 50), {_rests("brest", "rare", "bad", 1)}, {_rests("grest", "often", "good", 1)}
+SELECT * FROM kept WHERE word NOT IN (SELECT b.bad FROM brest b JOIN grest g USING (rest) JOIN rare r ON r.bad = b.bad JOIN often o ON o.good = g.good
+  WHERE o.freq >= 50 * r.freq AND damerau_levenshtein(g.good, b.bad) = 1 AND length(replace(g.good, chr(39), '')) - length(g.good) >= length(replace(b.bad, chr(39), '')) - length(b.bad))""")
 def drop_misspellings(spark, sf_dir):
     return vocab_build.drop_misspellings(_kept(spark, sf_dir))
 

@@ -90,6 +90,16 @@ def test_similarity_strategies_agree(spark):
     assert similarity.similarity_join(left, right, -1).count() == 0
 
 
+def test_similarity_of_long_words(spark):
+    rng = random.Random(4)
+    edit = lambda w: (lambda i: rng.choice([w[:i] + w[i + 1 :], w[:i] + "z" + w[i:], w[:i] + "q" + w[i + 1 :]]))(rng.randrange(len(w)))
+    base = ["".join(rng.choice("ab") for _ in range(n)) for n in (20, 22, 23, 24, 25, 26, 27, 28, 40, 3000)] + ["ab" * 20, "a" * 27]
+    typed = [edit(edit(w)) for w in base for _ in range(6)] + base
+    left, right = spark.createDataFrame([(w,) for w in typed], "typed string"), spark.createDataFrame([(w,) for w in {*base, *map(edit, base)}], "word string")
+    for k in (0, 1, 2):
+        assert set(similarity.similarity_join(left, right, k).collect()) == set(similarity.similarity_join(left, right, k, "scan").collect())
+
+
 def test_prediction(spark):
     v = words(spark, the=5000, good=1000, you=3000, **{"and": 4000})
     b = spark.createDataFrame([("good", "morning", 60), ("good", "night", 30), ("good", "luck", 8), ("thank", "you", 100), ("gone", "x", 0)], PAIRS)
@@ -144,8 +154,9 @@ def test_scalars(spark):
     assert one(spark, X.levenshtein_with_limit(t, c, 1), t="kitten", c="sitting") == 2 and one(spark, X.levenshtein_with_limit(t, c, 3), t="kitten", c="sitting") == 3
     assert set(one(spark, X.letter_swaps(t), t="aab")) == {"aba"} and one(spark, X.letter_swaps(t), t="a") == []
     assert one(spark, X.apostrophe_insertions(t), t="its") == ["i'ts", "it's"] and "runing" in one(spark, X.double_letter_edits(t), t="running")
-    edits = one(spark, X.one_edit_away(t), t="ab")
-    assert {"a", "b", "ba", "xb", "abz", "ab"} <= set(edits)
+    near = lambda a, b: one(spark, X.is_one_edit_away(t, c), t=a, c=b)
+    assert all(near("ab", w) for w in ("a", "b", "ba", "xb", "abz", "xab")) and near("it's", "its")
+    assert not any(near(*w) for w in (("ab", "ab"), ("its", "it's"), ("abc", "bca"), ("ab", "abcd"), ("abcd", "badc")))
     assert one(spark, X.strip_wrapper(t), t="x\n*** START OF THE BOOK ***\nbody\n*** END OF THE BOOK ***\ny") == "body\n"
 
 

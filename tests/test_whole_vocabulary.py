@@ -90,20 +90,20 @@ def rows_of(spark, sf_dir, name):
 
 def test_pairs_and_edits(spark, sf_dir):
     assert len(STRANGE) > 10 and min(FREQ.values()) == 1
-    assert rows_of(spark, sf_dir, "edit_distance_pairs_whole") == sorted((t, w, d) for t in STRANGE for w in FREQ if (d := levenshtein(t, w)) <= 2)
-    for name, make in (("letter_swaps_whole", swaps), ("double_letter_fixes_whole", doubles)):
+    assert rows_of(spark, sf_dir, "edit_distance_pairs") == sorted((t, w, d) for t in STRANGE for w in FREQ if (d := levenshtein(t, w)) <= 2)
+    for name, make in (("letter_swaps", swaps), ("double_letter_fixes", doubles)):
         want = sorted((t, w, FREQ[w]) for t in STRANGE for w in make(t) if w in FREQ)
         assert want and rows_of(spark, sf_dir, name) == want
 
 
 def test_corrections(spark, sf_dir):
     want = sorted((t, w, d, n, slip, i + 1) for t in STRANGE for i, (w, d, n, slip) in enumerate(candidates(t)[:5]))
-    assert rows_of(spark, sf_dir, "fuzzy_corrections_whole") == want
+    assert rows_of(spark, sf_dir, "fuzzy_corrections") == want
 
 
 def test_decisions(spark, sf_dir):
     plain = sorted((t, decide(t, "")[1] == "corrected", *decide(t, "")) for t in TYPED)
-    assert rows_of(spark, sf_dir, "autocorrect_decisions_whole") == plain
+    assert rows_of(spark, sf_dir, "autocorrect_decisions") == plain
     context = sorted((t, p, decide(t, p)[1] == "corrected", *decide(t, p)) for t, p in ASKED)
-    assert rows_of(spark, sf_dir, "autocorrect_in_context_whole") == context
+    assert rows_of(spark, sf_dir, "autocorrect_in_context") == context
     assert any(changed and not corrected.isascii() for _, changed, corrected, _ in plain)
