@@ -400,6 +400,18 @@ def key_events(spark, sf_dir):
     return c.select("user_id", F.col("seq").cast("long"), F.timestamp_millis(F.col("seq") * 200).alias("ts"), F.lit("key").alias("kind"), "ch").filter("ch != ''")
 
 
-@query()
+_TRACK = """WITH c AS (SELECT conv_id * 1000 + turn AS user_id, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS ch FROM (SELECT conv_id, turn, string_split(text, '') AS l FROM conversations)),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS idx, CASE WHEN regexp_matches(ch, '[\\p{L}'']') THEN 'L' WHEN regexp_matches(ch, '\\p{Nd}') THEN 'D' ELSE 'S' END AS t FROM c WHERE ch >= ' '),
+full_ AS (SELECT user_id, string_agg(ch, '' ORDER BY idx) AS line FROM k GROUP BY 1),
+m AS (SELECT *, coalesce(max(CASE WHEN t <> 'L' THEN idx END) OVER w, 0) AS stop, coalesce(max(CASE WHEN t = 'S' AND ch IN ('.', '?', '!') THEN idx END) OVER w, 0) AS sentence_end FROM k WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+known AS (SELECT user_id, min(idx) AS known_at FROM m WHERE t = 'S' OR (t = 'D' AND stop < idx - 1) GROUP BY 1),
+f AS (SELECT user_id, seq, idx, stop, sentence_end, ch AS separator, substr(line, stop + 1, idx - 1 - stop) AS word, coalesce(known_at <= stop, false) AS start_was_known FROM m JOIN full_ USING (user_id) LEFT JOIN known USING (user_id) WHERE t = 'S' AND stop < idx - 1),
+p AS (SELECT *, CASE WHEN lag(idx) OVER u > sentence_end THEN lower(lag(word) OVER u) END AS previous_word, coalesce(lag(idx) OVER u = stop AND lag(separator) OVER u NOT IN ('.', '?', '!'), false) AS linked FROM f WINDOW u AS (PARTITION BY user_id ORDER BY idx))
+SELECT user_id, seq, word, previous_word, separator, start_was_known, CASE WHEN linked THEN lag(word) OVER u END AS link_typed, CASE WHEN linked THEN lag(separator) OVER u END AS link_separator, CASE WHEN linked THEN lag(start_was_known) OVER u END AS link_start_known, CASE WHEN linked THEN lag(previous_word) OVER u END AS link_before
+FROM p WINDOW u AS (PARTITION BY user_id ORDER BY idx)"""
+
+
+@query(_TRACK)
 def tracker_words(spark, sf_dir):
-    return tracker.track_batch(key_events(spark, sf_dir))
+    found = tracker.track_batch(key_events(spark, sf_dir))
+    return found.select("user_id", "seq", "word", "previous_word", "separator", "start_was_known", *(F.col(f"link.{c}").alias(f"link_{c}") for c in ("typed", "separator", "start_known", "before")))
