@@ -108,7 +108,51 @@ FROM placed
 """
 
 
+_SPACED = r"'[^\x20\x09-\x0D]+'"
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+_OP1 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_SPACED}) AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+least_ AS (SELECT s, min(doc_id) AS first_doc FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT doc_id, i FROM win JOIN least_ USING (s) WHERE first_doc < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM hit CROSS JOIN (SELECT unnest(range(0, 13)) AS k)),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+_OP6 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW}, {_SPACED}) AS w FROM documents),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, least(len(w), 1) + 1))) AS i FROM d)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, ways.y FROM reach JOIN ways ON ways.x = reach.b),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN n USING (doc_id)
+"""
+
+_OP9 = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW}, {_ALNUM}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOW}, {_ALNUM}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+bw AS MATERIALIZED (SELECT item_id, j, size, array_to_string(w[j:j + size - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 13) AS size, unnest(range(1, greatest(len(w) - 11, 2))) AS j FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM bw),
+dw AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS s FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN sizes)),
+m AS MATERIALIZED (SELECT doc_id, item_id, i, j, size FROM dw JOIN bw USING (size, s)),
+hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM m CROSS JOIN (SELECT unnest(range(0, 13)) AS k) WHERE k < size GROUP BY 1),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS l FROM m GROUP BY 1),
+chain AS (SELECT doc_id, size, count(*) - 1 + size AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM m) GROUP BY doc_id, item_id, i - j, run, size),
+best AS (SELECT doc_id, max(length) AS longest FROM chain GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(l), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return {"op8_chat_perspectives": _OP8} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op1_substring_dedup": _OP1, "op6_near_duplicates": _OP6, "op8_chat_perspectives": _OP8, "op9_decontamination": _OP9} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
