@@ -12,6 +12,8 @@ MIN_LEARN_WEIGHT, LEARN_DIVISOR, SAVE_EVERY = 25, 1000, 10
 USER_WORD_FREQ = 100
 MIN_PREFIX = 2
 IDLE_SECONDS = 2.5
+MAX_REPLACEMENT, DIAGNOSTICS_BYTES, TEXT_WAIT_MS = 100, 256 * 1024, 150
+MAX_LINE_HEIGHT, FIELD_MARGIN = 400, 40
 MAX_WORDS, LISTED_COUNT, TOP_COUNT, MAX_WORD_LENGTH = 100_000, 30, 200_000, 20
 MISSPELLING_MAX_COUNT, MISSPELLING_RATIO, MISSPELLING_MIN_LENGTH = 25, 50, 5
 MIN_COUNT_THREE_LETTERS = 10

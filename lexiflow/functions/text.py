@@ -89,6 +89,21 @@ def replacement_plan(typed: Column, wanted: Column) -> Column:
     return F.struct((F.length(typed) - same).alias("backspaces"), F.substring(wanted, same + 1, F.length(wanted)).alias("to_type"))
 
 
+def is_word_separator(c: Column) -> Column:
+    """Whether a single character ends a word: no control character, no letter or apostrophe, no digit."""
+    return F.coalesce(c.rlike(r"\A[^\p{Cc}\p{L}'\p{Nd}]\z"), F.lit(False))
+
+
+def replacement_keys(typed: Column, wanted: Column) -> Column:
+    """(ok, deleted, typed, expected): the keys that a replacement sends, two events each; an empty replacement or more than
+    MAX_REPLACEMENT characters on either side are refused, and what is right already needs none."""
+    was = F.coalesce(typed, F.lit(""))
+    plan = replacement_plan(was, wanted)
+    refused = (F.coalesce(F.length(wanted), F.lit(0)) == 0) | (F.length(wanted) > C.MAX_REPLACEMENT) | (F.length(was) > C.MAX_REPLACEMENT)
+    n = lambda c: F.when(refused, F.lit(0)).otherwise(c)
+    return F.struct((~refused).alias("ok"), n(plan["backspaces"]).alias("deleted"), n(F.length(plan["to_type"])).alias("typed"), n(2 * (plan["backspaces"] + F.length(plan["to_type"]))).alias("expected"), F.when(~refused, plan["to_type"]).alias("to_type"))
+
+
 def levenshtein_with_limit(a: Column, b: Column, k: int) -> Column:
     """Distance, or k + 1 beyond k; a negative k counts as 0."""
     k = max(0, k)

@@ -39,6 +39,21 @@ def _matches(prefixes: DataFrame, words: DataFrame) -> DataFrame:
     return prefixes.join(own.select("word", "freq", F.left("word", F.col("i")).alias("prefix")), "prefix")
 
 
+def prefix_matches(prefixes: DataFrame, words: DataFrame) -> DataFrame:
+    """(prefix, word, freq) of all words that begin with each distinct prefix, itself included; an empty prefix matches every word."""
+    asked = prefixes.select(norm(F.col("prefix")).alias("prefix")).distinct()
+    found = _matches(asked.filter("prefix != ''"), words.select("word", "freq")).select("prefix", "word", "freq")
+    every = words.select("word", "freq").crossJoin(F.broadcast(asked.filter("prefix = ''")))  # one row at most
+    return found.unionByName(every.select("prefix", "word", "freq"))
+
+
+def has_prefix(prefixes: DataFrame, words: DataFrame) -> DataFrame:
+    """(prefix, found) for each distinct prefix: whether some word begins with it. Always so for the empty one."""
+    asked = prefixes.select(norm(F.col("prefix")).alias("prefix")).distinct()
+    some = _matches(asked.filter("prefix != ''"), words.select("word", "freq")).select("prefix").distinct().withColumn("found", F.lit(True))
+    return asked.join(some, "prefix", "left").select("prefix", ((F.col("prefix") == "") | F.col("found").isNotNull()).alias("found"))
+
+
 def contractions(prefixes: DataFrame, words: DataFrame) -> DataFrame:
     """Words that begin with the prefix once an apostrophe is put inside it (from two letters, none typed)."""
     bare = prefixes.filter((F.length("prefix") >= 2) & (F.instr("prefix", "'") == 0))

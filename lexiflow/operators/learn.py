@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import norm
+from .rules import is_allowed_word
 
 
 def weight(words: DataFrame) -> DataFrame:
@@ -28,6 +29,24 @@ def learn_deltas(uses: DataFrame, words: DataFrame, user_words: DataFrame) -> tu
     return learned_words, pairs
 
 
+def record_pairs(pairs: DataFrame, words: DataFrame, user_words: DataFrame) -> DataFrame:
+    """(first, second, cnt) that pairs (previous, word) add on their own, without the counts of single words; both must be learnable."""
+    return learn_deltas(pairs, words, user_words)[1]
+
+
+def learned_counts(probes: DataFrame, learned: DataFrame, column: str = "word") -> DataFrame:
+    """The probes with learned: what has been learned about the word, 0 if nothing."""
+    keys = learned.select(F.col("word").alias("__key"), F.col("cnt").alias("learned"))
+    return probes.join(keys, norm(F.col(column)) == F.col("__key"), "left").withColumn("learned", F.coalesce("learned", F.lit(0))).drop("__key")
+
+
+def learned_pair_counts(probes: DataFrame, learned: DataFrame) -> DataFrame:
+    """The probes (previous, word) with learned: what has been learned about the pair, 0 if nothing."""
+    keys = learned.select(F.col("first").alias("__first"), F.col("second").alias("__second"), F.col("cnt").alias("learned"))
+    joined = probes.join(keys, (norm(F.col("previous")) == F.col("__first")) & (norm(F.col("word")) == F.col("__second")), "left")
+    return joined.withColumn("learned", F.coalesce("learned", F.lit(0))).drop("__first", "__second")
+
+
 def apply_learned(words: DataFrame, learned: DataFrame) -> DataFrame:
     """Counts with what was learned; unknown learned words are added."""
     return words.select("word", "freq").union(learned.select("word", F.col("cnt").alias("freq"))).groupBy("word").agg(F.sum("freq").alias("freq"))
@@ -53,5 +72,37 @@ def merge_user_words(words: DataFrame, user_words: DataFrame) -> DataFrame:
     return words.select("word", "freq").union(new.select("word", F.lit(C.USER_WORD_FREQ).cast("long")))
 
 
-def remove_user_words(user_words: DataFrame, gone: DataFrame) -> DataFrame:
-    return user_words.select(norm(F.col("word")).alias("word")).distinct().join(gone.select(norm(F.col("word")).alias("word")), "word", "left_anti")
+def _keys(words: DataFrame) -> DataFrame:
+    return words.select(norm(F.col("word")).alias("word")).filter("word != ''").distinct()
+
+
+def add_user_words(user_words: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The list with more words, and (word, added) of each distinct one asked for: false where it is not made of letters or was there."""
+    have = _keys(user_words)
+    asked = more.select(norm(F.col("word")).alias("word")).distinct().join(have.withColumn("__have", F.lit(True)), "word", "left")
+    told = asked.select("word", (is_allowed_word(F.col("word")) & F.col("__have").isNull()).alias("added"))
+    return have.union(told.filter("added").select("word")), told
+
+
+def remove_user_words(user_words: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The list without some words, and (word, removed) of each distinct one asked for."""
+    have, asked = _keys(user_words), gone.select(norm(F.col("word")).alias("word")).distinct()
+    told = asked.join(have.withColumn("__have", F.lit(True)), "word", "left").select("word", F.col("__have").isNotNull().alias("removed"))
+    return have.join(asked, "word", "left_anti"), told
+
+
+def is_user_word(probes: DataFrame, user_words: DataFrame, column: str = "word") -> DataFrame:
+    """The probes with mine: whether the user has added the word."""
+    have = _keys(user_words).withColumnRenamed("word", "__mine")
+    return probes.join(have, norm(F.col(column)) == F.col("__mine"), "left").withColumn("mine", F.col("__mine").isNotNull()).drop("__mine")
+
+
+def all_user_words(user_words: DataFrame) -> DataFrame:
+    """The list in the order of its characters."""
+    return _keys(user_words).orderBy("word")
+
+
+def live_vocabulary(words: DataFrame, user_words: DataFrame, removed: DataFrame) -> DataFrame:
+    """What is looked up while a session runs: base and user words without those the user has removed, even if the base has them; a
+    new session starts from the base again."""
+    return merge_user_words(words, user_words).join(_keys(removed), "word", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import TOP_K
 from ..functions.text import norm
-from .ngram import most_frequent
+from .ngram import bigram_probabilities, most_frequent
 
 
 def top_followers(bigrams: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -24,3 +24,23 @@ def predict_next(probes: DataFrame, words: DataFrame, bigrams: DataFrame, k: int
     common = most_frequent(words, k).select("word", F.col("freq").alias("cnt"))
     common = common.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cnt"), "word")).cast("long"))
     return known.unionByName(without.crossJoin(F.broadcast(common)).withColumn("is_fallback", F.lit(True)))
+
+
+def predict_next_words(probes: DataFrame, words: DataFrame, bigrams: DataFrame, k: int = TOP_K, column: str = "previous") -> DataFrame:
+    """(previous, words): only the predicted words, best first."""
+    found = predict_next(probes, words, bigrams, k, column)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "word")))  # k rows a probe
+    return found.groupBy("previous").agg(F.transform(ranked, lambda r: r["word"]).alias("words"))
+
+
+def has_context(probes: DataFrame, bigrams: DataFrame, column: str = "previous") -> DataFrame:
+    """The probes with has_context: whether a word has ever followed."""
+    after = bigrams.filter("cnt > 0").select(F.col("first").alias("__first")).distinct()
+    return probes.join(after, norm(F.col(column)) == F.col("__first"), "left").withColumn("has_context", F.col("__first").isNotNull()).drop("__first")
+
+
+def next_probability(pairs: DataFrame, bigrams: DataFrame) -> DataFrame:
+    """(previous, next) pairs with the probability that the one follows the other; 0 for what has not been seen."""
+    shares = bigram_probabilities(bigrams).select(F.col("first").alias("__first"), F.col("second").alias("__second"), "probability")
+    joined = pairs.join(shares, (norm(F.col("previous")) == F.col("__first")) & (norm(F.col("next")) == F.col("__second")), "left")
+    return joined.withColumn("probability", F.coalesce("probability", F.lit(0.0))).drop("__first", "__second")

@@ -62,8 +62,36 @@ def is_confusable(word: Column) -> Column:
     return F.lower(word).isin([w for pair in C.CONFUSION_SETS for w in pair])
 
 
-def box_is_usable(box: Column) -> Column:
-    """A caret rectangle (left, top, width, height) that is finite, not at the origin and of a line's height."""
-    parts = [box[c] for c in ("left", "top", "width", "height")]
-    finite = ~F.exists(F.array(*parts), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
-    return finite & ~((parts[0] == 0) & (parts[1] == 0)) & (parts[3] > 0) & (parts[3] <= 400)
+def _line(box: Column, left: Column) -> Column:
+    return F.when(box.isNotNull(), F.struct(left.alias("left"), box["top"].alias("top"), F.lit(0.0).alias("width"), box["height"].alias("height")))
+
+
+def box_from_caret(boxes: Column) -> Column:
+    """The caret's rectangle (left, top, width, height) from its own boxes: the last one's left edge; null without any."""
+    box = F.get(boxes, F.size(boxes) - 1)
+    return _line(box, box["left"])
+
+
+def box_from_char_before(boxes: Column, character: Column) -> Column:
+    """The right edge of the character before the caret; null for a line break, whose box is on the line above."""
+    box = F.get(boxes, F.size(boxes) - 1)
+    return F.when(~F.coalesce(character.rlike(r"[\n\r]"), F.lit(False)), _line(box, box["left"] + box["width"]))
+
+
+def box_from_char_after(boxes: Column) -> Column:
+    """The left edge of the character after the caret."""
+    box = F.get(boxes, F.lit(0))
+    return _line(box, box["left"])
+
+
+def box_is_usable(box: Column, field: Column | None = None) -> Column:
+    """A caret rectangle that is finite, not at the origin, of a line's height and, where the field's rectangle has a size, inside it
+    but for a margin."""
+    left, top, height = box["left"], box["top"], box["height"]
+    finite = ~F.exists(F.array(left, top, height), lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    sound = finite & ~((left == 0) & (top == 0)) & (height > 0) & (height <= C.MAX_LINE_HEIGHT)
+    if field is not None:
+        within = (left >= field["left"] - C.FIELD_MARGIN) & (left <= field["left"] + field["width"] + C.FIELD_MARGIN)
+        within &= (top >= field["top"] - C.FIELD_MARGIN) & (top + height <= field["top"] + field["height"] + C.FIELD_MARGIN)
+        sound &= (field["width"] <= 0) | (field["height"] <= 0) | within
+    return F.coalesce(box.isNotNull() & sound, F.lit(False))

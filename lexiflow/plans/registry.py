@@ -400,6 +400,142 @@ def key_events(spark, sf_dir):
     return c.select("user_id", F.col("seq").cast("long"), F.timestamp_millis(F.col("seq") * 200).alias("ts"), F.lit("key").alias("kind"), "ch").filter("ch != ''")
 
 
+_PAIRS_TALK = "SELECT DISTINCT coalesce(previous_word, '') AS previous, word FROM talk"
+
+
+def _probe_pairs(spark, sf_dir):
+    return talk(spark, sf_dir).select(F.coalesce("previous_word", F.lit("")).alias("previous"), "word").distinct()
+
+
+@query(CTE + "SELECT prefix, prefix = '' OR EXISTS (SELECT 1 FROM (SELECT DISTINCT left(word, 4) AS l FROM words) w WHERE w.l = prefix) AS found FROM (SELECT DISTINCT left(word, 4) AS prefix FROM talk WHERE length(word) >= 4 UNION ALL SELECT '')")
+def prefix_exists(spark, sf_dir):
+    asked = talk(spark, sf_dir).filter(F.length("word") >= 4).select(F.left("word", F.lit(4)).alias("prefix")).union(spark.createDataFrame([(" ",)], "prefix string"))
+    return complete.has_prefix(asked, words_of(spark, sf_dir))
+
+
+@query(CTE + ", p AS (SELECT DISTINCT left(word, 5) AS prefix FROM talk WHERE length(word) >= 5) SELECT prefix, w.word, freq FROM p JOIN words w ON left(w.word, 5) = prefix UNION ALL SELECT '', word, freq FROM words")
+def prefix_matches(spark, sf_dir):
+    asked = talk(spark, sf_dir).filter(F.length("word") >= 5).select(F.left("word", F.lit(5)).alias("prefix")).union(spark.createDataFrame([("",)], "prefix string"))
+    return complete.prefix_matches(asked, words_of(spark, sf_dir))
+
+
+@query(CTE + f""", ask AS (SELECT DISTINCT word AS previous FROM talk), top AS ({_TOP}), best AS (SELECT word, row_number() OVER (ORDER BY freq DESC, word) AS rank FROM words QUALIFY rank <= 5)
+SELECT previous, string_agg(word, ' ' ORDER BY rank) AS words FROM (SELECT previous, second AS word, rank FROM ask JOIN top ON first = previous UNION ALL SELECT previous, word, rank FROM ask CROSS JOIN best WHERE previous NOT IN (SELECT first FROM bigrams)) GROUP BY 1""")
+def predict_next_words(spark, sf_dir):
+    found = predict.predict_next_words(talk(spark, sf_dir).select(F.col("word").alias("previous")), words_of(spark, sf_dir), bigrams_of(spark, sf_dir))
+    return found.select("previous", F.array_join("words", " ").alias("words"))
+
+
+@query(CTE + "SELECT typed, typed IN (SELECT first FROM bigrams) AS has_context FROM asked")
+def has_context(spark, sf_dir):
+    return predict.has_context(typed_words(spark, sf_dir), bigrams_of(spark, sf_dir), "typed")
+
+
+@query(CTE + f"SELECT previous, word AS next, round(coalesce(cnt / total::DOUBLE, 0), 9) AS probability FROM ({_PAIRS_TALK}) LEFT JOIN bigrams ON first = previous AND second = word LEFT JOIN totals USING (first)")
+def next_probability(spark, sf_dir):
+    pairs = _probe_pairs(spark, sf_dir).withColumnRenamed("word", "next")
+    return predict.next_probability(pairs, bigrams_of(spark, sf_dir)).withColumn("probability", F.round("probability", 9))
+
+
+@query(CTE + _USERS + f", lw AS (SELECT word, count(*) * any_value(weight) AS n FROM good CROSS JOIN wt GROUP BY 1) SELECT typed, CAST(coalesce(n, 0) AS BIGINT) AS learned FROM asked LEFT JOIN lw ON word = typed")
+def learned_counts(spark, sf_dir):
+    learned = learn.learn_deltas(_uses(spark, sf_dir), words_of(spark, sf_dir), _users(spark))[0]
+    return learn.learned_counts(typed_words(spark, sf_dir), learned, "typed")
+
+
+_PAIRED = ", lp AS (SELECT previous_word AS first, word AS second, count(*) * any_value(weight) AS n FROM good CROSS JOIN wt WHERE previous_word IN (SELECT word FROM ok) GROUP BY 1, 2)"
+
+
+@query(CTE + _USERS + _PAIRED + f" SELECT previous, word, CAST(coalesce(n, 0) AS BIGINT) AS learned FROM ({_PAIRS_TALK}) LEFT JOIN lp ON first = previous AND second = word")
+def learned_pair_counts(spark, sf_dir):
+    learned = learn.record_pairs(_uses(spark, sf_dir), words_of(spark, sf_dir), _users(spark))
+    return learn.learned_pair_counts(_probe_pairs(spark, sf_dir), learned)
+
+
+@query(CTE + _USERS + _PAIRED + " SELECT first, second, CAST(sum(cnt) AS BIGINT) AS cnt FROM (SELECT first, second, cnt FROM bigrams UNION ALL SELECT * FROM lp) GROUP BY 1, 2")
+def learn_apply_pairs(spark, sf_dir):
+    learned = learn.record_pairs(_uses(spark, sf_dir), words_of(spark, sf_dir), _users(spark))
+    return learn.apply_learned_pairs(bigrams_of(spark, sf_dir), learned)
+
+
+@query(CTE + "SELECT DISTINCT word, word NOT IN (SELECT word FROM words WHERE freq >= 3) AND regexp_full_match(word, '[\\p{L}'']+') AS added FROM talk UNION ALL SELECT 'a1', false")
+def user_words_added(spark, sf_dir):
+    have = words_of(spark, sf_dir).filter("freq >= 3").select("word")
+    return learn.add_user_words(have, typed_words(spark, sf_dir).toDF("word").union(spark.createDataFrame([(" A1",)], "word string")))[1]
+
+
+@query(CTE + "SELECT typed AS word, typed IN (SELECT word FROM words) AS removed FROM asked")
+def user_words_removed(spark, sf_dir):
+    return learn.remove_user_words(words_of(spark, sf_dir).select("word"), typed_words(spark, sf_dir).toDF("word"))[1]
+
+
+@query(CTE + "SELECT word, freq FROM words WHERE word NOT IN (SELECT word FROM talk) UNION ALL SELECT word, 100 FROM (VALUES ('zzqx'), ('qwvz')) u(word) WHERE word NOT IN (SELECT word FROM words) AND word NOT IN (SELECT word FROM talk)")
+def live_vocabulary(spark, sf_dir):
+    return learn.live_vocabulary(words_of(spark, sf_dir), _users(spark), typed_words(spark, sf_dir).toDF("word"))
+
+
+@query(CTE + "SELECT typed, typed IN (SELECT word FROM words WHERE freq < 3) AS mine FROM asked")
+def user_words_contains(spark, sf_dir):
+    return learn.is_user_word(typed_words(spark, sf_dir), words_of(spark, sf_dir).filter("freq < 3"), "typed")
+
+
+@query(CTE + "SELECT typed FROM unknown WHERE typed NOT IN (SELECT right(typed, length(typed) - 1) FROM unknown)")
+def words_to_mark(spark, sf_dir):
+    strange = unknown(spark, sf_dir)
+    ignored = strange.select(F.expr("right(typed, length(typed) - 1)").alias("word"))
+    return correct.should_mark(typed_words(spark, sf_dir), words_of(spark, sf_dir), ignored, "typed")
+
+
+@query(CTE + "SELECT word, CASE WHEN word IN (SELECT word FROM talk) THEN length(word) ELSE freq END AS freq FROM words UNION ALL SELECT typed, length(typed) FROM unknown")
+def set_frequencies(spark, sf_dir):
+    return ngram.set_frequencies(words_of(spark, sf_dir), typed_words(spark, sf_dir).select(F.col("typed").alias("word"), F.length("typed").alias("freq")))
+
+
+@query(CTE + "SELECT word, freq FROM words WHERE word NOT IN (SELECT word FROM talk)")
+def remove_words(spark, sf_dir):
+    return ngram.remove_words(words_of(spark, sf_dir), typed_words(spark, sf_dir).toDF("word"))
+
+
+@query(CTE + "SELECT word, CAST(max(freq) AS BIGINT) AS freq FROM (SELECT word, freq FROM words UNION ALL SELECT typed, 10 FROM asked) GROUP BY 1")
+def raise_counts(spark, sf_dir):
+    return vocab_build.raise_to(words_of(spark, sf_dir), typed_words(spark, sf_dir).select(F.col("typed").alias("word"), F.lit(10).alias("freq")))
+
+
+@query(CTE + "SELECT word, freq FROM words UNION ALL SELECT typed, 7 FROM unknown")
+def insert_new_words(spark, sf_dir):
+    return vocab_build.insert_new(words_of(spark, sf_dir), typed_words(spark, sf_dir).select(F.col("typed").alias("word"), F.lit(7).alias("freq")))
+
+
+@query(CTE + f""", p AS (SELECT DISTINCT previous_word AS typed, word AS wanted FROM talk WHERE previous_word IS NOT NULL),
+l AS (SELECT *, len(list_filter(range(1, least(length(typed), length(wanted)) + 1), lambda i: left(typed, i) = left(wanted, i))) AS n FROM p)
+SELECT typed, wanted, length(wanted) <= 100 AND length(typed) <= 100 AS ok, CAST(length(typed) - n AS INTEGER) AS deleted, CAST(length(wanted) - n AS INTEGER) AS n_typed, CAST(2 * (length(typed) + length(wanted) - 2 * n) AS INTEGER) AS expected FROM l""")
+def replacement_keys(spark, sf_dir):
+    rows = talk(spark, sf_dir).filter("previous_word is not null").select(F.col("previous_word").alias("typed"), F.col("word").alias("wanted")).distinct()
+    keys = X.replacement_keys(F.col("typed"), F.col("wanted"))
+    return rows.select("typed", "wanted", keys.alias("k")).select("typed", "wanted", "k.ok", "k.deleted", F.col("k.typed").alias("n_typed"), "k.expected")
+
+
+@query(r"""WITH c AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM documents) SELECT ch, regexp_full_match(ch, '[^\p{L}\p{Nd}''\x00-\x1F\x7F-\x{9F}]') AS separates FROM c WHERE ch <> '' AND ch <> chr(10)""")
+def separators(spark, sf_dir):
+    signs = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("ch")).distinct().filter("ch != '' and ch != '\n'")
+    return signs.withColumn("separates", X.is_word_separator(F.col("ch")))
+
+
+@query(r"""WITH v AS (SELECT DISTINCT text, unnest([0, 5, 17, 1000]) AS caret FROM conversations)
+SELECT text, caret, regexp_extract(left(text, caret), '[\p{L}'']*$') || regexp_extract(substr(text, caret + 1), '^[\p{L}'']*') AS word FROM v""")
+def word_at_caret(spark, sf_dir):
+    v = table(spark, sf_dir, "conversations").select("text", F.explode(F.array(*map(F.lit, (0, 5, 17, 1000)))).alias("caret")).distinct()
+    return v.withColumn("word", X.word_at_caret(F.col("text"), F.col("caret")))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations), p AS (SELECT conv_id, turn, generate_subscripts(l, 1) - 1 AS start, unnest(l) AS ch, text FROM (SELECT *, string_split(text, '') AS l FROM t)),
+f AS (SELECT *, regexp_matches(ch, '[\p{L}'']') AS inside, lag(regexp_matches(ch, '[\p{L}'']')) OVER (PARTITION BY conv_id, turn ORDER BY start) AS before FROM p)
+SELECT conv_id, turn, CAST(start AS INTEGER) AS start, regexp_extract(substr(text, start + 1), '^[\p{L}'']+') AS word FROM f WHERE inside AND NOT coalesce(before, false)""")
+def word_spans(spark, sf_dir):
+    per = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(X.word_spans(F.col("text"))).alias("s"))
+    return per.select("conv_id", "turn", "s.start", "s.word")
+
+
 _TRACK = """WITH c AS (SELECT conv_id * 1000 + turn AS user_id, generate_subscripts(l, 1) - 1 AS seq, unnest(l) AS ch FROM (SELECT conv_id, turn, string_split(text, '') AS l FROM conversations)),
 k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS idx, CASE WHEN regexp_matches(ch, '[\\p{L}'']') THEN 'L' WHEN regexp_matches(ch, '\\p{Nd}') THEN 'D' ELSE 'S' END AS t FROM c WHERE ch >= ' '),
 full_ AS (SELECT user_id, string_agg(ch, '' ORDER BY idx) AS line FROM k GROUP BY 1),

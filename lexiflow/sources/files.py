@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, fields, replace
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import MAX_WORD_LENGTH
+from ..functions.constants import DIAGNOSTICS_BYTES, MAX_WORD_LENGTH
 from ..functions.text import norm
 from ..operators.vocab_build import WORD, keep_word
 
@@ -176,3 +178,82 @@ def parse_settings(text: str, base: Settings | None = None) -> Settings:
 
 def format_settings(settings: Settings) -> str:
     return "".join(f"{f.name}={str(getattr(settings, f.name)).lower()}\n" for f in fields(Settings))
+
+
+class Repository(Protocol):
+    """Where words, pairs, user words and learned counts are kept."""
+
+    def words(self) -> DataFrame: ...
+    def bigrams(self) -> DataFrame: ...
+    def user_words(self) -> DataFrame: ...
+    def save_user_words(self, words: DataFrame) -> None: ...
+    def learned(self) -> tuple[DataFrame, DataFrame]: ...
+    def save_learned(self, words: DataFrame, pairs: DataFrame) -> None: ...
+
+
+@dataclass(frozen=True)
+class TextRepository:
+    """The text files of one folder."""
+
+    spark: SparkSession
+    folder: str
+
+    def words(self) -> DataFrame:
+        return read_words(self.spark, f"{self.folder}/words.txt")
+
+    def bigrams(self) -> DataFrame:
+        return read_bigrams(self.spark, f"{self.folder}/bigrams.txt")
+
+    def user_words(self) -> DataFrame:
+        return read_user_words(self.spark, f"{self.folder}/user_dict.txt")
+
+    def save_user_words(self, words: DataFrame) -> None:
+        write_user_words(words, f"{self.folder}/user_dict.txt")
+
+    def learned(self) -> tuple[DataFrame, DataFrame]:
+        return read_learned(self.spark, f"{self.folder}/learned.txt")
+
+    def save_learned(self, words: DataFrame, pairs: DataFrame) -> None:
+        write_learned(words, pairs, f"{self.folder}/learned.txt")
+
+
+class Dictionary:
+    """The words and pairs that are in use. Loading counts both tables once and then changes them together; a failed load changes nothing."""
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        for table in (getattr(self, "words", None), getattr(self, "bigrams", None)):
+            if table is not None:
+                table.unpersist()
+        self.words: DataFrame | None = None
+        self.bigrams: DataFrame | None = None
+        self.load_ms = 0
+
+    @property
+    def is_loaded(self) -> bool:
+        return self.words is not None
+
+    def load(self, repository: Repository) -> None:
+        began = time.monotonic()
+        words = repository.words().groupBy("word").agg(F.sum("freq").alias("freq")).cache()
+        bigrams = repository.bigrams().groupBy("first", "second").agg(F.sum("cnt").alias("cnt")).cache()
+        words.count(), bigrams.count()
+        self.reset()
+        self.words, self.bigrams, self.load_ms = words, bigrams, int(1000 * (time.monotonic() - began))
+
+
+def append_diagnostics(results: DataFrame, path: str, enabled: bool = True, most: int = DIAGNOSTICS_BYTES) -> None:
+    """Appends one line a replacement: time, app, and counts of keys, never text. What is there is deleted first once it is larger
+    than `most` bytes. results: ts, app, deleted, typed, sent, expected."""
+    if not enabled:
+        return
+    spark = results.sparkSession
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(where) and files.getContentSummary(where).getLength() > most:
+        files.delete(where, True)
+    app = F.coalesce(F.nullif(F.col("app"), F.lit("")), F.lit("unknown"))
+    shown = F.format_string("%s  app=%s  delete=%d  type=%d  sent=%d/%d", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), app, "deleted", "typed", "sent", "expected")
+    results.select(shown.alias("value")).write.mode("append").text(path)

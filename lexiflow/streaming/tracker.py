@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import IDLE_SECONDS
+from ..functions.constants import IDLE_SECONDS, TEXT_WAIT_MS
+from ..functions.text import before_caret
 
 EVENTS = "user_id long, seq long, ts timestamp, kind string, ch string"
 FINISHED = "user_id long, seq long, word string, previous_word string, separator string, start_was_known boolean, link struct<typed:string,separator:string,start_known:boolean,before:string>"
@@ -116,19 +117,77 @@ def track_batch(events: DataFrame) -> DataFrame:
     return events.withColumn("span", span).groupBy("user_id", "span").applyInPandas(lambda key, pdf: _drive(Tracker(), int(key[0]), pdf.sort_values("seq")), FINISHED)
 
 
-def track_stream(events: DataFrame) -> DataFrame:
-    """Finished words of a stream of events, in append mode; the events of one user must come in order from batch to batch."""
+def track_stream(events: DataFrame, forget_after: float | None = None) -> DataFrame:
+    """Finished words of a stream of events, in append mode; the events of one user must come in order from batch to batch. A user's state
+    is dropped after `forget_after` seconds (of processing time) without events, if that is given."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         tracker = Tracker(**json.loads(state.get[0])) if state.exists else Tracker()
-        parts = list(frames)
+        parts = [frame[["seq", "kind", "ch"]] for frame in frames]  # a user's events of one micro-batch
         out = _drive(tracker, int(key[0]), pd.concat(parts).sort_values("seq")) if parts else None
-        state.update((json.dumps(asdict(tracker)),))
         if out is not None and len(out):
             yield out
+        state.update((json.dumps(asdict(tracker)),))
+        if forget_after is not None:
+            state.setTimeoutDuration(int(forget_after * 1000))
+
+    timeout = GroupStateTimeout.NoTimeout if forget_after is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("user_id").applyInPandasWithState(step, FINISHED, "state string", "append", timeout)
+
 
-    return events.groupBy("user_id").applyInPandasWithState(step, FINISHED, "state string", "append", GroupStateTimeout.NoTimeout)
+def live_changes(events: DataFrame, gap: float = IDLE_SECONDS) -> DataFrame:
+    """(user_id, live) of a stream of events, in append mode: true when a user begins to type, false once no event has come for the gap.
+    A timer closes what is idle, so no further event is needed, and drops the state."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState):
+        began = not state.hasTimedOut and not state.exists
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for _ in frames:
+                pass
+            state.update((True,))
+            state.setTimeoutDuration(int(gap * 1000))
+        if began or not state.exists:
+            yield pd.DataFrame({"user_id": [int(key[0])], "live": [began]})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, live boolean", "live boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+#: What keys other than letters do. Enter accepts, what moves the caret drops the word.
+KEY_KINDS = {"Up": "move_up", "Down": "move_down", "Escape": "dismiss", "Enter": "accept_key", "Back": "backspace"} | dict.fromkeys(("Tab", "Left", "Right", "Home", "End", "PageUp", "PageDown", "Delete"), "caret_moved")
+
+
+def key_events(raw: DataFrame) -> DataFrame:
+    """EVENTS from raw key presses (user_id, seq, ts, key, ch, ctrl, alt, injected), batch or stream: keys that the program sent itself are
+    left out, named keys get their kind, with Ctrl or Alt held anything else moves the caret, and control characters type nothing."""
+    kinds = F.create_map(*(F.lit(x) for pair in KEY_KINDS.items() for x in pair))
+    held = F.coalesce("ctrl", F.lit(False)) | F.coalesce("alt", F.lit(False))
+    kind = F.coalesce(F.element_at(kinds, F.coalesce("key", F.lit(""))), F.when(held, "caret_moved").otherwise("key"))
+    own = raw.filter(~F.coalesce("injected", F.lit(False))).withColumn("kind", kind)
+    typed = own.withColumn("ch", F.when(F.col("kind") == "key", F.col("ch")))
+    return typed.filter((F.col("kind") != "key") | typed["ch"].rlike(r"\A[^\p{Cc}]")).select("user_id", "seq", "ts", "kind", "ch")
+
+
+def with_text_before(events: DataFrame, carets: DataFrame, wait_ms: int = TEXT_WAIT_MS) -> DataFrame:
+    """The events with `before`: the text before the caret as of the last of the user's readings (user_id, ts, text, caret, took_ms) up to the
+    event; null without one, with a selection (a null caret), or if it took longer than `wait_ms`."""
+    if events.isStreaming:  # joined with a table of the latest reading of each user
+        last = latest(carets, "user_id", "ts").select("user_id", *(F.col(c).alias(f"__{c}") for c in ("text", "caret", "took_ms")))
+        joined = events.join(last, "user_id", "left")
+    else:
+        readings = carets.select("user_id", F.col("ts").alias("__ts"), F.struct("text", "caret", "took_ms").alias("__read"))
+        both = events.select("*", F.col("ts").alias("__ts")).unionByName(readings, allowMissingColumns=True)
+        order = Window.partitionBy("user_id").orderBy("__ts", F.col("__read").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        joined = both.withColumn("__last", F.last("__read", ignorenulls=True).over(order)).filter("__read is null")
+        joined = joined.select(*events.columns, *(F.col(f"__last.{c}").alias(f"__{c}") for c in ("text", "caret", "took_ms")))
+    fine = F.col("__caret").isNotNull() & (F.coalesce("__took_ms", F.lit(0)) <= wait_ms)
+    return joined.withColumn("before", F.when(fine, before_caret(F.col("__text"), F.col("__caret")))).drop("__text", "__caret", "__took_ms")
 
 
 def typing_sessions(events: DataFrame, gap: float = IDLE_SECONDS, key: str = "user_id", ts: str = "ts", keep: str = "true") -> DataFrame:

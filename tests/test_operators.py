@@ -201,3 +201,43 @@ def test_case_scores(spark):
     cases = spark.createDataFrame([("teh", None, "the"), ("cat", "a", "cat"), ("qqq", None, "quick")], "typed string, previous string, expected string")
     done = correct.autocorrect(cases.select("typed", "previous"), words(spark, the=10, cat=5))
     assert tuple(correct.score_cases(cases, done).first()) == (1, 0, 1, 1)
+
+
+def test_caret_boxes(spark):
+    shape = "array<struct<left:double,top:double,width:double,height:double>>"
+    df = spark.createDataFrame([([(1.0, 2.0, 3.0, 14.0), (5.0, 6.0, 7.0, 15.0)], "\n"), ([], "a"), (None, None), ([(9.0, 9.0, 2.0, 900.0)], "x")], f"b {shape}, c string")
+    b = F.col("b")
+    got = df.select(rules.box_from_caret(b).alias("a"), rules.box_from_char_before(b, F.col("c")).alias("x"), rules.box_from_char_after(b).alias("y")).collect()
+    shown = lambda r: tuple(r) if r else None
+    assert [tuple(map(shown, r)) for r in got] == [((5.0, 6.0, 0.0, 15.0), None, (1.0, 2.0, 0.0, 14.0)), (None,) * 3, (None,) * 3, ((9.0, 9.0, 0.0, 900.0), (11.0, 9.0, 0.0, 900.0), (9.0, 9.0, 0.0, 900.0))]
+    one_box = "struct<left:double,top:double,width:double,height:double>"
+    cases = [((5.0, 5.0, 0.0, 10.0), None, True), ((0.0, 0.0, 0.0, 10.0), None, False), ((5.0, 5.0, 0.0, 401.0), None, False), ((float("nan"), 5.0, 0.0, 9.0), None, False), (None, None, False)]
+    cases += [((5.0, 5.0, 0.0, 10.0), (100.0, 0.0, 50.0, 50.0), False), ((60.0, 5.0, 0.0, 10.0), (100.0, 0.0, 50.0, 50.0), True), ((5.0, 5.0, 0.0, 10.0), (100.0, 0.0, 0.0, 50.0), True)]
+    df = spark.createDataFrame([(a, f or (0.0, 0.0, 0.0, 0.0)) for a, f, _ in cases], f"a {one_box}, f {one_box}")
+    assert [r[0] for r in df.select(rules.box_is_usable(F.col("a"), F.col("f"))).collect()] == [w for *_, w in cases]
+
+
+def test_user_dictionary(spark):
+    mine = spark.createDataFrame([("seecs",), (" Nustian",), ("",)], "word string")
+    table, told = learn.add_user_words(mine, spark.createDataFrame([("SEECS",), ("qadees",), ("a1",), (None,)], "word string"))
+    assert {tuple(r) for r in told.collect()} == {("seecs", False), ("qadees", True), ("a1", False), ("", False)}
+    assert [r.word for r in learn.all_user_words(table).collect()] == ["nustian", "qadees", "seecs"]
+    table, told = learn.remove_user_words(table, spark.createDataFrame([("Seecs",), ("the",)], "word string"))
+    assert {tuple(r) for r in told.collect()} == {("seecs", True), ("the", False)} and table.count() == 2
+    live = learn.live_vocabulary(words(spark, the=5, seecs=7), table, spark.createDataFrame([("seecs",)], "word string"))
+    assert {tuple(r) for r in live.collect()} == {("the", 5), ("nustian", 100), ("qadees", 100)}
+
+
+def test_replacements_and_separators(spark):
+    t, w = F.col("t"), F.col("w")
+    keys = lambda a, b: tuple(one(spark, X.replacement_keys(t, w), t=a, w=b))
+    assert keys("teh", "the") == (True, 2, 2, 8, "he") and keys("the", "the") == (True, 0, 0, 0, "")
+    assert keys("a", "") == (False, 0, 0, 0, None) and keys("a", "b" * 101)[0] is False and keys("a" * 101, "b")[0] is False and keys("a" * 100, "b")[0]
+    got = {c: one(spark, X.is_word_separator(t), t=c) for c in (" ", ",", "a", "é", "'", "5", "\t", "\x7f", "-", "")}
+    assert {c for c, ok in got.items() if ok} == {" ", ",", "-"}
+
+
+def test_a_ranking_of_ones_own(spark):
+    v = words(spark, the=1000, they=500, theory=100)
+    rows = complete.complete(spark.createDataFrame([("th",)], "prefix string"), v, score=lambda freq, cnt, after, total: -freq.cast("double")).orderBy("rank").collect()
+    assert [r.word for r in rows] == ["theory", "they", "the"]

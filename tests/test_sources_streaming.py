@@ -113,3 +113,82 @@ def test_entry_without_llm():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 35 and F is not None
+
+
+def test_repository_and_dictionary(spark, tmp_path):
+    put(tmp_path, "words.txt", "the 100\nThe 5\ncat 50\n")
+    put(tmp_path, "bigrams.txt", "the cat 10\nthe cat 2\n")
+    kept, held = S.TextRepository(spark, str(tmp_path)), S.Dictionary()
+    assert not held.is_loaded
+    held.load(kept)
+    assert rows(held.words) == [("cat", 50), ("the", 105)] and rows(held.bigrams) == [("the", "cat", 12)] and held.is_loaded
+    with pytest.raises(FileNotFoundError):
+        held.load(S.TextRepository(spark, str(tmp_path / "none")))
+    assert held.is_loaded
+    kept.save_user_words(spark.createDataFrame([("zeta",), (" Alpha ",), ("",)], "word string"))
+    assert rows(kept.user_words()) == [("alpha",), ("zeta",)]
+    kept.save_learned(spark.createDataFrame([("cat", 25)], "word string, cnt long"), spark.createDataFrame([("the", "cat", 25)], PAIRS))
+    assert rows(kept.learned()[1]) == [("the", "cat", 25)]
+    S.write_bigrams(held.bigrams, str(tmp_path / "pairs"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "pairs")).collect()] == ["the cat 12"]
+    assert rows(S.read_valid_words(spark, put(tmp_path, "v", "One two\n two THREE \n"))) == [("one",), ("three",), ("two",)]
+    held.reset()
+    assert not held.is_loaded
+
+
+PAIRS = "first string, second string, cnt long"
+
+
+def test_diagnostics(spark, tmp_path):
+    one = spark.createDataFrame([(datetime(2024, 5, 1, 12), "", 2, 3, 10, 10)], "ts timestamp, app string, deleted int, typed int, sent int, expected int")
+    path = str(tmp_path / "log")
+    S.append_diagnostics(one, path, enabled=False)
+    assert not (tmp_path / "log").exists()
+    for _ in range(2):
+        S.append_diagnostics(one, path)
+    assert [r.value for r in spark.read.text(path).collect()] == ["2024-05-01 12:00:00  app=unknown  delete=2  type=3  sent=10/10"] * 2
+    S.append_diagnostics(one, path, most=10)
+    assert spark.read.text(path).count() == 1
+
+
+def test_key_events_and_text_before(spark):
+    ts = datetime(2024, 1, 1)
+    raw = [(1, 0, ts, "A", "a", False, False, False), (1, 1, ts, "V", "v", True, False, False), (1, 2, ts, "Back", None, None, None, None), (1, 3, ts, "Z", "z", False, False, True), (1, 4, ts, "F1", None, False, False, False), (1, 5, ts, "Left", None, False, False, False), (1, 6, ts, "X", "\x01", False, False, False), (1, 7, ts, "Enter", "\r", False, False, False)]
+    got = T.key_events(spark.createDataFrame(raw, "user_id long, seq long, ts timestamp, key string, ch string, ctrl boolean, alt boolean, injected boolean"))
+    assert [(r.seq, r.kind, r.ch) for r in got.orderBy("seq").collect()] == [(0, "key", "a"), (1, "caret_moved", None), (2, "backspace", None), (5, "caret_moved", None), (7, "accept_key", None)]
+    at = lambda s: ts + timedelta(seconds=s)
+    ev = spark.createDataFrame([(1, 0, at(0), "key", "a"), (1, 1, at(2), "key", "b"), (1, 2, at(4), "key", "c"), (2, 3, at(9), "key", "d")], T.EVENTS)
+    carets = spark.createDataFrame([(1, at(1), "hello", 3, 10), (1, at(3), "hello", None, 10), (2, at(8), "slow", 2, 200)], "user_id long, ts timestamp, text string, caret int, took_ms int")
+    assert [(r.seq, r.before) for r in T.with_text_before(ev, carets).orderBy("seq").collect()] == [(0, None), (1, "hel"), (2, None), (3, None)]
+
+
+def test_idle_users_are_closed_by_a_timer(spark, tmp_path):
+    import time
+
+    start = datetime(2024, 1, 1)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(T.EVENTS).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([(u, 0, start, "key", "a") for u in (1, 2)], T.EVENTS).coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
+    q = T.live_changes(stream, gap=1.0).writeStream.format("memory").queryName("live").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if spark.table("live").count() >= 4:
+                break
+        assert sorted(map(tuple, spark.table("live").collect())) == [(1, False), (1, True), (2, False), (2, True)]
+    finally:
+        q.stop()
+
+
+def test_learning_from_a_stream(spark, tmp_path):
+    words = spark.createDataFrame([("good", 50000), ("day", 10)], "word string, freq long")
+    users, got = spark.createDataFrame([], "word string"), []
+    frame = spark.createDataFrame([("Good", None), ("day", "good"), ("dya", "good")], "word string, previous_word string")
+    frame.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
+    q = T.learn_from_stream(stream, words, users, lambda w, p, i: got.extend(map(tuple, [*w.collect(), *p.collect()])), str(tmp_path / "cp"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(got, key=str) == [("day", 50), ("good", "day", 50), ("good", 50)]
