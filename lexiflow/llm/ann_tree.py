@@ -28,6 +28,7 @@ BRANCH = 8
 LEAF, UPPER, LOWER = 64, 512, 128
 BLOCK_ROWS = 1024
 QUERY_ROWS = 512
+HELD_ROWS = 1 << 19
 
 
 def _nearest(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -190,14 +191,43 @@ def _best(k: int, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(score >= (floor - 1e-12 * (1 + np.abs(floor)))[:, None])
 
 
+def _top(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query, vector, score) columns the k best of each query; ties to the smaller vector."""
+    by = np.lexsort((rows[1], -rows[2], rows[0]))
+    query = rows[0][by]
+    new = np.ones(len(by), bool)
+    new[1:] = query[1:] != query[:-1]
+    begin = np.flatnonzero(new)
+    place = np.arange(len(by)) - np.repeat(begin, np.diff(np.append(begin, len(by))))
+    return [x[by[place < k]] for x in rows]
+
+
 def _score(k: int, kind: str):
+    """Scores all pairs of a block's queries and vectors; a task holds the k + 1 best it has seen of each query, and gives them out when
+    they have become HELD_ROWS."""
+
     def run(batches):
+        held, n = [], 0
+
+        def out():
+            return pa.record_batch([pa.array(x) for x in held[0]], names=["query_id", "group_id", "score"])
+
         for batch in batches:
             for one in batch.to_pylist():
                 qi, vi = np.frombuffer(one["q_ids"], np.int64), np.frombuffer(one["ids"], np.int64)
                 q, v = np.frombuffer(one["q_matrix"], kind).reshape(len(qi), -1).astype(np.float64), np.frombuffer(one["matrix"], kind).reshape(len(vi), -1).astype(np.float64)
                 a, b = _best(k + 1, q @ v.T)
-                yield pa.record_batch([pa.array(qi[a]), pa.array(vi[b]), pa.array(exact_scores(q[a], v[b]))], names=["query_id", "group_id", "score"])
+                held.append([qi[a], vi[b], exact_scores(q[a], v[b])])
+                n += len(a)
+                if n > HELD_ROWS:
+                    held = [_top([np.concatenate(x) for x in zip(*held, strict=True)], k + 1)]
+                    n = len(held[0][0])
+                    if n > HELD_ROWS // 2:
+                        yield out()
+                        held, n = [], 0
+        if held:
+            held = [_top([np.concatenate(x) for x in zip(*held, strict=True)], k + 1)]
+            yield out()
 
     return run
 
