@@ -33,7 +33,10 @@ FEATURES = "__lf_id long, n_shingles long, set_print binary, bands array<long>"
 
 def bands_for(percent: int) -> int:
     """Bands of four slots so that a pair at the threshold is missed with a probability below MISS."""
-    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+    bands = math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS)) if 0 < percent < 100 else 1
+    if percent <= 0 or bands * ROWS >= 1 << 16:
+        raise ValueError(f"a similarity of {percent} percent needs too many slots")
+    return bands
 
 
 def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
@@ -54,7 +57,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
 
 
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
-    """Signatures, one row of m slots a set; a slot holds step << 56 | random, and only equality of slots matters."""
+    """Signatures, one row of m slots a set; a slot holds step << 48 | random, and only equality of slots matters."""
     sizes = np.array([len(s) for s in sets], np.int64)
     slots = np.full((len(sets), m), np.iinfo(np.uint64).max)
     state = mix((np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)) ^ U(0x5DEECE66D1234567))
@@ -62,7 +65,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     for step in range(m):
         if not len(doc):
             break
-        value = (U(step) << U(56)) | (mix(state + U((2 * step + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> U(8))
+        value = (U(step) << U(48)) | (mix(state + U((2 * step + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> U(16))
         pick = step + (mix(state + U((2 * step + 2) * 0x9E3779B97F4A7C15 % 2**64)) % U(m - step)).astype(np.int64)
         if order is None:
             slot = pick
@@ -71,7 +74,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
             slot = order[rows, pick].astype(np.int64)
             order[rows, pick] = order[:, step]
         np.minimum.at(slots.reshape(-1), doc * m + slot, value)
-        open_ = (slots >= (U(step + 1) << U(56))).any(axis=1)  # later steps only bring larger values
+        open_ = (slots >= (U(step + 1) << U(48))).any(axis=1)  # later steps only bring larger values
         stay = open_[doc]
         if order is None:
             order = np.tile(np.arange(m, dtype=np.uint16), (int(stay.sum()), 1))

@@ -1,6 +1,8 @@
 import random
 
-from lexiflow.llm import minhash
+import pytest
+
+from lexiflow.llm import components, minhash
 from lexiflow.llm.components import connected_components
 from lexiflow.llm.minhash import bands_for, near_duplicates, superminhash
 
@@ -66,6 +68,14 @@ def test_empty_table_and_null_id(spark):
 def test_bands_follow_the_threshold():
     for percent in (80, 85):
         assert (1 - (percent / 100) ** 4) ** bands_for(percent) < 1e-7
+    with pytest.raises(ValueError):
+        bands_for(10)
+
+
+def test_low_similarities_have_many_slots(spark):
+    rng = random.Random(11)
+    rows = list(enumerate(family(rng, 30, 40, 12)))
+    assert run(spark, rows, 1, 50) == brute(rows, 1, 50)
 
 
 def test_signatures_estimate_similarity():
@@ -79,7 +89,7 @@ def test_signatures_estimate_similarity():
     assert (slots[3] == slots[3].max()).all() and len(set(slots[2].tolist())) == 256
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 480)] + [(5, 5)]
     root = {x: x for pair in links for x in pair}
@@ -92,5 +102,8 @@ def test_components(spark):
     for a, b in links:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "node long, other long")).collect()}
-    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+    for most in (10**6, 20, 0):
+        monkeypatch.setattr(components, "LOCAL_LINKS", most)
+        got = sorted(map(tuple, connected_components(spark.createDataFrame(links, "node long, other long").repartition(4)).collect()))
+        assert got == sorted({(x, find(x)) for a, b in links if a != b for x in (a, b)})
+    assert connected_components(spark.createDataFrame([(1, 1)], "node long, other long")).collect() == []
