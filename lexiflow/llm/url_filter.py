@@ -1,22 +1,30 @@
 """URL filter: rules by host suffix and path prefix, else naive Bayes over segmented host and path words.
 
 Unigram counts come from all pages' visible text. Each distinct host label is cut into substrings, which are joined with the counts,
-so that no vocabulary is held by a task; Viterbi then takes the most probable split. The classifier is fitted on every page that
-a rule judges; its features (segmented host words, path words) are hashed to a fixed number of columns, so the model has a fixed size.
+so that no vocabulary is held by a task; Viterbi then takes the most probable split. There are no labelled urls, so the classifier
+is fitted on all pages: to block, those whose host holds a word of a fixed list of unwanted ones; to allow, all others that no rule
+blocks. So it learns what stands beside unwanted words. Its features are segmented host words and path words, without the words that the
+rules themselves are made of, or it would only repeat the rules; they are hashed to a fixed number of columns, so the model has a fixed
+size. The prior is set so that a stated share of the pages it learned to allow is allowed.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import BROADCAST_ROWS, bounded_batches, stored
 
-FEATURES = 1 << 18
+FEATURES, SMOOTH = 1 << 18, 0.1
+#: Letters of the longest host name there can be; a longer label stays one word.
+LONGEST = 253
+#: Words of a host that mark it as unwanted.
+UNWANTED = ("adult", "bet", "bets", "betting", "casino", "cialis", "escort", "gambling", "jackpot", "loan", "loans", "lottery", "pharmacy", "pill", "pills", "poker", "porn", "replica", "roulette", "slots", "spam", "viagra", "warez", "xxx")
 
 
 def _after_scheme(url: Column) -> Column:
@@ -36,9 +44,9 @@ def path_of(url: Column) -> Column:
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, null without one. A rule is `host/path`: it fits its host and subdomains where
-    the path starts with the rule's; of rules of one length the first in order wins."""
+    the path starts with the rule's; of rules of one length that both fit, the one later in the order of their texts wins."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for what, text in sorted(rules, key=lambda r: (len(r[1]), r[1]), reverse=False):
+    for what, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         name, slash, rest = text.partition("/")
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
         rule, verdict = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(what)).otherwise(verdict)
@@ -84,63 +92,76 @@ def viterbi(label: str, counts: dict[str, int], total: float) -> list[str]:
 
 
 def segment_labels(labels: DataFrame, unigrams: DataFrame) -> DataFrame:
-    """(label, words) for distinct labels; unigrams is (word, n). Labels that are empty or null are left out."""
+    """(label, words) for distinct labels; unigrams is (word, n). Labels that are empty or null are left out; one of more than LONGEST
+    letters is one word."""
     of = unigrams.agg(F.sum("n").alias("n"), F.collect_set(F.length("word")).alias("lengths")).first()
     total, lengths = float(of["n"] or 1), F.array(*map(F.lit, sorted(of["lengths"]))).cast("array<int>")  # only pieces of these lengths can be known
     own = labels.select("label").filter(F.length("label") > 0).distinct()
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.length("label")), lambda i: F.transform(F.filter(lengths, lambda n: n <= F.length("label") - i + 1), lambda n: F.col("label").substr(i, n))))
-    pieces = own.select("label", F.explode(F.array_distinct(spans)).alias("word"))
+    pieces = own.filter(F.length("label") <= LONGEST).select("label", F.explode(F.array_distinct(spans)).alias("word"))
     known = pieces.join(unigrams, "word").groupBy("label").agg(F.collect_list("word").alias("pieces"), F.collect_list("n").alias("counts"))
     ready = own.join(known, "label", "left").select("label", F.coalesce("pieces", F.array().cast("array<string>")).alias("pieces"), F.coalesce("counts", F.array().cast("array<long>")).alias("counts"))
-    return ready.mapInPandas(_viterbi(total), "label string, words array<string>")
+    cut = ready.filter(F.length("label") <= LONGEST).mapInPandas(_viterbi(total), "label string, words array<string>")
+    return cut.union(own.filter(F.length("label") > LONGEST).select("label", F.array("label")))
 
 
-def _columns(host_words: Column, path: Column) -> Column:
-    """Hashed feature columns: host words, and path words with all digit runs as one word."""
+def _columns(host_words: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
+    """Hashed feature columns: host words, and path words with all digit runs as one word; none that a rule is made of."""
     words = F.filter(F.split(F.regexp_replace(F.lower(path), "[0-9]+", " 0 "), "[^a-z0-9]+"), lambda w: F.length(w) > 0)
-    named = F.concat(F.transform(host_words, lambda w: F.concat(F.lit("h:"), w)), F.transform(words, lambda w: F.concat(F.lit("p:"), w)))
+    of_rules = sorted({w for _, text in rules for w in re.findall("[a-z0-9]+", text.lower())}) or [""]
+    other = lambda ws: F.filter(ws, lambda w: ~w.isin(*of_rules))
+    named = F.concat(F.transform(other(host_words), lambda w: F.concat(F.lit("h:"), w)), F.transform(other(words), lambda w: F.concat(F.lit("p:"), w)))
     return F.transform(named, lambda w: F.pmod(F.xxhash64(w), F.lit(FEATURES)).cast("int"))
 
 
-def _judge(weights):
+def _odds(weights):
+    """Log odds of block without the prior."""
+
     def run(frames):
-        table, prior = weights.value
         for frame in frames:
-            odds = np.array([prior + sum(table[list(c)]) if len(c) else prior for c in frame["features"]])
-            frame = frame.drop(columns=["features"])
-            frame["score"] = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
-            yield frame
+            odds = [float(weights.value[list(c)].sum()) if len(c) else 0.0 for c in frame["features"]]
+            yield frame.drop(columns=["features"]).assign(odds=odds)
 
     return run
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", unwanted: tuple[str, ...] = UNWANTED, keep: float = 0.99) -> DataFrame:
     """One row per page: id, host, path, host_words, rule and rule_verdict (null without a rule), score (probability of block by the
     classifier, 0 to 1), verdict (the rule's, else block if score > 0.5, else allow).
 
-    A url that is null or has no `://` has an empty host and path and no words, so only the prior speaks. Repeated rows are judged
-    alike; without any page that a rule judges the prior is even and verdicts without a rule are allow; an empty table gives no rows.
-    Other columns are ignored.
+    The classifier learns to block from pages with a word of `unwanted` in their host, and to allow from the others that no rule blocks; the
+    prior puts the share `keep` of these at or below a score of 0.5. A url that is null or has no `://` has an empty host and path and no words;
+    only the prior speaks. Without any page of either kind no word says anything, and verdicts are allow. Repeated rows are judged alike; urls may be of any length; an empty table gives no rows. Other columns are ignored.
     """
+    bounded_batches(pages.sparkSession)
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     base = pages.select(F.col(id_col).cast("long").alias("__lf_id"), host.alias("host"), path.alias("path"))
     rule, what = rule_of(F.col("host"), F.col("path"), rules)
-    unigrams = pages.select(F.explode(visible_words(F.col(html_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    unigrams = stored(pages.select(F.explode(visible_words(F.col(html_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "unigrams")
     hosts = base.select("host").distinct()
     labels = hosts.select("host", F.posexplode(F.split("host", r"[^a-z0-9]+")).alias("place", "label"))
     cut = segment_labels(labels, unigrams)
     words = labels.join(cut, "label").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "words"))), lambda x: x["words"])).alias("host_words"))
-    judged = base.join(words, "host", "left").select("__lf_id", "host", "path", F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"), rule.alias("rule"), what.alias("rule_verdict"))
-    judged = judged.withColumn("features", _columns(F.col("host_words"), F.col("path")))
+    words = stored(words, "host-words")
+    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("host")), F.lit(0)).alias("bytes")).first()
+    few = size["n"] <= BROADCAST_ROWS and size["bytes"] <= 8 << 20
+    judged = base.join(F.broadcast(words) if few else words, "host", "left").select("__lf_id", "host", "path", F.coalesce("host_words", F.array().cast("array<string>")).alias("host_words"), rule.alias("rule"), what.alias("rule_verdict"))
+    judged = judged.withColumn("features", _columns(F.col("host_words"), F.col("path"), rules))
     judged = stored(judged, "urls")
-    trained = judged.filter("rule_verdict is not null")
-    table = trained.select("rule_verdict", F.explode("features").alias("f")).groupBy("f").agg(F.count_if(F.col("rule_verdict") == "block").alias("b"), F.count_if(F.col("rule_verdict") == "allow").alias("a")).collect()  # FEATURES rows at most
-    many = trained.agg(F.count_if(F.col("rule_verdict") == "block").alias("b"), F.count_if(F.col("rule_verdict") == "allow").alias("a")).first()
+    marked = F.exists("host_words", lambda w: w.isin(*unwanted)) if unwanted else F.lit(False)
+    trained = judged.withColumn("taught", F.when(marked, "block").when(F.coalesce("rule_verdict", F.lit("allow")) == "allow", "allow")).filter("taught is not null")
+    count = lambda what: F.count_if(F.col("taught") == what)
+    table = trained.select("taught", F.explode("features").alias("f")).groupBy("f").agg(count("block").alias("b"), count("allow").alias("a")).collect()  # FEATURES rows at most
     counts = np.zeros((2, FEATURES))
     for row in table:
         counts[:, row["f"]] = row["b"], row["a"]
-    logs = np.log(counts + 1) - np.log(counts.sum(axis=1, keepdims=True) + FEATURES)
-    weights = pages.sparkSession.sparkContext.broadcast(((logs[0] - logs[1]), math.log((many["b"] + 1) / (many["a"] + 1))))
-    scored = judged.mapInPandas(_judge(weights), "__lf_id long, host string, path string, host_words array<string>, rule string, rule_verdict string, score double")
+    seen = max(1, int((counts.sum(axis=0) > 0).sum()))
+    logs = np.log(counts + SMOOTH) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTH * seen)
+    logs[:, (counts.sum(axis=0) == 0) | (counts.sum(axis=1) == 0).any()] = 0  # what neither class has says nothing
+    weights = pages.sparkSession.sparkContext.broadcast(logs[0] - logs[1])
+    scored = stored(judged.mapInPandas(_odds(weights), "__lf_id long, host string, path string, host_words array<string>, rule string, rule_verdict string, odds double"), "odds")
+    allowed = scored.filter(F.coalesce("rule_verdict", F.lit("allow")) == "allow").filter(~marked).agg(F.percentile_approx("odds", keep, 10_000).alias("cut")).first()["cut"]
+    score = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.lit(float(allowed or 0.0)) - F.col("odds")))))
+    scored = scored.withColumn("score", score)
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select(F.col("__lf_id").alias(id_col), "host", "path", "host_words", "rule", "rule_verdict", "score", verdict.alias("verdict"))
