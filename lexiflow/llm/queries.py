@@ -45,7 +45,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))  # a null doc_id is learned from
     model = CompressionClassifier(sample_dictionaries(docs.filter(~held_out)))
     judged = identify_language(docs.select("doc_id", "text", held_out.alias("held_out")), model)
     return judged.select("doc_id", "held_out", "lang_pred", "score", "accepted")
@@ -98,11 +98,11 @@ def queries() -> dict:
 
 
 _OP8 = r"""
-WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said),
-messages AS (SELECT s.*, p.perspective, CASE WHEN s.speaker = p.perspective THEN '<|assistant|>' ELSE '<|user:' || s.speaker || '|>' END || chr(10) AS header FROM said s JOIN speakers p USING (conv_id)),
-placed AS (SELECT *, coalesce(sum(length(header) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM messages)
-SELECT conv_id, perspective, CAST(turn AS BIGINT) AS turn, speaker, CASE WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role, header || body || chr(10) AS rendered,
+WITH said AS (SELECT conv_id, turn, replace(replace(coalesce(role, 'unknown'), '<|', '<\|'), '|>', '|\>') AS speaker, replace(replace(coalesce(text, ''), '<|', '<\|'), '|>', '|\>') AS body FROM conversations WHERE conv_id IS NOT NULL),
+speakers AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+messages AS (SELECT s.*, p.perspective, CASE WHEN s.speaker = p.perspective THEN '<|assistant|>' WHEN s.speaker = 'system' THEN '<|system|>' ELSE '<|user:' || s.speaker || '|>' END || chr(10) AS header FROM said s JOIN speakers p USING (conv_id)),
+placed AS (SELECT *, coalesce(sum(length(header) + length(body) + 1) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM messages)
+SELECT conv_id, perspective, CAST(turn AS BIGINT) AS turn, speaker, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS chat_role, header || body || chr(10) AS rendered,
   CAST(place AS BIGINT) AS message_start, CAST(place + length(header) AS BIGINT) AS text_start, CAST(place + length(header) + length(body) AS BIGINT) AS text_end, CAST(speaker = perspective AS INTEGER) AS loss
 FROM placed
 """
