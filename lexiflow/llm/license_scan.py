@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, frugal
+
 #: Phrases whose places are counted, with their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Further notice phrases, with their labels.
@@ -20,6 +22,11 @@ NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
     "redistribution and use in source and binary forms": "bsd",
     "bsd license": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
+    "licensed under the apache license version 2 0": "apache",
+    "free software foundation either version": "gpl",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "this software is provided as is without any express or implied warranty": "zlib",
     "lesser general public license": "lgpl",
     "library general public license": "lgpl",
     "affero general public license": "agpl",
@@ -28,6 +35,16 @@ NOTICES = {
     "isc license": "isc",
     "boost software license": "bsl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "common development and distribution license": "cddl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "artistic license": "artistic",
+    "do what the fuck you want to public license": "wtfpl",
+    "python software foundation license": "psf",
+    "open software license": "osl",
+    "sil open font license": "ofl",
     "cc by 4 0": "cc-by",
     "cc0 1 0 universal": "cc0",
     "released into the public domain": "public-domain",
@@ -37,6 +54,7 @@ NOTICES = {
 #: Beginnings of SPDX identifiers, with their labels; the longest that fits is taken.
 IDENTIFIERS = {
     "mit": "mit",
+    "mit-": "mit",
     "apache-": "apache",
     "gpl-": "gpl",
     "lgpl-": "lgpl",
@@ -47,13 +65,32 @@ IDENTIFIERS = {
     "isc": "isc",
     "bsl-": "bsl",
     "cc-by-": "cc-by",
+    "cc-by-sa-": "cc-by-sa",
+    "cc-by-nc-": "cc-by-nc",
+    "cc-by-nd-": "cc-by-nd",
     "cc0-": "cc0",
     "unlicense": "unlicense",
     "0bsd": "bsd",
     "zlib": "zlib",
+    "artistic-": "artistic",
+    "cddl-": "cddl",
+    "wtfpl": "wtfpl",
+    "psf-": "psf",
+    "python-": "psf",
+    "osl-": "osl",
+    "afl-": "afl",
+    "ofl-": "ofl",
+    "eupl-": "eupl",
+    "sspl-": "sspl",
+    "busl-": "busl",
+    "ms-pl": "ms-pl",
+    "postgresql": "postgresql",
+    "ncsa": "ncsa",
+    "x11": "x11",
+    "licenseref-": "custom",
 }
 #: Labels that allow use without passing their own terms on.
-PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "zlib", "cc0", "unlicense", "public-domain", "cc-by"}
+PERMISSIVE = {"mit", "apache", "bsd", "isc", "bsl", "zlib", "cc0", "unlicense", "public-domain", "cc-by", "wtfpl", "psf", "afl", "postgresql", "ncsa", "x11"}
 
 TAG = "spdx license identifier"
 _SEPARATORS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
@@ -105,16 +142,26 @@ def parse_expression(text: str) -> list[str] | None:
 
 def evaluate(postfix: list[str]) -> tuple[str, bool, set[str]]:
     """Canonical form, whether some choice of its alternatives is permissive throughout, and the labels that occur."""
-    stack: list[tuple[str, bool, set[str]]] = []
-    for token in postfix:
+    stack: list[tuple[object, bool]] = []  # the tree, and whether it is permissive
+    labels: set[str] = set()
+    for i, token in enumerate(postfix):
         if token in ("OR", "AND", "WITH"):
             b, a = stack.pop(), stack.pop()
             good = a[1] or b[1] if token == "OR" else a[1] and b[1] if token == "AND" else a[1]
-            stack.append((f"({a[0]} {token} {b[0]})", good, a[2] if token == "WITH" else a[2] | b[2]))
+            stack.append(((a[0], token, b[0]), good))
         else:
             label = identifier_label(token)
-            stack.append((token, label in PERMISSIVE, {label} if label else set()))
-    return stack[0]
+            stack.append((token, label in PERMISSIVE))
+            if label and postfix[i + 1 : i + 2] != ["WITH"]:  # what follows WITH is an exception, no licence
+                labels.add(label)
+    out, todo = [], [stack[0][0]]
+    while todo:  # written out piece by piece, as a chain may be long
+        part = todo.pop()
+        if isinstance(part, tuple):
+            todo += [")", part[2], f" {part[1]} ", part[0], "("]
+        else:
+            out.append(part)
+    return "".join(out), stack[0][1], labels
 
 
 class Scanner:
@@ -172,15 +219,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unless an expression offers a permissive choice; null without labels) and score (0 without finds; else 1 - 1/2^n for n finds,
     an expression counting as three).
 
-    Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. Null and empty texts have none. Rows are judged
-    one by one, so repeated rows and ids give repeated results; an empty table gives none; other columns are ignored.
+    Words are lower-cased (A-Z) runs of digits, letters and non-ASCII characters. Null and empty texts have none; texts and expressions may be
+    of any length and are scanned whole. Rows are judged one by one, so null and repeated ids and repeated rows give a result each;
+    overlapping phrases all count, in the order of their first words, then of their texts. An empty table gives none; other columns are ignored.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     part = docs.select(F.col(id_col).cast("long").alias("__lf_id"), F.col(text_col).alias("__lf_text"))
     schema = spark.createDataFrame([], RESULT).schema
-    found = part.mapInArrow(_run(to_arrow_schema(schema)), schema)
+    bounded_batches(spark)
+    found = part.mapInArrow(frugal(_run(to_arrow_schema(schema))), schema)
     by_place, by_expression = F.transform("places", lambda p: p["label"]), F.flatten(F.transform("expressions", lambda e: e["labels"]))
     labels = F.array_sort(F.array_distinct(F.concat(by_place, by_expression)))
     finds = F.size("places") + 3 * F.size("expressions")
