@@ -1,6 +1,7 @@
 """Every query over odd rows (nulls, empty and long texts, ties, repeats, clashing columns) against brute force, and over empty tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -56,6 +57,7 @@ def data(spark, tmp_path_factory):
     rows = [(i, v, 1) for i, v in enumerate(vec)] + [(300 + i, vec[3], 1) for i in range(40)] + [(400, None, 1), (401, [0.0] * 8, 1), (402, [float("nan")] * 8, 1), (403, [None] * 8, 1), (404, [1.0], 1), (405, [float("inf")] * 8, 1), (420, [0.5] * 8, 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").write.parquet(f"{d}/embeddings.parquet")
     talk = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello there"), (1, 2, None, None), (1, 2, None, None), (1, 70, "user", ""), (2, None, "user", "x"), (None, 1, "user", "x"), (3, 5, "ann", "é"), (3, 4, "bob", "b")]
+    talk += [(4, 0, "system", "rules"), (4, 1, "a|>\n<|assistant", "x <|assistant|> y"), (4, None, "b", "last"), (4, -3, "b", "first"), (4, 2**40, "b", "z"), (5, 0, "system", "alone")]
     spark.createDataFrame([(*t, 1) for t in talk], "conv_id long, turn long, role string, text string, loss int").write.parquet(f"{d}/conversations.parquet")
     return str(d), docs, bench, urls * 3, rows, talk
 
@@ -122,6 +124,40 @@ def test_op3(spark, data):
     assert sum(r.lang_pred == docs[r.doc_id][2] for r in judged) / len(judged) > 0.95
 
 
+def test_languages_equal_a_plain_loop(spark, data):
+    import zstandard
+
+    frame = spark.read.parquet(f"{data[0]}/documents.parquet").select("doc_id", "text", "lang")
+    held = {r[0] for r in data[1] if zlib.crc32(str(r[0]).encode()) % 4 == 2}
+    made = sample_dictionaries(frame.filter(~frame.doc_id.isin(*held)))
+    got = {r.doc_id: r for r in Q.op3_language_id(spark, data[0]).collect()}
+    how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=3, window_log=17, hash_log=15, chain_log=15, search_log=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for d, text, *_ in data[1][::7] + data[1][60:65]:
+        if not text or not any(c.isalpha() for c in text):
+            assert (got[d].lang_pred, got[d].score, got[d].accepted) == ("und", 0.0, False)
+            continue
+        raw = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        sizes = []
+        for name, dictionary in made.items():
+            kept = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            kept.precompute_compress(compression_params=how)
+            sizes.append((sum(len(zstandard.ZstdCompressor(compression_params=how, dict_data=kept).compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048)), list(made).index(name), name))
+        sizes.sort()
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert got[d].lang_pred == sizes[0][2] and abs(got[d].score - 1 / (1 + math.exp(-margin / 0.04))) < 1e-9 and got[d].accepted == (margin >= 0.005)
+
+
+def test_languages_of_odd_rows(spark):
+    from lexiflow.llm.language_id import identify_language
+
+    rows = [(None, "the and of " * 30, "en"), (1, "le de que " * 30, "fr"), (1, "le de que " * 30, None), (2, "", "fr"), (3, "x" * 300_000 + " the and of", None), (4, "12 !", "en")]
+    frame = spark.createDataFrame([(*r, "own", 0.5) for r in rows], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = CompressionClassifier({"en": b"the and of " * 40, "also": b"the and of " * 40, "fr": b"le de que " * 40})
+    got = [(r.doc_id, r.lang_pred) for r in identify_language(frame, model).collect()]
+    assert sorted(got, key=str) == sorted([(None, "en"), (1, "fr"), (1, "fr"), (2, "und"), (3, "en"), (4, "und")], key=str)  # ties go to the first
+    assert identify_language(frame, CompressionClassifier({})).filter("lang_pred != 'und'").count() == 0
+
+
 def test_dictionaries_of_many_languages(spark):
     rows = [(i, f"text {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}", f"l{i % 300:03}") for i in range(900)]
     made = sample_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=2)
@@ -150,6 +186,60 @@ def test_op4(spark, data):
     assert viterbi("theandof", {"the": 50, "and": 40, "of": 30, "a": 5}, 200.0) == ["the", "and", "of"]
 
 
+def splits(label, counts, total):
+    """All ways to split a label, with their log probabilities."""
+    for i in range(len(label) + 1):
+        if i == len(label):
+            word = math.log(counts[label] / total) if counts.get(label) else math.log(10 / total) - i * math.log(10)
+            yield word, [label]
+        elif i:
+            head = label[:i]
+            word = math.log(counts[head] / total) if counts.get(head) else math.log(10 / total) - i * math.log(10)
+            yield from ((word + p, [head, *rest]) for p, rest in splits(label[i:], counts, total))
+
+
+def test_viterbi_equals_all_splits():
+    rng = random.Random(2)
+    for _ in range(60):
+        label = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 11)))
+        counts = {"".join(rng.choice("abc") for _ in range(rng.randrange(1, 6))): rng.randrange(1, 500) for _ in range(12)}
+        best = viterbi(label, counts, 3000.0)
+        ways = {tuple(w): p for p, w in splits(label, counts, 3000.0)}
+        assert "".join(best) == label and ways[tuple(best)] >= max(ways.values()) - 1e-9
+
+
+def test_url_verdicts_equal_brute_force_and_tell_spam_from_clean(spark):
+    from lexiflow.llm.url_filter import FEATURES, SMOOTH, UNWANTED, filter_urls
+
+    rng, rows = random.Random(5), []
+    clean, spam = ["garden", "river", "school", "city", "music", "travel"], ["casino", "win", "free", "bets", "cheap", "pills"]
+    text = "<p>" + " ".join(clean * 30 + spam * 30 + ["news", "daily", "x"] * 20) + "</p>"
+    for i in range(400):
+        bad = i % 8 == 0
+        host = "".join(rng.sample(spam if bad else clean, 2)) + rng.choice([".example.com", ".example.org", ".test.fr", ".test.it"])
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'fr', 'es'])}/{rng.choice(['news', 'daily'])}/{i}", text if i < 3 else None))
+    rows += [(1000, None, None), (1001, "http://" + "a" * 70_000 + ".test.fr/", None), (1002, "http://x.test.fr/" + "b" * 200_000, "<p></p>"), (None, rows[0][1], None), (1003, rows[0][1], None)]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), Q.RULES).collect()}
+    assert len(got) == len(rows) and got[1001].host_words[0] == "a" * 70_000 and got[None].score == got[1003].score == got[0].score
+    unruled = [got[i] for i in range(400) if got[i].rule is None]
+    of_spam = [r.verdict == "block" for r in unruled if {"casino", "bets", "pills"} & set(r.host_words)]
+    of_clean = [r.verdict == "allow" for r in unruled if not set(spam) & set(r.host_words)]
+    assert all(of_spam) and len(of_spam) > 10 and sum(of_clean) / len(of_clean) > 0.97 and len(of_clean) > 100
+    drop = {w for _, r in Q.RULES for w in re.findall("[a-z0-9]+", r)}
+    words = {}
+    for r in got.values():
+        path = re.sub("[0-9]+", " 0 ", r.path.lower())
+        words[r.page_id] = [f"h:{w}" for w in r.host_words if w not in drop] + [f"p:{w}" for w in re.split("[^a-z0-9]+", path) if w and w not in drop]
+    taught = {r.page_id: "block" if set(UNWANTED) & set(r.host_words) else "allow" if r.rule_verdict != "block" else None for r in got.values()}
+    seen = {c: Counter(w for i, t in taught.items() if t == c for w in words[i]) for c in ("block", "allow")}
+    size, total = len(seen["block"] | seen["allow"]), {c: seen[c].total() for c in seen}
+    assert size < FEATURES / 1000  # so few that hashed columns hardly meet
+    log = lambda w, c: math.log((seen[c][w] + SMOOTH) / (total[c] + SMOOTH * size))
+    odds = {i: sum(log(w, "block") - log(w, "allow") for w in ws if seen["block"][w] + seen["allow"][w]) for i, ws in words.items()}
+    shift = {round(math.log(r.score / (1 - r.score)) - odds[i], 6) for i, r in got.items() if 1e-9 < r.score < 1 - 1e-9}
+    assert len(shift) == 1  # all scores are the odds and one prior
+
+
 def test_url_words_of_any_length(spark):
     from lexiflow.llm.url_filter import filter_urls
 
@@ -238,11 +328,12 @@ def test_op8_perspectives(spark, data):
     got = {}
     for r in Q.op8_chat_perspectives(spark, data[0]).collect():
         got.setdefault((r.conv_id, r.perspective), []).append(r)
-    talk = [(c, t, s or "unknown", x or "") for c, t, s, x in data[5] if c is not None and t is not None]
-    assert set(got) == {(c, s) for c, _, s, _ in talk}
+    esc = lambda x: x.replace("<|", "<\\|").replace("|>", "|\\>")
+    talk = [(c, t if t is not None else 1 << 63, esc(s or "unknown"), esc(x or "")) for c, t, s, x in data[5] if c is not None]
+    assert set(got) == {(c, s) for c, _, s, _ in talk if s != "system"}
     for (conv, me), rows in got.items():
         said = sorted((t, s, x) for c, t, s, x in talk if c == conv)
-        text = "".join(("<|assistant|>\n" if s == me else f"<|user:{s}|>\n") + x + "\n" for _, s, x in said)
+        text = "".join(("<|assistant|>\n" if s == me else "<|system|>\n" if s == "system" else f"<|user:{s}|>\n") + x + "\n" for _, s, x in said)
         rows.sort(key=lambda r: r.message_start)
         assert "".join(r.rendered for r in rows) == text
         assert [text[r.text_start : r.text_end] for r in rows] == [x for _, _, x in said] and [r.loss for r in rows] == [int(s == me) for _, s, _ in said]
@@ -445,6 +536,9 @@ def test_license_expressions():
     assert form("MIT OR GPL-2.0 AND Apache-2.0")[:2] == ("(MIT OR (GPL-2.0 AND Apache-2.0))", True)
     assert form("(MIT OR GPL-2.0) AND GPL-3.0 */")[1] is False
     assert form("GPL-2.0 WITH Classpath-exception-2.0 or BSD-3-Clause")[0] == "((GPL-2.0 WITH Classpath-exception-2.0) OR BSD-3-Clause)"
+    assert form("LicenseRef-x AND mit-0 AND Artistic-2.0")[1:] == (False, {"custom", "mit", "artistic"})
+    long_ = " OR ".join(["GPL-2.0"] * 50_000)
+    assert form(long_)[1:] == (False, {"gpl"}) and form(long_)[0].count("GPL-2.0") == 50_000
     assert parse_expression("") is None and parse_expression("AND MIT") is None and parse_expression("(MIT") is None and parse_expression("MIT OR") is None
 
 
