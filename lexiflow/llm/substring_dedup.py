@@ -8,6 +8,11 @@ estimated to be repeated are grouped, by 128-bit fingerprints of their words (tw
 different ones share a fingerprint with a probability below 10^-12): a bucket sends each distinct one once, with its smallest document
 id, and gets back whether a smaller id has it elsewhere. The last pass removes the words.
 
+Messages between buckets and ranges would grow with the square of their number. So beyond DIRECT buckets they go by relays: a relay
+stands between about as many buckets as it stands before ranges, the square root of their number; it merges its buckets' messages
+before it passes them on, and deals the answers out again. So messages grow with the power 1.5, and each still holds over a hundred windows at
+100 TB of text.
+
 Nothing is broadcast; the sketch grows with the input (32 counters for about every six bytes of text) but a task only ever
 holds its own range. Hot passages and groups of copies are reduced to one entry a bucket before they are sent.
 """
@@ -29,6 +34,8 @@ from .textscan import SPACED, U, covered, hasher, scan, window_starts
 BUCKET, SHARD, KIND, BLOB = "__lf_bucket", "__lf_shard", "__lf_kind", "__lf_blob"
 MESSAGE = f"{SHARD} long, {BUCKET} long, {KIND} int, {BLOB} binary"
 LAST = np.iinfo(np.int64).max
+#: Buckets up to which messages go to the ranges directly.
+DIRECT = 1024
 
 
 class _Plan:
@@ -39,6 +46,8 @@ class _Plan:
         self.buckets = max(4, math.ceil(megabytes / bucket_mb))
         self.bits = max(20, math.ceil(math.log2(max(1.0, megabytes * 1e6 / 6 * 32))))
         self.width = -(-(1 << self.bits) // self.buckets)  # counters of a shard
+        self.fan = 1 if self.buckets <= DIRECT else math.isqrt(self.buckets - 1) + 1  # buckets, and shards, of a relay
+        self.groups = -(-self.buckets // self.fan)
 
     def windows(self, table: pa.Table, text: str):
         found = scan(whole(table.column(text)), SPACED)
@@ -50,9 +59,18 @@ class _Plan:
     def counters(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> U(64 - self.bits)).astype(np.int64)
 
-    def cuts(self, counters: np.ndarray) -> np.ndarray:
-        """Where the sorted counters of each shard begin."""
-        return np.searchsorted(counters, np.arange(self.buckets + 1) * self.width)
+    def addressed(self, bucket: int, counters: np.ndarray):
+        """For the sorted counters of a bucket: (address, first counter, from, to) of each group of shards that has any. The address is that of
+        the relay between the bucket and the group, or without relays that of the shard."""
+        cuts = np.searchsorted(counters, np.arange(self.groups + 1) * self.fan * self.width)
+        row = bucket // self.fan * self.groups if self.fan > 1 else 0
+        return [(row + g, g * self.fan * self.width, a, b) for g, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
+
+    def shards(self, relay: int, counters: np.ndarray):
+        """The same for the shards behind a relay."""
+        first = relay % self.groups * self.fan
+        cuts = np.searchsorted(counters, np.arange(first, first + self.fan + 1) * self.width)
+        return [(first + i, (first + i) * self.width, a, b) for i, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if b > a]
 
 
 def _pack(counters: np.ndarray, again: np.ndarray) -> bytes:
@@ -116,8 +134,8 @@ def _sketch(plan: _Plan, text: str):
     def run(key, table):
         *_, hashes = plan.windows(table, text)
         counters, count = np.unique(plan.counters(hashes), return_counts=True)
-        cuts, bucket = plan.cuts(counters), key[0].as_py()
-        return _messages([(s, bucket, 0, _pack(counters[a:b] - s * plan.width, count[a:b] > 1)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a])
+        bucket = key[0].as_py()
+        return _messages([(to, bucket, 0, _pack(counters[a:b] - base, count[a:b] > 1)) for to, base, a, b in plan.addressed(bucket, counters)])
 
     return run
 
@@ -137,18 +155,18 @@ def _merge(plan: _Plan):
 def _ask(plan: _Plan, id_col: str, text: str):
     def run(key, table, flags):
         got = _Repeats(plan, table, _bits(flags, 1), id_col, text)
-        shard = plan.counters(got.first) // plan.width
-        cuts, rows = np.searchsorted(shard, np.arange(plan.buckets + 1)), []
-        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if b > a:
-                docs, index = np.unique(got.least[a:b], return_inverse=True)
-                small = index.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
-                rows.append((s, key[0].as_py(), 2, b"".join(x.tobytes() for x in (np.array([b - a, len(docs)], np.int64), got.first[a:b], got.extra[a:b], docs, small))))
-        return _messages(rows)
+        bucket = key[0].as_py()
+        return _messages([(to, bucket, 2, _request(got.first[a:b], got.extra[a:b], got.least[a:b])) for to, _, a, b in plan.addressed(bucket, plan.counters(got.first))])
 
     return run
 
 
+def _request(first: np.ndarray, extra: np.ndarray, least: np.ndarray) -> bytes:
+    docs, index = np.unique(least, return_inverse=True)
+    small = index.astype(np.uint16 if len(docs) <= 1 << 16 else np.uint32)
+    return b"".join(x.tobytes() for x in (np.array([len(first), len(docs)], np.int64), first, extra, docs, small))
+
+
 def _requests(blob: bytes):
     n, m = np.frombuffer(blob, np.int64, 2)
     first, extra, docs = np.frombuffer(blob, np.uint64, n, 16), np.frombuffer(blob, np.uint64, n, 16 + 8 * n), np.frombuffer(blob, np.int64, m, 16 + 16 * n)
@@ -156,22 +174,72 @@ def _requests(blob: bytes):
     return first, extra, docs[index]
 
 
+class _Joined:
+    """The requests of several senders: distinct fingerprints with their smallest documents, and the place of each request among them."""
+
+    def __init__(self, table: pa.Table):
+        self.senders, parts = table.column(BUCKET).to_pylist(), [_requests(b.as_py()) for b in table.column(BLOB)]
+        first, extra, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.lexsort((self.doc, extra, first))
+        f, e = first[order], extra[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (f[1:] != f[:-1]) | (e[1:] != e[:-1])
+        self.first, self.extra, self.least = f[new], e[new], self.doc[order][new]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+
+    def dealt(self, address: int, kind: int, bits: np.ndarray) -> pa.Table:
+        """Bits of all requests, in order, as one answer to each sender."""
+        return _messages([(address, sender, kind, _answer(bits[a:b])) for sender, a, b in zip(self.senders, self.cuts[:-1], self.cuts[1:], strict=True)])
+
+
 def _group(key, table):
-    parts = [_requests(b.as_py()) for b in table.column(BLOB)]
-    if not parts:
-        return _messages([])
-    first, extra, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((doc, extra, first))
-    f, e = first[order], extra[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (f[1:] != f[:-1]) | (e[1:] != e[:-1])
-    least = np.empty(len(order), np.int64)
-    least[order] = doc[order][new][np.cumsum(new) - 1]
-    earlier, at, rows = least < doc, 0, []
-    for bucket, part in zip(table.column(BUCKET).to_pylist(), parts, strict=True):
-        rows.append((key[0].as_py(), bucket, 3, _answer(earlier[at : at + len(part[0])])))
-        at += len(part[0])
-    return _messages(rows)
+    all_ = _Joined(table)
+    return all_.dealt(key[0].as_py(), 3, all_.least[all_.place] < all_.doc)
+
+
+def _union(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The distinct counters of several senders, whether each was seen again, and the counters of each sender."""
+    parts = [_unpack(b.as_py()) for b in table.column(BLOB)]
+    counters, place = np.unique(np.concatenate([c for c, _ in parts]) if parts else np.zeros(0, np.int64), return_inverse=True)
+    times = np.bincount(place, np.concatenate([1 + again for _, again in parts]) if parts else None, minlength=len(counters))
+    return counters, times > 1, [c for c, _ in parts]
+
+
+def _relay_sketches(plan: _Plan):
+    def run(key, table):
+        relay = key[0].as_py()
+        counters, again, _ = _union(table)
+        counters += relay % plan.groups * plan.fan * plan.width
+        return _messages([(s, relay, 0, _pack(counters[a:b] - base, again[a:b])) for s, base, a, b in plan.shards(relay, counters)])
+
+    return run
+
+
+def _relay_flags(plan: _Plan):
+    def run(key, table, flags):
+        counters, _, parts = _union(table)
+        bits = _bits(flags, 1)
+        return _messages([(key[0].as_py() % plan.groups, sender, 1, _answer(bits[np.searchsorted(counters, part)])) for sender, part in zip(table.column(BUCKET).to_pylist(), parts, strict=True)])
+
+    return run
+
+
+def _relay_requests(plan: _Plan):
+    def run(key, table):
+        relay, all_ = key[0].as_py(), _Joined(table)
+        return _messages([(s, relay, 2, _request(all_.first[a:b], all_.extra[a:b], all_.least[a:b])) for s, _, a, b in plan.shards(relay, plan.counters(all_.first))])
+
+    return run
+
+
+def _relay_known(plan: _Plan):
+    def run(key, table, known):
+        all_ = _Joined(table)
+        return all_.dealt(key[0].as_py() % plan.groups, 3, _bits(known, 3)[all_.place] | (all_.least[all_.place] < all_.doc))
+
+    return run
 
 
 def _remove(plan: _Plan, id_col: str, text: str, carry: list[str], schema: pa.Schema):
@@ -219,10 +287,17 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     shape = T.StructType([f for f in docs.select(id_col, *extra).schema] + results)
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    of_bucket = dealt.groupBy(BUCKET)
-    sketches = of_bucket.applyInArrow(frugal_group(_sketch(plan, text_col)), MESSAGE)
-    flags = sketches.groupBy(SHARD).applyInArrow(frugal_group(_merge(plan)), MESSAGE)
-    asked = of_bucket.cogroup(flags.groupBy(BUCKET)).applyInArrow(frugal_group(_ask(plan, id_col, text_col)), MESSAGE)
-    known = asked.groupBy(SHARD).applyInArrow(frugal_group(_group), MESSAGE)
+    of_bucket, made = dealt.groupBy(BUCKET), lambda groups, run: groups.applyInArrow(frugal_group(run), MESSAGE)
+
+    def answered(sent: DataFrame, up, merge, down) -> DataFrame:
+        """What the shards answer to messages, through relays if there are any."""
+        if plan.fan == 1:
+            return made(sent.groupBy(SHARD), merge)
+        back = made(made(sent.groupBy(SHARD), up(plan)).groupBy(SHARD), merge)
+        return made(sent.groupBy(SHARD).cogroup(back.groupBy(BUCKET)), down(plan))
+
+    flags = answered(made(of_bucket, _sketch(plan, text_col)), _relay_sketches, _merge(plan), _relay_flags)
+    asked = made(of_bucket.cogroup(flags.groupBy(BUCKET)), _ask(plan, id_col, text_col))
+    known = answered(asked, _relay_requests, _group, _relay_known)
     answers = flags.unionByName(known)
     return of_bucket.cogroup(answers.groupBy(BUCKET)).applyInArrow(frugal_group(_remove(plan, id_col, text_col, extra, to_arrow_schema(shape))), shape)

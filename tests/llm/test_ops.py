@@ -92,6 +92,24 @@ def test_op1(spark, data):
     assert {r[0]: tuple(r[1:]) for r in Q.op1_substring_dedup(spark, data[0]).collect()} == want
 
 
+def test_relays_change_nothing(spark, data, monkeypatch):
+    from lexiflow.llm import substring_dedup as module
+
+    monkeypatch.setattr(module, "DIRECT", 4)
+    frame = spark.read.parquet(f"{data[0]}/documents.parquet").select("doc_id", "text")
+    want = removed([r[:2] for r in data[1]], 13)
+    for mb in (0.02, 0.005):  # about 20 and 80 buckets
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text.encode()) for r in substring_dedup(frame, 13, bucket_mb=mb).collect()}
+        assert got == want
+
+
+def test_substring_dedup_of_long_words_and_hot_ids(spark):
+    text = "w" * 300_000 + " " + " ".join(f"w{i}" for i in range(30)) + " " + "é" * 300_000
+    rows = [(3, text), (4, "x " + text), (None, "a b"), (5, "")] + [(None, f"n{i} " * 20) for i in range(40)]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 13, bucket_mb=0.05).collect()}
+    assert got == {(3, 32): 0, (4, 33): 32, (None, 2): 0, (5, 0): 0, (None, 20): 0}
+
+
 def test_substring_dedup_repeated_and_null_ids(spark):
     text = " ".join(map(str, range(20)))
     df = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (None, text, "c"), (2, text + " x", "d")], "doc_id long, text string, kept_text string")
