@@ -17,6 +17,10 @@ EVENTS = "user_id long, seq long, ts timestamp, kind string, ch string"
 FINISHED = "user_id long, seq long, word string, previous_word string, separator string, start_was_known boolean, link struct<typed:string,separator:string,start_known:boolean,before:string>"
 
 
+#: Places of seq in which the resets of a user are counted together.
+SPAN_RUN = 4096
+
+
 @dataclass
 class Tracker:
     """State of one user: the word being typed, the context before it, the last finished word with its own context, whether the
@@ -110,11 +114,16 @@ def _drive(state: Tracker, user: int, frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def track_batch(events: DataFrame) -> DataFrame:
-    """Finished words of a bounded set of events. A user's events between two resets are independent, so the groups are these spans and a user
-    with many events is not gathered in one task."""
+    """Finished words of a bounded set of events. A user's events between two resets are independent, so the groups are these spans; they are
+    numbered in two levels, over runs of SPAN_RUN places of seq and within them, so that a user with many events is not gathered in one task."""
     cut = F.col("kind").isin("caret_moved", "click", "window").cast("int")
-    span = F.sum(cut).over(Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return events.withColumn("span", span).groupBy("user_id", "span").applyInPandas(lambda key, pdf: _drive(Tracker(), int(key[0]), pdf.sort_values("seq")), FINISHED)
+    rows = events.withColumn("run", F.floor(F.col("seq") / SPAN_RUN))
+    upto = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    before = F.coalesce(F.sum("cuts").over(upto(Window.partitionBy("user_id").orderBy("run"), -1)), F.lit(0))
+    runs = rows.groupBy("user_id", "run").agg(F.sum(cut).alias("cuts")).select("user_id", "run", before.alias("before"))
+    inner = F.sum(cut).over(upto(Window.partitionBy("user_id", "run").orderBy("seq"), 0))
+    spans = rows.withColumn("inner", inner).join(runs, ["user_id", "run"]).withColumn("span", F.col("before") + F.col("inner"))
+    return spans.groupBy("user_id", "span").applyInPandas(lambda key, pdf: _drive(Tracker(), int(key[0]), pdf.sort_values("seq")), FINISHED)
 
 
 def track_stream(events: DataFrame, forget_after: float | None = None) -> DataFrame:
