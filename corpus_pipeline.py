@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is stored and read again as the next one's docs. All but the
 last return the columns of documents. A test compares run() with a brute-force version, as SQL cannot express the stages.
+
+Rows are judged one by one, whatever their ids: null and repeated ids change nothing but where a stage says so. Texts of any length are
+worked on whole, empty tables give empty results, and further columns, of any names, are carried along to the last stage.
 """
 
 from __future__ import annotations
@@ -19,23 +22,33 @@ from lexiflow.llm.substring_dedup import substring_dedup
 
 #: Words of a passage that the pipeline removes when an earlier document has it.
 PASSAGE = 50
+ROW = "__lf_source_row"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose margin between two languages is narrow, go; lang becomes the language found."""
+    """Documents without a letter (null and empty texts too), or whose margin between two languages is narrow, go; lang becomes the language
+    found. Of languages that fit equally the one with more labelled rows is found, but with no margin such documents go."""
     model = CompressionClassifier(sample_dictionaries(docs))
     judged = identify_language(docs, model).filter("accepted").withColumn("lang", F.col("lang_pred"))
     return judged.select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Shingles of five words, similarity of 0.8 or more."""
-    gone = near_duplicates(docs, shingle=5, percent=80).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group stays: the one with the smallest id (a null id is larger than any other; of rows with the same id, the
+    first). Shingles of five words, similarity of 0.8 or more. Texts without words stay."""
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())  # docs is a stored table, so each reading numbers it alike
+    groups = stored(near_duplicates(rows.select(ROW, "text"), shingle=5, percent=80, id_col=ROW), "groups").filter("n_shingles > 0")
+    sizes = groups.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    members = groups.join(sizes, "component_id").select(ROW, "component_id").join(rows.select(ROW, "doc_id"), ROW)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
+    first = members.groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW)).select(ROW)
+    gone = members.select(ROW).join(first, ROW, "left_anti")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE words or more that an earlier document holds are cut out; texts that lose nothing stay as they are."""
+    """Passages of PASSAGE words or more that a document with a smaller id holds are cut out; texts that lose nothing stay as they are. A text
+    may become empty; rows with the same id do not cut each other."""
     carry = [c for c in docs.columns if c != "doc_id"]
     found = substring_dedup(docs, window=PASSAGE, carry=tuple(carry))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
@@ -44,12 +57,12 @@ def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words lie in passages of the benchmark go."""
+    """Documents of which a twentieth or more of the words lie in passages of the benchmark go; those without words stay."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of 2048 tokens."""
+    """The pieces of sequences of 2048 tokens; a null or empty text is its end id alone."""
     pieces = pack(docs, tokenizer_path("word_bpe_49k.json"), "word", end=1, length=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
