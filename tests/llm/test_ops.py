@@ -560,6 +560,14 @@ def test_license_expressions():
     assert parse_expression("") is None and parse_expression("AND MIT") is None and parse_expression("(MIT") is None and parse_expression("MIT OR") is None
 
 
+def test_near_dedup_stage_of_repeated_and_null_ids(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text, "a"), (5, text, "b"), (3, text, "c"), (None, text, "d"), (None, "other words stand here now", "e"), (7, "other words stand here now", "f"), (7, "and again some more words", "g"), (9, None, "h"), (9, "", "i")]
+    spark.createDataFrame(rows, "doc_id long, text string, node string").repartition(2).write.parquet(f"{tmp_path}/docs")
+    got = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{tmp_path}/docs"), "")
+    assert got.columns == ["doc_id", "text", "node"] and sorted(r.node for r in got.collect()) == ["c", "f", "g", "h", "i"]
+
+
 def test_pipeline_equals_brute_force(spark, data):
     import sys
     from pathlib import Path
