@@ -1,7 +1,6 @@
 """Registered queries over the driver's tables, and the SQL that gives the same rows.
 
-Vocabulary and bigrams come from all documents; probes come from all conversations. Contractions do not occur in generated text, so
-those queries also run over inline rows.
+Vocabulary and bigrams come from all documents; probes come from all conversations.
 """
 
 from __future__ import annotations
@@ -150,16 +149,26 @@ def completion_floor(spark, sf_dir):
     return complete.completion_floor(words_of(spark, sf_dir))
 
 
-_SHORT = [("can't", 208), ("canterbury", 90), ("canton", 60), ("cantor", 20), ("couldn't", 88), ("could", 900)]
+# Contractions hardly occur in generated text, so an apostrophe is put before the last letter of each word that has none.
+_MARKED = """, marked AS (SELECT left(word, length(word) - 1) || chr(39) || right(word, 1) AS word, freq FROM words WHERE length(word) >= 4 AND NOT contains(word, chr(39))),
+w AS (SELECT * FROM words UNION ALL SELECT * FROM marked WHERE word NOT IN (SELECT word FROM words))"""
 
 
-@query("""WITH w(word, freq) AS (VALUES ('can''t', 208), ('canterbury', 90), ('canton', 60), ('cantor', 20), ('couldn''t', 88), ('could', 900)), p(prefix) AS (VALUES ('cant'), ('couldn'), ('ca')),
-a AS (SELECT DISTINCT prefix, word, freq, 0 AS src FROM (SELECT prefix, left(prefix, i) || '''' || substr(prefix, i + 1) AS t FROM (SELECT prefix, unnest(range(1, length(prefix))) AS i FROM p)) JOIN w ON starts_with(word, t)
-UNION ALL SELECT prefix, w.word, w.freq, 1 FROM p JOIN w ON starts_with(w.word, prefix))
-SELECT prefix, word, CAST(freq AS BIGINT) AS freq, src = 0 AS is_contraction, row_number() OVER (PARTITION BY prefix ORDER BY src, freq DESC, word) AS rank FROM a QUALIFY rank <= 5""")
+def _with_marks(spark, sf_dir):
+    words = words_of(spark, sf_dir)
+    bare = words.filter((F.length("word") >= 4) & ~F.contains("word", F.lit("'")))
+    marked = bare.select(F.concat(F.expr("left(word, length(word) - 1)"), F.lit("'"), F.right("word", F.lit(1))).alias("word"), "freq")
+    return words.union(marked.join(words, "word", "left_anti"))
+
+
+@query(CTE + _MARKED + """, p AS (SELECT DISTINCT left(word, 4) AS prefix FROM talk WHERE length(word) >= 4),
+t AS (SELECT prefix, left(prefix, i) || chr(39) || substr(prefix, i + 1) AS t FROM (SELECT prefix, unnest(range(1, length(prefix))) AS i FROM p WHERE NOT contains(prefix, chr(39)))),
+a AS (SELECT DISTINCT prefix, word, freq, 0 AS src FROM t JOIN w ON left(word, 5) = t
+UNION ALL SELECT prefix, w.word, w.freq, 1 FROM p JOIN w ON left(w.word, 4) = prefix LEFT JOIN w own ON own.word = prefix WHERE w.freq >= coalesce(own.freq // 5, 0))
+SELECT prefix, word, freq, src = 0 AS is_contraction, row_number() OVER (PARTITION BY prefix ORDER BY src, freq DESC, word) AS rank FROM a QUALIFY rank <= 5""")
 def contraction_completions(spark, sf_dir):
-    words = spark.createDataFrame(_SHORT, "word string, freq long")
-    return complete.complete(spark.createDataFrame([("cant",), ("couldn",), ("ca",)], "prefix string"), words).select("prefix", "word", "freq", "is_contraction", "rank")
+    probes = talk(spark, sf_dir).filter(F.length("word") >= 4).select(F.left("word", F.lit(4)).alias("prefix"))
+    return complete.complete(probes, _with_marks(spark, sf_dir)).select("prefix", "word", "freq", "is_contraction", "rank")
 
 
 @query(CTE + "SELECT word, count(*) AS n FROM talk WHERE word NOT IN (SELECT word FROM words) GROUP BY 1")
@@ -188,12 +197,9 @@ def double_letter_fixes(spark, sf_dir):
     return _edits(unknown(spark, sf_dir), words_of(spark, sf_dir), X.double_letter_edits)
 
 
-@query("""WITH w(word) AS (VALUES ('can''t'), ('don''t'), ('cant''s'), ('it''s')), t(typed) AS (VALUES ('cant'), ('dont'), ('its'), ('can''t'), ('a'))
-SELECT typed, word FROM (SELECT typed, left(typed, i) || '''' || substr(typed, i + 1) AS word FROM (SELECT typed, unnest(range(1, length(typed))) AS i FROM t WHERE NOT contains(typed, ''''))) JOIN w USING (word)""")
+@query(CTE + _MARKED + """SELECT typed, word, freq FROM (SELECT typed, left(typed, i) || chr(39) || substr(typed, i + 1) AS word FROM (SELECT typed, unnest(range(1, length(typed))) AS i FROM asked WHERE NOT contains(typed, chr(39)))) JOIN w USING (word)""")
 def apostrophe_fixes(spark, sf_dir):
-    typed = spark.createDataFrame([("cant",), ("dont",), ("its",), ("can't",), ("a",)], "typed string")
-    words = spark.createDataFrame([("can't",), ("don't",), ("cant's",), ("it's",)], "word string")
-    return typed.select("typed", F.explode(X.apostrophe_insertions(F.col("typed"))).alias("word")).join(words, "word").select("typed", "word")
+    return _edits(typed_words(spark, sf_dir), _with_marks(spark, sf_dir), X.apostrophe_insertions)
 
 
 def _edits(asked, words, make):
@@ -331,13 +337,14 @@ def pairs_semijoin_scaled(spark, sf_dir):
     return vocab_build.scale_pairs(bigrams_of(spark, sf_dir).withColumnRenamed("cnt", "raw"), _kept(spark, sf_dir))
 
 
-def _inline(spark, schema, rows):
-    return spark.createDataFrame(rows, schema)
+_RAW = r"(SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}'']+')) AS original FROM conversations)"
 
 
-@query("SELECT * FROM (VALUES ('teh', 'the', 'the'), ('Teh', 'the', 'The'), ('TEH', 'the', 'THE'), ('tEh', 'the', 'the'), ('T', 'the', 'The')) v(original, replacement, cased)")
+@query(rf"""SELECT original, lower(original) || 's' AS replacement, CASE WHEN length(original) > 1 AND NOT regexp_matches(original, '[^\p{{Lu}}'']') THEN upper(lower(original) || 's')
+  WHEN regexp_matches(original, '^\p{{Lu}}') THEN upper(left(lower(original), 1)) || substr(lower(original) || 's', 2) ELSE lower(original) || 's' END AS cased FROM {_RAW}""")
 def match_capitalization(spark, sf_dir):
-    rows = _inline(spark, "original string, replacement string", [("teh", "the"), ("Teh", "the"), ("TEH", "the"), ("tEh", "the"), ("T", "the")])
+    words = table(spark, sf_dir, "conversations").select(F.explode(X.find_words(F.col("text"))).alias("original")).distinct()
+    rows = words.withColumn("replacement", F.concat(F.lower("original"), F.lit("s")))
     return rows.withColumn("cased", X.match_capitalization(F.col("original"), F.col("replacement")))
 
 
@@ -364,27 +371,65 @@ def sensitive_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", title.alias("title")).withColumn("sensitive", rules.looks_sensitive(F.col("title")))
 
 
-@query("SELECT * FROM (VALUES ('Code.exe', true), (' DEVENV ', true), ('notepad', false), ('code.exe.exe', false), ('', false), ('cmd', true)) v(process, is_code)")
+# Windows and controls are dealt to the rows of conversations by their numbers.
+_PROCESSES = [f"{p.title()}.EXE" for p in C.CODE_PROCESSES] + [f" {p} " for p in C.CODE_PROCESSES] + ["notepad", "code.exe.exe", "", "decode.exe"]
+_CONTROLS = ["", "Strange", *(f"My.{c.title()}.7" for c in C.NON_TEXT_CLASSES + C.TEXT_CLASSES + C.UNKNOWABLE_CLASSES)]
+_LIST = lambda items: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+_HAS = lambda c, parts: "(" + " OR ".join(f"contains({c}, '{p}')" for p in parts) + ")"
+
+
+def _dealt(spark, sf_dir, items, name):
+    rows = table(spark, sf_dir, "conversations")
+    return rows.withColumn(name, F.element_at(F.array(*map(F.lit, items)), (F.pmod(7 * F.col("conv_id") + F.col("turn"), F.lit(len(items))) + 1).cast("int")))
+
+
+_DEALT = "(SELECT *, {items}[(7 * conv_id + turn) % {n} + 1] AS {name} FROM conversations)"
+
+
+@query(f"SELECT conv_id, turn, process, regexp_replace(lower(trim(process)), '\\.exe$', '') IN {_IN(C.CODE_PROCESSES)} AS is_code FROM {_DEALT.format(items=_LIST(_PROCESSES), n=len(_PROCESSES), name='process')}")
 def code_windows(spark, sf_dir):
-    return _inline(spark, "process string", [("Code.exe",), (" DEVENV ",), ("notepad",), ("code.exe.exe",), ("",), ("cmd",)]).withColumn("is_code", rules.is_code_window(F.col("process")))
+    return _dealt(spark, sf_dir, _PROCESSES, "process").select("conv_id", "turn", "process", rules.is_code_window(F.col("process")).alias("is_code"))
 
 
-@query("SELECT * FROM (VALUES (true, false, 'Button', true), (false, false, 'Edit', false), (false, true, '', true), (false, true, 'SysListView32', false), (false, true, 'WindowsForms10.EDIT.app', true), (false, true, 'Strange', true)) v(has_caret, has_focus, control, takes_text)")
+@query(f"""SELECT conv_id, turn, control, CASE WHEN turn % 3 = 0 THEN true WHEN conv_id % 4 = 0 THEN false WHEN trim(control) = '' THEN true ELSE NOT {_HAS("lower(trim(control))", C.NON_TEXT_CLASSES)} END AS takes_text,
+  trim(control) <> '' AND {_HAS("lower(trim(control))", C.TEXT_CLASSES + C.UNKNOWABLE_CLASSES)} AS known FROM {_DEALT.format(items=_LIST(_CONTROLS), n=len(_CONTROLS), name='control')}""")
 def text_target(spark, sf_dir):
-    rows = _inline(spark, "has_caret boolean, has_focus boolean, control string", [(True, False, "Button"), (False, False, "Edit"), (False, True, ""), (False, True, "SysListView32"), (False, True, "WindowsForms10.EDIT.app"), (False, True, "Strange")])
-    return rows.withColumn("takes_text", rules.takes_text(*(F.col(c) for c in rows.columns)))
+    takes = rules.takes_text(F.col("turn") % 3 == 0, F.col("conv_id") % 4 != 0, F.col("control"))
+    return _dealt(spark, sf_dir, _CONTROLS, "control").select("conv_id", "turn", "control", takes.alias("takes_text"), rules.is_known_text_class(F.col("control")).alias("known"))
 
 
-@query("SELECT * FROM (VALUES ('wo', true, true, 'None'), ('w', true, true, 'TooFewLetters'), ('wo', true, false, 'WordStartUnknown'), ('wo', false, false, 'NotATextTarget')) v(prefix, target, start_known, refusal)")
+@query("""WITH r AS (SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN 'NotATextTarget' WHEN turn % 3 = 0 THEN 'WordStartUnknown' WHEN length(left(coalesce(text, ''), turn % 4)) < 2 THEN 'TooFewLetters' ELSE 'None' END AS completions,
+  CASE WHEN conv_id % 5 = 0 THEN 'NotATextTarget' WHEN turn % 2 = 0 THEN 'NoSession' ELSE 'None' END AS predictions FROM conversations)
+SELECT *, completions = 'None' AS shows FROM r""")
 def suggestion_policy(spark, sf_dir):
-    rows = _inline(spark, "prefix string, target boolean, start_known boolean", [("wo", True, True), ("w", True, True), ("wo", True, False), ("wo", False, False)])
-    return rows.withColumn("refusal", rules.check_completions(*(F.col(c) for c in rows.columns)))
+    target, turn = F.col("conv_id") % 5 != 0, F.col("turn")
+    completions = rules.check_completions(F.left("text", (turn % 4).cast("int")), target, turn % 3 != 0)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", completions.alias("completions"), rules.check_predictions(target, turn % 2 != 0).alias("predictions"))
+    return rows.withColumn("shows", rules.should_show(F.col("completions")))
+
 
+_CONFIRM = "coalesce({e} <> '' AND ends_with(before, {e}) AND CASE WHEN length(before) = length({e}) THEN {r} > length({e}) ELSE NOT regexp_matches(substr(before, length(before) - length({e}), 1), '[\\p{{L}}\\p{{Nd}}'']') END, false)"
 
-@query("SELECT * FROM (VALUES ('say helo', 'helo', 10, true), ('helo', 'helo', 4, false), ('helo', 'helo', 5, true), ('xhelo', 'helo', 9, false), ('4helo', 'helo', 9, false), ('hel', 'helo', 9, false)) v(before, expected, requested, ok)")
+
+@query(f"""WITH b AS (SELECT conv_id, turn, left(text, CAST(turn % 40 AS INTEGER)) AS before FROM conversations), e AS (SELECT *, regexp_extract(before, '[\\p{{L}}'']*$') AS expected FROM b)
+SELECT conv_id, turn, expected, {_CONFIRM.format(e="expected", r="(length(expected) + turn % 2)")} AS word, {_CONFIRM.format(e="expected", r="(length(expected) + 1)")}
+  OR (length(expected) > 1 AND {_CONFIRM.format(e="left(expected, length(expected) - 1)", r="(length(expected) + 1)")}) AS prefix FROM e""")
 def caret_text(spark, sf_dir):
-    rows = _inline(spark, "before string, expected string, requested int", [("say helo", "helo", 10), ("helo", "helo", 4), ("helo", "helo", 5), ("xhelo", "helo", 9), ("4helo", "helo", 9), ("hel", "helo", 9)])
-    return rows.withColumn("ok", rules.confirms_word(*(F.col(c) for c in rows.columns)))
+    before, turn = F.left("text", (F.col("turn") % 40).cast("int")), F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", before.alias("before")).withColumn("expected", F.regexp_extract("before", r"[\p{L}']*\z", 0))
+    b, e = F.col("before"), F.col("expected")
+    return rows.select("conv_id", "turn", "expected", rules.confirms_word(b, e, F.length(e) + turn % 2).alias("word"), rules.confirms_prefix(b, e).alias("prefix"))
+
+
+@query(CTE + f"SELECT typed, typed IN {_IN([w for pair in C.CONFUSION_SETS for w in pair])} AS confusable, regexp_full_match(typed, '[\\p{{L}}'']+') AS allowed FROM asked")
+def word_rules(spark, sf_dir):
+    return typed_words(spark, sf_dir).select("typed", rules.is_confusable(F.col("typed")).alias("confusable"), rules.is_allowed_word(F.col("typed")).alias("allowed"))
+
+
+@query(CTE + f", p AS (SELECT DISTINCT previous_word AS a, word AS b FROM talk WHERE previous_word IS NOT NULL) SELECT a, b, CAST(least(levenshtein({_SIGNS.format('a')}, {_SIGNS.format('b')}), 4) AS INTEGER) AS distance FROM p")
+def limited_distances(spark, sf_dir):
+    pairs = talk(spark, sf_dir).filter("previous_word is not null").select(F.col("previous_word").alias("a"), F.col("word").alias("b")).distinct()
+    return pairs.withColumn("distance", X.levenshtein_with_limit(F.col("a"), F.col("b"), 3))
 
 
 @query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
