@@ -133,6 +133,34 @@ def test_op2(spark, data):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_neighbours_of_ties_and_repeated_ids(spark):
+    from lexiflow.llm.ann_tree import nearest_neighbours
+
+    rows = [(0, [1.0, 0.0])] + [(i, [0.5, float(i)]) for i in range(1, 40)] + [(50, [2.0, 1.0]), (50, [0.25, 9.0]), (50, None), (None, [9.0, 9.0])]
+    found = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), k=20, every=60).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id, r.score) for r in found] == [(0, i, 0.5) for i in range(1, 21)]  # 39 tie; of id 50 the smaller vector counts
+
+
+def test_tree_grows_with_the_table(spark, monkeypatch):
+    from lexiflow.llm import ann_tree
+
+    for name, value in (("SAMPLE", 300), ("LEAF_SAMPLE", 60), ("UPPER", 8), ("LEAF", 4)):
+        monkeypatch.setattr(ann_tree, name, value)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(30, 16))
+    vectors = centers[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 16)) * 0.3
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "group_id long, vector array<double>").repartition(4)
+    tree = ann_tree.grow_tree(frame, "double")
+    leaf = tree.assign(vectors)
+    sizes = np.bincount(leaf, minlength=tree.leaves)
+    assert tree.leaves > 100 and sizes.sum() == 4000 and sorted(tree.visit(vectors[5], sizes, 1e9)) == list(range(tree.leaves))
+    again = ann_tree.KMeansTree.load(tree.dump())
+    assert (again.assign(vectors) == leaf).all() and again.visit(vectors[5], sizes, 500) == tree.visit(vectors[5], sizes, 500)
+    true = np.argsort(-(vectors[:50] @ vectors.T), axis=1)[:, :10]
+    seen = [np.isin(leaf[t], tree.visit(q, sizes, 1200)).mean() for q, t in zip(vectors[:50], true, strict=True)]
+    assert np.mean(seen) > 0.9  # with less than a third of the vectors
+
+
 def test_op3(spark, data):
     rows = Q.op3_language_id(spark, data[0]).collect()
     docs = {r[0]: r for r in data[1]}
@@ -287,6 +315,35 @@ def test_op5(spark, data):
     assert sorted(sum(n for _, n in s) for s in fill.values())[1:] == [2048] * (len(fill) - 1)
 
 
+def test_packing_of_null_and_repeated_ids(spark):
+    from lexiflow.llm.packing import pack
+
+    text = "some words to pack " * 900
+    rows = [(None, text), (None, text), (7, "a b"), (7, "a b"), (7, None), (8, "")]
+    frame = spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, length int").repartition(3)
+    got = pack(frame, Q.tokenizer_path("word_bpe_49k.json"), length=256).collect()
+    line = sorted((r.sequence_id * 256 + r.offset, r.length, r.doc_id, r.start, r.doc_tokens) for r in got)
+    assert [a for a, *_ in line] == np.cumsum([0, *(n for _, n, *_ in line)])[:-1].tolist()  # gapless
+    assert Counter((d, t) for _, _, d, start, t in line if start == 0) == Counter({(None, 3601): 2, (7, 3): 2, (7, 1): 1, (8, 1): 1})
+    assert sum(n for _, n, *_ in line) == 2 * 3601 + 6 + 2
+    with pytest.raises(ValueError):
+        pack(frame, Q.tokenizer_path("word_bpe_49k.json"), length=0)
+
+
+def test_totals_of_many_parts(spark, monkeypatch):
+    from lexiflow.llm import common
+
+    rng = random.Random(1)
+    rows = [(p, i, rng.randrange(100)) for p in range(30) for i in range(2)]
+    frame = spark.createDataFrame(rows, "part long, piece long, n long").repartition(5)
+    want = {(p, i): sum(n for q, j, n in rows if (q, j) < (p, i)) for p, i, _ in rows}
+    monkeypatch.setattr(common, "RUN", 4)
+    for most in (10**6, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        got = common.with_base(frame, common.running_totals(frame, ["part", "piece"], "n"), ["part", "piece"]).collect()
+        assert {(r.part, r.piece): r.base for r in got} == want and len(got) == len(rows)
+
+
 def test_op7(spark, data):
     from tokenizers import Tokenizer
 
