@@ -6,6 +6,7 @@ import ctypes
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -80,13 +81,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: The tables made inside each open scratch(), innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Deletes the tables that stored() has made inside, but those it was told to keep, once what came from them has been stored."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        forget(*_SCOPES.pop())
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: a cut in the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiflow-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(out)
     return out
 
 

@@ -629,6 +629,8 @@ def test_pipeline_equals_brute_force(spark, data):
     import sys
     from pathlib import Path
 
+    from lexiflow.llm.common import shared_dir
+
     sys.path.insert(0, str(Path(__file__).parent))
     from test_minhash import brute
 
@@ -641,7 +643,10 @@ def test_pipeline_equals_brute_force(spark, data):
     docs = [(d, cut[d][2].decode() if cut[d][1] else t) for d, t in docs]
     bad = hits(docs, data[2])
     docs = {d: t for d, t in docs if not bad[d][4]}
+    before = set(Path(shared_dir(spark).removeprefix("file://")).iterdir())
     rows = corpus_pipeline.run(spark, data[0]).collect()
+    left = sorted(p.name.split("-")[1] for p in set(Path(shared_dir(spark).removeprefix("file://")).iterdir()) - before)
+    assert left == ["bases", "stage", "tokens"]  # what the last stage reads
     sizes = Counter()
     for r in rows:
         sizes[r.doc_id] += r.length
