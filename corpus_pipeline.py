@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import stored
+from lexiflow.llm.common import forget, scratch, stored
 from lexiflow.llm.decontaminate import decontaminate
 from lexiflow.llm.language_id import CompressionClassifier, identify_language, sample_dictionaries
 from lexiflow.llm.minhash import near_duplicates
@@ -74,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():  # what a stage has stored on its way goes when its result is there, and so does its input
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        forget(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
