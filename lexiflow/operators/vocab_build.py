@@ -81,7 +81,8 @@ def contractions_of(books: DataFrame, text_col: str = "text") -> DataFrame:
 def trim(words: DataFrame, protected: DataFrame, most: int = C.MAX_WORDS) -> DataFrame:
     """Leaves out the rarest unprotected words (by count, then word) beyond `most`.
 
-    The boundary is found from the counts of each frequency, so only the words of one frequency are ever ranked.
+    The boundary is found from the counts of each frequency, and within that of the boundary from those of each beginning of three letters,
+    so only the words of one frequency and beginning are ever ranked.
     """
     free = words.join(protected.select("word").distinct(), "word", "left_anti")
     excess = words.agg(F.greatest(F.lit(0), F.count("*") - most).alias("excess"))
@@ -89,9 +90,12 @@ def trim(words: DataFrame, protected: DataFrame, most: int = C.MAX_WORDS) -> Dat
     levels = free.groupBy("freq").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     levels = levels.crossJoin(F.broadcast(excess)).select("freq", (F.col("excess") - F.col("before")).alias("room"), "n").filter("room > 0")
     all_gone = free.join(levels.filter("room >= n"), "freq", "left_semi").select("word")
-    edge = free.join(levels.filter("room < n"), "freq")
-    some_gone = edge.withColumn("r", F.row_number().over(Window.partitionBy("freq").orderBy("word"))).filter("r <= room").select("word")
-    return words.join(all_gone.union(some_gone), "word", "left_anti")
+    edge = free.join(levels.filter("room < n").drop("n"), "freq").withColumn("lead", F.left("word", F.lit(3)))
+    leads = edge.groupBy("lead").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto.orderBy("lead")), F.lit(0)))
+    edge = edge.join(leads, "lead").filter("before < room")
+    rank = F.row_number().over(Window.partitionBy("lead").orderBy("word"))
+    some_gone = edge.filter("before + n > room").withColumn("r", rank).filter("before + r <= room").select("word")
+    return words.join(all_gone.union(edge.filter("before + n <= room").select("word")).union(some_gone), "word", "left_anti")
 
 
 def scale_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:

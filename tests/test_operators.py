@@ -184,6 +184,9 @@ def test_vocabulary_build(spark):
     exempt = spark.createDataFrame([("wierd",)], "word string")
     frame = spark.createDataFrame([("wierd", 20), ("weird", 5000)], WORDS)
     assert vocab_build.drop_misspellings(frame, exempt).count() == 2 and vocab_build.drop_misspellings(frame).count() == 1
+    level = words(spark, abca=1, abcb=1, abcc=1, abd=1, zz=1, x=9)
+    for most, left in ((5, "abcb abcc abd x zz"), (4, "abcc abd x zz"), (3, "abd x zz"), (2, "x zz"), (1, "x")):
+        assert sorted(r.word for r in vocab_build.trim(level, words(spark, q=1), most).collect()) == left.split()
     small = vocab_build.trim(words(spark, b=1, a=1, c=2, d=9, e=1), words(spark, a=1), 3)
     assert sorted(r.word for r in small.collect()) == ["a", "c", "d"]
     pairs = spark.createDataFrame([("the", "weird", 10), ("the", "nope", 99), ("the", "the", 4)], "first string, second string, raw long")
