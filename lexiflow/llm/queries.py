@@ -56,6 +56,9 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", F.concat_ws(" ", "host_words").alias("host_words"), "score")
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4 that SQL can express: hosts, paths, and what the rules say."""
+    return filter_urls(_table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "rule_verdict")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,18 +85,27 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated", "longest")
 
 
-def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_licenses(_table(spark, sf_dir, "documents"))
+def _base_columns() -> list:
     base = F.filter("places", lambda p: p["base"])
     starts = F.transform(base, lambda p: p["word"])
     names = F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda p: p["label"]))), ",")
-    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names.alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", "permissive")
+    return ["doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names.alias("base_labels")]
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    return found.select(*_base_columns(), F.array_join("labels", ",").alias("labels"), "score", "permissive")
+
+
+def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op10 that SQL can express: the places of the base phrases."""
+    return scan_licenses(_table(spark, sf_dir, "documents")).select(*_base_columns())
 
 
 def queries() -> dict:
     from corpus_pipeline import run
 
-    made = [op1_substring_dedup, op2_nearest_neighbours, op3_language_id, op4_url_filter, op5_packing, op6_near_duplicates, op7_token_files, op8_chat_perspectives, op9_decontamination, op10_license_scan]
+    made = [op1_substring_dedup, op2_nearest_neighbours, op3_language_id, op4_url_filter, op5_packing, op6_near_duplicates, op7_token_files, op8_chat_perspectives, op9_decontamination, op10_license_scan, url_rules, license_places]
     return {f.__name__: f for f in made} | {"pipeline": run}
 
 
@@ -152,7 +164,25 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN bes
 """
 
 
+_URLS = """
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+p AS (SELECT page_id, translate(coalesce(raw, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM h),
+r(rule_verdict, rule) AS (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')),
+f AS (SELECT page_id, rule, rule_verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS n FROM p JOIN r ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, instr(rule, '/'))))
+SELECT p.page_id, host, path, rule, rule_verdict FROM p LEFT JOIN f ON f.page_id = p.page_id AND n = 1
+"""
+
+_PLACES = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW}, {_ALNUM}) AS w FROM documents),
+t AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+m AS (SELECT doc_id, i - 1 AS pos, CASE WHEN w[i] = 'mit' AND w[i + 1] = 'license' THEN 'mit' WHEN w[i] = 'apache' AND w[i + 1] = 'license' THEN 'apache' WHEN w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license' THEN 'gpl' END AS label FROM t WHERE w[i] IN ('mit', 'apache', 'general')),
+g AS (SELECT doc_id, count(*) AS n, min(pos) AS a, max(pos) AS b, array_to_string(list_sort(list(DISTINCT label)), ',') AS l FROM m WHERE label IS NOT NULL GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(a AS BIGINT) AS first_word, CAST(b AS BIGINT) AS last_word, coalesce(l, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return {"op1_substring_dedup": _OP1, "op6_near_duplicates": _OP6, "op8_chat_perspectives": _OP8, "op9_decontamination": _OP9} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op1_substring_dedup": _OP1, "op6_near_duplicates": _OP6, "op8_chat_perspectives": _OP8, "op9_decontamination": _OP9, "url_rules": _URLS, "license_places": _PLACES} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
