@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, chunks_by_bytes, frugal, whole
-from .textscan import ALNUM, covered, hasher, scan
+from .textscan import ALNUM, covered, hasher, scan, stretches
 
 MATCH = T.StructType([T.StructField(c, T.LongType()) for c in ("item_id", "item_start", "doc_start", "length")])
 SPAN = T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length")])
@@ -238,18 +238,6 @@ class _Found:
             a = b
 
 
-def _spans(drop: np.ndarray, first: np.ndarray) -> pa.ListArray:
-    """The covered stretches of each document, as word start and length."""
-    inside = np.flatnonzero(drop)
-    doc = np.searchsorted(first, inside, "right") - 1
-    new = np.ones(len(inside), bool)
-    new[1:] = (np.diff(inside) > 1) | (np.diff(doc) > 0)
-    begin = np.flatnonzero(new)
-    size = np.diff(np.append(begin, len(inside)))
-    struct = pa.StructArray.from_arrays([pa.array(inside[begin] - first[doc[begin]]), pa.array(size)], ["start", "length"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[begin], np.arange(len(first))), pa.int32()), struct)
-
-
 def _judged(found, words: np.ndarray, blocks, window: int) -> dict:
     """n_words, n_hit, longest, matches, spans and contaminated of each document of a shard."""
     first, shard, drop = found.first, None, np.zeros(len(words), bool)
@@ -276,7 +264,7 @@ def _judged(found, words: np.ndarray, blocks, window: int) -> dict:
     struct = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in made], [f.name for f in MATCH])
     matches = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(found) + 1)), pa.int32()), struct)
     plain = {"n_words": found.counts, "n_hit": hit, "longest": longest, "contaminated": (hit > 0) & (20 * hit >= found.counts)}
-    return {k: pa.array(v) for k, v in plain.items()} | {"matches": matches, "spans": _spans(drop, first)}
+    return {k: pa.array(v) for k, v in plain.items()} | {"matches": matches, "spans": stretches(drop, first)}
 
 
 def _search(blocks, window: int, text: str, schema: pa.Schema):

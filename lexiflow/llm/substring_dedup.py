@@ -20,7 +20,6 @@ holds its own range. Hot passages and groups of copies are reduced to one entry
 from __future__ import annotations
 
 import math
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, frugal_group, text_megabytes, whole
-from .textscan import SPACED, U, covered, hasher, scan, window_starts
+from .textscan import SPACED, U, covered, hasher, joined, scan, stretches, window_starts
 
 BUCKET, SHARD, KIND, BLOB = "__lf_bucket", "__lf_shard", "__lf_kind", "__lf_blob"
 MESSAGE = f"{SHARD} long, {BUCKET} long, {KIND} int, {BLOB} binary"
@@ -109,31 +108,49 @@ def _ids(table: pa.Table, id_col: str) -> np.ndarray:
     return whole(table.column(id_col)).cast(pa.int64()).fill_null(LAST).to_numpy(zero_copy_only=False)
 
 
+def _grouped(first: np.ndarray, extra: np.ndarray, doc: np.ndarray, order: np.ndarray):
+    """Of fingerprints that `order` sorts by `first`: the group of each, in that order, and the groups' fingerprints and smallest documents.
+    order is sorted by `extra` as well where two fingerprints share the one and not the other."""
+    f, e = first[order], extra[order]
+    same = f[1:] == f[:-1]
+    if (same & (e[1:] != e[:-1])).any():
+        order[:] = np.lexsort((extra, first))
+        f, e = first[order], extra[order]
+        same = f[1:] == f[:-1]
+    new = np.ones(len(order), bool)
+    new[1:] = ~same | (e[1:] != e[:-1])
+    begin = np.flatnonzero(new)
+    least = np.minimum.reduceat(doc[order], begin) if len(begin) else np.zeros(0, np.int64)
+    return np.cumsum(new) - 1, f[new], e[new], least
+
+
 class _Repeats:
     """Windows of a bucket that are estimated to be repeated, as sorted distinct fingerprints with their smallest document."""
 
     def __init__(self, plan: _Plan, table: pa.Table, flags: np.ndarray, id_col: str, text: str):
         self.scan, words, at, doc, hashes = plan.windows(table, text)
-        counters = plan.counters(hashes)
-        distinct = np.unique(counters)
-        flagged = distinct[flags]
-        place = np.searchsorted(flagged, counters)
-        hit = np.flatnonzero(flagged[np.minimum(place, len(flagged) - 1)] == counters) if len(flagged) else np.zeros(0, np.int64)
-        self.at, self.doc = at[hit], _ids(table, id_col)[doc[hit]]
-        first, extra = hashes[hit], hasher(12).runs(words, self.at, plan.window)
-        order = np.lexsort((self.doc, extra, first))
-        f, e = first[order], extra[order]
+        order = np.argsort(hashes)
+        counters = plan.counters(hashes[order])  # in order too, as they are the first bits
         new = np.ones(len(order), bool)
-        new[1:] = (f[1:] != f[:-1]) | (e[1:] != e[:-1])
+        new[1:] = counters[1:] != counters[:-1]
+        order = order[flags[np.cumsum(new) - 1]]
+        hit = np.zeros(len(hashes), bool)
+        hit[order] = True
+        number = np.cumsum(hit) - 1  # of a window among the flagged ones, in the order of the text
+        self.at, self.doc = at[hit], _ids(table, id_col)[doc[hit]]
+        first, order = hashes[hit], number[order]
+        extra = hasher(12).runs(words, self.at, plan.window)
+        place, self.first, self.extra, self.least = _grouped(first, extra, self.doc, order)
         self.group = np.empty(len(order), np.int64)
-        self.group[order] = np.cumsum(new) - 1
-        self.first, self.extra, self.least = f[new], e[new], self.doc[order][new]
+        self.group[order] = place
 
 
 def _sketch(plan: _Plan, text: str):
     def run(key, table):
         *_, hashes = plan.windows(table, text)
-        counters, count = np.unique(plan.counters(hashes), return_counts=True)
+        counters = plan.counters(np.sort(hashes))
+        begin = np.flatnonzero(np.concatenate(([True], counters[1:] != counters[:-1]))) if len(counters) else np.zeros(0, np.int64)
+        counters, count = counters[begin], np.diff(np.append(begin, len(counters)))
         bucket = key[0].as_py()
         return _messages([(to, bucket, 0, _pack(counters[a:b] - base, count[a:b] > 1)) for to, base, a, b in plan.addressed(bucket, counters)])
 
@@ -180,13 +197,10 @@ class _Joined:
     def __init__(self, table: pa.Table):
         self.senders, parts = table.column(BUCKET).to_pylist(), [_requests(b.as_py()) for b in table.column(BLOB)]
         first, extra, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.lexsort((self.doc, extra, first))
-        f, e = first[order], extra[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (f[1:] != f[:-1]) | (e[1:] != e[:-1])
-        self.first, self.extra, self.least = f[new], e[new], self.doc[order][new]
+        order = np.argsort(first)
+        place, self.first, self.extra, self.least = _grouped(first, extra, self.doc, order)
         self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.cumsum(new) - 1
+        self.place[order] = place
         self.cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
 
     def dealt(self, address: int, kind: int, bits: np.ndarray) -> pa.Table:
@@ -249,21 +263,9 @@ def _remove(plan: _Plan, id_col: str, text: str, carry: list[str], schema: pa.Sc
         gone = (got.doc > got.least[got.group]) | elsewhere[got.group] if len(got.group) else np.zeros(0, bool)
         first = got.scan.first
         drop = covered(int(first[-1]), got.at[gone], plan.window)
-        removed = np.concatenate(([0], np.cumsum(drop)))[first]
-        removed = np.diff(removed)
-        kept, spans = [], []
-        for i in range(len(got.scan)):
-            words = got.scan.text(i).split()
-            if removed[i]:
-                mask = drop[first[i] : first[i + 1]]
-                kept.append(b" ".join(compress(words, (~mask).tolist())).decode())
-                edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
-                spans.append([{"start": a, "length": b - a} for a, b in edge.reshape(-1, 2).tolist()])
-            else:
-                kept.append(b" ".join(words).decode())
-                spans.append([])
-        made = {"n_words": got.scan.counts.astype(np.int64), "n_removed": removed.astype(np.int64), "kept_text": kept, "removed_spans": spans}
-        return pa.table([pa.array(made[f.name], f.type) if f.name in made else whole(table.column(f.name)).cast(f.type) for f in schema], schema=schema)
+        removed = np.diff(np.concatenate(([0], np.cumsum(drop)))[first])
+        made = {"n_words": pa.array(got.scan.counts), "n_removed": pa.array(removed), "kept_text": joined(got.scan, ~drop), "removed_spans": stretches(drop, first)}
+        return pa.table([whole(made[f.name] if f.name in made else table.column(f.name)).cast(f.type) for f in schema], schema=schema)
 
     return run
 

@@ -171,3 +171,32 @@ def covered(n: int, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray
     np.add.at(delta, starts, 1)
     np.add.at(delta, starts + lengths, -1)
     return np.cumsum(delta[:-1]) > 0
+
+
+def stretches(inside: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """The marked stretches of words of each text: start in the text and length."""
+    at = np.flatnonzero(inside)
+    text = np.searchsorted(first, at, "right") - 1
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (np.diff(text) > 0)
+    begin = np.flatnonzero(new)
+    struct = pa.StructArray.from_arrays([pa.array(at[begin] - first[text[begin]]), pa.array(np.diff(np.append(begin, len(at))))], ["start", "length"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text[begin], np.arange(len(first))), pa.int32()), struct)
+
+
+def joined(found: Scan, keep: np.ndarray) -> pa.Array:
+    """The kept words of each text, joined by one space."""
+    starts, sizes = found.starts[keep], (found.ends - found.starts)[keep]
+    first = np.concatenate(([0], np.cumsum(keep)))[found.first]  # of the kept words
+    room = sizes + 1
+    last = first[1:][np.diff(first) > 0] - 1
+    room[last] -= 1  # no space behind a text's last word
+    ends = np.cumsum(room)
+    at = np.repeat(starts - (ends - room), room)
+    at += np.arange(len(at))
+    out = found.data[np.minimum(at, max(len(found.data) - 1, 0))] if len(at) else np.zeros(0, np.uint8)
+    spaced = np.ones(len(ends), bool)
+    spaced[last] = False
+    out[ends[spaced] - 1] = 0x20
+    offsets = np.concatenate(([0], ends))[first]
+    return pa.LargeStringArray.from_buffers(len(found), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(out))

@@ -556,6 +556,38 @@ def test_words_of_equal_polynomials_are_told_apart(spark):
     assert {r.component_id for r in near_duplicates(docs, 2048, 85).collect()} == {1, 2}
 
 
+def test_kept_words_and_stretches():
+    import pyarrow as pa
+
+    from lexiflow.llm.textscan import SPACED, joined, scan, stretches
+
+    rng = random.Random(7)
+    texts = [rng.choice(["", " ", "\n a"]) + rng.choice([" ", "  ", "\n"]).join("é" * rng.randrange(4) + "x" for _ in range(rng.randrange(12))) + rng.choice(["", " \t"]) for _ in range(60)] + [None, "a", " "]
+    found = scan(pa.array(texts), SPACED)
+    for share in (0.0, 0.5, 1.0):
+        keep = np.array([rng.random() < share for _ in found.starts], bool)
+        made, spans, at = joined(found, keep).to_pylist(), stretches(~keep, found.first).to_pylist(), 0
+        for text, got, gone in zip(texts, made, spans, strict=True):
+            words = (text or "").encode().split()
+            mine = keep[at : at + len(words)].tolist()
+            at += len(words)
+            assert got.encode() == b" ".join(w for w, k in zip(words, mine, strict=True) if k)
+            inside = [x for s in gone for x in range(s["start"], s["start"] + s["length"])]
+            assert inside == [i for i, k in enumerate(mine) if not k] and all(b["start"] > a["start"] + a["length"] for a, b in zip(gone, gone[1:], strict=False))
+
+
+def test_fingerprints_that_share_one_half():
+    from lexiflow.llm.substring_dedup import _grouped
+
+    first, extra, doc = np.array([5, 5, 3, 5, 5], np.uint64), np.array([1, 2, 9, 1, 2], np.uint64), np.array([7, 4, 1, 2, 6])
+    order = np.argsort(first, kind="stable")
+    place, f, e, least = _grouped(first, extra, doc, order)
+    assert list(zip(f.tolist(), e.tolist(), least.tolist(), strict=True)) == [(3, 9, 1), (5, 1, 2), (5, 2, 4)]
+    group = np.empty(5, np.int64)
+    group[order] = place
+    assert group.tolist() == [1, 2, 0, 1, 2]
+
+
 def test_word_hashes_are_of_the_bytes():
     import pyarrow as pa
 
