@@ -123,7 +123,7 @@ def made_folder(spark: SparkSession, name: str) -> str:
     return str(files.makeQualified(path).toString()).replace("file:/", "file:///", 1) if folder.startswith("file:") else folder
 
 
-#: Rows of running totals that may be broadcast (of two or three numbers each).
+#: Rows of ids and a number or two that may be broadcast: a few megabytes.
 BROADCAST_ROWS = 200_000
 RUN = 4096
 
@@ -141,12 +141,17 @@ def running_totals(df: DataFrame, keys: list[str], n: str) -> DataFrame:
     return rows.withColumn("inner", inner).join(runs, "run").select(*keys, (F.col("before") + F.col("inner")).alias("base"))
 
 
-def with_base(df: DataFrame, bases: DataFrame, keys: list[str]) -> DataFrame:
-    """df with the base of its keys: broadcast while that is at most BROADCAST_ROWS rows, else joined."""
+def light(df: DataFrame, name: str) -> DataFrame:
+    """A narrow table (ids and numbers), stored: a join sends it to all tasks while it has at most BROADCAST_ROWS rows, and else moves both sides."""
     from pyspark.sql import functions as F
 
-    bases = stored(bases, "bases")
-    return df.join(F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases, keys)
+    kept = stored(df, name)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
+def with_base(df: DataFrame, bases: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the base of its keys."""
+    return df.join(light(bases, "bases"), keys)
 
 
 def text_megabytes(df: DataFrame, column: str) -> float:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks_by_bytes, frugal, stored, whole
+from .common import bounded_batches, chunks_by_bytes, frugal, light, stored, whole
 from .components import connected_components
 from .textscan import SPACED, U, hasher, mix, scan
 
@@ -172,7 +172,7 @@ def _rest_of_families(members: DataFrame, labels: DataFrame, sets: DataFrame, pe
     """Links that hubs have not shown, from the band groups (key, node) that are not yet in one component."""
     open_ = _labelled(members, labels).groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min("node").alias("hub"))
     open_ = open_.filter("lo < hi and n > 2").select("key", "hub")  # the one pair of a group of two has been compared
-    families = connected_components(members.join(open_, "key").select("node", F.col("hub").alias("other")))
+    families = stored(connected_components(members.join(open_, "key").select("node", F.col("hub").alias("other"))), "families")
     named = stored(_labelled(families.withColumnRenamed("component", "family"), labels), "families")
     largest = named.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"))
     rows = named.join(largest, "family").join(sets, "node").withColumn("rest", F.col("label") != F.col("main"))
@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     keyed = nodes.select(F.explode("bands").alias("key"), F.col("__lf_id").alias("node"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = stored(keyed.join(shared, "key").select("key", "node"), "bands")
-    chosen = part.join(members.select(F.col("node").alias("__lf_id")).distinct(), "__lf_id", "left_semi")
+    chosen = part.join(light(members.select(F.col("node").alias("__lf_id")).distinct(), "chosen"), "__lf_id", "left_semi")
     sets = stored(chosen.mapInArrow(frugal(_sets("__lf_id", "__lf_text", shingle)), "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     full = pairs.join(sets.select("node", F.col("shingles").alias("a_set")), "node").join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("b_set")), "other")
     shown = stored(full.mapInArrow(frugal(_verify(percent)), "node long, other long"), "verified")
     labels = stored(connected_components(shown), "labels")
-    more = _rest_of_families(members, labels, sets, percent)
+    more = stored(_rest_of_families(members, labels, sets, percent), "more-links")  # one Python worker a task, not two in a row
     labels = connected_components(labels.select("node", F.col("component").alias("other")).union(more))
     of_rep = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_print", F.coalesce("component", "rep").alias("component"))
     linked = usable.join(of_rep, "set_print").select("__lf_id", "n_shingles", F.col("component").alias("component_id"))

@@ -36,7 +36,7 @@ _SHORT, _PART = 15, 64
 #: Parts are merged together with others of about their length.
 _WIDTHS = [(0, 1), (1, 4), (4, 6), (6, 8), (8, 10), (10, 13), (13, 17), (17, 32), (32, _PART)]
 #: The table is emptied beyond so many entries.
-MOST_ENTRIES = 700_000
+MOST_ENTRIES = 400_000
 _NONE = 1 << 30
 
 
@@ -194,7 +194,7 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots, self.others = _Slots(21), {}
+        self.slots, self.others = _Slots(20), {}
         self.entries, self.used = 0, 0
         self.starts, self.lengths = np.zeros(1 << 14, np.uint32), np.zeros(1 << 14, np.uint32)
         self.ids = np.zeros(1 << 16, np.uint32)
