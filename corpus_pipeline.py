@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import forget, scratch, stored
+from lexiflow.llm.common import forget, light, scratch, stored
 from lexiflow.llm.decontaminate import decontaminate
 from lexiflow.llm.language_id import CompressionClassifier, identify_language, sample_dictionaries
 from lexiflow.llm.minhash import near_duplicates
@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", ROW)
     first = members.groupBy("component_id").agg(F.min_by(ROW, order).alias(ROW)).select(ROW)
     gone = members.select(ROW).join(first, ROW, "left_anti")
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    return rows.join(light(gone, "gone"), ROW, "left_anti").select(*docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
