@@ -29,8 +29,11 @@ def check_real_words(probes: DataFrame, words: DataFrame, bigrams: DataFrame, le
     spark = probes.sparkSession
     ask = probes.select("before", "word", "after").distinct().withColumns({"b": norm(F.col("before")), "a": norm(F.col("after")), "low": F.lower(F.coalesce("word", F.lit("")))})
     options = F.broadcast(confusions(spark).withColumnRenamed("word", "low"))  # a fixed table
-    learned = learned_pairs if learned_pairs is not None else spark.createDataFrame([], "first string, second string, cnt long")
-    net = bigrams.join(learned.select("first", "second", F.col("cnt").alias("l")), ["first", "second"], "left").select("first", "second", F.greatest(F.lit(0), F.col("cnt") - F.coalesce("l", F.lit(0))).alias("n"))
+    mixed = [w for pair in C.CONFUSION_SETS for w in pair]
+    net = bigrams.filter(F.col("first").isin(mixed) | F.col("second").isin(mixed))  # no other pair is ever looked up
+    if learned_pairs is not None:
+        net = net.join(learned_pairs.select("first", "second", F.col("cnt").alias("l")), ["first", "second"], "left").withColumn("cnt", F.col("cnt") - F.coalesce("l", F.lit(0)))
+    net = net.select("first", "second", F.greatest(F.lit(0), F.col("cnt")).alias("n"))
     plain = ask.join(options.select("low").distinct(), "low", "left_anti")  # what nobody mixes up needs no lookups
     rows = ask.join(options, "low").crossJoin(F.broadcast(words.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("all"))))
 
