@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables, and SQL for those that SQL can express.
+"""The operators applied to their whole tables, and SQL for those that SQL can express.
 
 Each query takes its rows through its operator and only derives digest columns from them.
 """
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from .ann_tree import nearest_neighbours
 from .chat_format import rotate_perspectives
 from .decontaminate import contamination
+from .hard_negatives import hard_negatives
 from .language_id import CompressionClassifier, identify_language, sample_dictionaries
 from .license_scan import scan_licenses
 from .minhash import near_duplicates
 from .packing import pack
+from .quality_knn import learn_quality, score_quality
 from .substring_dedup import substring_dedup
 from .token_codes import read_token_files, write_token_files
 from .url_filter import filter_urls
@@ -102,10 +104,21 @@ def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).select(*_base_columns())
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = learn_quality(docs, labels.filter(~held_out), "quality")
+    return score_quality(docs.withColumn("held_out", held_out), model).select("doc_id", "held_out", "score", "predicted")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), label="CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+
+
 def queries() -> dict:
     from corpus_pipeline import run
 
-    made = [op1_substring_dedup, op2_nearest_neighbours, op3_language_id, op4_url_filter, op5_packing, op6_near_duplicates, op7_token_files, op8_chat_perspectives, op9_decontamination, op10_license_scan, url_rules, license_places]
+    made = [op1_substring_dedup, op2_nearest_neighbours, op3_language_id, op4_url_filter, op5_packing, op6_near_duplicates, op7_token_files, op8_chat_perspectives, op9_decontamination, op10_license_scan, op12_quality, op13_hard_negatives, url_rules, license_places]
     return {f.__name__: f for f in made} | {"pipeline": run}
 
 
@@ -182,7 +195,18 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 """
 
 
+_OP13 = """
+WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return {"op1_substring_dedup": _OP1, "op6_near_duplicates": _OP6, "op8_chat_perspectives": _OP8, "op9_decontamination": _OP9, "url_rules": _URLS, "license_places": _PLACES} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op1_substring_dedup": _OP1, "op6_near_duplicates": _OP6, "op8_chat_perspectives": _OP8, "op9_decontamination": _OP9, "op13_hard_negatives": _OP13, "url_rules": _URLS, "license_places": _PLACES} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
