@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann_tree import nearest_neighbours
 from .chat_format import rotate_perspectives
+from .conversation_trie import conversation_trie
 from .decontaminate import contamination
 from .hard_negatives import hard_negatives
 from .language_id import CompressionClassifier, identify_language, sample_dictionaries
@@ -104,6 +105,10 @@ def license_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).select(*_base_columns())
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -118,7 +123,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     from corpus_pipeline import run
 
-    made = [op1_substring_dedup, op2_nearest_neighbours, op3_language_id, op4_url_filter, op5_packing, op6_near_duplicates, op7_token_files, op8_chat_perspectives, op9_decontamination, op10_license_scan, op12_quality, op13_hard_negatives, url_rules, license_places]
+    made = [op1_substring_dedup, op2_nearest_neighbours, op3_language_id, op4_url_filter, op5_packing, op6_near_duplicates, op7_token_files, op8_chat_perspectives, op9_decontamination, op10_license_scan, op11_conversation_trie, op12_quality, op13_hard_negatives, url_rules, license_places]
     return {f.__name__: f for f in made} | {"pipeline": run}
 
 
@@ -195,6 +200,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT)
 """
 
 
+_OP11 = """
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS MATERIALIZED (SELECT conv_id, list([role, text] ORDER BY turn IS NOT NULL, turn, substr(sha256(length(role) || ':' || role || text), 1, 32)) AS ts FROM said GROUP BY 1),
+bits AS (SELECT conv_id, [4294967295] || flatten(list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: [ascii(substr(CAST(conv_id AS VARCHAR), CAST(i AS INTEGER), 1)), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))::BIGINT[] AS b FROM own),
+crc AS (SELECT conv_id, xor(list_reduce(b, lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295) AS crc FROM bits),
+made AS MATERIALIZED (SELECT o.conv_id, coalesce(b.ts, [])[1:crc % 6] || o.ts[crc % 6 + 1:] AS ts FROM own o JOIN crc USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+node AS MATERIALIZED (SELECT p, d, min(conv_id) AS conv, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(ts) = d), '')) AS ends
+  FROM (SELECT conv_id, ts, d, ts[1:d] AS p FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM made)) GROUP BY 1, 2),
+kids AS MATERIALIZED (SELECT p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY 1),
+up AS (SELECT p[1:a] AS p, sum(CAST(k IS NULL AS INTEGER)) AS leaves, sum(CASE WHEN d > 0 THEN (n - 1) * length(p[d][2]) ELSE 0 END) AS saved
+  FROM (SELECT node.*, k, unnest(range(0, d + 1)) AS a FROM node LEFT JOIN kids ON kids.p = node.p) GROUP BY 1)
+SELECT node.conv AS conv_id, node.d AS depth, parent.conv AS parent_conv_id, node.n AS n_convs, coalesce(k, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, node.ends AS ends_sha256
+FROM node JOIN up ON up.p = node.p LEFT JOIN kids ON kids.p = node.p LEFT JOIN node parent ON node.d > 0 AND parent.p = node.p[1:node.d - 1]
+"""
+
 _OP13 = """
 WITH r AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -209,4 +229,4 @@ WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    return {"op1_substring_dedup": _OP1, "op6_near_duplicates": _OP6, "op8_chat_perspectives": _OP8, "op9_decontamination": _OP9, "op13_hard_negatives": _OP13, "url_rules": _URLS, "license_places": _PLACES} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return {"op1_substring_dedup": _OP1, "op6_near_duplicates": _OP6, "op8_chat_perspectives": _OP8, "op9_decontamination": _OP9, "op11_conversation_trie": _OP11, "op13_hard_negatives": _OP13, "url_rules": _URLS, "license_places": _PLACES} | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
