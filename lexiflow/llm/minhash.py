@@ -9,7 +9,8 @@ In a band group every member is compared with the smallest id (the hub). Groups
 done. The others are joined to families; in a family, each member outside the largest component is compared with all members, as no
 other pair can still matter. That is done in blocks of bounded bytes with an index from shingles to members, and only links that
 join two components of a block leave it. So no link is lost to a hub that does not resemble both of its ends, and no pairs of a
-group are written out. Comparisons are made on full shingle sets.
+group are written out. Comparisons are made on full shingle sets, as 64-bit hashes under a secret of the call: two given shingles share
+one with a probability below 2^-57, whoever chose them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, chunks_by_bytes, frugal, light, stored, whole
 from .components import connected_components
-from .textscan import SPACED, U, hasher, mix, scan
+from .textscan import SPACED, U, fresh_secret, hasher, mix, scan
 
 ROWS = 4
 MISS = 1e-7
@@ -39,10 +40,10 @@ def bands_for(percent: int) -> int:
     return bands
 
 
-def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
+def shingle_sets(column: pa.Array, size: int, secret: bytes) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text (A-Z lower-cased, words between ASCII white space)."""
     found = scan(column, SPACED)
-    one = hasher(21, fold=True)
+    one = hasher(secret, fold=True)
     words, n = one.words(found.data, found.starts, found.ends), found.counts
     many = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     cuts = np.concatenate(([0], np.cumsum(many)))
@@ -85,10 +86,10 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
     return slots
 
 
-def _features(id_col: str, text: str, size: int, bands: int):
+def _features(id_col: str, text: str, size: int, bands: int, secret: bytes):
     def run(batches):
         for batch in chunks_by_bytes(batches, text, 2 << 20):
-            sets = shingle_sets(batch.column(text), size)
+            sets = shingle_sets(batch.column(text), size, secret)
             slots = superminhash(sets, bands * ROWS)
             keys = np.zeros((len(sets), bands), np.uint64)
             for r in range(ROWS):
@@ -101,10 +102,10 @@ def _features(id_col: str, text: str, size: int, bands: int):
     return run
 
 
-def _sets(id_col: str, text: str, size: int):
+def _sets(id_col: str, text: str, size: int, secret: bytes):
     def run(batches):
         for batch in chunks_by_bytes(batches, text, 2 << 20):
-            blobs = [s.tobytes() for s in shingle_sets(batch.column(text), size)]
+            blobs = [s.tobytes() for s in shingle_sets(batch.column(text), size, secret)]
             yield pa.record_batch([batch.column(id_col).cast(pa.int64()), pa.array(blobs, pa.binary())], names=["node", "shingles"])
 
     return run
@@ -195,8 +196,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """
     bounded_batches(docs.sparkSession)
     part = docs.select(F.col(id_col).cast("long").alias("__lf_id"), F.col(text_col).alias("__lf_text"))
-    bands = bands_for(percent)
-    feats = stored(part.mapInArrow(frugal(_features("__lf_id", "__lf_text", shingle, bands)), FEATURES), "features")
+    bands, secret = bands_for(percent), fresh_secret()
+    feats = stored(part.mapInArrow(frugal(_features("__lf_id", "__lf_text", shingle, bands, secret)), FEATURES), "features")
     usable = feats.filter("n_shingles > 0 and __lf_id is not null")
     reps = usable.groupBy("set_print").agg(F.min("__lf_id").alias("rep"))
     nodes = usable.join(reps.select(F.col("rep").alias("__lf_id")).distinct(), "__lf_id", "left_semi").dropDuplicates(["__lf_id"])
@@ -204,7 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = stored(keyed.join(shared, "key").select("key", "node"), "bands")
     chosen = part.join(light(members.select(F.col("node").alias("__lf_id")).distinct(), "chosen"), "__lf_id", "left_semi")
-    sets = stored(chosen.mapInArrow(frugal(_sets("__lf_id", "__lf_text", shingle)), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    sets = stored(chosen.mapInArrow(frugal(_sets("__lf_id", "__lf_text", shingle, secret)), "node long, shingles binary").dropDuplicates(["node"]), "sets")
 
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     pairs = members.join(hubs, "key").filter("node != hub").select("node", F.col("hub").alias("other")).distinct()

@@ -4,8 +4,8 @@ Documents are dealt to buckets by a hash of their id and text, so that null or r
 of counters, sparse: the counters it touched and whether once or more) is cut into ranges of counters. Each range is merged by
 one task, which adds the sketches of all buckets and answers each bucket with one bit a counter: estimated to be repeated or
 not. Estimates are never too low, so a window whose counter is not flagged is unique. In the second pass only windows that are
-estimated to be repeated are grouped, by 128-bit fingerprints of their words (two keyed non-linear hashes; over 10^13 windows, some two
-different ones share a fingerprint with a probability below 10^-12): a bucket sends each distinct one once, with its smallest document
+estimated to be repeated are grouped, by 128-bit fingerprints of their words (two hashes of words and runs under two secrets of the call; over 10^13 windows,
+some two different ones share a fingerprint with a probability below 10^-8, whoever chose them): a bucket sends each distinct one once, with its smallest document
 id, and gets back whether a smaller id has it elsewhere. The last pass removes the words.
 
 Messages between buckets and ranges would grow with the square of their number. So beyond DIRECT buckets they go by relays: a relay
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import bounded_batches, frugal_group, text_megabytes, whole
-from .textscan import SPACED, U, covered, hasher, joined, scan, stretches, window_starts
+from .textscan import SPACED, U, covered, fresh_secret, hasher, joined, scan, stretches, window_starts
 
 BUCKET, SHARD, KIND, BLOB = "__lf_bucket", "__lf_shard", "__lf_kind", "__lf_blob"
 MESSAGE = f"{SHARD} long, {BUCKET} long, {KIND} int, {BLOB} binary"
@@ -38,10 +38,10 @@ DIRECT = 1024
 
 
 class _Plan:
-    """What every task knows: window size, counters (a power of two) and the number of shards."""
+    """What every task knows: window size, secrets of the hashes, counters (a power of two) and the number of shards."""
 
     def __init__(self, window: int, megabytes: float, bucket_mb: float):
-        self.window = window
+        self.window, self.secrets = window, (fresh_secret(), fresh_secret())
         self.buckets = max(4, math.ceil(megabytes / bucket_mb))
         self.bits = max(20, math.ceil(math.log2(max(1.0, megabytes * 1e6 / 6 * 32))))
         self.width = -(-(1 << self.bits) // self.buckets)  # counters of a shard
@@ -50,10 +50,10 @@ class _Plan:
 
     def windows(self, table: pa.Table, text: str):
         found = scan(whole(table.column(text)), SPACED)
-        one = hasher(11)
+        one = hasher(self.secrets[0])
         words = one.words(found.data, found.starts, found.ends)
         at, doc = window_starts(found.first, self.window)
-        return found, words, at, doc, one.runs(words, at, self.window)
+        return found, at, doc, one.runs(words, at, self.window)
 
     def counters(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> U(64 - self.bits)).astype(np.int64)
@@ -128,7 +128,7 @@ class _Repeats:
     """Windows of a bucket that are estimated to be repeated, as sorted distinct fingerprints with their smallest document."""
 
     def __init__(self, plan: _Plan, table: pa.Table, flags: np.ndarray, id_col: str, text: str):
-        self.scan, words, at, doc, hashes = plan.windows(table, text)
+        self.scan, at, doc, hashes = plan.windows(table, text)
         order = np.argsort(hashes)
         counters = plan.counters(hashes[order])  # in order too, as they are the first bits
         new = np.ones(len(order), bool)
@@ -139,7 +139,8 @@ class _Repeats:
         number = np.cumsum(hit) - 1  # of a window among the flagged ones, in the order of the text
         self.at, self.doc = at[hit], _ids(table, id_col)[doc[hit]]
         first, order = hashes[hit], number[order]
-        extra = hasher(12).runs(words, self.at, plan.window)
+        other = hasher(plan.secrets[1])
+        extra = other.runs(other.words(self.scan.data, self.scan.starts, self.scan.ends), self.at, plan.window)
         place, self.first, self.extra, self.least = _grouped(first, extra, self.doc, order)
         self.group = np.empty(len(order), np.int64)
         self.group[order] = place

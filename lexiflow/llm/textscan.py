@@ -1,14 +1,16 @@
 """Vectorised word scanning and hashing over Arrow text columns.
 
 Words are maximal runs of bytes of a class. The classes used here only ever exclude ASCII characters, so scanning UTF-8 bytes
-gives the same words as scanning characters. Hashes are 64 bits, non-linear and keyed by a seed; they depend only on a word's
-bytes, so they agree between tasks and runs.
+gives the same words as scanning characters. Hashes are 64 bits and keyed by a secret that is drawn for each call of an operator, so no
+text can be made to collide beforehand; they agree between the tasks of a call.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ SPACED[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_ODD = U(0x9E3779B97F4A7C15)
+_LOW = U(0xFFFFFFFF)
 #: Bytes up to which words are hashed in lanes of eight; longer ones go through a keyed BLAKE2.
 _LANES = 4
 _BLOCK = 1 << 19
@@ -41,18 +43,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def fresh_secret() -> bytes:
+    """A secret for one call of an operator, drawn on the driver and sent to tasks with their code."""
+    return secrets.token_bytes(32)
+
+
 class Hasher:
-    """Word and word-run hashes under one seed; fold lower-cases A-Z.
+    """Word and word-run hashes under one secret; fold lower-cases A-Z.
 
-    Every lane of a word and every level of a run passes through a bijective mixer, so nothing adds up over places: two words of
-    the same length up to eight bytes never share a hash, and all else collides as random numbers do.
+    A word of up to 32 bytes has two 32-bit halves, each the upper half of a sum over its length and its lanes of 32 bits, times secret
+    64-bit numbers of that half's own. So any two given words share a hash with a probability of 2^-64 over the secrets, whoever chose
+    them; longer words go through BLAKE2 with the secret as its key. Runs of 1, 2, 4, ... words are joined by secret odd factors: two
+    given runs share a hash with a probability below 2^-57.
     """
 
-    def __init__(self, seed: int, fold: bool):
-        rng = np.random.default_rng(seed)
-        self.fold, self.start = fold, U(rng.integers(2**63))
+    def __init__(self, secret: bytes, fold: bool):
+        rng = np.random.default_rng(np.frombuffer(hashlib.blake2b(secret, digest_size=32).digest(), np.uint32))
+        self.fold, self.start, self.secret = fold, U(rng.integers(2**63)), secret
         self.keys = rng.integers(1, 2**64, 64, dtype=np.uint64) | U(1)
-        self.secret = rng.bytes(32)
+        self.halves = rng.integers(2**64, size=(2, 2 + 2 * _LANES), dtype=np.uint64)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         data = np.concatenate((_FOLD[data] if self.fold else data, np.zeros(8, np.uint8)))
@@ -64,13 +73,16 @@ class Hasher:
         return out
 
     def _lanes(self, data: np.ndarray, eight: np.ndarray, s: np.ndarray, n: np.ndarray) -> np.ndarray:
-        out = mix(n.astype(np.uint64) * _ODD + self.start)
-        out = mix(out ^ (eight[s] & _KEEP[np.minimum(n, 8)]))
-        for lane in range(1, _LANES):
-            more = np.flatnonzero(n > 8 * lane)
-            if not len(more):
-                return out
-            out[more] = mix(out[more] ^ (eight[s[more] + 8 * lane] & _KEEP[np.minimum(n[more] - 8 * lane, 8)]))
+        sums = [k[0] + n.astype(np.uint64) * k[1] for k in self.halves]
+        for lane in range(_LANES):
+            more = np.flatnonzero(n > 8 * lane) if lane else slice(None)
+            if lane and not len(more):
+                break
+            bytes_ = eight[s[more] + 8 * lane] & _KEEP[np.minimum(n[more] - 8 * lane, 8)]
+            low, high = bytes_ & _LOW, bytes_ >> U(32)
+            for total, k in zip(sums, self.halves, strict=True):
+                total[more] += low * k[2 + 2 * lane] + high * k[3 + 2 * lane]
+        out = (sums[0] & ~_LOW) | (sums[1] >> U(32))
         long_ = np.flatnonzero(n > 8 * _LANES)
         if len(long_):
             made = (hashlib.blake2b(data[b : b + m], digest_size=8, key=self.secret).digest() for b, m in zip(s[long_].tolist(), n[long_].tolist(), strict=True))
@@ -100,13 +112,9 @@ class Hasher:
             size *= 2
 
 
-_HASHERS: dict[tuple[int, bool], Hasher] = {}
-
-
-def hasher(seed: int, fold: bool = False) -> Hasher:
-    if (seed, fold) not in _HASHERS:
-        _HASHERS[seed, fold] = Hasher(seed, fold)
-    return _HASHERS[seed, fold]
+@lru_cache(maxsize=8)
+def hasher(secret: bytes, fold: bool = False) -> Hasher:
+    return Hasher(secret, fold)
 
 
 @dataclass

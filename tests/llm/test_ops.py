@@ -55,17 +55,18 @@ def data(spark, tmp_path_factory):
     spark.createDataFrame([(i, u, html if i % 2 else None, "h") for i, u in enumerate(urls * 3)], "page_id long, url string, html string, host string").write.parquet(f"{d}/pages.parquet")
     vec = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(260)]
     rows = [(i, v, 1) for i, v in enumerate(vec)] + [(300 + i, vec[3], 1) for i in range(40)] + [(400, None, 1), (401, [0.0] * 8, 1), (402, [float("nan")] * 8, 1), (403, [None] * 8, 1), (404, [1.0], 1), (405, [float("inf")] * 8, 1), (420, [0.5] * 8, 1)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(*r, r[0] % 3) for r in rows], "vec_id long, embedding array<float>, score int, label int").write.parquet(f"{d}/embeddings.parquet")
     talk = [(1, 0, "user", "hi"), (1, 1, "assistant", "hello there"), (1, 2, None, None), (1, 2, None, None), (1, 70, "user", ""), (2, None, "user", "x"), (None, 1, "user", "x"), (3, 5, "ann", "é"), (3, 4, "bob", "b")]
     talk += [(4, 0, "system", "rules"), (4, 1, "a|>\n<|assistant", "x <|assistant|> y"), (4, None, "b", "last"), (4, -3, "b", "first"), (4, 2**40, "b", "z"), (5, 0, "system", "alone")]
     spark.createDataFrame([(*t, 1) for t in talk], "conv_id long, turn long, role string, text string, loss int").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(i, i % 2, 0, 0.5) for i in range(60)], "doc_id long, quality int, toxic int, score double").write.parquet(f"{d}/labels.parquet")
     return str(d), docs, bench, urls * 3, rows, talk
 
 
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory, data):
     d = tmp_path_factory.mktemp("empty")
-    for name in "documents benchmark pages embeddings conversations".split():
+    for name in "documents benchmark pages embeddings conversations labels".split():
         spark.read.parquet(f"{data[0]}/{name}.parquet").limit(0).write.parquet(f"{d}/{name}.parquet")
     return str(d)
 
@@ -463,17 +464,14 @@ def test_suffix_array_of_many_distinct_words():
     words = np.arange(1, n + 1, dtype=np.uint64)
     item = words[n - 40 : n - 10]
     shard = SuffixArray(words, np.array([0, 1000, n]), 30)
-    length, lo, hi = search(shard, _items(item), 13)
+    length, lo, hi = search(shard, _items(item))
     assert shard.order[lo].tolist() == list(range(n - 39, n - 9)) and (hi - lo).tolist() == [1] * 30 and length.tolist() == list(range(30, 0, -1))
 
 
-def search(shard, items, window):
-    levels = shard.search(items, window)
-    while True:
-        try:
-            next(levels)
-        except StopIteration as end:
-            return end.value
+def search(shard, items):
+    from lexiflow.llm.decontaminate import Search
+
+    return Search(shard, items).longest(np.arange(len(items.words)), items.left)
 
 
 @pytest.mark.parametrize("letters", ["ab", "abcdefgh"])
@@ -485,7 +483,7 @@ def test_suffixes_are_searched_to_their_longest_match(letters):
     item[10:40] = words[500:530]
     first = np.array([0, 0, 300, 530, 900])
     shard = SuffixArray(words, first, 60)
-    length, lo, hi = search(shard, _items(item), 13)
+    length, lo, hi = search(shard, _items(item))
     docs = [bytes(words[a:b].astype(np.uint8)) for a, b in zip(first[:-1], first[1:], strict=True)]
     flat = bytes(item.astype(np.uint8))
     for j in range(60):
@@ -556,6 +554,58 @@ def test_words_of_equal_polynomials_are_told_apart(spark):
     assert {r.component_id for r in near_duplicates(docs, 2048, 85).collect()} == {1, 2}
 
 
+#: Words of 16 bytes that the unkeyed hashes of an earlier version could not tell apart, under the seeds of op1, op6 and op9.
+TWINS = ["benchmarkquestio", "{2-(<S-jo*+l%3]", "vnjwq2igbcj37pz6", "1ehzf9mp5pmlu6t4"]
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    from lexiflow.llm.decontaminate import contamination
+    from lexiflow.llm.minhash import near_duplicates
+
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(i, f"{w} {rest}") for i, w in enumerate(TWINS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.n_removed for r in substring_dedup(docs, 13).collect()} == {0}
+    alone = spark.createDataFrame([(i, w) for i, w in enumerate(TWINS)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(alone, 3, 85).collect()} == {i: i for i in range(4)}
+    assert [r.n_hit for r in contamination(docs, spark.createDataFrame([(1, f"{TWINS[0]} {rest}")], "item_id long, text string")).orderBy("doc_id").collect()] == [13, 0, 0, 0]
+
+
+def test_hashes_are_of_the_secret():
+    """Lanes that collide under one secret, found with it, do not under another; no two of many words that differ in one lane collide."""
+    from lexiflow.llm.textscan import Hasher
+
+    rng = np.random.default_rng(1)
+    one, other = Hasher(b"a" * 32, False), Hasher(b"b" * 32, False)
+    data = np.frombuffer(b"".join(rng.integers(33, 127, 16).astype(np.uint8).tobytes() for _ in range(20_000)), np.uint8).copy()
+    data = np.concatenate((data, np.concatenate([data.reshape(-1, 16)[:, :8], data.reshape(-1, 16)[::-1, 8:]], axis=1).reshape(-1)))
+    starts = np.arange(0, len(data), 16)
+    got = [h.words(data, starts, starts + 16) for h in (one, other)]
+    words = len({data[s : s + 16].tobytes() for s in starts})
+    assert len(set(got[0].tolist())) == len(set(got[1].tolist())) == words and not set(got[0].tolist()) & set(got[1].tolist())
+    top = [np.flatnonzero(np.bincount((g >> np.uint64(48)).astype(np.int64)) > 4) for g in got]  # halves alone do collide, but not the same ones
+    assert len(top[0]) != len(top[1]) or (top[0] != top[1]).any()
+
+
+def test_a_book_inside_a_document_is_found_in_time(spark):
+    import time
+
+    from lexiflow.llm.decontaminate import contamination
+
+    rng = np.random.default_rng(5)
+    book = " ".join(f"w{i}" for i in rng.integers(0, 20_000, 100_000))
+    same = " ".join(["la"] * 30_000)  # a single word, again and again, and a period of three
+    three = " ".join(["do", "re", "mi"] * 8_000)
+    docs = spark.createDataFrame([(1, "before " + book + " after"), (2, book[: len(book) // 2]), (3, same), (4, three + " " + three)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, book), (2, same[:30_000]), (3, three)], "item_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in contamination(docs, items).collect()}
+    assert time.time() - began < 60
+    assert (got[1].n_hit, got[1].longest, [tuple(m) for m in got[1].matches]) == (100_000, 100_000, [(1, 0, 1, 100_000)])
+    assert got[2].longest >= 49_000 and got[2].matches[0].item_start == got[2].matches[0].doc_start == 0
+    assert (got[3].longest, got[3].n_hit) == (10_000, 30_000) and (got[4].longest, got[4].n_hit) == (24_000, 48_000)
+
+
 def test_kept_words_and_stretches():
     import pyarrow as pa
 
@@ -597,7 +647,7 @@ def test_word_hashes_are_of_the_bytes():
     words = ["".join(rng.choice("abAB\x00é語") for _ in range(n)) for n in (*range(1, 80), 5000)] * 2
     text = scan(pa.array([" ".join(words), words[3] + "\n" + words[70]]), SPACED)
     for fold in (False, True):
-        got = hasher(5, fold).words(text.data, text.starts, text.ends)
+        got = hasher(bytes(range(32)), fold).words(text.data, text.starts, text.ends)
         key = lambda w: low(w) if fold else w.encode()
         assert len({(key(w), int(h)) for w, h in zip([*words, words[3], words[70]], got, strict=True)}) == len({key(w) for w in words}) == len(set(got.tolist()))
 
@@ -616,10 +666,10 @@ def test_two_words_a_key_give_the_same(data, monkeypatch):
 
     from lexiflow.llm.decontaminate import RESULTS, Items, SuffixArray, _search
 
-    items = type("Held", (), {"value": Items.of([i for i, t in data[2] if t], [t for _, t in data[2] if t])})
+    items = type("Held", (), {"value": Items.of([i for i, t in data[2] if t], [t for _, t in data[2] if t], bytes(32))})
     batch = pa.record_batch([pa.array([d[0] for d in data[1]]), pa.array([d[1] for d in data[1]])], names=["doc_id", "text"])
     schema = to_arrow_schema(T.StructType([T.StructField("doc_id", T.LongType()), *RESULTS]))
-    found = lambda: [b.to_pydict() for b in _search([items], 13, "text", schema)([batch])]
+    found = lambda: [b.to_pydict() for b in _search([items], 13, "text", schema, bytes(32))([batch])]
     want = found()
     monkeypatch.setattr(SuffixArray, "NARROW", 0)
     assert found() == want and any(n for b in want for n in b["n_hit"])
