@@ -22,6 +22,8 @@ _OTHER = re.compile(r"[\W\d_]+")
 BLOCK = 2048
 MARGIN = 0.005
 STEEP = 0.04
+#: Bytes of a dictionary that still tells a language.
+LEAST = 1024
 RESULT = "__lf_row long, lang_pred string, score double, margin double, accepted boolean"
 
 
@@ -52,28 +54,29 @@ def _dictionary(size: int):
     return run
 
 
-def sample_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, dictionary_bytes: int = 65_536) -> dict[str, bytes]:
+def sample_dictionaries(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, dictionary_bytes: int = 65_536, total_bytes: int = 64 << 20) -> dict[str, bytes]:
     """Raw-content dictionaries: per language, texts of the `per_language` labelled rows with the smallest id hashes, an equal share of
-    each (what short ones leave goes to the others), `dictionary_bytes` in all, from the first `dictionary_bytes` characters of each. The bounds are these two parameters, for each language; all languages are learned. Rows without label or text are left out.
+    each (what short ones leave goes to the others), `dictionary_bytes` in all, from the first `dictionary_bytes` characters of each. The bounds are these two parameters, for each language; all languages are learned. Beyond
+    `total_bytes` of dictionaries each gets an equal share; a share below LEAST bytes is an error. Rows without label or text are left out.
     The languages come in the order of their numbers of labelled rows, which are counted over all."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0))
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), F.col(id_col), F.xxhash64(text_col)))
     picked = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, dictionary_bytes).alias("t"), rank.alias("r")).filter(F.col("r") <= per_language)
     many = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").collect()
-    made = picked.groupBy("lang").applyInArrow(frugal_group(_dictionary(dictionary_bytes)), f"lang {picked.schema['lang'].dataType.simpleString()}, data binary")
+    share = min(dictionary_bytes, total_bytes // max(len(many), 1))
+    if share < min(LEAST, dictionary_bytes):
+        raise ValueError(f"{len(many)} languages are too many for {total_bytes} bytes of dictionaries")
+    made = picked.groupBy("lang").applyInArrow(frugal_group(_dictionary(share)), f"lang {picked.schema['lang'].dataType.simpleString()}, data binary")
     found = {row["lang"]: bytes(row["data"]) for row in made.collect()}
     return {row["lang"]: found[row["lang"]] for row in many}
 
 
 class CompressionClassifier:
-    """Sizes of texts under each dictionary. The state is the dictionaries, so it travels to tasks."""
+    """Sizes of texts under each dictionary."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.dictionaries, self._made = dictionaries, None
 
-    def __getstate__(self):
-        return {"dictionaries": self.dictionaries, "_made": None}
-
     def _compressors(self):
         import zstandard
 
@@ -99,8 +102,9 @@ class CompressionClassifier:
         return sizes[0][1], 1 / (1 + math.exp(-margin / STEEP)), margin, margin >= MARGIN
 
 
-def _judge(model: CompressionClassifier, text: str, carry: list[str], schema: pa.Schema):
+def _judge(sent, text: str, schema: pa.Schema):
     def run(batches):
+        model = CompressionClassifier(sent.value)
         for batch in batches:
             rows = [model.judge(t) for t in batch.column(text).to_pylist()]
             made = dict(zip(("lang_pred", "score", "margin", "accepted"), zip(*rows, strict=True) if rows else [()] * 4, strict=True))
@@ -123,4 +127,4 @@ def identify_language(docs: DataFrame, model: CompressionClassifier, text_col: s
     bounded_batches(docs.sparkSession)
     kept = [f for f in docs.schema if f.name not in names]
     shape = T.StructType(kept + made)
-    return docs.mapInArrow(frugal(_judge(model, text_col, [f.name for f in kept], to_arrow_schema(shape))), shape)
+    return docs.mapInArrow(frugal(_judge(docs.sparkSession.sparkContext.broadcast(model.dictionaries), text_col, to_arrow_schema(shape))), shape)

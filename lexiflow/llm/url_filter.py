@@ -1,11 +1,12 @@
 """URL filter: rules by host suffix and path prefix, else naive Bayes over segmented host and path words.
 
 Unigram counts come from all pages' visible text. Each distinct host label is cut into substrings, which are joined with the counts,
-so that no vocabulary is held by a task; Viterbi then takes the most probable split. There are no labelled urls, so the classifier
-is fitted on all pages: to block, those whose host holds a word of a fixed list of unwanted ones; to allow, all others that no rule
-blocks. So it learns what stands beside unwanted words. Its features are segmented host words and path words, without the words that the
-rules themselves are made of, or it would only repeat the rules; they are hashed to a fixed number of columns, so the model has a fixed
-size. The prior is set so that a stated share of the pages it learned to allow is allowed.
+so that no vocabulary is held by a task; Viterbi then takes the most probable split. There are no labelled urls, so a fixed list of
+unwanted words is the seed: all pages whose host holds one teach the classifier to block, all others that no rule blocks to allow. What it
+finds beyond the list are the words that stand beside listed ones, and only there. Its features are segmented host words and path words,
+without the words that the rules themselves are made of, or it would only repeat the rules; they are hashed to a fixed number of columns,
+so the model has a fixed size. A word's probability in a class leans on its share in all pages, so that what is rare, or as usual in both
+classes, says little; the prior is the share of pages that teach to block. So without evidence a page is allowed.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, bounded_batches, stored
 
-FEATURES, SMOOTH = 1 << 18, 0.1
+#: Hashed columns, and words of all pages' mixture that are added to each class.
+FEATURES, SMOOTH = 1 << 18, 20.0
 #: Letters of the longest host name there can be; a longer label stays one word.
 LONGEST = 253
 #: Words of a host that mark it as unwanted.
@@ -125,12 +127,12 @@ def _odds(weights):
     return run
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", unwanted: tuple[str, ...] = UNWANTED, keep: float = 0.99) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", unwanted: tuple[str, ...] = UNWANTED) -> DataFrame:
     """One row per page: id, host, path, host_words, rule and rule_verdict (null without a rule), score (probability of block by the
     classifier, 0 to 1), verdict (the rule's, else block if score > 0.5, else allow).
 
     The classifier learns to block from pages with a word of `unwanted` in their host, and to allow from the others that no rule blocks; the
-    prior puts the share `keep` of these at or below a score of 0.5. A url that is null or has no `://` has an empty host and path and no words;
+    prior is their share (each counted once more). A url that is null or has no `://` has an empty host and path and no words;
     only the prior speaks. Without any page of either kind no word says anything, and verdicts are allow. Repeated rows are judged alike; urls may be of any length; an empty table gives no rows. Other columns are ignored.
     """
     bounded_batches(pages.sparkSession)
@@ -155,13 +157,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "p
     counts = np.zeros((2, FEATURES))
     for row in table:
         counts[:, row["f"]] = row["b"], row["a"]
-    seen = max(1, int((counts.sum(axis=0) > 0).sum()))
-    logs = np.log(counts + SMOOTH) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTH * seen)
+    shares = counts.sum(axis=0) / max(counts.sum(), 1)
+    with np.errstate(divide="ignore"):
+        logs = np.log(counts + SMOOTH * shares) - np.log(counts.sum(axis=1, keepdims=True) + SMOOTH)
     logs[:, (counts.sum(axis=0) == 0) | (counts.sum(axis=1) == 0).any()] = 0  # what neither class has says nothing
     weights = pages.sparkSession.sparkContext.broadcast(logs[0] - logs[1])
     scored = stored(judged.mapInPandas(_odds(weights), "__lf_id long, host string, path string, host_words array<string>, rule string, rule_verdict string, odds double"), "odds")
-    allowed = scored.filter(F.coalesce("rule_verdict", F.lit("allow")) == "allow").filter(~marked).agg(F.percentile_approx("odds", keep, 10_000).alias("cut")).first()["cut"]
-    score = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.lit(float(allowed or 0.0)) - F.col("odds")))))
+    pages_of = trained.agg(count("block").alias("b"), count("allow").alias("a")).first()
+    prior = math.log((pages_of["b"] + 1) / (pages_of["a"] + 1)) if pages_of["b"] else -math.log(pages_of["a"] + 2)
+    score = 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.lit(-prior) - F.col("odds")))))
     scored = scored.withColumn("score", score)
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select(F.col("__lf_id").alias(id_col), "host", "path", "host_words", "rule", "rule_verdict", "score", verdict.alias("verdict"))
