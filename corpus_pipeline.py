@@ -25,18 +25,25 @@ PASSAGE = 50
 ROW = "__lf_source_row"
 
 
+def _hidden(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """docs under names that no operator's results have, those names in order, and the name of each column."""
+    inner = [f"__lf_{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*inner), inner, dict(zip(docs.columns, inner, strict=True))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (null and empty texts too), or whose margin between two languages is narrow, go; lang becomes the language
     found. Of languages that fit equally the one with more labelled rows is found, but with no margin such documents go."""
-    model = CompressionClassifier(sample_dictionaries(docs))
-    judged = identify_language(docs, model).filter("accepted").withColumn("lang", F.col("lang_pred"))
-    return judged.select(*docs.columns)
+    model = CompressionClassifier(sample_dictionaries(docs.select("doc_id", "text", "lang")))
+    rows, inner, named = _hidden(docs)
+    judged = identify_language(rows, model, named["text"]).filter("accepted").withColumn(named["lang"], F.col("lang_pred"))
+    return judged.select(*inner).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id (a null id is larger than any other; of rows with the same id, the
     first). Shingles of five words, similarity of 0.8 or more. Texts without words stay."""
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())  # docs is a stored table, so each reading numbers it alike
+    rows = stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")  # once: another reading may be split in other ways
     groups = stored(near_duplicates(rows.select(ROW, "text"), shingle=5, percent=80, id_col=ROW), "groups").filter("n_shingles > 0")
     sizes = groups.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
     members = groups.join(sizes, "component_id").select(ROW, "component_id").join(rows.select(ROW, "doc_id"), ROW)
@@ -49,11 +56,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of PASSAGE words or more that a document with a smaller id holds are cut out; texts that lose nothing stay as they are. A text
     may become empty; rows with the same id do not cut each other."""
-    carry = [c for c in docs.columns if c != "doc_id"]
-    found = substring_dedup(docs, window=PASSAGE, carry=tuple(carry))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text)
-    return found.select(*docs.columns)
+    rows, inner, named = _hidden(docs)
+    found = substring_dedup(rows, PASSAGE, named["doc_id"], named["text"], carry=tuple(inner))
+    cut = F.col("n_removed") > 0
+    found = found.withColumn(named["n_chars"], F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col(named["n_chars"])))
+    return found.withColumn(named["text"], F.when(cut, F.col("kept_text")).otherwise(F.col(named["text"]))).select(*inner).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
