@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import text as X
 from ..operators import complete, confuse, correct, learn, ngram, predict, rules, similarity, vocab_build
-from ..streaming import tracker
+from ..streaming import sessions, tracker
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -439,6 +439,24 @@ def typing_sessions(spark, sf_dir):
     return tracker.typing_sessions(table(spark, sf_dir, "events"), gap=3600.0)
 
 
+@query("""WITH e AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('click', 'error', 'signup') THEN event_type END AS e FROM events),
+l AS (SELECT *, lag(ts) OVER w AS before, lag(e) OVER w AS ended FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, before IS NOT NULL AND ended IS NULL AND ts - before < INTERVAL 12 HOUR AS live FROM l),
+n AS (SELECT *, sum(CAST(e IS NULL AND NOT live AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n FROM s)
+SELECT user_id, min(ts) FILTER (e IS NULL) AS first_ts, max(ts) FILTER (e IS NULL) AS last_ts, count(*) FILTER (e IS NULL) AS n_events, coalesce(max(e), 'idle') AS ended_by,
+  coalesce(max(ts) FILTER (e IS NOT NULL), max(ts) FILTER (e IS NULL) + INTERVAL 12 HOUR) AS ended_at FROM n WHERE e IS NULL OR live GROUP BY user_id, n""")
+def event_sessions(spark, sf_dir):
+    return sessions.event_sessions(table(spark, sf_dir, "events"), 12 * 3600.0, tie="event_id", kind="event_type", keep="event_type in ('view', 'purchase')", ends=("click", "error", "signup"))
+
+
+@query("""WITH q AS (SELECT user_id, event_id AS seq, ts, event_type AS kind, CASE event_type WHEN 'error' THEN true WHEN 'signup' THEN false END AS quiet FROM events),
+c AS (SELECT *, coalesce(last_value(quiet IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING), false) AS now_, coalesce(last_value(quiet IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS then_ FROM q WINDOW w AS (PARTITION BY user_id ORDER BY seq))
+SELECT user_id, seq, ts, CASE WHEN now_ THEN 'window' ELSE kind END AS kind FROM c WHERE NOT now_ OR NOT then_""")
+def quiet_events(spark, sf_dir):
+    quiet = F.when(F.col("event_type") == "error", True).when(F.col("event_type") == "signup", False)
+    return sessions.quiet_gate(table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("kind"), quiet.alias("quiet")))
+
+
 def key_events(spark, sf_dir):
     """Conversations typed out: one user per message, one key per character."""
     c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("user_id"), F.posexplode(F.split("text", "")).alias("seq", "ch"))
