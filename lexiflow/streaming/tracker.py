@@ -174,10 +174,13 @@ KEY_KINDS = {"Up": "move_up", "Down": "move_down", "Escape": "dismiss", "Enter":
 
 def key_events(raw: DataFrame) -> DataFrame:
     """EVENTS from raw key presses (user_id, seq, ts, key, ch, ctrl, alt, injected), batch or stream: keys that the program sent itself are
-    left out, named keys get their kind, with Ctrl or Alt held anything else moves the caret, and control characters type nothing."""
+    left out, named keys get their kind, with Ctrl or Alt held anything else moves the caret, and control characters type nothing. With a
+    column kind (as of the source `keystrokes`), rows of kind `click` are clicks."""
     kinds = F.create_map(*(F.lit(x) for pair in KEY_KINDS.items() for x in pair))
     held = F.coalesce("ctrl", F.lit(False)) | F.coalesce("alt", F.lit(False))
     kind = F.coalesce(F.element_at(kinds, F.coalesce("key", F.lit(""))), F.when(held, "caret_moved").otherwise("key"))
+    if "kind" in raw.columns:
+        kind = F.when(F.col("kind") == "click", "click").otherwise(kind)
     own = raw.filter(~F.coalesce("injected", F.lit(False))).withColumn("kind", kind)
     typed = own.withColumn("ch", F.when(F.col("kind") == "key", F.col("ch")))
     return typed.filter((F.col("kind") != "key") | typed["ch"].rlike(r"\A[^\p{Cc}]")).select("user_id", "seq", "ts", "kind", "ch")
