@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import apostrophe_insertions, double_letter_edits, is_completion_of, letter_swaps, match_capitalization, max_distance, norm, slip_rank
+from ..sources.tables import once
 from .complete import context_score, with_context
 from .similarity import similarity_join
 
@@ -25,10 +26,10 @@ def should_mark(probes: DataFrame, words: DataFrame, ignored: DataFrame, column:
 def find_corrections(typed: DataFrame, words: DataFrame, k: int = C.TOP_K, strategy: str = "deletes") -> DataFrame:
     """(typed, word, distance, freq, flags, slip_rank, rank) of the k best corrections of each distinct unknown word.
 
-    Distance is the Levenshtein distance up to 1 (four letters or fewer) or 2, but 1 for a swap of neighbours or a missing apostrophe.
+    The vocabulary is computed once and stored, and so are the words asked for. Distance is the Levenshtein distance up to 1 (four letters or fewer) or 2, but 1 for a swap of neighbours or a missing apostrophe.
     """
-    vocabulary = words.select("word", "freq")
-    asked = misspelled(typed.select(norm(F.col("typed")).alias("typed")).distinct(), vocabulary, "typed")
+    vocabulary = once(words, "vocabulary").select("word", "freq")
+    asked = once(misspelled(typed.select(norm(F.col("typed")).alias("typed")).distinct(), vocabulary, "typed"), "asked")
     near = similarity_join(asked, vocabulary, C.LONG_DISTANCE, strategy).filter(F.col("distance") <= max_distance(F.col("typed")))
     swaps = asked.select("typed", F.explode(letter_swaps(F.col("typed"))).alias("word"), F.lit(1).alias("distance"))
     marks = asked.select("typed", F.explode(apostrophe_insertions(F.col("typed"))).alias("word"), F.lit(1).alias("distance"))
@@ -51,11 +52,12 @@ def autocorrect(probes: DataFrame, words: DataFrame, bigrams: DataFrame | None =
     Context counts where bigrams are given, the previous word has followers and the best candidate is not a missing apostrophe; the
     candidates are the 20 best, then ranked again by distance, score and word.
     """
-    spark = probes.sparkSession
+    spark, words = probes.sparkSession, once(words, "vocabulary")
+    bigrams = None if bigrams is None else once(bigrams, "pairs")
     have = set(probes.columns)
     ask = probes.select("typed", F.coalesce(F.col("is_sentence_start"), F.lit(False)).alias("is_sentence_start") if "is_sentence_start" in have else F.lit(False).alias("is_sentence_start"), F.col("previous") if "previous" in have else F.lit(None).cast("string").alias("previous")).distinct()
-    ask = ask.withColumns({"low": norm(F.col("typed")), "prev": norm(F.col("previous"))})
-    cands = find_corrections(ask.select("typed"), words, C.CONTEXT_CANDIDATES, strategy).withColumnRenamed("typed", "low")
+    ask = once(ask.withColumns({"low": norm(F.col("typed")), "prev": norm(F.col("previous"))}), "probes")
+    cands = once(find_corrections(ask.select("typed"), words, C.CONTEXT_CANDIDATES, strategy).withColumnRenamed("typed", "low"), "candidates")
     first = cands.filter("rank = 1").select("low", F.col("is_missing_apostrophe").alias("first_is_mark"))
     rows = with_context(ask.select("low", "prev").distinct().join(cands, "low").join(first, "low"), words, bigrams, "prev")
     score = context_score(F.col("freq"), F.col("cnt"), F.col("total_after"), F.col("total")) * F.element_at(F.array(*map(F.lit, C.SLIP_WEIGHTS)), F.col("slip_rank") + 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import clean, deletions, is_one_edit_away, strip_wrapper
+from ..sources.tables import once
 
 WORD = r"[a-z]+(?:'[a-z]+)*"
 
@@ -82,9 +83,10 @@ def trim(words: DataFrame, protected: DataFrame, most: int = C.MAX_WORDS) -> Dat
     """Leaves out the rarest unprotected words (by count, then word) beyond `most`.
 
     The boundary is found from the counts of each frequency, and within that of the boundary from those of each beginning of three letters,
-    so only the words of one frequency and beginning are ever ranked.
+    so only the words of one frequency and beginning are ever ranked. The vocabulary is computed once and stored.
     """
-    free = words.join(protected.select("word").distinct(), "word", "left_anti")
+    words = once(words, "vocabulary")
+    free = once(words.join(protected.select("word").distinct(), "word", "left_anti"), "unprotected")
     excess = words.agg(F.greatest(F.lit(0), F.count("*") - most).alias("excess"))
     upto = Window.orderBy("freq").rowsBetween(Window.unboundedPreceding, -1)
     levels = free.groupBy("freq").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))

@@ -5,12 +5,16 @@ Vocabulary and bigrams come from all documents; probes come from all conversatio
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
 from ..operators import complete, confuse, correct, learn, ngram, predict, rules, similarity, vocab_build
+from ..sources.learned_log import LearnedLog
+from ..sources.tables import once, shared_folder
 from ..streaming import sessions, tracker
 
 QUERIES: dict = {}
@@ -280,6 +284,16 @@ def learn_deltas(spark, sf_dir):
     return learn.learn_deltas(_uses(spark, sf_dir), words_of(spark, sf_dir), _users(spark))[1]
 
 
+@query(CTE + _USERS + "SELECT word, CAST(count(*) * any_value(weight) AS BIGINT) AS cnt FROM good CROSS JOIN wt GROUP BY 1")
+def learned_log(spark, sf_dir):
+    """What all conversations teach, added to a durable log in four batches, one of them twice."""
+    log = LearnedLog(spark, f"{shared_folder(spark)}/lexiflow-log-{uuid.uuid4().hex}", merge_every=2)
+    words, uses = once(words_of(spark, sf_dir), "vocabulary"), once(_uses(spark, sf_dir).withColumn("batch", F.pmod(F.xxhash64("word"), F.lit(4))), "uses")
+    for i in (0, 1, 2, 1, 3):
+        log.append(*learn.learn_deltas(uses.filter(F.col("batch") == i), words, _users(spark)), f"batch {i}")
+    return log.totals()[0]
+
+
 @query(CTE + _USERS + "SELECT word, CAST(sum(freq) AS BIGINT) AS freq FROM (SELECT word, freq FROM words UNION ALL SELECT word, count(*) * any_value(weight) FROM good CROSS JOIN wt GROUP BY 1) GROUP BY 1")
 def learn_apply(spark, sf_dir):
     words = words_of(spark, sf_dir)
