@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
-from ..operators import complete, confuse, correct, learn, ngram, predict, rules, similarity, vocab_build
+from ..operators import complete, complete_index, confuse, correct, learn, metric, ngram, predict, rules, similarity, vocab_build
 from ..sources.learned_log import LearnedLog
 from ..sources.tables import once, shared_folder
 from ..streaming import sessions, tracker
@@ -140,6 +140,23 @@ def prefix_completions(spark, sf_dir):
     return complete.complete(probes, words_of(spark, sf_dir)).select("prefix", "word", "freq", "rank")
 
 
+@query(ORACLES["prefix_completions"])
+def indexed_completions(spark, sf_dir):
+    """The same rows, searched best first in a stored trie."""
+    words = once(words_of(spark, sf_dir), "vocabulary")
+    index = complete_index.build_completion_index(words, f"{shared_folder(spark)}/lexiflow-trie-{uuid.uuid4().hex}")
+    probes = talk(spark, sf_dir).filter(F.length("word") >= 3).select(F.left("word", F.lit(3)).alias("prefix"))
+    return complete_index.complete_from_index(probes, words, index).select("prefix", "word", "freq", "rank")
+
+
+@query(CTE + f""", t AS MATERIALIZED (SELECT typed, {_SIGNS.format('typed')} AS a, length(typed) AS n FROM unknown WHERE length(typed) >= 10), w AS MATERIALIZED (SELECT word, {_SIGNS.format('word')} AS b, length(word) AS n FROM words WHERE length(word) >= 7)
+SELECT typed, word, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM t JOIN w ON w.n BETWEEN t.n - 3 AND t.n + 3 WHERE levenshtein(a, b) <= 3""")
+def metric_range(spark, sf_dir):
+    """Words within three edits of each unknown word of ten letters or more."""
+    index = metric.build_index(words_of(spark, sf_dir))
+    return metric.range_search(unknown(spark, sf_dir).filter(F.length("typed") >= 10), index, 3)
+
+
 @query(CTE + _COMPLETE.format(prev=", coalesce(previous_word, '') AS previous") + """, s AS (SELECT m.*, CASE WHEN coalesce(t.total, 0) > 0 THEN 0.7::DOUBLE * (coalesce(b.cnt, 0) / t.total::DOUBLE) + 0.3::DOUBLE * (freq / total_freq::DOUBLE) ELSE freq / total_freq::DOUBLE END AS score
 FROM m CROSS JOIN stats LEFT JOIN totals t ON t.first = m.previous LEFT JOIN bigrams b ON b.first = m.previous AND b.second = m.word)
 SELECT prefix, previous, word, round(score, 9) AS score, row_number() OVER (PARTITION BY prefix, previous ORDER BY score DESC, word) AS rank FROM s QUALIFY rank <= 5""")
