@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions import tables as table_functions
 from ..functions import text as X
-from ..operators import complete, complete_index, confuse, correct, learn, metric, ngram, predict, rules, similarity, vocab_build
+from ..operators import complete, complete_index, confuse, correct, learn, metric, ngram, predict, rules, similarity, temporal, vocab_build
 from ..sources.learned_log import LearnedLog
 from ..sources.tables import once, shared_folder
 from ..streaming import sessions, tracker
@@ -149,6 +150,30 @@ def indexed_completions(spark, sf_dir):
     return complete_index.complete_from_index(probes, words, index).select("prefix", "word", "freq", "rank")
 
 
+@query(ORACLES["prefix_completions"])
+def sql_completions(spark, sf_dir):
+    """The same rows in SQL, by a table function that ranks under any score."""
+    table_functions.register(spark)
+    words, asked = once(words_of(spark, sf_dir), "vocabulary"), talk(spark, sf_dir).filter(F.length("word") >= 3).select(F.left("word", F.lit(3)).alias("prefix")).distinct()
+    return spark.sql("""
+        WITH matches AS (SELECT a.prefix, w.word, w.freq, CAST(w.freq AS DOUBLE) AS score FROM {asked} a JOIN {words} w ON left(w.word, 3) = a.prefix LEFT JOIN {words} own ON own.word = a.prefix WHERE w.freq >= coalesce(own.freq div 5, 0))
+        SELECT prefix, word, freq, rank FROM ranked_completions(TABLE(SELECT * FROM matches) PARTITION BY (prefix), 5)""", asked=asked, words=words)
+
+
+@query(CTE + """, u AS (SELECT id, CAST(split_part(id, '-', 1) AS BIGINT) AS conv_id, CAST(split_part(id, '-', 2) AS BIGINT) AS turn, word, word IN (SELECT word FROM words) AS base FROM talk),
+e AS (SELECT conv_id, word, min(CASE WHEN NOT base AND turn % 2 = 0 THEN turn END) AS added, min(CASE WHEN base AND length(word) >= 6 AND turn % 2 = 1 THEN turn END) AS removed FROM u GROUP BY 1, 2)
+SELECT conv_id, turn, count(*) AS n_words, count(*) FILTER (CASE WHEN base THEN NOT coalesce(removed < turn, false) ELSE coalesce(added < turn, false) END) AS n_known FROM u JOIN e USING (conv_id, word) GROUP BY 1, 2""")
+def words_as_of(spark, sf_dir):
+    """Each conversation adds the unknown words of its even turns to its dictionary and takes out long known ones of its odd turns, both after the turn."""
+    words = once(words_of(spark, sf_dir), "vocabulary")
+    part = F.split("id", "-")
+    uses = talk(spark, sf_dir).withColumnRenamed("doc_id", "id").select(part[0].cast("long").alias("user_id"), part[1].cast("long").alias("turn"), "word", (part[1].cast("long") * 2).alias("at"))
+    uses = once(uses.join(words.select("word", F.lit(True).alias("base")), "word", "left"), "uses")
+    op = F.when(F.col("base").isNull() & (F.col("turn") % 2 == 0), "add").when(F.col("base") & (F.length("word") >= 6) & (F.col("turn") % 2 == 1), "remove")
+    judged = temporal.known_as_of(uses, words, uses.select("user_id", "word", op.alias("op"), (F.col("at") + 1).alias("at")))
+    return judged.groupBy(F.col("user_id").alias("conv_id"), "turn").agg(F.count("*").alias("n_words"), F.count_if("known").alias("n_known"))
+
+
 @query(CTE + f""", t AS MATERIALIZED (SELECT typed, {_SIGNS.format('typed')} AS a, length(typed) AS n FROM unknown WHERE length(typed) >= 10), w AS MATERIALIZED (SELECT word, {_SIGNS.format('word')} AS b, length(word) AS n FROM words WHERE length(word) >= 7)
 SELECT typed, word, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM t JOIN w ON w.n BETWEEN t.n - 3 AND t.n + 3 WHERE levenshtein(a, b) <= 3""")
 def metric_range(spark, sf_dir):
@@ -159,7 +184,7 @@ def metric_range(spark, sf_dir):
 
 @query(CTE + _COMPLETE.format(prev=", coalesce(previous_word, '') AS previous") + """, s AS (SELECT m.*, CASE WHEN coalesce(t.total, 0) > 0 THEN 0.7::DOUBLE * (coalesce(b.cnt, 0) / t.total::DOUBLE) + 0.3::DOUBLE * (freq / total_freq::DOUBLE) ELSE freq / total_freq::DOUBLE END AS score
 FROM m CROSS JOIN stats LEFT JOIN totals t ON t.first = m.previous LEFT JOIN bigrams b ON b.first = m.previous AND b.second = m.word)
-SELECT prefix, previous, word, round(score, 9) AS score, row_number() OVER (PARTITION BY prefix, previous ORDER BY score DESC, word) AS rank FROM s QUALIFY rank <= 5""")
+SELECT prefix, previous, word, round(score, 9) AS score, row_number() OVER (PARTITION BY (prefix), previous ORDER BY score DESC, word) AS rank FROM s QUALIFY rank <= 5""")
 def prefix_completions_context(spark, sf_dir):
     probes = talk(spark, sf_dir).filter(F.length("word") >= 3).select(F.left("word", F.lit(3)).alias("prefix"), F.col("previous_word").alias("previous"))
     return complete.complete(probes, words_of(spark, sf_dir), bigrams_of(spark, sf_dir)).select("prefix", "previous", "word", F.round("score", 9).alias("score"), "rank")

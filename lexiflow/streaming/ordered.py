@@ -61,9 +61,10 @@ class InOrder(StatefulProcessor):
         yield from self.step(key, due, now)
 
 
-def _run(rows: DataFrame, key: str, ts: str, delay: str, processor: InOrder, schema: str) -> DataFrame:
-    timed = rows.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("at", F.unix_micros(F.col(ts).cast("timestamp"))).withWatermark(ts, delay)
-    return timed.groupBy(key).transformWithState(processor, schema, "Append", "EventTime")
+def _run(rows: DataFrame, key: str | list[str], ts: str, delay: str, processor: InOrder, schema: str) -> DataFrame:
+    keys = [key] if isinstance(key, str) else key
+    timed = rows.dropna(subset=[*keys, ts]).withColumn("at", F.unix_micros(F.col(ts).cast("timestamp"))).withWatermark(ts, delay)
+    return timed.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
 
 
 class TrackWords(InOrder):
