@@ -72,7 +72,7 @@ csent AS (SELECT conv_id || '-' || turn AS id, generate_subscripts(l, 1) - 1 AS
 carr AS (SELECT id, sentence, regexp_extract_all(lower(s), {_W}) AS a FROM csent),
 talk AS (SELECT id, sentence, i - 1 AS pos, a[i] AS word, CASE WHEN i > 1 THEN a[i - 1] END AS previous_word, CASE WHEN i < len(a) THEN a[i + 1] END AS next_word FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM carr)),
 asked AS (SELECT DISTINCT word AS typed FROM talk),
-unknown AS (SELECT typed FROM asked WHERE typed NOT IN (SELECT word FROM words))
+unknown AS MATERIALIZED (SELECT typed FROM asked WHERE typed NOT IN (SELECT word FROM words))
 """
 #: DuckDB's levenshtein counts bytes, so words are compared with one ASCII sign for each Latin letter. Pairs meet on what up to two deletions leave.
 _SIGNS = "translate({}, 'àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿßœ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456')"
@@ -174,8 +174,11 @@ def words_as_of(spark, sf_dir):
     return judged.groupBy(F.col("user_id").alias("conv_id"), "turn").agg(F.count("*").alias("n_words"), F.count_if("known").alias("n_known"))
 
 
-@query(CTE + f""", t AS MATERIALIZED (SELECT typed, {_SIGNS.format('typed')} AS a, length(typed) AS n FROM unknown WHERE length(typed) >= 10), w AS MATERIALIZED (SELECT word, {_SIGNS.format('word')} AS b, length(word) AS n FROM words WHERE length(word) >= 7)
-SELECT typed, word, CAST(levenshtein(a, b) AS INTEGER) AS distance FROM t JOIN w ON w.n BETWEEN t.n - 3 AND t.n + 3 WHERE levenshtein(a, b) <= 3""")
+@query(CTE + f""", t AS MATERIALIZED (SELECT typed, {_SIGNS.format('typed')} AS a, length(typed) AS n FROM unknown WHERE length(typed) >= 10), w AS MATERIALIZED (SELECT word, {_SIGNS.format('word')} AS b, length(word) AS m FROM words WHERE length(word) >= 7),
+p AS (SELECT typed, a, n, i, substr(a, n * i // 4 + 1, n * (i + 1) // 4 - n * i // 4) AS piece FROM t, range(4) r(i)),
+q AS (SELECT DISTINCT word, b, n, i, substr(b, n * i // 4 + 1 + s, n * (i + 1) // 4 - n * i // 4) AS piece FROM w, range(m - 3, m + 4) x(n), range(4) r(i), range(-3, 4) y(s) WHERE n >= 10 AND n * i // 4 + s >= 0 AND n * (i + 1) // 4 + s <= m),
+met AS (SELECT DISTINCT typed, word, a, b FROM p JOIN q USING (n, i, piece))
+SELECT typed, word, CAST(d AS INTEGER) AS distance FROM (SELECT typed, word, levenshtein(a, b) AS d FROM met) WHERE d <= 3""")
 def metric_range(spark, sf_dir):
     """Words within three edits of each unknown word of ten letters or more."""
     index = metric.build_index(words_of(spark, sf_dir))

@@ -123,7 +123,26 @@ def track_batch(events: DataFrame) -> DataFrame:
     runs = rows.groupBy("user_id", "run").agg(F.sum(cut).alias("cuts")).select("user_id", "run", before.alias("before"))
     inner = F.sum(cut).over(upto(Window.partitionBy("user_id", "run").orderBy("seq"), 0))
     spans = rows.withColumn("inner", inner).join(runs, ["user_id", "run"]).withColumn("span", F.col("before") + F.col("inner"))
-    return spans.groupBy("user_id", "span").applyInPandas(lambda key, pdf: _drive(Tracker(), int(key[0]), pdf.sort_values("seq")), FINISHED)
+    ordered = spans.select("user_id", "span", "seq", "kind", "ch").repartition("user_id", "span").sortWithinPartitions("user_id", "span", "seq")
+    return ordered.mapInArrow(_drive_spans, FINISHED)
+
+
+def _drive_spans(batches):
+    """Finished words of rows that come span by span, in order: many spans pass through one call, and only a tracker is held."""
+    import pyarrow as pa
+
+    link = pa.struct([("typed", pa.string()), ("separator", pa.string()), ("start_known", pa.bool_()), ("before", pa.string())])
+    shape = pa.schema([("user_id", pa.int64()), ("seq", pa.int64()), ("word", pa.string()), ("previous_word", pa.string()), ("separator", pa.string()), ("start_was_known", pa.bool_()), ("link", link)])
+    now, tracker = None, Tracker()
+    for batch in batches:
+        out = []
+        for user, span, seq, kind, ch in zip(*(batch.column(c).to_pylist() for c in ("user_id", "span", "seq", "kind", "ch")), strict=True):
+            if (user, span) != now:
+                now, tracker = (user, span), Tracker()
+            if done := tracker.event(kind, ch):
+                out.append((user, seq, *done))
+        if out:
+            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), shape, strict=True)], schema=shape)
 
 
 def track_stream(events: DataFrame, forget_after: float | None = None) -> DataFrame:
@@ -188,16 +207,16 @@ def key_events(raw: DataFrame) -> DataFrame:
 
 def with_text_before(events: DataFrame, carets: DataFrame, wait_ms: int = TEXT_WAIT_MS) -> DataFrame:
     """The events with `before`: the text before the caret as of the last of the user's readings (user_id, ts, text, caret, took_ms) up to the
-    event; null without one, with a selection (a null caret), or if it took longer than `wait_ms`."""
-    if events.isStreaming:  # joined with a table of the latest reading of each user
-        last = latest(carets, "user_id", "ts").select("user_id", *(F.col(c).alias(f"__{c}") for c in ("text", "caret", "took_ms")))
-        joined = events.join(last, "user_id", "left")
-    else:
-        readings = carets.select("user_id", F.col("ts").alias("__ts"), F.struct("text", "caret", "took_ms").alias("__read"))
-        both = events.select("*", F.col("ts").alias("__ts")).unionByName(readings, allowMissingColumns=True)
-        order = Window.partitionBy("user_id").orderBy("__ts", F.col("__read").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-        joined = both.withColumn("__last", F.last("__read", ignorenulls=True).over(order)).filter("__read is null")
-        joined = joined.select(*events.columns, *(F.col(f"__last.{c}").alias(f"__{c}") for c in ("text", "caret", "took_ms")))
+    event; null without one, with a selection (a null caret), or if it took longer than `wait_ms`. Two streams meet in the order of their times."""
+    if events.isStreaming:
+        from .ordered import text_before_stream
+
+        return text_before_stream(events, carets, wait_ms=wait_ms)
+    readings = carets.select("user_id", F.col("ts").alias("__ts"), F.struct("text", "caret", "took_ms").alias("__read"))
+    both = events.select("*", F.col("ts").alias("__ts")).unionByName(readings, allowMissingColumns=True)
+    order = Window.partitionBy("user_id").orderBy("__ts", F.col("__read").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    joined = both.withColumn("__last", F.last("__read", ignorenulls=True).over(order)).filter("__read is null")
+    joined = joined.select(*events.columns, *(F.col(f"__last.{c}").alias(f"__{c}") for c in ("text", "caret", "took_ms")))
     fine = F.col("__caret").isNotNull() & (F.coalesce("__took_ms", F.lit(0)) <= wait_ms)
     return joined.withColumn("before", F.when(fine, before_caret(F.col("__text"), F.col("__caret")))).drop("__text", "__caret", "__took_ms")
 
