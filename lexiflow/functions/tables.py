@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Row, SparkSession
@@ -22,22 +23,45 @@ class _Last:
         return isinstance(other, _Last) and self.text == other.text
 
 
+def affix_rows(aff: str) -> list[dict]:
+    """The rules of an .aff text as rows, as affix_rules gives them; a handful for a table function to hold."""
+    heads, body = {}, []
+    for i, line in enumerate(aff.splitlines()):
+        t = line.split()
+        if line[:4] not in ("PFX ", "SFX ") or len(t) < 4:
+            continue
+        if len(t) == 4 and t[2] in ("Y", "N") and t[3].isdigit():
+            heads[t[1]] = (i, t[0] == "SFX", t[2] == "Y")
+        else:
+            strip, add = ("" if x == "0" else x.split("/")[0] for x in t[2:4])
+            body.append((i, t[1], {"strip": strip, "add": add, "condition": t[4] if len(t) > 4 else "."}))
+    return [{"flag": f, "suffix": heads[f][1], "crosses": heads[f][2], **r} for i, f, r in body if f in heads and i > heads[f][0]]
+
+
 @udtf(returnType="entry string, form string", useArrow=True)
 class affix_forms:  # noqa: N801  it is called by this name in SQL
     """affix_forms(TABLE(entries), aff): for each row (word, flags) its distinct lower-cased forms under the rules of an .aff text, itself
     included. A null word has none; null flags are no flags; flags without a rule do nothing."""
 
     def __init__(self):
-        self.text, self.rules = None, {}
+        self.text, self.rules = None, []
 
     def eval(self, row: Row, aff: str) -> Iterator[tuple[str, str]]:
-        from ..operators.vocab_build import expand_entry, parse_affixes
-
         if aff != self.text:
-            self.text, self.rules = aff, parse_affixes(aff or "")
-        if row["word"] is not None:
-            for form in sorted({f.lower() for f in expand_entry(row["word"], row["flags"] or "", self.rules)}):
-                yield row["word"], form
+            self.text, self.rules = aff, affix_rows(aff or "")
+        word = row["word"]
+        if word is None:
+            return
+        mine = [r for r in self.rules if r["flag"] in (row["flags"] or "")]
+        forms, stems = {word}, [(word, True)]
+        for r in mine:
+            if r["suffix"] and word.endswith(r["strip"]) and re.search(f"(?:{r['condition']})$", word):
+                forms.add(word.removesuffix(r["strip"]) + r["add"])
+                stems.append((word.removesuffix(r["strip"]) + r["add"], r["crosses"]))
+        for stem, crosses in stems:
+            forms |= {r["add"] + stem[len(r["strip"]) :] for r in mine if not r["suffix"] and (stem is word or crosses and r["crosses"]) and re.match(f"(?:{r['condition']})", stem)}
+        for form in sorted({f.lower() for f in forms}):
+            yield word, form
 
 
 @udtf(returnType="prefix string, word string, freq long, score double, rank long", useArrow=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -107,42 +107,33 @@ def scale_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.crossJoin(F.broadcast(both.agg(F.max("raw").alias("biggest")))).select("first", "second", scaled(F.col("raw"), F.col("biggest")).alias("cnt"))
 
 
-def parse_affixes(text: str) -> dict[str, tuple[bool, bool, list[tuple[str, str, str]]]]:
-    """Affix rules of an .aff text: flag -> (suffix, crosses with the other kind, [(strip, add, condition)])."""
-    rules: dict = {}
-    for kind, flag, *rest in (line.split() for line in text.splitlines() if line[:4] in ("PFX ", "SFX ")):
-        if len(rest) == 2 and rest[0] in "YN" and rest[1].isdigit():
-            rules[flag] = (kind == "SFX", rest[0] == "Y", [])
-        elif flag in rules and len(rest) >= 2:
-            zero = lambda x: "" if x == "0" else x
-            rules[flag][2].append((zero(rest[0]), zero(rest[1]).split("/")[0], rest[2] if len(rest) > 2 else "."))
-    return rules
-
-
-def expand_entry(word: str, flags: str, rules: dict) -> set[str]:
-    """All forms of a dictionary entry; prefixes also go before suffixed forms where both kinds cross."""
-    chosen = [rules[f] for f in flags if f in rules]
-    suffixed = [
-        (word[: len(word) - len(strip)] + add, crosses)
-        for suffix, crosses, entries in chosen
-        if suffix
-        for strip, add, condition in entries
-        if word.endswith(strip) and re.search(f"(?:{condition})$", word)
-    ]
-    stems = [word, *(form for form, crosses in suffixed if crosses)]
-    prefixed = {add + stem[len(strip) :] for suffix, crosses, entries in chosen if not suffix for strip, add, condition in entries for stem in (stems if crosses else [word]) if re.match(condition, stem)}
-    return {word, *(form for form, _ in suffixed), *prefixed}
-
-
-def expand_affixes(entries: DataFrame, rules: dict) -> DataFrame:
-    """(word) distinct lower-cased forms of entries (word, flags); one row becomes many, batch by batch."""
-    import pandas as pd
-
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame({"word": [f.lower() for w, g in zip(frame["word"], frame["flags"].fillna(""), strict=True) for f in expand_entry(w, g, rules)]}, dtype=object)
-
-    return entries.select("word", "flags").mapInPandas(run, "word string").distinct()
+RULE = "flag string, suffix boolean, crosses boolean, strip string, add string, condition string"
+
+
+def affix_rules(spark: SparkSession, text: str) -> DataFrame:
+    """RULE rows of an .aff text. A flag's header says its kind and whether it crosses with the other kind; of several headers the last
+    counts, with the rules below it. `0` is nothing, what follows `/` is left out, and a rule without a condition always applies."""
+    lines = spark.createDataFrame(list(enumerate(text.splitlines())), "line long, value string").filter(F.col("value").rlike("^[PS]FX "))
+    t, n = F.split(F.trim("value"), r"\s+"), F.size("t")
+    at = lambda i: F.get("t", F.lit(i))
+    rows = lines.select("line", t.alias("t")).withColumn("head", (n == 4) & at(2).isin("Y", "N") & at(3).rlike(r"^\d+\z"))
+    heads = rows.filter("head").groupBy(at(1).alias("flag")).agg(F.max_by(F.struct((at(0) == "SFX").alias("suffix"), (at(2) == "Y").alias("crosses")), "line").alias("kind"), F.max("line").alias("since"))
+    told = lambda i: F.when(at(i) == "0", "").otherwise(F.split(at(i), "/")[0])
+    body = rows.filter((n >= 4) & ~F.col("head")).select("line", at(1).alias("flag"), told(2).alias("strip"), told(3).alias("add"), F.coalesce(at(4), F.lit(".")).alias("condition"))
+    return body.join(heads, "flag").filter("line > since").select("flag", "kind.suffix", "kind.crosses", "strip", "add", "condition")
+
+
+def expand_affixes(entries: DataFrame, rules: DataFrame) -> DataFrame:
+    """(word) distinct lower-cased forms of entries (word, flags) under RULE rows: the words themselves, with a suffix, with a prefix, and with
+    both where both cross. Flags without a rule and null flags do nothing; null words have no form."""
+    own = entries.select("word", F.coalesce("flags", F.lit("")).alias("flags")).filter("word is not null")
+    flagged = own.select("word", "flags", F.explode(F.array_distinct(F.split("flags", ""))).alias("flag")).join(rules, "flag")
+    fits = F.endswith("word", F.col("strip")) & F.rlike("word", F.concat(F.lit("(?:"), "condition", F.lit(")$")))
+    ended = flagged.filter("suffix").filter(fits).select("flags", F.concat(F.left("word", F.length("word") - F.length("strip")), "add").alias("word"), "crosses")
+    crossing = ended.filter("crosses").select("word", F.explode(F.array_distinct(F.split("flags", ""))).alias("flag")).join(rules.filter("crosses"), "flag")
+    stems = flagged.select("word", "suffix", "strip", "add", "condition").union(crossing.select("word", "suffix", "strip", "add", "condition")).filter("not suffix")
+    begun = stems.filter(F.rlike("word", F.concat(F.lit("^(?:"), "condition", F.lit(")")))).select(F.concat("add", F.col("word").substr(F.length("strip") + 1, F.length("word"))).alias("word"))
+    return own.select("word").union(ended.select("word")).union(begun).select(F.lower("word").alias("word")).distinct()
 
 
 def build_vocabulary(web: DataFrame, valid: DataFrame, expanded: DataFrame, misspellings: DataFrame, books: DataFrame, listed: DataFrame, most: int = C.MAX_WORDS, blocked: Iterable[str] = ()) -> DataFrame:

@@ -194,10 +194,11 @@ def test_vocabulary_build(spark):
 
 
 def test_affixes(spark):
-    rules_ = vocab_build.parse_affixes("SFX S Y 2\nSFX S y ies [^aeiou]y\nSFX S 0 s [^y]\nPFX U Y 1\nPFX U 0 un .\n")
-    assert vocab_build.expand_entry("tidy", "SU", rules_) == {"tidy", "tidies", "untidy", "untidies"} and vocab_build.expand_entry("cat", "S", rules_) == {"cat", "cats"}
-    rows = spark.createDataFrame([("cat", "S"), ("Cat", None)], "word string, flags string")
-    assert {r.word for r in vocab_build.expand_affixes(rows, rules_).collect()} == {"cat", "cats"}
+    text = "SFX S N 9\nSFX S 0 old .\nSFX S Y 2\nSFX S y ies/X [^aeiou]y\nSFX S 0 s [^y]\nPFX U Y 1\nPFX U 0 un .\nPFX N N 1\nPFX N t 0\nSFX\nother line\n"
+    rules_ = vocab_build.affix_rules(spark, text)
+    forms = lambda *rows: {r.word for r in vocab_build.expand_affixes(spark.createDataFrame(list(rows), "word string, flags string"), rules_).collect()}
+    assert rules_.count() == 4 and forms(("tidy", "SU")) == {"tidy", "tidies", "untidy", "untidies"} and forms(("cat", "S"), ("Cat", None), (None, "S")) == {"cat", "cats"}
+    assert forms(("try", "SN")) == {"try", "tries", "ry"} and forms(("dog", "QU")) == {"dog", "undog"} and forms() == set()
 
 
 def test_case_scores(spark):

@@ -7,7 +7,7 @@ import pytest
 
 from lexiflow.functions import tables
 from lexiflow.operators import temporal
-from lexiflow.operators.vocab_build import expand_entry, parse_affixes
+from lexiflow.operators.vocab_build import affix_rules, expand_affixes
 
 START = datetime(2024, 1, 1)
 
@@ -68,8 +68,10 @@ def test_affix_forms_in_sql(spark):
     entries = [("city", "S"), ("Do", "SU"), ("cat", None), (None, "S"), ("x", "QQ")]
     df = spark.createDataFrame(entries, "word string, flags string")
     got = spark.sql("SELECT entry, form FROM affix_forms(TABLE(SELECT word, flags FROM {df}), {aff})".replace("{aff}", "'" + AFF.replace("\n", "\\n") + "'"), df=df)
-    want = {(w, f.lower()) for w, flags in entries if w for f in expand_entry(w, flags or "", parse_affixes(AFF))}
-    assert {tuple(r) for r in got.collect()} == want and ("Do", "undos") in want and ("city", "cities") in want
+    found, rules = {tuple(r) for r in got.collect()}, affix_rules(spark, AFF)
+    assert {f for _, f in found} == {r.word for r in expand_affixes(df, rules).collect()}
+    assert found == {("city", "city"), ("city", "cities"), ("Do", "do"), ("Do", "dos"), ("Do", "undo"), ("Do", "undos"), ("cat", "cat"), ("x", "x")}
+    assert [tuple(r) for r in rules.orderBy("flag", "strip").collect()] == sorted((tuple(r.values()) for r in tables.affix_rows(AFF)), key=lambda r: (r[0], r[3]))
 
 
 def test_any_score_ranks_completions_in_sql(spark):
