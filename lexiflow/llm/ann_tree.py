@@ -26,6 +26,8 @@ CALIBRATION = 64
 BRANCH = 8
 #: Vectors of a leaf that is small enough. UPPER and LOWER bound the leaves of the upper part and of what is grown below each of them.
 LEAF, UPPER, LOWER = 64, 512, 128
+#: Bytes of the centroids that are sent to all tasks, and of the sample that the driver holds: wider vectors get fewer leaves and rows.
+TREE_BYTES, SAMPLE_BYTES = 64 << 20, 64 << 20
 BLOCK_ROWS = 1024
 QUERY_ROWS = 512
 HELD_ROWS = 1 << 19
@@ -51,7 +53,7 @@ class KMeansTree:
                     self.first.append(0)
                     self.many.append(0)
             rows[at], at = rows[at][:0], at + 1
-        self.matrix, self.first, self.many = np.array(centers), np.array(self.first), np.array(self.many)
+        self.matrix, self.first, self.many = np.array(centers, np.float32), np.array(self.first), np.array(self.many)
         self._number()
 
     def _number(self) -> None:
@@ -110,7 +112,7 @@ class KMeansTree:
 
     def visit(self, query: np.ndarray, sizes: np.ndarray, enough: float) -> list[int]:
         """Leaves in best-bin-first order until `enough` indexed vectors have been seen."""
-        dots, queue, seen, out = (self.matrix @ query).tolist(), [(0.0, 0)], 0, []
+        dots, queue, seen, out = (self.matrix @ query.astype(np.float32)).tolist(), [(0.0, 0)], 0, []
         first, many, leaf_of = self.first.tolist(), self.many.tolist(), self.leaf_of.tolist()
         while queue and seen < enough:
             node = heapq.heappop(queue)[1]
@@ -152,10 +154,17 @@ def _assign(tree):
     return run
 
 
+def bounds(dims: int) -> tuple[int, int, int]:
+    """(rows of the sample, leaves of the upper part, leaves grown below each) for vectors of this many dimensions."""
+    nodes = TREE_BYTES // (4 * dims)
+    upper = max(BRANCH, min(UPPER, nodes // BRANCH))
+    return max(2 * LEAF, min(SAMPLE, SAMPLE_BYTES // (8 * dims))), upper, max(1, min(LOWER, nodes // (2 * upper)))
+
+
 def _fit_below(key, table):
-    """What is grown below one leaf: leaves of about LEAF vectors, LOWER at most in number, by the share of the sample."""
+    """What is grown below one leaf: leaves of about LEAF vectors, in number bounded by the share of the sample and of the bytes."""
     rows, size = _matrix(table.column("vector")), table.column("size")[0].as_py()
-    tree = KMeansTree(rows, max(LEAF * len(rows) / size, 2 * len(rows) / LOWER, 1))
+    tree = KMeansTree(rows, max(LEAF * len(rows) / size, 2 * len(rows) / bounds(rows.shape[1])[2], 1))
     return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([tree.dump()], pa.binary())})
 
 
@@ -250,19 +259,26 @@ def _brute(queries, k: int):
     return run
 
 
-def grow_tree(groups: DataFrame, kind: str) -> KMeansTree:
+def grow_tree(groups: DataFrame, kind: str, dims: int) -> KMeansTree:
     """A tree over all vectors of groups (group_id, vector): the upper part here, from a sample of at most SAMPLE, what stands below its leaves by
-    tasks, from at most LEAF_SAMPLE vectors of each. It has UPPER * LOWER leaves at most, so its size is bounded."""
+    tasks, from at most LEAF_SAMPLE vectors of each. Trees are grafted while the centroids fit into TREE_BYTES; a leaf without one stays whole."""
     spark = groups.sparkSession
-    sample = groups.orderBy(F.xxhash64("group_id"), "group_id").limit(SAMPLE).select("vector").toArrow()  # at most SAMPLE rows
+    most, wide, _ = bounds(dims)
+    sample = groups.orderBy(F.xxhash64("group_id"), "group_id").limit(most).select("vector").toArrow()  # at most SAMPLE rows and SAMPLE_BYTES
     rows = _matrix(sample.column("vector"))
-    upper = KMeansTree(rows, max(LEAF, 2 * len(rows) / UPPER))
+    upper = KMeansTree(rows, max(LEAF, 2 * len(rows) / wide))
     placed = stored(groups.mapInArrow(frugal(_assign(spark.sparkContext.broadcast(upper))), f"group_id long, vector array<{kind}>, leaf long"), "upper")
     large = placed.groupBy("leaf").agg(F.count("*").alias("size")).filter(F.col("size") > 2 * LEAF)
     order = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64("group_id"), "group_id"))
     taken = placed.withColumn("r", order).filter(F.col("r") <= LEAF_SAMPLE).join(large, "leaf").select("leaf", "size", "vector")
-    below = taken.groupBy("leaf").applyInArrow(frugal_group(_fit_below), "leaf long, data binary").collect()  # UPPER trees of LOWER leaves at most
-    return upper.grafted({r["leaf"]: KMeansTree.load(r["data"]) for r in below})
+    below = taken.groupBy("leaf").applyInArrow(frugal_group(_fit_below), "leaf long, data binary").collect()  # a tree a leaf
+    trees, room = {}, TREE_BYTES - upper.matrix.nbytes
+    for r in sorted(below, key=lambda r: r["leaf"]):
+        tree = KMeansTree.load(r["data"])
+        if (room := room - tree.matrix.nbytes) < 0:
+            break
+        trees[r["leaf"]] = tree
+    return upper.grafted(trees)
 
 
 def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -273,6 +289,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, recall:
     non-finite components take no part, nor do null ids; an id that is repeated counts once, with its smallest vector. Bounds: the tree is fitted on at
     most SAMPLE vectors and LEAF_SAMPLE of each upper leaf, and calibrated on at most CALIBRATION queries; every vector is indexed. An
     empty table gives no rows; other columns are ignored.
+
+    The centroids that all tasks hold take at most TREE_BYTES, whatever the dimensions. How much of the table each query sees follows from
+    the calibration alone: where vectors lie so evenly that half of them must be seen for the aimed recall, the work is half of
+    queries times vectors. A lower `recall` makes it less.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -290,7 +310,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, recall:
     members = usable.withColumn("r", F.row_number().over(alike)).filter(F.col("r") <= k + 1)
     members = stored(members.withColumn("group_id", F.first("vec_id").over(alike)).select("vec_id", "group_id", "r", "vector"), "members")
     groups = members.filter("r = 1").select("group_id", "vector")
-    tree = grow_tree(groups, kind)
+    tree = grow_tree(groups, kind, lengths["n"])
     sent = spark.sparkContext.broadcast(tree)
     indexed = stored(groups.mapInArrow(frugal(_assign(sent)), f"group_id long, vector array<{kind}>, leaf long"), "leaves")
     sizes = np.zeros(tree.leaves)

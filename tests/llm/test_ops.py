@@ -151,7 +151,7 @@ def test_tree_grows_with_the_table(spark, monkeypatch):
     centers = rng.normal(size=(30, 16))
     vectors = centers[rng.integers(0, 30, 4000)] + rng.normal(size=(4000, 16)) * 0.3
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "group_id long, vector array<double>").repartition(4)
-    tree = ann_tree.grow_tree(frame, "double")
+    tree = ann_tree.grow_tree(frame, "double", 16)
     leaf = tree.assign(vectors)
     sizes = np.bincount(leaf, minlength=tree.leaves)
     assert tree.leaves > 100 and sizes.sum() == 4000 and sorted(tree.visit(vectors[5], sizes, 1e9)) == list(range(tree.leaves))
@@ -162,6 +162,23 @@ def test_tree_grows_with_the_table(spark, monkeypatch):
     assert np.mean(seen) > 0.9  # with less than a third of the vectors
 
 
+def test_tree_is_bounded_by_bytes(spark, monkeypatch):
+    from lexiflow.llm import ann_tree
+
+    assert ann_tree.bounds(64) == (20_000, 512, 128)
+    for dims in (1, 768, 100_000):
+        rows, upper, lower = ann_tree.bounds(dims)
+        assert rows * dims * 8 <= max(ann_tree.SAMPLE_BYTES, 2 * ann_tree.LEAF * dims * 8) and upper * lower * dims * 4 <= max(ann_tree.TREE_BYTES, ann_tree.BRANCH * dims * 4)
+    rng = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 16)))], "vec_id long, embedding array<float>")
+    for name, value in (("TREE_BYTES", 16 * 4 * 40), ("LEAF", 8), ("UPPER", 8)):
+        monkeypatch.setattr(ann_tree, name, value)
+    groups = vectors.select(vectors.vec_id.alias("group_id"), vectors.embedding.alias("vector"))
+    tree = ann_tree.grow_tree(groups, "float", 16)
+    assert tree.matrix.nbytes <= ann_tree.TREE_BYTES and tree.matrix.dtype == np.float32 and tree.leaves > 4
+    assert ann_tree.nearest_neighbours(vectors, k=5, every=20).count() == 30 * 5
+
+
 def test_op3(spark, data):
     rows = Q.op3_language_id(spark, data[0]).collect()
     docs = {r[0]: r for r in data[1]}
