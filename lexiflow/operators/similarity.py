@@ -10,6 +10,8 @@ from ..functions.text import deletions, numbers
 
 #: Letters beyond which a word is met by its pieces instead of what deletions leave, whose number grows with the length.
 LONG = 24
+#: Pairs up to which every one may be compared.
+SCAN_PAIRS = 100_000_000
 
 
 def _pieces(word: Column, length: Column, k: int, shifts: range) -> Column:
@@ -34,7 +36,7 @@ def _long_pairs(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
 def similarity_join(probes: DataFrame, words: DataFrame, k: int, strategy: str = "deletes") -> DataFrame:
     """(typed, word, distance) with distance <= k, for distinct probes (typed) and words (word).
 
-    "scan" compares every pair, a yardstick for small sides. "length" joins on word length and compares. "deletes" joins on what is
+    "scan" compares every pair, a yardstick that refuses more than SCAN_PAIRS. "length" joins on word length and compares. "deletes" joins on what is
     left after up to k deletions, which any two strings within k share, and compares only those; for words beyond LONG letters, on one of
     k + 1 pieces.
     """
@@ -42,6 +44,8 @@ def similarity_join(probes: DataFrame, words: DataFrame, k: int, strategy: str =
     if k < 0:
         return left.crossJoin(right).select("typed", "word", F.lit(0).alias("distance")).limit(0)
     if strategy == "scan":
+        if (n := left.count() * right.count()) > SCAN_PAIRS:
+            raise ValueError(f"{n} pairs are too many to scan")
         pairs = left.crossJoin(right)
     elif strategy == "length":
         lengths = F.explode(numbers(0, F.length("typed") + k)).alias("n")
