@@ -90,8 +90,8 @@ class QualityModel:
         return at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
-        """The share of label 1 among the nearest labelled vectors, each voting with its cosine above the least of them; equal cosines
-        count alike, and of those at the edge the earlier labelled rows vote."""
+        """The share of label 1 among the nearest labelled vectors, each voting with the fourth power of its cosine; of equal cosines the earlier
+        labelled rows vote. A text that is like none of them, such as an empty one, gets the share of the whole sample."""
         k = min(self.neighbours, len(self.labels))
         if not k:
             return np.full(len(counts), 0.5)
@@ -99,7 +99,7 @@ class QualityModel:
         near = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
         close = np.take_along_axis(cosines, near, 1)
         vote = np.maximum(close, 0) ** 4 + 1e-9
-        return (vote * self.labels[near]).sum(1) / vote.sum(1)
+        return np.where(close[:, 0] > 0, (vote * self.labels[near]).sum(1) / vote.sum(1), self.labels.mean())
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, weights: np.ndarray, dimensions: int = DIMENSIONS, neighbours: int = NEIGHBOURS) -> QualityModel:
