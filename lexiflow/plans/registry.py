@@ -54,9 +54,9 @@ def typed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk(spark, sf_dir).select(F.col("word").alias("typed")).distinct()
 
 
-def unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(typed) distinct words of conversations that the documents' vocabulary lacks."""
-    return correct.misspelled(typed_words(spark, sf_dir), words_of(spark, sf_dir), "typed")
+def unknown(spark: SparkSession, sf_dir: str, words: DataFrame | None = None) -> DataFrame:
+    """(typed) distinct words of conversations that the documents' vocabulary (or `words`) lacks."""
+    return correct.misspelled(typed_words(spark, sf_dir), words_of(spark, sf_dir) if words is None else words, "typed")
 
 
 _W = r"'([\p{L}'']+)'"
@@ -269,7 +269,8 @@ cands AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY
 
 @query(CTE + _CANDS + "SELECT typed, word, CAST(distance AS INTEGER) AS distance, freq, CAST(slip_rank AS INTEGER) AS slip_rank, rank FROM cands WHERE rank <= 5")
 def fuzzy_corrections(spark, sf_dir):
-    return correct.find_corrections(typed_words(spark, sf_dir), words_of(spark, sf_dir)).select("typed", "word", "distance", "freq", "slip_rank", "rank")
+    words = once(words_of(spark, sf_dir), "vocabulary")
+    return correct.find_corrections(typed_words(spark, sf_dir), words).select("typed", "word", "distance", "freq", "slip_rank", "rank")
 
 
 _REASON = """CASE WHEN a.typed IN (SELECT word FROM words) THEN 'already a real word' WHEN b.word IS NULL THEN 'no close word found' WHEN b.distance = 2 AND length(a.typed) < 6 THEN 'too short to guess at two mistakes'
@@ -281,7 +282,8 @@ _PLAIN = "b.slip_rank < r.slip_rank OR r.freq <= 0 OR b.freq >= CASE WHEN b.dist
 j AS (SELECT a.typed, b.word, {_REASON.format(clear=_PLAIN)} AS reason FROM a LEFT JOIN cands b ON b.typed = a.typed AND b.rank = 1 LEFT JOIN cands r ON r.typed = a.typed AND r.rank = 2)
 SELECT typed, reason = 'corrected' AS changed, CASE WHEN reason = 'corrected' THEN word ELSE typed END AS corrected, reason FROM j""")
 def autocorrect_decisions(spark, sf_dir):
-    return correct.autocorrect(typed_words(spark, sf_dir), words_of(spark, sf_dir)).select("typed", "changed", "corrected", "reason")
+    words = once(words_of(spark, sf_dir), "vocabulary")
+    return correct.autocorrect(typed_words(spark, sf_dir), words).select("typed", "changed", "corrected", "reason")
 
 
 @query(CTE + _CANDS + f""", a AS (SELECT DISTINCT word AS typed, coalesce(previous_word, '') AS prev FROM talk),
@@ -386,7 +388,7 @@ def drop_known_misspellings(spark, sf_dir):
 @query(CTE + _BUILD + """, free AS (SELECT *, row_number() OVER (ORDER BY freq, word) AS r FROM kept WHERE left(word, 1) <> 't'), ex AS (SELECT greatest(0, count(*) - 500) AS n FROM kept)
 SELECT word, freq FROM kept WHERE word NOT IN (SELECT word FROM free CROSS JOIN ex WHERE r <= n)""")
 def trim_vocab(spark, sf_dir):
-    words = _kept(spark, sf_dir)
+    words = once(_kept(spark, sf_dir), "kept")
     return vocab_build.trim(words, words.filter("left(word, 1) = 't'"), 500)
 
 
