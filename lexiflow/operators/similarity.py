@@ -40,12 +40,14 @@ def similarity_join(probes: DataFrame, words: DataFrame, k: int, strategy: str =
     left after up to k deletions, which any two strings within k share, and compares only those; for words beyond LONG letters, on one of
     k + 1 pieces.
     """
-    left, right = probes.select("typed").distinct(), words.select("word").distinct()
+    # A fixed number of partitions: both sides are small until deletions multiply them, so they must not be gathered in few tasks before.
+    n = int(probes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = probes.select("typed").repartition(n, "typed").distinct(), words.select("word").repartition(n, "word").distinct()
     if k < 0:
         return left.crossJoin(right).select("typed", "word", F.lit(0).alias("distance")).limit(0)
     if strategy == "scan":
-        if (n := left.count() * right.count()) > SCAN_PAIRS:
-            raise ValueError(f"{n} pairs are too many to scan")
+        if (many := left.count() * right.count()) > SCAN_PAIRS:
+            raise ValueError(f"{many} pairs are too many to scan")
         pairs = left.crossJoin(right)
     elif strategy == "length":
         lengths = F.explode(numbers(0, F.length("typed") + k)).alias("n")
