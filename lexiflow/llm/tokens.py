@@ -13,7 +13,6 @@ from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
 from .common import HELD
@@ -58,13 +57,26 @@ def _grown(array: np.ndarray, size: int) -> np.ndarray:
     return array if size <= len(array) else np.concatenate((array, np.zeros(max(size, 2 * len(array)) - len(array), array.dtype)))
 
 
+def _without(column: pa.Array, gone: list[int]) -> pa.Array:
+    """The texts with some of them empty, from their bytes: pyarrow's if_else garbles arrays that are slices of others."""
+    data, offsets = text_bytes(column)
+    sizes, kept = np.diff(offsets), np.ones(len(column), bool)
+    kept[gone] = False
+    ends = np.concatenate(([0], np.cumsum(sizes * kept))).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(ends), pa.py_buffer(data[np.repeat(kept, sizes)]))
+
+
 class _Slots:
-    """Open addressing from pairs of 64-bit keys to numbers; all keys of a batch are looked up or added together."""
+    """Open addressing from pairs of 64-bit keys to numbers; all keys of a batch are looked up or added together. Half of the slots stay free."""
 
     def __init__(self, bits: int):
+        self.a, self.b = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
+        self.used = 0
+        self._empty(bits)
+
+    def _empty(self, bits: int) -> None:
         self.shift, self.mask = U(64 - bits), (1 << bits) - 1
         self.slot = np.full(1 << bits, -1, np.int32)
-        self.a, self.b = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
 
     def _place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         at = a * U(0x9E3779B97F4A7C15) ^ b * U(0xC2B2AE3D27D4EB4F)
@@ -84,10 +96,15 @@ class _Slots:
         return out
 
     def add(self, a: np.ndarray, b: np.ndarray, numbers: np.ndarray) -> None:
-        """Distinct keys that are not there yet. There must be free slots left."""
+        """Distinct keys that are not there yet."""
         size = int(numbers.max(initial=0)) + 1
         self.a, self.b = _grown(self.a, size), _grown(self.b, size)
         self.a[numbers], self.b[numbers] = a, b
+        self.used += len(numbers)
+        if 2 * self.used > len(self.slot):  # a single text may bring any number of words
+            numbers = np.concatenate((self.slot[self.slot >= 0], numbers))
+            a, b = self.a[numbers], self.b[numbers]
+            self._empty((2 * self.used).bit_length())
         at, todo = self._place(a, b), np.arange(len(a))
         while len(todo):
             free = todo[self.slot[at[todo]] < 0]
@@ -353,7 +370,7 @@ class PieceEncoder:
             self._clear()
         special = self._special(column)
         if special:
-            column = pc.if_else(pa.array(np.isin(np.arange(len(column)), list(special))), pa.scalar(None, column.type), column)
+            column = _without(column, list(special))
         found = scan(column, SPACED)
         first, last = found.first, int(self._other([("end", end)])[0])
         place, before, entry = found.offsets[1:] * 2, first[1:], np.full(len(found), last)  # the end ids
