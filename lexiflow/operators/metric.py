@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import once
+from .similarity import similarity_join
 
 #: Words that pivots are chosen from, and how many distances make a cell.
 SAMPLE, CELL = 512, 3
 PIVOTS = 8
+#: Edits up to which words meet on what deletions leave: that prunes more than pivots, but its cost grows with the k-th power of the length.
+FEW = 3
 
 
 @dataclass
@@ -77,6 +80,8 @@ def range_search(probes: DataFrame, index: MetricIndex, k: int) -> DataFrame:
     """(typed, word, distance) of all words within k of each distinct probe, as similarity_join gives them. A negative k finds nothing."""
     if k < 0:
         return probes.select("typed", F.lit("").alias("word"), F.lit(0).alias("distance")).limit(0)
+    if k <= FEW:
+        return similarity_join(probes.filter("typed is not null"), index.table, k)
     return _candidates(probes, index, k).withColumn("distance", F.levenshtein("typed", "word", k)).filter("distance >= 0")
 
 
