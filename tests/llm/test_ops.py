@@ -162,6 +162,41 @@ def test_tree_grows_with_the_table(spark, monkeypatch):
     assert np.mean(seen) > 0.9  # with less than a third of the vectors
 
 
+def test_neighbours_shuffle_a_query_once(spark, tmp_path):
+    import time
+
+    from lexiflow.llm.ann_tree import nearest_neighbours
+
+    def shuffled():
+        time.sleep(2)  # Spark notes it from time to time
+        rows = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(rows.apply(i).totalShuffleWrite() for i in range(rows.size()))
+
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(4000, 64)).astype(np.float32)
+    vectors[3000:3040] = vectors[0]  # more equal ones than a query returns
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/vectors")
+    before = shuffled()
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")  # larger tables are beyond it
+    try:
+        found = nearest_neighbours(spark.read.parquet(f"{tmp_path}/vectors"), k=5, every=2).collect()
+    finally:
+        spark.conf.set(limit, old)
+    assert shuffled() - before < 5 * vectors.nbytes
+    exact, got, hits = vectors.astype(float) @ vectors.astype(float).T, {}, 0
+    for r in found:
+        assert abs(r.score - exact[r.query_id, r.vec_id]) < 1e-9
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    np.fill_diagonal(exact, -np.inf)
+    for q, rows in got.items():
+        assert [r for r, _ in sorted(rows)] == [1, 2, 3, 4, 5]
+        hits += len({v for _, v in rows} & set(np.lexsort((np.arange(4000), -exact[q].round(9)))[:5].tolist()))
+    assert len(got) == 2000 and hits / 10_000 >= 0.9
+    assert [v for _, v in sorted(got[0])] == [3000, 3001, 3002, 3003, 3004] and [v for _, v in sorted(got[3000])] == [0, 3001, 3002, 3003, 3004]
+
+
 def test_tree_is_bounded_by_bytes(spark, monkeypatch):
     from lexiflow.llm import ann_tree
 
