@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from lexiflow.functions import constants as C
+from lexiflow.operators import ngram
 from lexiflow.plans.registry import QUERIES
 
 DOCS = ["Élève élève élève naïve café café naïf. Größe größe straße, l'été niño niña", "cafés thé une élève. Une élève du café; une élevé", "größer schön schon señor the then them"]
@@ -107,3 +108,11 @@ def test_decisions(spark, sf_dir):
     context = sorted((t, p, decide(t, p)[1] == "corrected", *decide(t, p)) for t, p in ASKED)
     assert rows_of(spark, sf_dir, "autocorrect_in_context") == context
     assert any(changed and not corrected.isascii() for _, changed, corrected, _ in plain)
+
+
+def test_only_chosen_pairs_are_told_apart(spark):
+    made = [(a, b, n) for a in "abcdefgh" for b in "ijklmnop" for n in (1, 2)]
+    every, chosen = spark.createDataFrame(made, "first string, second string, cnt long"), spark.createDataFrame([("a", "i"), ("a", "j"), ("b", "p"), ("z", "q")], "first string, second string")
+    got = {(r.first, r.second): r.cnt for r in ngram.count_chosen(every, chosen).toLocalIterator()}
+    assert got["a", "i"] == got["a", "j"] == got["b", "p"] == 3 and len(got) < 20
+    assert Counter({a: 24 for a in "abcdefgh"}) == sum((Counter({a: n}) for (a, _), n in got.items()), Counter())
